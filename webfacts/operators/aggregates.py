@@ -275,3 +275,16 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, sal
         df = df.filter(F.col("_rn") <= n).drop("_rn", "_salt")
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def quartiles(df: DataFrame, keys: list[str], order: list[str], parts: int = 4) -> DataFrame:
+    """``quartile`` 1..parts by position; the first groups take the surplus rows. ``order`` must be total."""
+    from webfacts.operators.ordered import OrderedRows
+
+    numbered = OrderedRows(df, keys, order).row_number("_i").rows()
+    size = df.groupBy(*keys).agg(rows().alias("_n"))
+    n, i = F.col("_n"), F.col("_i") - 1
+    small, extra = F.floor(n / parts), n % parts
+    wide = extra * (small + 1)
+    tile = F.when(i < wide, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - wide) / F.greatest(small, F.lit(1))))
+    return numbered.join(size, keys).withColumn("quartile", (tile + 1).cast("long")).drop("_i", "_n")

@@ -125,7 +125,7 @@ def _expand(rows: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, k:
     )
 
 
-def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, group: str | None = None) -> DataFrame:
+def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, group: str | None = None, pivots_wanted: int | None = None) -> DataFrame:
     """Exact: for every row its ``k`` nearest other rows (of the same group) by cosine.
 
     Vectors are assigned to sampled pivots. A first round searches the own cell, which gives each vector a
@@ -136,7 +136,8 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     rows, reps = _representatives(corpus, id_col, vector, group)
     reps = cut(reps)
     n, groups = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("grp")).first()
-    wanted = int(max(1, min(MAX_PIVOTS, n**0.5, MAX_CELLS / max(groups * 1.2, 1))))
+    # cells of about one block each, so a search inside a cell is one matrix product
+    wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or n / BLOCK_ROWS, MAX_CELLS / max(groups * 1.2, 1))))
     # a bounded sample: at most MAX_PIVOTS vectors reach the driver
     sample = reps.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
     if not sample:

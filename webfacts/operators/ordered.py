@@ -96,6 +96,21 @@ class OrderedRows:
         out = joined.select(*[c for c in self.df.columns if c not in names], *[pick[n].alias(n) for n in names])
         return self._with(out)
 
+    def last_known_before(self, **cols: str) -> OrderedRows:
+        """Last non-null value among the rows strictly before, ``new_name=column``."""
+        names = list(cols)
+        before = self._local().rowsBetween(Window.unboundedPreceding, -1)
+        carry = self._carry(
+            [F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(*self.order))).alias(f"_e_{n}") for n, c in cols.items()],
+            [F.last(f"_e_{n}", ignorenulls=True).over(self._blocks_before()).alias(f"_c_{n}") for n in names],
+        )
+        local = self.df.select("*", *[F.last(c, ignorenulls=True).over(before).alias(f"_l_{n}") for n, c in cols.items()])
+        joined = self._attach(local, carry)
+        out = joined.select(
+            *[c for c in self.df.columns if c not in names], *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in names]
+        )
+        return self._with(out)
+
     def with_columns(self, **cols: Column) -> OrderedRows:
         return self._with(self.df.withColumns(cols))
 
