@@ -384,3 +384,96 @@ def fade_events(df: DataFrame, series: str, frame: str, alpha: str, threshold: f
     return stretches.groupBy(series, "_calm").applyInPandas(
         fold, f"{series} {kind}, type string, start_frame long, end_frame long, change double, duration_ms double"
     )
+
+
+def _angle(dx: Column, dy: Column) -> Column:
+    deg = F.degrees(F.atan2(dy, dx))
+    return F.when(deg < 0, deg + 360).otherwise(deg)
+
+
+def visual_category(frames: DataFrame, series: str, frame: str, minimum: float = 0.3) -> DataFrame:
+    """Category of a frame sequence: static, fade, slide, scale, parallax, complex or unknown.
+
+    Columns: ``diff`` (share of changed pixels), ``box`` (struct x, y, width, height or null) and ``vectors``
+    (array of dx, dy, magnitude). All scores are bands over per-series aggregates; only "is it monotonic" and
+    the box path look at the frame before.
+    """
+    v = F.col("vectors")
+    n_vec = F.size(v)
+    pace = F.transform(v, lambda x: x["magnitude"])
+    strong = F.filter(v, lambda x: x["magnitude"] > 0.5)
+    mags, angles = F.transform(strong, lambda x: x["magnitude"]), F.transform(strong, lambda x: _angle(x["dx"], x["dy"]))
+    mean_angle = F.aggregate(angles, F.lit(0.0), lambda s, a: s + a) / F.size(angles)
+    apart = F.aggregate(angles, F.lit(0.0), lambda s, a: s + F.abs(a - mean_angle)) / F.size(angles)
+    share = F.array_min(mags) / F.array_max(mags)
+    layered = (F.size(strong) >= 2) & (share < 0.7) & (share > 0.1)
+    lead = F.array_max(F.transform(v, lambda x: F.struct(x["magnitude"].alias("m"), x["dx"].alias("dx"), x["dy"].alias("dy"))))
+    moving = F.filter(v, lambda x: x["magnitude"] > 0.1)
+    spokes = F.size(F.array_distinct(F.transform(moving, lambda x: F.floor(_angle(x["dx"], x["dy"]) / 45 + 0.5))))
+    per = frames.select(
+        series, frame, "diff",
+        (F.col("box.width") * F.col("box.height")).alias("size"),
+        (F.col("box.x") + F.col("box.width") / 2).alias("cx"), (F.col("box.y") + F.col("box.height") / 2).alias("cy"),
+        n_vec.alias("n_vec"), F.aggregate(pace, F.lit(0.0), lambda s, x: s + x).alias("pace"),
+        F.coalesce(layered, F.lit(False)).alias("layered"), F.coalesce(layered & (apart < 30), F.lit(False)).alias("aligned"),
+        F.when(lead["m"] > 0.1, F.radians(_angle(lead["dx"], lead["dy"]))).alias("lead"),
+        ((F.size(moving) >= 2) & (spokes >= 2)).alias("radial"),
+        F.size(strong).alias("n_strong"),
+        F.aggregate(angles, F.lit(0.0), lambda s, a: s + F.sin(F.radians(a))).alias("s_sin"),
+        F.aggregate(angles, F.lit(0.0), lambda s, a: s + F.cos(F.radians(a))).alias("s_cos"),
+    )
+    rows = OrderedRows(per, [series], [frame]).previous(pd="diff").last_known_before(ps="size", px="cx", py="cy").rows()
+    step_x, step_y = F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
+    dist = F.sqrt(step_x * step_x + step_y * step_y)
+    eps = 0.001
+    agg = rows.groupBy(series).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("diff").alias("avg"), (F.max("diff") - F.min("diff")).alias("span"),
+        (F.sum(flag(F.col("diff") < F.col("pd") - eps)) * F.sum(flag(F.col("diff") > F.col("pd") + eps)) == 0).alias("mono"),
+        (F.sum(flag(F.col("size") < F.col("ps") - eps)) * F.sum(flag(F.col("size") > F.col("ps") + eps)) == 0).alias("mono_size"),
+        F.sum("n_vec").alias("vecs"), F.sum("pace").alias("pace"), F.count("size").alias("boxes"),
+        F.min_by("size", F.when(F.col("size").isNotNull(), F.col(frame))).alias("s0"), F.max_by("size", F.when(F.col("size").isNotNull(), F.col(frame))).alias("s1"),
+        F.var_pop("cx").alias("vx"), F.var_pop("cy").alias("vy"), F.sum(flag(F.col("layered"))).alias("layered"), F.sum(flag(F.col("aligned"))).alias("aligned"),
+        F.count("lead").alias("leads"), F.sqrt(F.pow(F.avg(F.sin("lead")), F.lit(2.0)) + F.pow(F.avg(F.cos("lead")), F.lit(2.0))).alias("r"),
+        F.bool_or("radial").alias("radial"), F.sum(dist).alias("path"), F.sum("n_strong").alias("n_strong"), F.sum("s_sin").alias("s_sin"), F.sum("s_cos").alias("s_cos"), F.var_pop(_angle(step_x, step_y)).alias("turn"),
+    )
+    c = F.col
+    ratio = F.when(c("s0") > 0, c("s1") / c("s0"))
+    pull = F.when(c("vecs") > 0, c("pace") / c("vecs")).otherwise(0.0)
+    cost = F.when(pull > 8, 0.4).when(pull > 5, 0.25).when(pull > 2, 0.15).when(pull > 0.5, 0.1).otherwise(0.0)
+    level = c("avg") / 0.1
+    grows = F.coalesce((c("boxes") >= 2) & ((ratio > 1.3) | (ratio < 0.77)) & (c("vx") < 500) & (c("vy") < 500), F.lit(False))
+    fade = (
+        F.when(grows, 0.25).when(c("span") <= 0.1, 0.2).when(level < 0.5, 0.25)
+        .otherwise(clamp(F.when(c("mono") & (level > 1), 0.9).when(c("mono") & (level > 0.5), 0.6 + level * 0.2).when(level > 1.5, 0.7).when(level > 1, 0.55).otherwise(0.35) - cost, 0.0, 1.0))
+    )
+    by_vectors = F.when(c("leads") < 2, 0.2).when(c("r") > 0.85, 0.9).when(c("r") > 0.7, 0.75).when(c("r") > 0.5, 0.5).otherwise(0.2)
+    by_boxes = F.when(c("boxes") < 2, 0.0).when(c("path") < 5, 0.1).when(c("turn") < 100, 0.8).when(c("turn") < 500, 0.5).otherwise(0.2)
+    stable = (c("vx") < 100) & (c("vy") < 100)
+    semi = ((c("vx") < 500) & (c("vy") < 100)) | ((c("vx") < 100) & (c("vy") < 500))
+    big = (ratio > 1.5) | (ratio < 0.67)
+    scale = (
+        F.when(c("boxes") < 2, 0.0).when((ratio > 0.95) & (ratio < 1.05), 0.1).when(~c("mono_size"), 0.2).when(big & stable, 0.92).when(big & semi, 0.88)
+        .when(c("radial") & stable, 0.85).when(stable & ((ratio > 1.1) | (ratio < 0.9)), 0.75).when((ratio > 4) | (ratio < 0.25), 0.95).when((ratio > 2.5) | (ratio < 0.4), 0.85).otherwise(0.4)
+    )
+    n = c("n")
+    parallax = F.when((c("layered") >= n * 0.5) & (c("aligned") >= n * 0.3), 0.92).when(c("layered") >= n * 0.3, 0.85).when(c("layered") > 0, 0.6).otherwise(0.1)
+    still = F.when(c("avg") < 0.01, 0.95).when(c("avg") < 0.02, 0.7).when(c("avg") < 0.03, 0.4).otherwise(0.0)
+    scored = agg.withColumns({"_static": still, "_fade": fade, "_slide": F.when(c("vecs") > 0, by_vectors).otherwise(by_boxes), "_scale": F.coalesce(scale, F.lit(0.4)), "_parallax": parallax})
+    names = ["static", "fade", "slide", "scale", "parallax"]
+    name, best = arg_max({x: F.col(f"_{x}") for x in names})
+    order = F.reverse(F.array_sort(F.array(*[F.col(f"_{x}") for x in names])))
+    scored = scored.withColumns({"_name": name, "_best": best, "_second": order[1]})
+    high = sum((flag(F.col(f"_{x}") > 0.4) for x in names[1:]), F.lit(0))
+    second_static = (c("_static") == c("_second")) & (c("_name") != "static")
+    mixed = (c("_fade") >= 0.5) & (c("_slide") >= 0.5) & c("mono") & (c("_fade") + c("_slide") > 1.3) & (c("_scale") < 0.9)
+    mixed = mixed | ((high >= 2) & (c("_second") >= 0.6) & (c("_best") - c("_second") < 0.15) & (c("_best") < 0.9) & (c("_name") != "static") & ~second_static)
+    # directions all over the place speak against any single category
+    agree = F.sqrt(c("s_sin") * c("s_sin") + c("s_cos") * c("s_cos")) / c("n_strong")
+    noise = F.when(c("n_strong") < 3, 0.0).when(agree < 0.3, 0.5).when(agree < 0.5, 0.3).when(agree < 0.7, 0.1).otherwise(0.0)
+    sure = F.when(mixed, c("_best")).otherwise(clamp(c("_best") - noise, 0.0, 1.0))
+    short = n <= 1
+    label = F.when(short, "static").when(mixed, "complex").when(sure < minimum, "unknown").otherwise(c("_name"))
+    return scored.select(
+        series, label.alias("category"), F.when(short, 0.95).otherwise(sure).alias("confidence"),
+        F.when(c("vecs") > 0, clamp(pull / 30, 0.0, 1.0)).otherwise(clamp(c("avg") * 2, 0.0, 1.0)).alias("intensity"),
+    )
