@@ -66,3 +66,24 @@ def round_half_up(x: Column, digits: int = 0) -> Column:
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times in ``body``; keeps expression trees small."""
     return F.transform(F.array(value), body)[0]
+
+
+def required_literal(pattern: str) -> str:
+    """Longest text every match of ``pattern`` must contain, lower case; empty when there is none."""
+    import re._parser as parser
+
+    best = run = ""
+    for op, arg in parser.parse(pattern):
+        run = run + chr(arg) if str(op) == "LITERAL" else ""
+        best = max(best, run, key=len)
+    return best.lower()
+
+
+def mark(low: Column, pattern: str) -> Column:
+    """Case-insensitive ``rlike`` on lower-case text, behind a plain substring test.
+
+    Most marks are absent from most pages; the substring test is far cheaper than the expression.
+    """
+    need = required_literal(pattern)
+    test = low.rlike(f"(?i){pattern}")
+    return low.contains(need) & test if len(need) >= 3 else test

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import text
-from webfacts.functions.color import channel, rgb_distance
+from webfacts.functions.color import channel
 
 
 def without_embedding(facts: DataFrame, embeddings: DataFrame, fact_id: str, emb_id: str) -> DataFrame:
@@ -29,14 +29,16 @@ def nearest_color(colors: DataFrame, palette: DataFrame, by: list[str], hex_col:
     theirs = palette.select(*by, palette_hex).distinct()
     step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
 
-    def cells(df: DataFrame, h: str) -> DataFrame:
-        return df.select("*", *[F.floor(channel(h, i) / reach).cast("int").alias(f"_c{i}") for i in range(3)])
+    def cells(df: DataFrame, h: str, side: str) -> DataFrame:
+        rgb = df.select("*", *[channel(h, i).alias(f"{side}{i}") for i in range(3)])
+        return rgb.select("*", *[F.floor(F.col(f"{side}{i}") / reach).cast("int").alias(f"_c{i}") for i in range(3)])
 
-    spread = cells(theirs, palette_hex)
+    spread = cells(theirs, palette_hex, "_p")
     for i in range(3):
         spread = spread.withColumn("_d", F.explode(step)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_d")).drop("_d")
-    met = cells(ours, hex_col).join(spread, [*by, "_c0", "_c1", "_c2"])
-    near = met.withColumn("distance", rgb_distance(hex_col, palette_hex)).filter(F.col("distance") < reach)
+    met = cells(ours, hex_col, "_h").join(spread, [*by, "_c0", "_c1", "_c2"])
+    square = sum(((F.col(f"_h{i}") - F.col(f"_p{i}")) * (F.col(f"_h{i}") - F.col(f"_p{i}")) for i in range(3)), F.lit(0))
+    near = met.filter(square < reach * reach).withColumn("distance", F.sqrt(square.cast("double")))
     best = near.groupBy(*by, hex_col).agg(F.min(F.struct("distance", palette_hex)).alias("_b"))
     return best.select(*by, hex_col, F.col("_b")[palette_hex].alias(palette_hex), F.col("_b.distance").alias("distance"))
 

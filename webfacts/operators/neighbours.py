@@ -61,34 +61,40 @@ def _best(rep_q, rep_m, sims: np.ndarray, k: int, floor: float):
 def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int, min_similarity: float) -> DataFrame:
     """Top ``k`` members per query inside each cell: ``(rep, target, similarity)``, one set per block.
 
-    A cell of any size is cut into query chunks x member chunks of about ``BLOCK_ROWS`` rows each.
+    A cell of any size is cut into query chunks x member chunks of about ``BLOCK_ROWS`` rows each; cells that
+    fit one block travel together in packs, so small cells do not cost one Python call each.
     """
 
     def chunks(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
         return df.groupBy(*cell).agg(n.alias(name))
 
-    sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell)
+    packs = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell).withColumn("_cell", F.concat_ws("|", *cell))
     own = lambda n: F.pmod(F.hash("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = queries.join(sizes, cell).select(*cell, "rep", "vec", own("_nq").alias("_q"), every("_nm").alias("_m"))
-    m = members.join(sizes, cell).select(*cell, "rep", "vec", own("_nm").alias("_m"), every("_nq").alias("_q"))
-    m = m.select(*[F.col(c).alias(f"m_{c}") for c in m.columns])
+    small = (F.col("_nq") == 1) & (F.col("_nm") == 1)
+    block = F.when(small, F.pmod(F.hash("_cell"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
+    cols = [block.alias("_block"), "_cell", "rep", "vec"]
+    q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
+    m = members.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nm").alias("_m"), every("_nq").alias("_q")).select(*cols)
+    m = m.select(*[F.col(c).alias(f"m{c}") for c in m.columns])
     floor = float(min_similarity)
 
-    def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"rep": [], "target": [], "similarity": []})
-        parts = []
-        b = _matrix(right["m_vec"])
-        rep_m = right["m_rep"].to_numpy()
-        for at in range(0, len(left), BLOCK_ROWS):
-            some = left.iloc[at : at + BLOCK_ROWS]
-            parts.append(_best(some["rep"].to_numpy(), rep_m, _matrix(some["vec"]) @ b.T, k, floor))
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        parts = [pd.DataFrame({"rep": np.array([], dtype=np.int64), "target": np.array([], dtype=np.int64), "similarity": np.array([], dtype=np.float64)})]
+        there = right.groupby("m_cell").indices
+        for name, rows in left.groupby("_cell").indices.items():
+            if name not in there:
+                continue
+            mine = right.iloc[there[name]]
+            b, rep_m = _matrix(mine["mvec"]), mine["mrep"].to_numpy()
+            for at in range(0, len(rows), BLOCK_ROWS):
+                some = left.iloc[rows[at : at + BLOCK_ROWS]]
+                parts.append(_best(some["rep"].to_numpy(), rep_m, _matrix(some["vec"]) @ b.T, k, floor))
         return pd.concat(parts)
 
-    keys = [*cell, "_q", "_m"]
-    return q.groupBy(*keys).cogroup(m.groupBy(*[f"m_{c}" for c in keys])).applyInPandas(block, "rep long, target long, similarity double")
+    return q.groupBy("_block").cogroup(m.groupBy("m_block")).applyInPandas(search, "rep long, target long, similarity double")
 
 
 def _representatives(corpus: DataFrame, id_col: str, vector: str, group: str | None) -> tuple[DataFrame, DataFrame]:
@@ -138,12 +144,13 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     n, groups = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("grp")).first()
     # cells of about one block each, so a search inside a cell is one matrix product
     wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or n / BLOCK_ROWS, MAX_CELLS / max(groups * 1.2, 1))))
+    if wanted == 1:
+        alone = reps.select("grp", F.lit(0).alias("cell"), "rep", "vec")
+        return _expand(rows, reps, _block_topk(alone, alone, ["grp", "cell"], k, floor), id_col, k, floor)
     # a bounded sample: at most MAX_PIVOTS vectors reach the driver
     sample = reps.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
-    if not sample:
-        sample = [(list(reps.select("vec").first()[0]),)] if n else []
-    if not sample:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("neighbour_id"), F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("rank")).limit(0)
+    if not sample:  # nothing but zero vectors
+        sample = [(list(reps.select("vec").first()[0]),)]
     pivots = np.array([r[0] for r in sample], dtype=np.float64)
 
     def assign(batches):
@@ -157,8 +164,6 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     placed = cut(reps.mapInPandas(assign, "grp string, vec array<double>, rep long, cell int, angle double"))
     cells = ["grp", "cell"]
     first = cut(_block_topk(placed, placed, cells, k, floor))
-    if len(pivots) == 1:
-        return _expand(rows, reps, first, id_col, k, floor)
 
     # kth similarity found so far; fewer than k hits leave the caller's minimum
     kth = top_per_key(first, ["rep"], [F.desc("similarity"), F.asc("target")], k).groupBy("rep").agg(F.min("similarity").alias("s"), F.count(F.lit(1)).alias("c"))

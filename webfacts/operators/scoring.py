@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import html as H
-from webfacts.functions.base import any_of, band, clamp, first_match, flag, round_half_up
+from webfacts.functions.base import any_of, band, clamp, first_match, flag, mark, round_half_up
 from webfacts.functions.color import is_neon
 from webfacts.functions.score import clamp_score, grade
 from webfacts.functions.text import arg_max, keyword_hits, keyword_list, normal_query
 from webfacts.operators import aggregates as agg
 from webfacts.rules.keywords import INDUSTRIES, STYLES
+from webfacts.session import spread
 from webfacts.rules.patterns import CLICHE_MARKS, CLICHE_PENALTY, HTML_BASE, HTML_QUALITY, ORIGINALITY_MARKS
 
 # Axis weights, key section types, expected sections per industry, generic fonts.
@@ -212,26 +213,27 @@ def cliche_score(pages: DataFrame, detected: DataFrame, key: str) -> DataFrame:
 
 def html_quality(pages: DataFrame, page_id: str = "page_id", html: str = "html", strict: bool = False) -> DataFrame:
     """Axis scores straight from the markup: base points plus the points of every mark that matches."""
-    text = F.col(html)
-    marks = lambda axis: sum((F.when(text.rlike(f"(?i){p}"), n).otherwise(0) for a, n, p in HTML_QUALITY if a == axis), F.lit(HTML_BASE[axis]))
-    imgs = H.extract_all(html, "(?i)<img[^>]*>", 0)
-    alts = F.size(F.filter(imgs, lambda i: i.rlike("(?i)alt=")))
+    pages = spread(pages.select(page_id, html), page_id).withColumn("_low", F.lower(html))
+    low = F.col("_low")
+    marks = lambda axis: sum((F.when(mark(low, p), n).otherwise(0) for a, n, p in HTML_QUALITY if a == axis), F.lit(HTML_BASE[axis]))
+    imgs = F.when(low.contains("<img"), H.extract_all("_low", "<img[^>]*>", 0)).otherwise(F.array().cast("array<string>"))
+    alts = F.size(F.filter(imgs, lambda i: i.contains("alt=")))
     alt = F.when(F.size(imgs) == 0, 0).when(alts == F.size(imgs), 5).otherwise(-5)
-    onclick = H.count_matches(html, "(?i)onclick=")
+    onclick = H.count_matches("_low", "onclick=")
     craft = marks("craftsmanship") + alt - onclick * 3
     cliche = F.lit(0)
     count = F.lit(0)
     for severity, pattern in CLICHE_MARKS:
         if severity == "low" and not strict:
             continue
-        hit = text.rlike(f"(?i){pattern}")
+        hit = mark(low, pattern)
         cliche = cliche + F.when(hit, CLICHE_PENALTY[severity][int(strict)]).otherwise(0)
         count = count + flag(hit)
     own = F.lit(HTML_BASE["originality"]) - cliche
     for points, pattern, least in ORIGINALITY_MARKS:
-        own = own + F.when(H.count_matches(html, f"(?i){pattern}") >= least, points).otherwise(0)
-    own = own + F.when(H.count_matches(html, r"(?i)@keyframes\s+[a-z]") == 1, 3).otherwise(0)
-    clear = text.rlike("(?i)<header") & text.rlike("(?i)<main") & text.rlike("(?i)<footer")
+        own = own + F.when(mark(low, pattern) & (H.count_matches("_low", f"(?i){pattern}") >= least), points).otherwise(0)
+    own = own + F.when(low.contains("@keyframes") & (H.count_matches("_low", r"@keyframes\s+[a-z]") == 1), 3).otherwise(0)
+    clear = low.contains("<header") & low.contains("<main") & low.contains("<footer")
     fit = marks("contextuality") + flag(clear) * 5
     rows = pages.select(
         page_id, clamp(own, 0, 100).alias("originality"), clamp(craft, 0, 100).alias("craftsmanship"), clamp(fit, 0, 100).alias("contextuality"), count.alias("cliches")
@@ -254,7 +256,7 @@ def visual_design(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     from webfacts.functions import css
     from webfacts.pages.styles import declarations, sheet
 
-    text = F.col(html)
+    pages = spread(pages.select(page_id, html), page_id)
     values = lambda *names: F.transform(F.filter("_d", lambda d: d["property"].isin(list(names))), lambda d: d["value"])
     decls = F.flatten(F.transform(F.regexp_extract_all(F.concat_ws("\n", sheet(html), F.array_join(F.transform(H.extract_all(html, r'(?is)\sstyle="([^"]*)"'), lambda s: F.concat(F.lit("x{"), s, F.lit("}"))), "\n")), F.lit(r"\{([^{}]*)\}"), F.lit(1)), declarations))
     rows = pages.withColumn("_d", decls)
@@ -290,7 +292,6 @@ def visual_design(pages: DataFrame, page_id: str = "page_id", html: str = "html"
         + F.least(H.count_matches(html, r"(?i)::(?:before|after)\s*\{[^}]*(?:content|background|border|position\s*:\s*absolute)") * 3, F.lit(10))
     )
     media = H.count_matches(html, r"(?i)<(?:img|svg|video|canvas|picture)\b") - H.count_matches(html, r"(?i)<img\b[^>]*\salt=(?:\"\"|'')")
-    del text
     out = rows.select(
         page_id, visual_density(media, H.count_matches(html, r"(?i)<(?:section|article)\b")).alias("density"), clamp(type_score, 0, 100).alias("typography"),
         clamp(color_score, 0, 100).alias("color"), clamp(space_score, 0, 100).alias("whitespace"), clamp(depth, 0, 100).alias("depth"),

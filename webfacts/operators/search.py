@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webfacts.functions import text
 from webfacts.functions.vector import cosine_to
+from webfacts.session import spread
 
 RRF_K = 60
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.6, 0.4
@@ -43,8 +44,12 @@ def total_matches(corpus: DataFrame, vector: str = "embedding", where: Column |
 def text_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit: int | None = None) -> DataFrame:
     """Documents holding every query term, with ``text_rank``."""
     terms = text.query_terms(query)
+    # a token is a substring of the lower-case text: the cheap test spares most documents the tokenizer
+    near = F.lit(bool(terms))
+    for term in terms:
+        near = near & F.contains(F.lower(F.col(text_col)), F.lit(term))
     hits = (
-        docs.withColumn("_t", text.tokens(text_col))
+        docs.filter(near).withColumn("_t", text.tokens(text_col))
         .filter(text.matches_all("_t", terms))
         .withColumn("text_rank", text.text_rank("_t", terms))
         .drop("_t", text_col)
@@ -54,7 +59,7 @@ def text_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit:
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Inverted index ``(term, id, tf, doc_len)``: built once, stored partitioned by term hash."""
-    toks = docs.select(id_col, text.tokens(text_col).alias("_t"))
+    toks = spread(docs.select(id_col, text_col), id_col).select(id_col, text.tokens(text_col).alias("_t"))
     return (
         toks.select(id_col, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
         .groupBy("term", id_col, "doc_len")

@@ -133,24 +133,36 @@ def session_windows(shifts: DataFrame, series: str, frame: str, score: str, coun
     )
     entries = table.groupBy(series).applyInPandas(chain, f"{series} {kind}, {BLOCK} int, entry double")
 
-    def label(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(frame)
-        f = pdf[frame].to_numpy(dtype=np.float64)
-        nxt, gap_at = _next_starts(f, gap, longest)
-        entry = pdf["entry"].iloc[0]
-        start = np.empty(len(f))
-        at = 0
-        if entry is not None and not np.isnan(entry):
-            at = min(int(np.searchsorted(f, entry + longest, side="right")), gap_at)
-            start[:at] = entry
-        while at < len(f):
-            start[at : nxt[at]] = f[at]
-            at = nxt[at]
-        return pdf[[series, frame, "cls", "shifts"]].assign(start=start)
-
-    marked = df.join(F.broadcast(entries), [series, BLOCK], "left").groupBy(series, BLOCK).applyInPandas(
-        label, f"{series} {kind}, {frame} long, cls double, shifts long, start double"
-    )
+    def label(batches):
+        """Rows sorted by (series, block, frame); only the open window is kept between batches."""
+        key, start, last = None, np.nan, np.nan
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            f = pdf[frame].to_numpy(dtype=np.float64)
+            ids, blocks, entries_ = pdf[series].to_numpy(), pdf[BLOCK].to_numpy(), pdf["entry"].to_numpy(dtype=np.float64)
+            edges = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]) | (blocks[1:] != blocks[:-1])) + 1, len(f)]
+            begin = np.empty(len(f))
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                part = f[lo:hi]
+                nxt, gap_at = _next_starts(part, gap, longest)
+                if key != (ids[lo], blocks[lo]):
+                    key, start = (ids[lo], blocks[lo]), entries_[lo]
+                elif part[0] - last > gap:
+                    start = np.nan
+                at = 0
+                if not np.isnan(start):
+                    at = min(int(np.searchsorted(part, start + longest, side="right")), gap_at)
+                    begin[lo : lo + at] = start
+                while at < len(part):
+                    start = part[at]
+                    begin[lo + at : lo + nxt[at]] = start
+                    at = nxt[at]
+                last = part[-1]
+            yield pdf[[series, frame, "cls", "shifts"]].assign(start=begin)
+
+    placed = df.join(F.broadcast(entries), [series, BLOCK], "left").repartition(series, BLOCK).sortWithinPartitions(series, BLOCK, frame)
+    marked = placed.select(series, BLOCK, frame, "cls", "shifts", "entry").mapInPandas(label, f"{series} {kind}, {frame} long, cls double, shifts long, start double")
     return marked.groupBy(series, F.col("start").cast("long").alias("start")).agg(
         F.max(frame).alias("end"), F.sum("cls").alias("cls"), F.sum("shifts").alias("shifts")
     )
@@ -353,37 +365,47 @@ def fade_events(df: DataFrame, series: str, frame: str, alpha: str, threshold: f
     stretches = o.running_sum(_i=F.lit(1).cast("long"), _calm=calm).rows()
     kind = dict(df.dtypes)[series]
 
-    def fold(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        a = pdf[alpha].to_numpy(dtype=np.float64)
-        f = pdf[frame].to_numpy()
-        out = []
-        begin = None  # index inside the stretch; row 0 is the calm frame the stretch starts from
+    def events(ident, a: np.ndarray, f: np.ndarray, out: list) -> None:
+        begin, up = None, False  # row 0 is the calm frame the stretch starts from
 
-        def close(end: int, frames: int) -> None:
+        def close(end: int) -> None:
             change = abs(a[end] - a[begin])
-            if frames >= min_frames and change >= threshold:
-                out.append((key[0], "fade_in" if up else "fade_out", int(f[begin]), int(f[end]), change, frames * 1000.0 / fps))
+            if end - begin + 1 >= min_frames and change >= threshold:
+                out.append((ident, "fade_in" if up else "fade_out", int(f[begin]), int(f[end]), change, (end - begin + 1) * 1000.0 / fps))
 
-        up = False
         for i in range(1, len(a)):
             strong = abs(a[i] - a[i - 1]) > threshold * 0.1
-            if begin is None:
-                if strong:
-                    begin, up = i - 1, a[i] > a[i - 1]
-            elif a[i] == a[begin] or (a[i] > a[begin]) != up:
-                close(i - 1, i - begin)
+            if begin is not None and (a[i] == a[begin] or (a[i] > a[begin]) != up):
+                close(i - 1)
                 begin = None
-                if strong:
-                    begin, up = i - 1, a[i] > a[i - 1]
+            if begin is None and strong:
+                begin, up = i - 1, a[i] > a[i - 1]
         if begin is not None:
-            end = len(a) - 1
-            close(end, end - begin + 1)
-        return pd.DataFrame(out, columns=[series, "type", "start_frame", "end_frame", "change", "duration_ms"])
-
-    return stretches.groupBy(series, "_calm").applyInPandas(
-        fold, f"{series} {kind}, type string, start_frame long, end_frame long, change double, duration_ms double"
-    )
+            close(len(a) - 1)
+
+    def fold(batches):
+        """Rows sorted by (series, stretch, position); the unfinished stretch is kept between batches."""
+        tail = None
+        for pdf in batches:
+            pdf = pdf if tail is None else pd.concat([tail, pdf])
+            if not len(pdf):
+                continue
+            ids, calm_no = pdf[series].to_numpy(), pdf["_calm"].to_numpy()
+            edges = np.r_[0, np.flatnonzero((ids[1:] != ids[:-1]) | (calm_no[1:] != calm_no[:-1])) + 1]
+            tail, out = pdf.iloc[edges[-1] :], []
+            a, f = pdf[alpha].to_numpy(dtype=np.float64), pdf[frame].to_numpy()
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo >= min_frames:
+                    events(ids[lo], a[lo:hi], f[lo:hi], out)
+            yield pd.DataFrame(out, columns=names)
+        if tail is not None:
+            out = []
+            events(tail[series].iloc[0], tail[alpha].to_numpy(dtype=np.float64), tail[frame].to_numpy(), out)
+            yield pd.DataFrame(out, columns=names)
+
+    names = [series, "type", "start_frame", "end_frame", "change", "duration_ms"]
+    placed = stretches.select(series, "_calm", "_i", frame, alpha).repartition(series, "_calm").sortWithinPartitions(series, "_calm", "_i")
+    return placed.mapInPandas(fold, f"{series} {kind}, type string, start_frame long, end_frame long, change double, duration_ms double")
 
 
 def _angle(dx: Column, dy: Column) -> Column:

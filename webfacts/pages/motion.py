@@ -30,44 +30,56 @@ def motions(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
     timed = lambda name: css.duration_ms(prop("decls", name))
     timeline = F.coalesce(prop("decls", "animation-timeline"), F.lit(""))
     has = lambda name: prop("decls", name).isNotNull()
-    anim = rows.filter(F.col("_name").isNotNull() & (F.col("_name") != "none")).select(
-        page_id, "rule_no", "selector", F.lit("animation").alias("type"), F.col("_name").alias("name"),
-        F.when(has("animation-duration"), timed("animation-duration")).otherwise(F.col("_a.duration")).alias("duration"),
-        F.when(has("animation-delay"), timed("animation-delay")).otherwise(F.col("_a.delay")).alias("delay"),
-        or_own(prop("decls", "animation-timing-function"), "easing").alias("easing"),
-        or_own(prop("decls", "animation-iteration-count"), "iterations").alias("iterations"),
-        or_own(prop("decls", "animation-direction"), "direction").alias("direction"),
-        or_own(prop("decls", "animation-fill-mode"), "fill_mode").alias("fill_mode"),
-        or_own(prop("decls", "animation-play-state"), "play_state").alias("play_state"),
-        F.when(timeline.rlike("scroll|view"), "scroll").otherwise("load").alias("trigger"),
-        F.lit(0.9).alias("confidence"),
+    named = F.col("_name").isNotNull() & (F.col("_name") != "none")
+    anim = F.when(
+        named,
+        F.struct(
+            F.lit("animation").alias("type"),
+            F.col("_name").alias("name"),
+            F.when(has("animation-duration"), timed("animation-duration")).otherwise(F.col("_a.duration")).alias("duration"),
+            F.when(has("animation-delay"), timed("animation-delay")).otherwise(F.col("_a.delay")).alias("delay"),
+            or_own(prop("decls", "animation-timing-function"), "easing").alias("easing"),
+            or_own(prop("decls", "animation-iteration-count"), "iterations").alias("iterations"),
+            or_own(prop("decls", "animation-direction"), "direction").alias("direction"),
+            or_own(prop("decls", "animation-fill-mode"), "fill_mode").alias("fill_mode"),
+            or_own(prop("decls", "animation-play-state"), "play_state").alias("play_state"),
+            F.when(timeline.rlike("scroll|view"), "scroll").otherwise("load").alias("trigger"),
+            F.lit(0.9).alias("confidence"),
+            F.lit(None).cast("array<string>").alias("moved"),
+        ),
     )
-    steps = keyframes(pages, page_id, html).groupBy(page_id, "name", "property").agg(
-        F.count(F.lit(1)).cast("int").alias("keyframes"), F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("steps")
-    )
-    props = steps.groupBy(page_id, "name").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("property").alias("name"), "keyframes", "steps"))).alias("properties")
-    )
-    empty = F.array().cast("array<struct<name:string,keyframes:int,steps:array<struct<offset:double,value:string>>>>")
-    anim = anim.join(props, [page_id, "name"], "left").withColumn("properties", F.coalesce("properties", empty))
-
     trans = css.transition_shorthand(F.coalesce(prop("decls", "transition"), F.lit("")))
     first = F.get(trans, F.lit(0))
     listed = css.split_list(F.coalesce(prop("decls", "transition-property"), F.lit("")))
     names = F.when(F.size(listed) > 0, listed).when(F.size(trans) > 0, F.transform(trans, lambda t: t["property"])).otherwise(F.array(F.lit("all")))
     length = F.when(has("transition-duration"), timed("transition-duration")).otherwise(first["duration"])
-    moved = rules.withColumns({"_names": names, "_length": length, "_first": first}).filter(F.col("_length") > 0)
-    transitions = moved.select(
-        page_id, "rule_no", "selector", F.lit("transition").alias("type"), F.concat(F.lit("transition-"), F.col("_names")[0]).alias("name"),
-        F.col("_length").alias("duration"),
-        F.when(has("transition-delay"), timed("transition-delay")).otherwise(F.coalesce(F.col("_first.delay"), F.lit(0.0))).alias("delay"),
-        F.coalesce(prop("decls", "transition-timing-function"), F.col("_first.easing"), F.lit("ease")).alias("easing"),
-        F.lit("1").alias("iterations"), F.lit("normal").alias("direction"), F.lit("none").alias("fill_mode"), F.lit("running").alias("play_state"),
-        F.when(F.col("selector").contains(":hover"), "hover").when(F.col("selector").contains(":focus"), "focus").otherwise("hover").alias("trigger"),
-        F.lit(0.85).alias("confidence"),
-        F.transform("_names", lambda n: F.struct(n.alias("name"), F.lit(0).alias("keyframes"), F.array().cast("array<struct<offset:double,value:string>>").alias("steps"))).alias("properties"),
+    transition = F.when(
+        F.col("_length") > 0,
+        F.struct(
+            F.lit("transition").alias("type"),
+            F.concat(F.lit("transition-"), F.col("_names")[0]).alias("name"),
+            F.col("_length").alias("duration"),
+            F.when(has("transition-delay"), timed("transition-delay")).otherwise(F.coalesce(F.col("_first.delay"), F.lit(0.0))).alias("delay"),
+            F.coalesce(prop("decls", "transition-timing-function"), F.col("_first.easing"), F.lit("ease")).alias("easing"),
+            F.lit("1").alias("iterations"), F.lit("normal").alias("direction"), F.lit("none").alias("fill_mode"), F.lit("running").alias("play_state"),
+            F.when(F.col("selector").contains(":focus"), "focus").otherwise("hover").alias("trigger"),
+            F.lit(0.85).alias("confidence"),
+            F.col("_names").alias("moved"),
+        ),
     )
-    return anim.unionByName(transitions)
+    rows = rows.withColumns({"_names": names, "_length": length, "_first": first})
+    found = rows.select(page_id, "rule_no", "selector", F.explode(F.array_compact(F.array(anim, transition))).alias("m")).select(page_id, "rule_no", "selector", "m.*")
+
+    steps = keyframes(pages, page_id, html).groupBy(page_id, "name", "property").agg(
+        F.count(F.lit(1)).cast("int").alias("keyframes"), F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("steps")
+    )
+    props = steps.groupBy(page_id, "name").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("property").alias("name"), "keyframes", "steps"))).alias("_props")
+    )
+    no_steps = F.array().cast("array<struct<offset:double,value:string>>")
+    own = F.transform("moved", lambda n: F.struct(n.alias("name"), F.lit(0).alias("keyframes"), no_steps.alias("steps")))
+    empty = F.array().cast("array<struct<name:string,keyframes:int,steps:array<struct<offset:double,value:string>>>>")
+    return found.join(props, [page_id, "name"], "left").withColumn("properties", F.coalesce(own, "_props", empty)).drop("_props", "moved")
 
 
 def _names() -> Column:

@@ -6,35 +6,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import html as H
-from webfacts.functions.base import any_of, clamp, first_match, flag, round_half_up
+from webfacts.functions.base import any_of, clamp, first_match, flag, mark, round_half_up
 from webfacts.functions.color import contrast_ratio, hex_luminance
 from webfacts.functions.text import arg_max
 from webfacts.functions.url import absolute_url, url_host
 from webfacts.operators.joins import nearest_color, viewport_pairs
+from webfacts.session import spread
 from webfacts.rules.patterns import CANVAS_LIBRARIES, FRAMEWORK_CLASSES, FRAMEWORK_HOSTS
 
 # Marks of canvas use, single-page frameworks and heavy animation frameworks.
 _CANVAS_WORDS = ["three.js", "three.min.js", "three.module.js", "babylon.js", "babylon.min.js", "pixi.js", "pixi.min.js", "webgl", "gl-matrix", "regl", "twgl"]
-_CANVAS_MARKS = r"(?i)<canvas\b|window\.THREE\b|WebGLRenderingContext"
-_SPA_MARKS = (
-    r"(?i)__REACT_DEVTOOLS_GLOBAL_HOOK__|data-reactroot|data-react-helmet|<div\s+id\s*=\s*[\"']root[\"']|data-v-[a-f0-9]+|__VUE__|data-v-app|v-cloak"
-    r"|ng-version|_ng(host|content|if|for)|<app-root|svelte-[a-z0-9]+|__NEXT_DATA__|_next/static|__NUXT__|_nuxt/"
-)
+_CANVAS_MARKS = [r"<canvas\b", r"window\.THREE\b", "WebGLRenderingContext"]
+_SPA_MARKS = ["__REACT_DEVTOOLS_GLOBAL_HOOK__", "data-reactroot", "data-react-helmet", r"<div\s+id\s*=\s*[\"']root[\"']", "data-v-[a-f0-9]+", "__VUE__", "data-v-app", "v-cloak", "ng-version", "_ng(host|content|if|for)", "<app-root", "svelte-[a-z0-9]+", "__NEXT_DATA__", "_next/static", "__NUXT__", "_nuxt/"]
 _HEAVY_WORDS = ["gsap", "greensock", "tweenmax", "tweenlite", "anime.js", "anime.min.js", "animejs", "framer-motion", "lottie", "bodymovin", "scrollmagic", "locomotive-scroll", "scrolltrigger", "motion.div"]
 _RESOURCES = ["link", "img", "script", "video", "audio", "iframe"]
 
 
+def any_mark(low: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | mark(low, p)
+    return out
+
+
 def complexity(pages: DataFrame, html: str = "html", response_ms: str | None = None) -> DataFrame:
     """Script and resource counts, flags, timeout multiplier and 0..100 score."""
-    low = F.lower(html)
+    pages = spread(pages).withColumn("_low", F.lower(html))
+    low = F.col("_low")
     ms = F.col(response_ms).cast("double") if response_ms else F.lit(0.0)
-    resources = sum((H.count_matches(html, rf"(?i)<{t}\b[^>]*{'href' if t == 'link' else 'src'}\s*=") for t in _RESOURCES), F.lit(0))
+    resources = sum((F.when(low.contains(f"<{t}"), H.count_matches("_low", rf"<{t}\b[^>]*{'href' if t == 'link' else 'src'}\s*=")).otherwise(F.lit(0)) for t in _RESOURCES), F.lit(0))
     rows = pages.withColumns(
         {
-            "scripts": H.count_matches(html, r"(?i)<script\b[^>]*>"),
+            "scripts": H.count_matches("_low", r"<script\b[^>]*>"),
             "resources": resources,
-            "webgl": F.col(html).rlike(_CANVAS_MARKS) | any_of(low, _CANVAS_WORDS),
-            "spa": F.col(html).rlike(_SPA_MARKS),
+            "webgl": any_mark(low, _CANVAS_MARKS) | any_of(low, _CANVAS_WORDS),
+            "spa": any_mark(low, _SPA_MARKS),
             "heavy": any_of(low, _HEAVY_WORDS),
         }
     )
@@ -47,7 +53,7 @@ def complexity(pages: DataFrame, html: str = "html", response_ms: str | None = N
         F.least(s * 0.5, F.lit(25.0)) + F.least(r * 0.2, F.lit(20.0)) + F.least(ms / 200, F.lit(15.0))
         + flag(F.col("webgl")) * 20 + flag(F.col("heavy")) * 15 + flag(F.col("spa")) * 5
     )
-    return rows.withColumns({"timeout_factor": factor, "score": F.least(round_half_up(points), F.lit(100))})
+    return rows.withColumns({"timeout_factor": factor, "score": F.least(round_half_up(points), F.lit(100))}).drop("_low")
 
 
 def _matching(names: str, pattern: str) -> Column:
@@ -61,7 +67,7 @@ def _labelled(values: Column, kind: str) -> Column:
 def frameworks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Score per style framework, the best one (first wins a tie), its confidence and the evidence."""
     names = list(dict.fromkeys([*FRAMEWORK_CLASSES, *FRAMEWORK_HOSTS]))
-    rows = pages.withColumn("_classes", H.class_names(html))
+    rows = spread(pages, page_id).withColumn("_classes", H.class_names(html))
     scores, proof = {}, []
     for name in names:
         hosts = sum((flag(F.contains(F.col(html), F.lit(h))) for h in FRAMEWORK_HOSTS.get(name, [])), F.lit(0))
@@ -83,9 +89,10 @@ def frameworks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -
 
 def libraries(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per page and drawing or animation library found in its markup, with weight and matched marks."""
+    pages = spread(pages, page_id).select(page_id, F.lower(html).alias("_low"))
     found = []
     for name, (weight, marks) in CANVAS_LIBRARIES.items():
-        hits = sum((flag(F.col(html).rlike(f"(?i){m}")) for m in marks), F.lit(0))
+        hits = sum((flag(mark(F.col("_low"), m)) for m in marks), F.lit(0))
         found.append(F.struct(F.lit(name).alias("library"), F.lit(weight).alias("weight"), hits.alias("marks")))
     rows = pages.select(page_id, F.explode(F.filter(F.array(*found), lambda x: x["marks"] > 0)).alias("l"))
     return rows.select(page_id, "l.*")
@@ -93,6 +100,7 @@ def libraries(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
 
 def links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", unsafe: str = r"^(localhost|127\.|10\.|192\.168\.|169\.254\.|\[)|\.local$") -> DataFrame:
     """External style sheets, imports and scripts as absolute URLs; private hosts dropped."""
+    pages = spread(pages, page_id)
     tags = H.extract_all(html, r"(?is)<link\b[^>]*>", 0)
     sheets = F.transform(F.filter(tags, lambda t: F.lower(t).rlike(r"rel\s*=\s*[\"']?stylesheet")), lambda t: H.attribute(t, "href"))
     imports = H.extract_all(H.style_blocks(html), r"(?i)@import\s+(?:url\(\s*)?[\"']?([^\"')\s;]+)")
@@ -105,7 +113,8 @@ def links(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
 
 def content_gaps(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Counts of visual content, the gaps with severity, and a 0..100 score."""
-    body = H.drop_unseen(html)
+    pages = spread(pages.select(page_id, html), page_id).withColumn("_body", H.drop_unseen(html))
+    body = F.col("_body")
     imgs = H.extract_all(body, r"(?is)<img\b[^>]*>", 0)
     rows = pages.select(
         page_id,

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from webfacts.functions.base import ColumnOrName
 from webfacts.functions.html import attribute, cap_snippet, drop_unseen, extract_all, headings, squeeze, strip_tags
 from webfacts.rules.section_rules import SECTION_RULES
+from webfacts.session import spread
 
 LANDMARKS = ["header", "nav", "main", "section", "article", "aside", "footer"]
 
@@ -36,6 +37,7 @@ def section_array(html: ColumnOrName) -> Column:
 
 def sections(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per section: page, position (0-based), tag, id, classes, role, style attribute, snippet."""
+    pages = spread(pages.select(page_id, html), page_id)
     rows = pages.select(page_id, F.posexplode(section_array(html)).alias("position", "s"))
     opening = F.col("s.open")
     return rows.select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webfacts.functions import css
 from webfacts.functions.base import ColumnOrName, any_of, col, first_match, num
 from webfacts.functions.html import extract_all, style_blocks
-from webfacts.session import cut
+from webfacts.session import cut, spread
 
 _KEYFRAMES = r"(?is)@(?:-webkit-)?keyframes\s+([\w-]+)\s*\{((?:[^{}]*\{[^{}]*\})*)[^{}]*\}"
 _BLOCK = r"([^{}]+)\{([^{}]*)\}"
@@ -43,6 +43,7 @@ def prop(decls: ColumnOrName, *names: str) -> Column:
 
 def rule_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per style rule or style attribute: page, rule_no, selector, decls."""
+    pages = spread(pages.select(page_id, html), page_id)
     text = F.regexp_replace(sheet(html), _KEYFRAMES, "")
     blocks = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))
     sheet_rules = F.transform(
@@ -68,6 +69,7 @@ def style_rules(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
 def keyframes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """``(page, name, offset, property, value)``."""
+    pages = spread(pages.select(page_id, html), page_id)
     whole = pages.select(page_id, F.explode(F.regexp_extract_all(sheet(html), F.lit(_KEYFRAMES), F.lit(0))).alias("k"))
     steps = whole.select(
         page_id,

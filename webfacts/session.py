@@ -46,3 +46,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and continue from the written rows."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give a CPU-heavy per-row job enough partitions.
+
+    An input of many file splits is returned untouched, so nothing is shuffled at scale. An input too small to
+    give every core a split (by the optimizer's size estimate) is hash-partitioned on ``keys`` first.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df if df.isStreaming or size >= cores * SPLIT_BYTES else df.repartition(cores, *keys)
