@@ -131,6 +131,15 @@ def _expand(rows: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, k:
     )
 
 
+def _finish(rows: DataFrame, reps: DataFrame, n_reps: int, pairs: DataFrame, id_col: str, k: int, min_similarity: float) -> DataFrame:
+    """Row pairs from representative pairs. Without any copies a representative is its row and nothing is expanded."""
+    if rows.count() > n_reps:
+        return _expand(rows, reps, pairs, id_col, k, min_similarity)
+    w = Window.partitionBy("rep").orderBy(F.desc("similarity"), F.asc("target"))
+    best = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    return best.select(F.col("rep").alias(id_col), F.col("target").alias("neighbour_id"), "similarity", "rank")
+
+
 def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, group: str | None = None, pivots_wanted: int | None = None) -> DataFrame:
     """Exact: for every row its ``k`` nearest other rows (of the same group) by cosine.
 
@@ -146,7 +155,7 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or n / BLOCK_ROWS, MAX_CELLS / max(groups * 1.2, 1))))
     if wanted == 1:
         alone = reps.select("grp", F.lit(0).alias("cell"), "rep", "vec")
-        return _expand(rows, reps, _block_topk(alone, alone, ["grp", "cell"], k, floor), id_col, k, floor)
+        return _finish(rows, reps, n, _block_topk(alone, alone, ["grp", "cell"], k, floor), id_col, k, floor)
     # a bounded sample: at most MAX_PIVOTS vectors reach the driver
     sample = reps.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
     if not sample:  # nothing but zero vectors
@@ -197,7 +206,7 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     away = need.mapInPandas(visits, "grp string, cell int, rep long")
     queries = away.join(placed.select("rep", "vec"), "rep")
     second = _block_topk(queries, placed.select("grp", "cell", "rep", "vec"), cells, k, floor)
-    return _expand(rows, reps, first.unionByName(second), id_col, k, floor)
+    return _finish(rows, reps, n, first.unionByName(second), id_col, k, floor)
 
 
 def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, tables: int = 8, bits: int = 6, refine: int = 3, seed: int = 17) -> DataFrame:
@@ -208,7 +217,9 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
     """
     floor = -1.0 if min_similarity is None else float(min_similarity)
     rows, reps = _representatives(corpus, id_col, vector, None)
-    levels = refine + 1
+    reps = cut(reps)
+    n = reps.count()
+    levels = refine + 1 if n > BLOCK_ROWS else 1  # no bucket of a small table can be crowded
     total_bits = bits * levels
 
     def sign(batches):
@@ -239,7 +250,7 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
     placed = keyed.select("tab", "bucket", "rep", "vec")
     hits = _block_topk(placed, placed, ["tab", "bucket"], k, floor)
     pairs = hits.groupBy("rep", "target").agg(F.max("similarity").alias("similarity"))
-    return _expand(rows, reps, pairs, id_col, k, floor)
+    return _finish(rows, reps, n, pairs, id_col, k, floor)
 
 
 def uniqueness(corpus: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:

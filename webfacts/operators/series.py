@@ -89,7 +89,7 @@ def session_windows(shifts: DataFrame, series: str, frame: str, score: str, coun
     spread = df.groupBy(series, BLOCK).agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", F.count(F.lit(1)).over(every))
     crossing = F.broadcast(spread.filter("_b > 1").select(series, BLOCK))  # at most 2 rows per partition
 
-    def steps(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def steps(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         f = np.sort(pdf[frame].to_numpy(dtype=np.float64))
         nxt, gap_at = _next_starts(f, gap, longest)
         leave = np.arange(len(f))
@@ -112,7 +112,7 @@ def session_windows(shifts: DataFrame, series: str, frame: str, score: str, coun
             }
         )
 
-    def chain(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out, start, last = [], None, None
         for block, part in pdf.groupby(BLOCK, sort=True):
             part = part.sort_values("above")
@@ -260,10 +260,10 @@ def autocorrelation(df: DataFrame, series: str, order: list[str], value: str, ma
     sums = ahead.filter("_own").groupBy(series).agg(
         F.max("_n").alias("_n"), F.max("_var").alias("_var"), *[F.sum(F.col("_x") * F.col(f"_l{lag}")).alias(f"_s{lag}") for lag in lags]
     )
-    long = F.explode(F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"_s{lag}").alias("s")) for lag in lags])).alias("_e")
+    long = F.explode(F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(f"_s{lag}").alias("_sum")) for lag in lags])).alias("_e")
     out = sums.select(series, "_n", "_var", long).select(series, "_n", "_var", "_e.*")
     out = out.filter(F.col("lag") <= F.floor(F.col("_n") / 2))
-    return out.select(series, "lag", (F.col("s") / ((F.col("_n") - F.col("lag")) * F.col("_var"))).alias("acf"))
+    return out.select(series, "lag", (F.col("_sum") / ((F.col("_n") - F.col("lag")) * F.col("_var"))).alias("acf"))
 
 
 def period(acf: DataFrame, series: str, fps: float = 30) -> DataFrame:
