@@ -144,7 +144,7 @@ def value_at(position: Column, value: str = "value") -> Column:
 
 def interpolated(p: float, value: str) -> Column:
     """Aggregate over :func:`value_ranks`: percentile with linear interpolation between ranks."""
-    at = F.lit(float(p)) * (F.col("n_total") - 1)
+    at = (F.col("n_total") - 1) * F.lit(round(p * 100, 6)) / F.lit(100)
     low, high = value_at(F.floor(at), value), value_at(F.ceil(at), value)
     frac = F.max(at - F.floor(at))
     return low + (high - low) * frac
@@ -152,5 +152,5 @@ def interpolated(p: float, value: str) -> Column:
 
 def floor_index(p: float, value: str) -> Column:
     """Aggregate over :func:`value_ranks`: ``sorted[min(floor(n * p), n - 1)]``."""
-    at = F.least(F.floor(F.col("n_total") * F.lit(p * 100) / F.lit(100)), F.col("n_total") - 1)
+    at = F.least(F.floor(F.col("n_total") * F.lit(round(p * 100, 6)) / F.lit(100)), F.col("n_total") - 1)
     return value_at(at, value)

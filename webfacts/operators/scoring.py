@@ -270,8 +270,8 @@ def visual_design(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     )
     n = F.size("_sizes")
     r = F.array_max("_sizes") / F.array_min("_sizes")
-    spread = first_match((r >= 3, F.lit(40)), (r >= 2, 25 + round_half_up((r - 2) * 15)), (r >= 1.5, 15 + round_half_up((r - 1.5) * 20)), otherwise=round_half_up(r * 10))
-    type_score = F.when(n == 0, 10).otherwise(spread + F.least(n * 5, F.lit(25)) + F.least(F.size("_weights") * 7, F.lit(20)) + F.least(F.size("_lines") * 3, F.lit(15)))
+    contrast = first_match((r >= 3, F.lit(40)), (r >= 2, 25 + round_half_up((r - 2) * 15)), (r >= 1.5, 15 + round_half_up((r - 1.5) * 20)), otherwise=round_half_up(r * 10))
+    type_score = F.when(n == 0, 10).otherwise(contrast + F.least(n * 5, F.lit(25)) + F.least(F.size("_weights") * 7, F.lit(20)) + F.least(F.size("_lines") * 3, F.lit(15)))
     k = F.size("_colors")
     variety = first_match((k <= 1, F.lit(5)), (k <= 3, 15 + (k - 1) * 5), (k <= 6, 25 + (k - 3) * 5), (k <= 10, 40 + (k - 6) * 2), otherwise=F.least(F.lit(50), 48 + F.floor(k / 10)))
     rows = rows.withColumn("_hues", F.array_compact(F.transform("_colors", _hue_of)))

@@ -283,17 +283,17 @@ def merge_features(computed: DataFrame, seen: DataFrame, key: str, fields: list[
 def robots_allowed(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> DataFrame:
     """``urls(url, host, path)`` with ``allowed`` by the longest matching rule of the host; allow wins a tie.
 
-    ``rules(host, pattern, allow)`` prefixes; ``hosts(host)`` lists the hosts whose file is known. An unknown host
-    is disallowed, a known host without matching rule allowed. A path is matched through its prefixes, so the
-    join is on equality.
+    ``rules(host, pattern, allow)`` are path prefixes; ``hosts(host)`` lists the hosts whose file is known. An
+    unknown host is disallowed, a known host without a matching rule allowed. The rules of a host, at most one
+    robots file, travel as an array, so every URL meets its host once and no row is multiplied.
     """
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.length("path"), F.lit(1))), lambda i: F.substring("path", F.lit(1), i))
-    wanted = urls.select("url", "host", F.explode(prefixes).alias("pattern"))
-    hit = wanted.join(rules.dropDuplicates(["host", "pattern", "allow"]), ["host", "pattern"])
-    best = hit.groupBy("url").agg(F.max_by("allow", F.struct(F.length("pattern"), "allow")).alias("_allow"))
+    rule = F.struct(F.length("pattern").alias("n"), "allow", "pattern")
     known = hosts.select("host").distinct().withColumn("_known", F.lit(True))
-    out = urls.join(best, "url", "left").join(known, "host", "left")
-    return out.select("url", "host", "path", F.when(F.col("_known").isNull(), False).otherwise(F.coalesce("_allow", F.lit(True))).alias("allowed"))
+    per_host = rules.groupBy("host").agg(F.collect_set(rule).alias("_rules"))
+    out = urls.join(known.join(per_host, "host", "left"), "host", "left")
+    best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["pattern"])))
+    allowed = F.when(F.col("_known").isNull(), False).otherwise(F.coalesce(best["allow"], F.lit(True)))
+    return out.select("url", "host", "path", allowed.alias("allowed"))
 
 
 # Brief fields, their completeness weight and least length.
