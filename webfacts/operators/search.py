@@ -57,11 +57,15 @@ def text_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit:
     return hits if limit is None else page(hits, [F.desc("text_rank"), F.asc(id_col)], limit)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Inverted index ``(term, id, tf, doc_len)``: built once, stored partitioned by term hash."""
+def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
+    """Inverted index ``(term, id, tf, doc_len)``: built once, stored partitioned by term hash.
+
+    ``only`` keeps the postings of some terms, for a search without a stored index.
+    """
     toks = spread(docs.select(id_col, text_col), id_col).select(id_col, text.tokens(text_col).alias("_t"))
+    wanted = F.col("_t") if only is None else F.filter("_t", lambda t: t.isin(only))
     return (
-        toks.select(id_col, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+        toks.select(id_col, F.size("_t").alias("doc_len"), F.explode(wanted).alias("term"))
         .groupBy("term", id_col, "doc_len")
         .agg(F.count(F.lit(1)).alias("tf"))
     )

@@ -9,9 +9,6 @@ from webfacts.plans.scalars import DOC_TOKENS
 from webfacts.registry import query
 
 SIM0 = COS.format(a="embedding", b=QVEC.format(i=0))
-QUERY = "the with"
-TERMS = ["with"]  # "the" is a stop word
-TWO = "entr dans les"
 
 
 def emb(spark, d):
@@ -83,11 +80,11 @@ def vec_07(spark, d):
     FROM p JOIN df USING (term), st GROUP BY doc_id HAVING count(*) = 2""",
 )
 def vec_07b(spark, d):
-    from webfacts.functions.text import tokens
+    from webfacts.functions.text import query_terms, tokens
 
     docs = t(spark, d, "documents").select("doc_id", "text")
     size = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.size(tokens("text"))).alias("avg_len"))
-    out = search.bm25(search.postings(docs, "doc_id", "text"), size, "les dans", "doc_id")
+    out = search.bm25(search.postings(docs, "doc_id", "text", query_terms("les dans")), size, "les dans", "doc_id")
     return out.select("doc_id", r6("bm25", "bm25"))
 
 
