@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from webfacts.functions.vector import cosine_to, l2_normalize
 from webfacts.operators.aggregates import top_per_key
-from webfacts.session import cut
+from webfacts.session import cut, shuffle_width
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 4096
@@ -69,7 +69,7 @@ def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int,
         n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
         return df.groupBy(*cell).agg(n.alias(name))
 
-    packs = 4 * int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packs = 4 * shuffle_width(members)
     sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell).withColumn("_cell", F.concat_ws("|", *cell))
     own = lambda n: F.pmod(F.hash("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

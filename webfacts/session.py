@@ -51,6 +51,19 @@ def cut(df: DataFrame) -> DataFrame:
 SPLIT_BYTES = 128 * 1024 * 1024
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate of a plan; nothing is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for an explicit shuffle: the configured number, fewer only for data too small to fill it."""
+    spark = df.sparkSession
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    enough = max(spark.sparkContext.defaultParallelism, estimated_bytes(df) // (16 * 1024 * 1024) + 1)
+    return min(configured, enough)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-heavy per-row job enough partitions.
 
@@ -59,5 +72,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df if df.isStreaming or size >= cores * SPLIT_BYTES else df.repartition(cores, *keys)
+    if df.isStreaming or estimated_bytes(df) >= cores * SPLIT_BYTES:
+        return df
+    return df.repartition(cores, *keys)
