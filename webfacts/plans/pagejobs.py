@@ -203,15 +203,24 @@ def pg_06(spark, d):
     return structure.classify(c, rules).select("page_id", big("position", "position"), "type", r6("confidence", "confidence"))
 
 
-@query("pg_03_drop_empty")
+@query(
+    "pg_03_drop_empty",
+    "SELECT p_partkey AS page_id, v.position, v.type, v.confidence FROM part, (VALUES (0::BIGINT, 'navigation', 1.0::DOUBLE), (1, 'hero', 1.0), (2, 'feature', 1.0), (3, 'unknown', 0.0), (4, 'footer', 1.0)) AS v(position, type, confidence)",
+)
 def pg_03(spark, d):
-    return structure.drop_empty(structure.analyzed_sections(styled(spark, d))).select("page_id", "position", "type", "confidence")
+    kept = structure.drop_empty(structure.analyzed_sections(styled(spark, d)))
+    return kept.select("page_id", big("position", "position"), "type", r6("confidence", "confidence"))
 
 
-@query("pg_07_contextual_types")
+@query(
+    "pg_07_contextual_types",
+    rf"""
+    SELECT page_id, position, tag, CASE tag WHEN 'nav' THEN 'navigation' WHEN 'article' THEN 'hero' ELSE 'footer' END AS type, CASE tag WHEN 'nav' THEN 1.0 WHEN 'article' THEN 0.65 ELSE 0.88 END::DOUBLE AS confidence
+    FROM (SELECT page_id, position, lower(regexp_extract(snippet, '^<([A-Za-z]+)', 1)) AS tag FROM {SECTS})""",
+)
 def pg_07(spark, d):
     s = structure.analyzed_sections(pages(spark, d)).drop("snippet")
-    return sections.relabel_by_context(s, "page_id", "position").select("page_id", "position", "tag", "type", r6("confidence", "confidence"))
+    return sections.relabel_by_context(s, "page_id", "position").select("page_id", big("position", "position"), "tag", "type", r6("confidence", "confidence"))
 
 
 @query(
@@ -573,14 +582,33 @@ def sc_02b(spark, d):
     return scoring.originality(design_rows(spark, d)).select("p_partkey", "originality")
 
 
-@query("sc_03_craftsmanship")
+@query(
+    "sc_03_craftsmanship",
+    """
+    WITH x AS (SELECT p_partkey, p_size AS s FROM part),
+    y AS (SELECT p_partkey, (CASE s % 3 WHEN 0 THEN 30 WHEN 1 THEN 25 ELSE 10 END + CASE WHEN s % 14 >= 12 THEN 30 WHEN s % 14 >= 6 THEN 20 WHEN s % 14 > 0 THEN 10 ELSE 0 END + CASE WHEN s % 2 = 0 THEN 20 ELSE 0 END + CASE WHEN s % 5 = 0 THEN 20 ELSE 0 END)::BIGINT AS grid_score,
+      (CASE s % 4 + 1 WHEN 1 THEN 30 WHEN 2 THEN 30 WHEN 3 THEN 20 ELSE 10 END + CASE WHEN s % 6 >= 4 THEN CASE WHEN s < 10 THEN 40 WHEN s < 30 THEN 30 ELSE 20 END ELSE 15 END + CASE WHEN s BETWEEN 20 AND 35 THEN 30 WHEN s BETWEEN 10 AND 50 THEN 20 ELSE 10 END)::BIGINT AS consistency_score,
+      (CASE WHEN 1 + s / 5.0 >= 7 THEN 40 WHEN 1 + s / 5.0 >= 4.5 THEN 30 WHEN 1 + s / 5.0 >= 3 THEN 20 ELSE 10 END + CASE WHEN s <= 5 THEN 15 WHEN s * 2 > 50 THEN 30 WHEN s * 2 > 30 THEN 20 ELSE 10 END + 30)::BIGINT AS harmony_score,
+      (CASE WHEN s <= 3 THEN 50 ELSE CASE WHEN s * 4 BETWEEN 60 AND 120 THEN 40 WHEN s * 4 BETWEEN 40 AND 150 THEN 25 ELSE 15 END + CASE WHEN s BETWEEN 16 AND 40 THEN 30 WHEN s >= 8 THEN 20 ELSE 10 END + CASE WHEN s % 2 = 1 THEN 30 ELSE 15 END END)::BIGINT AS whitespace_score,
+      (CASE WHEN s <= 2 THEN 30 ELSE CASE s % 5 WHEN 4 THEN 50 WHEN 3 THEN 40 WHEN 2 THEN 25 WHEN 1 THEN 15 ELSE 0 END + CASE WHEN s % 6 >= 4 THEN 50 WHEN s % 6 = 3 THEN 40 WHEN s % 6 = 2 THEN 30 WHEN s % 6 = 1 THEN 20 ELSE 0 END END)::BIGINT AS responsive_score FROM x)
+    SELECT *, floor((grid_score + consistency_score + harmony_score + whitespace_score + responsive_score)::DOUBLE * 0.2 * 100 + 0.5) / 100 AS craftsmanship FROM y""",
+)
 def sc_03(spark, d):
-    return scoring.craftsmanship(design_rows(spark, d)).select("p_partkey", "grid_score", "consistency_score", "harmony_score", "whitespace_score", "responsive_score", "craftsmanship")
+    return scoring.craftsmanship(design_rows(spark, d)).select("p_partkey", *[big(f"{c}_score", f"{c}_score") for c in ("grid", "consistency", "harmony", "whitespace", "responsive")], "craftsmanship")
 
 
-@query("sc_04_contextuality")
+@query(
+    "sc_04_contextuality",
+    """
+    WITH x AS (SELECT p_partkey, p_size AS s, CASE WHEN p_size > 20 THEN 3 WHEN p_size > 10 THEN 2 ELSE 1 END AS nt FROM part),
+    y AS (SELECT p_partkey, CASE s % 3 WHEN 0 THEN greatest(40, floor(nt * 100.0 / 6 + 0.5)) WHEN 1 THEN greatest(40, floor(least(nt, 2) * 100.0 / 5 + 0.5)) ELSE 60 END::BIGINT AS industry_score,
+      CASE WHEN s % 2 = 0 THEN least(100, 60 + CASE WHEN s > 25 THEN 20 ELSE 0 END + 20 + 10) ELSE 60 END::BIGINT AS audience_score, (25 + CASE WHEN s > 10 THEN 30 ELSE 0 END + 20)::BIGINT AS brand_score,
+      (CASE WHEN 1 + s / 5.0 >= 7 THEN 60 WHEN 1 + s / 5.0 >= 4.5 THEN 45 WHEN 1 + s / 5.0 >= 3 THEN 25 ELSE 10 END + CASE WHEN s % 8 + 10 >= 16 THEN 20 WHEN s % 8 + 10 >= 14 THEN 10 ELSE 0 END
+        + CASE WHEN s >= 25 THEN 20 WHEN s >= 15 THEN 10 ELSE 0 END)::BIGINT AS access_score FROM x)
+    SELECT *, floor((industry_score * 0.3 + audience_score * 0.25 + brand_score * 0.25 + access_score * 0.2)::DOUBLE * 100 + 0.5) / 100 AS contextuality FROM y""",
+)
 def sc_04(spark, d):
-    return scoring.contextuality(design_rows(spark, d)).select("p_partkey", "industry_score", "audience_score", "brand_score", "access_score", "contextuality")
+    return scoring.contextuality(design_rows(spark, d)).select("p_partkey", *[big(c, c) for c in ("industry_score", "audience_score", "brand_score", "access_score")], "contextuality")
 
 
 @query(
