@@ -143,7 +143,8 @@ def classify(secs: DataFrame, rules: list = SECTION_RULES, keep: str = "type", s
             )
         )
     ok = F.filter(F.array(*options), lambda o: o["confidence"] >= o["minimum"])
-    best = F.array_max(ok)
+    # exploding one element keeps the optimizer from copying the whole rule expression into every use
+    best = F.explode(F.array(F.array_max(ok)))
     return secs.withColumn("_b", best).withColumns(
         {keep: F.coalesce(F.col("_b.type"), F.lit("unknown")), score: F.coalesce(F.col("_b.confidence"), F.lit(0.0))}
     ).drop("_b")
