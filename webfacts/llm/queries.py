@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webfacts.llm import mixing, pieces, simhash, token_counts
+from webfacts.llm import cotraining, line_dedup, mixing, near_vectors, pieces, pii, quality_rules, simhash, token_counts, url_filter
 from webfacts.sources.tables import load
 
-ORACLES: dict[str, str] = {}
+#: Pages with one of these words in their HTML make the list of op3.
+LISTED_WORDS = ("idiot", "scum", "pathetic", "disgusting")
+
+
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base rules and the verdict of the label model for every document."""
+    judged = quality_rules.judge_documents(load(spark, folder, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "p_good", "kept")
 
 
 def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +24,13 @@ def op2_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.digest_documents(load(spark, folder, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; the list holds the canonical URLs of pages with unwanted words."""
+    pages = load(spark, folder, "pages")
+    judged = url_filter.judge_urls(pages, url_filter.listed_by_words(pages, LISTED_WORDS))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Tokens of every document, counted from distinct pre-tokens."""
     return token_counts.count_tokens(load(spark, folder, "documents"))
@@ -32,6 +46,52 @@ def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_counts(load(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Score of every document by two views that taught each other."""
+    return cotraining.classify(load(spark, folder, "documents"), load(spark, folder, "labels"))
+
+
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and class of every vector."""
+    return near_vectors.near_vectors(load(spark, folder, "embeddings"))
+
+
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data of every document."""
+    return pii.pii_digest(load(spark, folder, "documents"))
+
+
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of every document that stay."""
+    return line_dedup.line_report(load(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sentencepiece, op4_token_counts, op5_simhash, op6_mixing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules, op2_sentencepiece, op3_url_filter, op4_token_counts, op5_simhash, op6_mixing,
+        op7_quality_classifier, op8_near_vectors, op9_pii, op10_line_dedup,
+    )
+}
+
+#: DuckDB twins. The other operators are compared with brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_url_filter": r"""
+        WITH parts AS (
+          SELECT page_id, html,
+                 lower(CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1) ELSE '' END) AS host,
+                 CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+          FROM pages),
+        named AS (SELECT *, regexp_replace(host, '^www\.', '') || rtrim(path, '/') AS key FROM parts),
+        listed AS (SELECT DISTINCT key FROM named WHERE regexp_matches(html, '(?i)(idiot|scum|pathetic|disgusting)') AND key <> ''),
+        rules(what, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                                             ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        fits AS (
+          SELECT page_id, max_by(rhost || rpath, length(rhost || rpath)) AS rule, max_by(what, length(rhost || rpath)) AS what
+          FROM named JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id)
+        SELECT n.page_id, n.host, n.path, f.rule,
+               coalesce(f.what, CASE WHEN l.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
+               f.rule IS NULL AND l.key IS NOT NULL AS listed
+        FROM named n LEFT JOIN fits f USING (page_id) LEFT JOIN listed l ON n.key = l.key
+    """,
 }

@@ -1,9 +1,9 @@
 """SimHash near-duplicates by segment-popcount embedding (operator 5).
 
-A fingerprint of 64 bits is cut into 16 segments of four bits; the bit counts of the segments place it on an
-integer grid. The Manhattan distance of two grid points never exceeds the Hamming distance of the fingerprints.
+A fingerprint of 64 bits is cut into 21 segments of three bits (the last of four); the bit counts of the segments
+place it on an integer grid. The Manhattan distance of two grid points never exceeds the Hamming distance of the fingerprints.
 Two points within Manhattan distance 2 have a grid point within distance 1 of both, so each fingerprint visits
-the 33 grid cells around it and cells visited by one fingerprint alone rule it out. Survivors are verified
+the 43 grid cells around it and cells visited by one fingerprint alone rule it out. Survivors are verified
 exactly: fingerprints at most two bits apart share a 64-bit value at most one bit away from each. At most 65
 fingerprints lie around such a value and all of them link, so a link to the smallest one suffices and no
 group is ever expanded into pairs.
@@ -23,8 +23,10 @@ from webfacts.llm.common import components, fresh
 from webfacts.session import cut
 
 SEED = 42
-SEGMENT_BITS = 4
-SEGMENTS = 64 // SEGMENT_BITS
+#: Three bits hold the count of a segment of up to four bits and a step to either side, so 21 segments fill one long.
+SEGMENTS = [3] * 20 + [4]
+#: Shared cells up to this number are broadcast to find their visitors; beyond it they are joined by shuffle.
+BROADCAST_CELLS = 500_000
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _BYTE_OFFSETS = np.arange(8, dtype=np.int64) * 256
 
@@ -51,11 +53,12 @@ def fingerprints(text: Column) -> Column:
 def _grid_cells(fp: str) -> tuple[Column, list[int]]:
     """The grid point packed into one long, and the steps to the cells within Manhattan distance 1."""
     # One is added to each count so that a step down from zero stays inside its three bits.
-    place = F.lit(0).cast("long")
-    for i in range(SEGMENTS):
-        segment = F.shiftrightunsigned(F.col(fp), SEGMENT_BITS * i).bitwiseAND(2**SEGMENT_BITS - 1)
+    place, shift = F.lit(0).cast("long"), 0
+    for i, width in enumerate(SEGMENTS):
+        segment = F.shiftrightunsigned(F.col(fp), shift).bitwiseAND(2**width - 1)
         place = place + F.shiftleft((F.bit_count(segment) + 1).cast("long"), 3 * i)
-    steps = [0] + [s << (3 * i) for i in range(SEGMENTS) for s in (1, -1)]
+        shift += width
+    steps = [0] + [s << (3 * i) for i in range(len(SEGMENTS)) for s in (1, -1)]
     return place, steps
 
 
@@ -64,8 +67,9 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     place, steps = _grid_cells("fp")
     placed = fps.select("fp", place.alias("place"))
     cells = placed.select("fp", F.explode(F.array(*[F.col("place") + F.lit(s) for s in steps])).alias("cell"))
-    shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell")
-    near = cut(cells.join(shared, "cell", "left_semi").select("fp").distinct())
+    shared = cut(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell"))
+    few = shared.count() <= BROADCAST_CELLS
+    near = cut(cells.join(F.broadcast(shared) if few else shared, "cell", "left_semi").select("fp").distinct())
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)]
     points = near.select("fp", F.explode(F.array(*around)).alias("point"))
     roots = points.groupBy("point").agg(F.min("fp").alias("root"), F.max("fp").alias("high")).filter("root < high").select("point", "root")
