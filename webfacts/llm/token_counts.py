@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from webfacts.llm.pieces import model_path, pretokens
 from webfacts.session import cut
 
-HEAD = 1 << 18
-FLUSH_WORDS = 400_000
+HEAD = 1 << 19
+FLUSH_WORDS = 1_000_000
 LIMIT = 4096
 
 
@@ -68,6 +68,25 @@ def _piece_counter(path: str):
     return F.pandas_udf(pieces, "int")
 
 
+def _frequent(words: DataFrame, head: int) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens, at most ``head`` of them; all of one frequency class or none.
+
+    Which words are in the table decides only where they are summed. Classes are eighths of powers of two, so there are
+    a few hundred at most, whatever the corpus.
+    """
+    cls = F.floor(F.log2("n") * 8).cast("int")
+    sizes = sorted(words.groupBy(cls.alias("c")).count().collect(), reverse=True)
+    lowest, total = None, 0
+    for c, count in sizes:
+        total += count
+        if total > head:
+            break
+        lowest = c
+    if lowest is None:
+        return {}
+    return {r[0]: r[1] for r in words.filter(cls >= lowest).select("word", "pieces").collect()}
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", head: int = HEAD, limit: int = LIMIT) -> DataFrame:
     """One row per document: id, ``n_bytes``, ``n_tokens`` without begin and end, ``over_limit``.
 
@@ -77,9 +96,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id
     path = path or model_path()
     words = cut(pretoken_counts(docs, text).select("word", "n", _piece_counter(path)("word").alias("pieces")))
     spark = docs.sparkSession
-    # Bounded by ``head``; which words are in it decides only where they are summed.
-    frequent = {r[0]: r[1] for r in words.orderBy(F.desc("n"), "word").limit(head).select("word", "pieces").collect()}
-    shared = spark.sparkContext.broadcast(frequent)
+    shared = spark.sparkContext.broadcast(_frequent(words, head))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
