@@ -151,7 +151,7 @@ def mix_counts(
     sizes = base.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     targets = source_targets(sizes)
     certain, rounded = _copies(base, targets, bucket_rows, fan_in)
-    out = [F.col("id").alias(doc_id), *["name"] * with_name, "size", "source_size", "target", F.col("whole").cast("long").alias("copies")]
+    out = [F.col("id").alias(doc_id), *["name"] * with_name, "source", "size", "source_size", "target", F.col("whole").cast("long").alias("copies")]
     both = certain.select(*out).union(rounded.select(*out))
     return both.withColumn("taken", F.col("copies") * F.col("size"))
 

@@ -58,7 +58,7 @@ def _spot(key: str, blocks: int) -> tuple[Column, Column]:
     """Block number of a key, and an array of the one bit it sets in each word."""
     block = F.pmod(F.xxhash64(F.lit(SEED_BLOCK), key), F.lit(blocks)).alias("block")
     h = F.xxhash64(F.lit(SEED_BITS), key)
-    bits = F.array(*[F.shiftleft(F.lit(1).cast("long"), F.shiftrightunsigned(h, 5 * i).bitwiseAND(31).cast("int")) for i in range(WORDS)])
+    bits = F.array(*[F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 5 * i).bitwiseAND(31).cast("int")) for i in range(WORDS)])
     return block, bits
 
 
