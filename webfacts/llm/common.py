@@ -45,22 +45,22 @@ def components(edges: DataFrame) -> DataFrame:
     self-loops are ignored; no edges give no rows.
     """
     live = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").distinct())
-    found, turn = None, 0
-    while found is None or not live.isEmpty():
-        turn += 1
+    moves: list[DataFrame] = []
+    while not moves or not live.isEmpty():
+        turn = len(moves) + 1
         rank = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("r"), F.col(c).alias("n"))  # noqa: B023, E731
         both = live.union(live.select("v", "u"))
         parent = both.groupBy("u").agg(F.min(rank("v")).alias("low")).select(F.col("u").alias("node"), F.least(rank("u"), F.col("low"))["n"].alias("parent"))
         above = parent.select(F.col("node").alias("parent"), F.col("parent").alias("component"))
-        parent = stored(parent.join(above, "parent").select("node", "component"))
-        if found is None:
-            found = parent
-        else:
-            moved = parent.select(F.col("node").alias("component"), F.col("component").alias("moved"))
-            found = stored(found.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component")))
-        ends = parent.select(F.col("node").alias("u"), F.col("component").alias("cu"))
-        other = parent.select(F.col("node").alias("v"), F.col("component").alias("cv"))
+        moves.append(stored(parent.join(above, "parent").select("node", "component")))
+        ends = moves[-1].select(F.col("node").alias("u"), F.col("component").alias("cu"))
+        other = moves[-1].select(F.col("node").alias("v"), F.col("component").alias("cv"))
         renamed = live.join(ends, "u").join(other, "v").filter("cu <> cv")
         live = stored(renamed.select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v")).distinct())
+    found = moves[0]
+    for move in moves[1:]:
+        moved = move.select(F.col("node").alias("component"), F.col("component").alias("moved"))
+        found = found.join(moved, "component", "left").select("node", F.coalesce("moved", "component").alias("component"))
+    found = stored(found)
     lowest = found.groupBy("component").agg(F.min("node").alias("lowest"))
-    return found.join(lowest, "component").select("node", F.col("lowest").alias("component"))
+    return stored(found.join(lowest, "component").select("node", F.col("lowest").alias("component")))

@@ -19,8 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfacts.llm.common import components, fresh
-from webfacts.session import cut
+from webfacts.llm.common import components, fresh, stored
 
 SEED = 42
 #: Three bits hold the count of a segment of up to four bits and a step to either side, so 21 segments fill one long.
@@ -67,9 +66,9 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     place, steps = _grid_cells("fp")
     placed = fps.select("fp", place.alias("place"))
     cells = placed.select("fp", F.explode(F.array(*[F.col("place") + F.lit(s) for s in steps])).alias("cell"))
-    shared = cut(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell"))
+    shared = stored(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell"))
     few = shared.count() <= BROADCAST_CELLS
-    near = cut(cells.join(F.broadcast(shared) if few else shared, "cell", "left_semi").select("fp").distinct())
+    near = stored(cells.join(F.broadcast(shared) if few else shared, "cell", "left_semi").select("fp").distinct())
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)]
     points = near.select("fp", F.explode(F.array(*around)).alias("point"))
     roots = points.groupBy("point").agg(F.min("fp").alias("root"), F.max("fp").alias("high")).filter("root < high").select("point", "root")
@@ -90,10 +89,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = cut(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprints(F.col(text)).alias("fp")))
-    distinct = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+    rows = stored(docs.select(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprints(F.col(text)).alias("fp")))
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     linked = near_fingerprints(distinct.select("fp")).withColumnRenamed("node", "fp")
-    classes = distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = stored(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
     lowest = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
     labels = classes.join(lowest, "component").select("fp", "component", "component_id")
     return rows.join(labels, "fp", "left")
