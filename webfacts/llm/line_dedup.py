@@ -4,10 +4,10 @@ Lines are sets of words; two lines match at Jaccard similarity 0.8 or more, and
 (documents by id, lines by position) goes, whether or not that earlier line stays itself.
 
 Words become numbers that sort from rare to frequent: corpus counts over a fixed number of hash buckets give each bucket
-a rank, and rank and the rest of the hash make one long from which the hash can be read back. Equal lines are folded
-to their first place. Of n words, only the rarest n - ceil(0.8 n) + 1 are posted: two lines with no common posted word cannot match.
-Postings meet by word; lengths and positions bound the possible overlap before a pair is made; remaining pairs are verified
-on the words themselves.
+a frequency class, which goes in front of the hash. Equal lines are folded to their first place. Of n words, only the
+rarest n - ceil(0.8 n) + 1 are posted: two lines with no common posted word cannot match. Postings meet by word; before a
+pair is made, lengths and positions bound the overlap it can have, and 64 parities of the words bound the words it cannot
+share. Remaining pairs are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from webfacts.session import cut
 
 #: Jaccard threshold as a fraction.
 SHARE = (4, 5)
-RANK_BITS = 14
+CLASS_BITS = 16
 #: Candidate lines up to this number are broadcast to fetch their words; beyond it they are joined by shuffle.
 BROADCAST_LINES = 500_000
 
@@ -29,10 +29,10 @@ PLACE = ["id", "tie", "pos", "line"]
 
 
 def _spaced(text: Column) -> Column:
-    out = text
+    other = F.lit(False)
     for blank in _BLANKS:
-        out = F.when(F.contains(out, F.lit(blank)), F.replace(out, F.lit(blank), F.lit(" "))).otherwise(out)
-    return out
+        other = other | F.contains(text, F.lit(blank))
+    return F.when(other, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text)
 
 
 def _words(line: Column) -> Column:
@@ -55,52 +55,57 @@ def _order(prefix: str = "") -> Column:
     return F.struct(c["id"].isNull().alias("none"), *[c[n].alias(n) for n in PLACE])
 
 
-def word_ranks(docs: DataFrame, text: str = "text", bits: int = RANK_BITS) -> list[int]:
-    """Rank of each hash bucket by how often its words occur in the whole corpus; 2 ** bits numbers."""
-    flat = F.replace(_spaced(text_or_empty(text)), F.lit("\n"), F.lit(" "))
+def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) -> list[int]:
+    """Frequency class (four to an octave) of each of 2 ** ``bits`` hash buckets, by all words of the corpus."""
+    flat = _spaced(F.replace(text_or_empty(text), F.lit("\n"), F.lit(" ")))
     words = docs.select(F.explode(F.split(flat, " ")).alias("w")).filter("w <> ''")
     bucket = F.xxhash64("w").bitwiseAND(F.lit(2**bits - 1))
-    seen = {b: n for b, n in words.groupBy(bucket.alias("b")).count().collect()}  # at most 2 ** bits rows
-    by_count = sorted(range(2**bits), key=lambda b: (seen.get(b, 0), b))
-    ranks = [0] * 2**bits
-    for rank, bucket_no in enumerate(by_count):
-        ranks[bucket_no] = rank
-    return ranks
+    found = words.groupBy(bucket.alias("b")).agg(F.floor(F.log2(F.count(F.lit(1)) + 1) * 4).cast("int").alias("c"))
+    seen = {b: c for b, c in found.collect()}  # at most 2 ** bits rows
+    return [seen.get(b, 0) for b in range(2**bits)]
 
 
-def _numbers(words: Column, ranks: list[int], bits: int = RANK_BITS) -> Column:
-    """Distinct words as sorted numbers, rarest first."""
-    table = F.split(F.lit(" ".join(str(r - 2 ** (bits - 1)) for r in ranks)), " ").cast("array<bigint>")
+def _numbers(words: Column, classes: list[int], bits: int = CLASS_BITS) -> Column:
+    """Distinct words as sorted numbers, rarest first: the class in the first byte, then 56 bits of the hash."""
+    table = F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<bigint>")
 
     def number(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int"))
-        return F.shiftleft(rank, 64 - bits).bitwiseOR(F.shiftrightunsigned(h, bits))
+        return F.shiftleft(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
 
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
-def _postings(lines: DataFrame, ranks: list[int]) -> DataFrame:
-    """``id, tie, pos, line, n, i, word`` of the first place of every distinct line: its rarest words with their position."""
+def _parities(numbers: Column) -> Column:
+    """64 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
+    return F.aggregate(
+        numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+    )
+
+
+def _postings(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """``id, tie, pos, line, n, bits, i, word`` of the first place of every distinct line: its rarest words with their position."""
     up, down = SHARE
-    counted = lines.select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), ranks).alias("numbers"))
+    counted = lines.select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), classes).alias("numbers"))
     n = F.size("numbers")
     need = F.floor((n * up + down - 1) / F.lit(down)).cast("int")
-    held = counted.select(*PLACE, "again", n.alias("n"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
-    place = F.struct(F.col("id").isNull().alias("none"), *PLACE, "n", "rare")
+    held = counted.select(*PLACE, "again", n.alias("n"), _parities(F.col("numbers")).alias("bits"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
+    place = F.struct(F.col("id").isNull().alias("none"), *PLACE, "n", "bits", "rare")
     first = held.groupBy(F.col("line").alias("l"), "again").agg(F.min(place).alias("f"))
-    return first.select(*[f"f.{c}" for c in PLACE], "f.n", F.posexplode("f.rare").alias("i", "word"))
+    return first.select(*[f"f.{c}" for c in PLACE], "f.n", "f.bits", F.posexplode("f.rare").alias("i", "word"))
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
     """Pairs of places that can reach the threshold, ``a_*`` before ``b_*``."""
     up, down = SHARE
-    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in (*PLACE, "n", "i")]) for s in ("a_", "b_")]
+    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in (*PLACE, "n", "i", "bits")]) for s in ("a_", "b_")]
     na, nb, ia, ib = F.col("a_n"), F.col("b_n"), F.col("a_i"), F.col("b_i")
     long_enough = (na * down >= nb * up) & (nb * down >= na * up)
     most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     overlap = most * (up + down) >= (na + nb) * up
-    met = sides[0].join(sides[1], "word").filter(long_enough & overlap & (_order("a_") < _order("b_")))
+    # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
+    close = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (up + down) <= (na + nb) * (down - up)
+    met = sides[0].join(sides[1], "word").filter(close & long_enough & overlap & (_order("a_") < _order("b_")))
     return met.select(*[s + c for s in ("a_", "b_") for c in PLACE]).distinct()
 
 
@@ -109,7 +114,7 @@ def matching_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     up, down = SHARE
     lines = _lines(docs, doc_id, text)
     at = {s: F.struct(*[F.col(s + c).alias(c) for c in PLACE]) for s in ("", "a_", "b_")}
-    pairs = cut(_candidates(_postings(lines, word_ranks(docs, text))).select(at["a_"].alias("a"), at["b_"].alias("b")))
+    pairs = cut(_candidates(_postings(lines, word_classes(docs, text))).select(at["a_"].alias("a"), at["b_"].alias("b")))
     wanted = cut(pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct())
     small = wanted.count() <= broadcast_lines
     bodies = lines.withColumn("at", at[""]).join(F.broadcast(wanted) if small else wanted, "at", "left_semi")
