@@ -69,13 +69,37 @@ def let(value: Column, body) -> Column:
 
 
 def required_literal(pattern: str) -> str:
-    """Longest text every match of ``pattern`` must contain, lower case; empty when there is none."""
-    import re._parser as parser
+    """A text every match of ``pattern`` must contain, lower case; empty when none is plain to see.
 
+    The longest run of plain characters outside groups and classes; a pattern with alternatives at the top has none.
+    """
     best = run = ""
-    for op, arg in parser.parse(pattern):
-        run = run + chr(arg) if str(op) == "LITERAL" else ""
-        best = max(best, run, key=len)
+    depth, in_class, i = 0, False, 0
+    while i < len(pattern):
+        c, plain = pattern[i], None
+        if c == "\\":
+            i += 1
+            plain = pattern[i] if not pattern[i].isalnum() else None
+        elif in_class:
+            in_class = c != "]"
+        elif c == "[":
+            in_class = True
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and depth == 0:
+            return ""
+        elif c not in "^$.|?*+{}":
+            plain = c
+        follows = pattern[i + 1 : i + 2]
+        if plain is None or depth or in_class or follows in ("?", "*", "{"):
+            run = ""
+        else:
+            run += plain
+            best = max(best, run, key=len)
+            run = "" if follows == "+" else run
+        if c == "{":  # a number of repeats
+            i = pattern.index("}", i)
+        i += 1
     return best.lower()
 
 

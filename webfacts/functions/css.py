@@ -184,7 +184,7 @@ def size_rem(c: ColumnOrName) -> Column:
 def size_px(c: ColumnOrName) -> Column:
     """px of a font size; ``clamp`` uses its preferred value, 16 when nothing can be read."""
     raw = F.lower(F.trim(col(c)))
-    v = F.when(raw.startswith("clamp("), F.trim(F.get(F.split(F.substring(raw, 7, 1000), ","), F.lit(1)))).otherwise(raw)
+    v = F.when(raw.startswith("clamp("), F.trim(F.get(F.split(F.substring(raw, F.lit(7), F.length(raw)), ","), F.lit(1)))).otherwise(raw)
     n = num(F.regexp_extract(v, r"(\d*\.?\d+)(px|rem|em|vw|vh|%)?", 1))
     unit = F.regexp_extract(v, r"(\d*\.?\d+)(px|rem|em|vw|vh|%)?", 2)
     factor = F.when(unit.isin("rem", "em"), 16.0).when(unit.isin("vw", "vh"), 10.0).when(unit == "%", 0.16).otherwise(1.0)
@@ -209,7 +209,7 @@ def font_family(c: ColumnOrName) -> Column:
         ((last == "system-ui") | (F.lower(fonts[0]) == "system-ui"), "system"),
         otherwise="sans-serif",
     )
-    return F.struct(fonts[0].alias("primary"), F.slice(fonts, 2, 1000).alias("fallbacks"), kind.alias("category"))
+    return F.struct(fonts[0].alias("primary"), F.slice(fonts, F.lit(2), F.size(fonts)).alias("fallbacks"), kind.alias("category"))
 
 
 def variable_category(c: ColumnOrName) -> Column:
@@ -235,7 +235,7 @@ def gradients(c: ColumnOrName) -> Column:
         parts = split_list(args)
         first = F.lower(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
         directed = first.rlike(r"^(-?\d+(\.\d+)?)(deg|grad|rad|turn)$|^(to|from) |^(circle|ellipse)(\s|$)| at ")
-        stops = F.when(directed, F.slice(parts, 2, 1000)).otherwise(parts)
+        stops = F.when(directed, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
         n = F.size(stops)
 
         def stop(p: Column, i: Column) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from webfacts.functions.base import flag, round_half_up
 from webfacts.operators.ordered import floor_index, interpolated, value_ranks
+from webfacts.session import cut
+
 
 def rows() -> Column:
     return F.count(F.lit(1))
@@ -70,16 +72,17 @@ def score_percentile(scores: DataFrame, score: str, value: float) -> DataFrame:
 
 
 def all_percentiles(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """Every row with the percentile of its score in its group (cume_dist in percent)."""
+    """Every row with the percentile of its score in its group (cume_dist in percent); null for a null score."""
     ranks = value_ranks(df, keys, score).select(
-        *keys,
-        score,
+        *[F.col(k).alias(f"_r_{k}") for k in keys],
+        F.col(score).alias("_r_score"),
         F.round(100.0 * F.col("n_upto") / F.col("n_total"), 2).alias("percentile"),
         F.when(F.col("n_total") == 1, 0.0)
         .otherwise((F.col("n_upto") - F.col("n_equal")) / (F.col("n_total") - 1))
         .alias("percent_rank"),
     )
-    return df.join(ranks, [*keys, score])
+    same = reduce(lambda c, k: c & F.col(k).eqNullSafe(F.col(f"_r_{k}")), keys, F.col(score) == F.col("_r_score"))
+    return df.join(ranks, same, "left").drop("_r_score", *[f"_r_{k}" for k in keys])
 
 
 def coverage(parts: dict[str, tuple[DataFrame, str, DataFrame, str]]) -> DataFrame:
@@ -184,36 +187,48 @@ def color_histogram(colors: DataFrame, hex_col: str, keys: list[str] | None = No
 
 
 def quantize_palette(colors: DataFrame, size: int) -> DataFrame:
-    """Median cut of an ``(r, g, b, n)`` colour-count table into at most ``size`` buckets.
+    """Median cut of an ``(r, g, b, n)`` colour-count table into ``size`` buckets, fewer only for fewer colours.
 
-    Each round halves every bucket at the weighted median of its widest channel. Medians come from
-    per-bucket histograms of at most 256 values, so the work per round is one small aggregation; the split
-    table has at most ``size`` rows.
+    The fullest bucket is split at the weighted median of its widest channel until there are ``size``. A bucket is a
+    box of channel bounds, so a split is one aggregation of at most 3 * 256 histogram rows over the counts inside the
+    box; the boxes are literals and nothing is joined.
     """
-    rounds = max(size - 1, 0).bit_length()
-    cur = colors.select("r", "g", "b", "n", F.lit(0).alias("bucket"))
-    for _ in range(rounds):
-        spread = cur.groupBy("bucket").agg(
-            *[(F.max(c) - F.min(c)).alias(f"w{c}") for c in "rgb"]
-        )
-        widest = F.greatest("wr", "wg", "wb")
-        axis = F.when(F.col("wr") == widest, "r").when(F.col("wg") == widest, "g").otherwise("b")
-        axes = spread.filter(widest > 0).select("bucket", axis.alias("axis"))
-        value = F.when(F.col("axis") == "r", F.col("r")).when(F.col("axis") == "g", F.col("g")).otherwise(F.col("b"))
-        hist = cur.join(F.broadcast(axes), "bucket").groupBy("bucket", "axis", value.alias("v")).agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-        total = F.sum("n").over(Window.partitionBy("bucket"))
-        top = F.max("v").over(Window.partitionBy("bucket"))
-        marked = hist.select("bucket", "axis", "v", upto.alias("u"), total.alias("t"), top.alias("m")).filter("v < m")
-        # the largest value that still leaves something on the right and reaches half the weight, else the first
-        cut_at = marked.groupBy("bucket", "axis").agg(
-            F.coalesce(F.min(F.when(F.col("u") * 2 >= F.col("t"), F.col("v"))), F.max("v")).alias("at")
-        )
-        joined = cur.join(F.broadcast(cut_at), "bucket", "left")
-        right = F.when(F.col("axis").isNotNull() & (value > F.col("at")), 1).otherwise(0)
-        cur = joined.select("r", "g", "b", "n", (F.col("bucket") * 2 + right).alias("bucket"))
+    counts = cut(colors.groupBy("r", "g", "b").agg(F.sum("n").alias("n")))
+
+    def inside(box: dict) -> Column:
+        return reduce(lambda c, k: c & F.col(k).between(*box[k]), "rgb", F.lit(True))
+
+    def histogram(box: dict) -> dict:
+        rows = counts.filter(inside(box)).select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in "rgb"])).alias("x"))
+        found: dict = {c: {} for c in "rgb"}
+        for c, v, n in rows.groupBy("x.c", "x.v").agg(F.sum("n").alias("n")).collect():
+            found[c][v] = n
+        return found
+
+    whole = {c: (0, 255) for c in "rgb"}
+    boxes = [(whole, histogram(whole))]
+    while boxes and len(boxes) < size:
+        # fullest first, the earlier of equals; a box of one colour cannot be split
+        open_boxes = [i for i, (_, h) in enumerate(boxes) if any(len(h[c]) > 1 for c in "rgb")]
+        if not open_boxes:
+            break
+        at = max(open_boxes, key=lambda i: (sum(boxes[i][1]["r"].values()), -i))
+        box, hist = boxes[at]
+        axis = max("rgb", key=lambda c: max(hist[c]) - min(hist[c]))
+        total, upto, values = sum(hist[axis].values()), 0, sorted(hist[axis])
+        for v in values[:-1]:
+            upto, last = upto + hist[axis][v], v
+            if upto * 2 >= total:
+                break
+        low = box | {axis: (box[axis][0], last)}
+        lower = histogram(low)
+        high = box | {axis: (last + 1, box[axis][1])}
+        boxes[at : at + 1] = [(low, lower), (high, histogram(high))]
+    if not boxes[0][1]["r"]:  # an empty table
+        return counts.select(*[F.col(c).cast("int").alias(c) for c in "rgb"], "n").limit(0)
+    bucket = F.coalesce(*[F.when(inside(box), F.lit(i)) for i, (box, _) in enumerate(boxes)])
     mean = lambda c: round_half_up(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int").alias(c)
-    return cur.groupBy("bucket").agg(mean("r"), mean("g"), mean("b"), F.sum("n").alias("n")).drop("bucket")
+    return counts.groupBy(bucket.alias("bucket")).agg(mean("r"), mean("g"), mean("b"), F.sum("n").alias("n")).drop("bucket")
 
 
 def batch_result(items: DataFrame, index: str, failed: Column, on_error: str = "skip") -> DataFrame:
@@ -266,10 +281,10 @@ def inventory(tables: dict[str, tuple[DataFrame, Column, Column]]) -> DataFrame:
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int, salt: Column | None = None) -> DataFrame:
     """The first ``n`` rows of each key.
 
-    Spark cuts each map task to ``n`` rows per key before the shuffle. For a large ``n`` and a hot key that
-    is still many rows for one task, so a salted round cuts to ``n`` per (key, salt) first.
+    Spark cuts each map task to ``n`` rows per key before the shuffle. Where keys are hot and ``n`` is large, pass
+    ``salt``: a first round then cuts to ``n`` per (key, salt).
     """
-    if salt is not None and n > 100:
+    if salt is not None:
         pre = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = df.withColumn("_salt", F.pmod(F.hash(salt), F.lit(64))).withColumn("_rn", F.row_number().over(pre))
         df = df.filter(F.col("_rn") <= n).drop("_rn", "_salt")

@@ -14,21 +14,32 @@ from pyspark.sql import functions as F
 
 from webfacts.functions.vector import cosine_to, l2_normalize
 from webfacts.operators.aggregates import top_per_key
-from webfacts.session import cut, shuffle_width
+from webfacts.operators.ordered import OrderedRows
+from webfacts.session import cut
 
 BLOCK_ROWS = 4096
 MAX_PIVOTS = 4096
-MAX_CELLS = 1_000_000
-MAX_PROBES = 1000
+#: More probes than this are scored as a table instead of literals.
+LITERAL_PROBES = 1000
 
 
 def nearest_to(corpus: DataFrame, id_col: str, vector: str, probes: dict[int, list[float]], k: int, min_similarity: float | None = None, where: Column | None = None) -> DataFrame:
-    """The ``k`` nearest other rows of each probe: one scan, each row scored against the literal probes."""
-    if len(probes) > MAX_PROBES:
-        raise ValueError(f"at most {MAX_PROBES} probes; use knn_join for tables of queries")
+    """The ``k`` nearest other rows of each probe: one scan, each row scored against the literal probes.
+
+    Many probes become a table; it meets the rows in blocks.
+    """
     rows = corpus.filter(F.col(vector).isNotNull())
     if where is not None:
         rows = rows.filter(where)
+    if len(probes) > LITERAL_PROBES:
+        table = corpus.sparkSession.createDataFrame([(int(p), [float(x) for x in v]) for p, v in probes.items()], "rep long, vec array<double>")
+        one = F.lit(0).alias("cell")
+        hits = _block_topk(
+            table.select(one, "rep", l2_normalize("vec").alias("vec")), rows.select(one, F.col(id_col).cast("long").alias("rep"), l2_normalize(vector).alias("vec")),
+            ["cell"], k, -1.0 if min_similarity is None else float(min_similarity),
+        )
+        named = hits.select(F.col("rep").alias("probe_id"), F.col("target").alias(id_col), "similarity")
+        return top_per_key(named, ["probe_id"], [F.desc("similarity"), F.asc(id_col)], k)
     scored = F.array(
         *[F.struct(F.lit(int(p)).cast("long").alias("probe_id"), cosine_to(vector, v).alias("similarity")) for p, v in probes.items()]
     )
@@ -67,17 +78,18 @@ def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int,
 
     def chunks(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
-        return df.groupBy(*cell).agg(n.alias(name))
+        return df.groupBy(*cell).agg(n.alias(name), *[F.count(F.lit(1)).alias("_rows")] * (name == "_nm"))
 
-    packs = 4 * shuffle_width(members)
     sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell).withColumn("_cell", F.concat_ws("|", *cell))
+    sizes = OrderedRows(sizes, [], ["_cell"]).running_sum(_upto=F.col("_rows")).rows()
     own = lambda n: F.pmod(F.hash("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = (F.col("_nq") == 1) & (F.col("_nm") == 1)
-    block = F.when(small, F.pmod(F.hash("_cell"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
+    # small cells share a pack until it holds a block of rows, so the number of packs grows with the rows
+    block = F.when(small, F.floor(F.col("_upto") / F.lit(BLOCK_ROWS)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
     cols = [block.alias("_block"), "_cell", "rep", "vec"]
-    q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
-    m = members.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nm").alias("_m"), every("_nq").alias("_q")).select(*cols)
+    q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", "_upto", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
+    m = members.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", "_upto", own("_nm").alias("_m"), every("_nq").alias("_q")).select(*cols)
     m = m.select(*[F.col(c).alias(f"m{c}") for c in m.columns])
     floor = float(min_similarity)
 
@@ -131,15 +143,6 @@ def _expand(rows: DataFrame, reps: DataFrame, pairs: DataFrame, id_col: str, k:
     )
 
 
-def _finish(rows: DataFrame, reps: DataFrame, n_reps: int, pairs: DataFrame, id_col: str, k: int, min_similarity: float) -> DataFrame:
-    """Row pairs from representative pairs. Without any copies a representative is its row and nothing is expanded."""
-    if rows.count() > n_reps:
-        return _expand(rows, reps, pairs, id_col, k, min_similarity)
-    w = Window.partitionBy("rep").orderBy(F.desc("similarity"), F.asc("target"))
-    best = pairs.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return best.select(F.col("rep").alias(id_col), F.col("target").alias("neighbour_id"), "similarity", "rank")
-
-
 def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, group: str | None = None, pivots_wanted: int | None = None) -> DataFrame:
     """Exact: for every row its ``k`` nearest other rows (of the same group) by cosine.
 
@@ -150,12 +153,8 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     floor = -1.0 if min_similarity is None else float(min_similarity)
     rows, reps = _representatives(corpus, id_col, vector, group)
     reps = cut(reps)
-    n, groups = reps.agg(F.count(F.lit(1)), F.approx_count_distinct("grp")).first()
     # cells of about one block each, so a search inside a cell is one matrix product
-    wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or n / BLOCK_ROWS, MAX_CELLS / max(groups * 1.2, 1))))
-    if wanted == 1:
-        alone = reps.select("grp", F.lit(0).alias("cell"), "rep", "vec")
-        return _finish(rows, reps, n, _block_topk(alone, alone, ["grp", "cell"], k, floor), id_col, k, floor)
+    wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or reps.count() / BLOCK_ROWS)))
     # a bounded sample: at most MAX_PIVOTS vectors reach the driver
     sample = reps.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
     if not sample:  # nothing but zero vectors
@@ -179,18 +178,17 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     need = placed.join(kth, "rep", "left").select(
         "grp", "vec", "rep", "cell", F.when(F.col("c") >= k, F.greatest(F.col("s"), F.lit(floor))).otherwise(F.lit(floor)).alias("need")
     )
-    # at most MAX_CELLS rows by the choice of the pivot count
-    radii = placed.groupBy(*cells).agg(F.max("angle").alias("radius")).toPandas()
-    reach: dict[str, tuple[np.ndarray, np.ndarray]] = {
-        g: (p["cell"].to_numpy(), p["radius"].to_numpy()) for g, p in radii.groupby("grp")
-    }
-    shared = corpus.sparkSession.sparkContext.broadcast((pivots, reach))
+    # the cells of a group with their radii: at most MAX_PIVOTS of them travel with each row of the group
+    radii = placed.groupBy(*cells).agg(F.max("angle").alias("radius"))
+    reach = radii.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius"))).alias("reach"))
+    shared = corpus.sparkSession.sparkContext.broadcast(pivots)
 
     def visits(batches):
-        pv, per_group = shared.value
+        pv = shared.value
         for pdf in batches:
             for g, part in pdf.groupby("grp", sort=False):
-                ids, radius = per_group[g]
+                known = part["reach"].iloc[0]
+                ids, radius = np.array([x["cell"] for x in known]), np.array([x["radius"] for x in known])
                 vec = _matrix(part["vec"])
                 angle = np.arccos(np.clip(vec @ pv[ids].T, -1.0, 1.0))
                 bound = np.cos(np.maximum(0.0, angle - radius[None, :])) + 1e-9
@@ -203,10 +201,10 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
                 if len(r):
                     yield pd.DataFrame({"grp": g, "cell": ids[c].astype(np.int32), "rep": part["rep"].to_numpy()[r]})
 
-    away = need.mapInPandas(visits, "grp string, cell int, rep long")
+    away = need.join(reach, "grp").mapInPandas(visits, "grp string, cell int, rep long")
     queries = away.join(placed.select("rep", "vec"), "rep")
     second = _block_topk(queries, placed.select("grp", "cell", "rep", "vec"), cells, k, floor)
-    return _finish(rows, reps, n, first.unionByName(second), id_col, k, floor)
+    return _expand(rows, reps, first.unionByName(second), id_col, k, floor)
 
 
 def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, tables: int = 8, bits: int = 6, refine: int = 3, seed: int = 17) -> DataFrame:
@@ -218,8 +216,7 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
     floor = -1.0 if min_similarity is None else float(min_similarity)
     rows, reps = _representatives(corpus, id_col, vector, None)
     reps = cut(reps)
-    n = reps.count()
-    levels = refine + 1 if n > BLOCK_ROWS else 1  # no bucket of a small table can be crowded
+    levels = refine + 1
     total_bits = bits * levels
 
     def sign(batches):
@@ -232,12 +229,10 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
                 planes = np.random.default_rng(seed).standard_normal((tables * total_bits, vec.shape[1]))
             on = (vec @ planes.T >= 0).reshape(len(vec), tables, levels, bits)
             code = (on * (1 << np.arange(bits))).sum(axis=3)
-            for tab in range(tables):
-                yield pd.DataFrame(
-                    {"tab": np.int32(tab), "rep": pdf["rep"].to_numpy(), "vec": pdf["vec"].to_numpy(), "code": list(code[:, tab, :].astype(np.int32))}
-                )
+            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "codes": [[list(t) for t in row] for row in code.astype(int)]})
 
-    signed = cut(reps.select("rep", "vec").mapInPandas(sign, "tab int, rep long, vec array<double>, code array<int>"))
+    signed = cut(reps.select("rep", "vec").mapInPandas(sign, "rep long, codes array<array<int>>"))
+    signed = signed.select("rep", F.posexplode("codes").alias("tab", "code"))
     prefix = lambda n: F.array_join(F.transform(F.slice("code", 1, n), lambda x: x.cast("string")), ".")
     keyed = signed.withColumn("bucket", prefix(1))
     for level in range(2, levels + 1):
@@ -247,10 +242,10 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
             .withColumn("bucket", F.when(F.col("_n").isNotNull(), prefix(level)).otherwise(F.col("bucket")))
             .drop("_n")
         )
-    placed = keyed.select("tab", "bucket", "rep", "vec")
+    placed = keyed.select("tab", "bucket", "rep").join(reps.select("rep", "vec"), "rep")
     hits = _block_topk(placed, placed, ["tab", "bucket"], k, floor)
     pairs = hits.groupBy("rep", "target").agg(F.max("similarity").alias("similarity"))
-    return _finish(rows, reps, n, pairs, id_col, k, floor)
+    return _expand(rows, reps, pairs, id_col, k, floor)
 
 
 def uniqueness(corpus: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:

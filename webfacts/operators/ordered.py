@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from webfacts.session import cut, shuffle_width
+from webfacts.session import cut
 
 BLOCK = "_block"
 
@@ -22,9 +22,10 @@ class OrderedRows:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], partitions: int | None = None):
         self.keys, self.order = list(keys), list(order)
-        n = partitions or shuffle_width(df)
+        # Without a number, adaptive execution merges small partitions.
+        by = [partitions] if partitions else []
         # The block number is only stable once written: a second run of the sampling could move the borders.
-        self.df = cut(df.repartitionByRange(n, *self.keys, *self.order).withColumn(BLOCK, F.spark_partition_id()))
+        self.df = cut(df.repartitionByRange(*by, *self.keys, *self.order).withColumn(BLOCK, F.spark_partition_id()))
 
     def _local(self):
         return Window.partitionBy(*self.keys, BLOCK).orderBy(*self.order)

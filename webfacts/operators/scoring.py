@@ -15,7 +15,10 @@ from webfacts.functions.text import arg_max, keyword_hits, keyword_list, normal_
 from webfacts.operators import aggregates as agg
 from webfacts.rules.keywords import INDUSTRIES, STYLES
 from webfacts.session import spread
-from webfacts.rules.patterns import CLICHE_MARKS, CLICHE_PENALTY, HTML_BASE, HTML_QUALITY, ORIGINALITY_MARKS
+from webfacts.rules.patterns import (
+    AUDIENCE_TERMS, CLICHE_MARKS, CLICHE_PENALTY, COMMON_COLORS, DIV_OVERUSE, FONT_MARKS, GRAPHICS_MARKS, HTML_BASE, HTML_QUALITY, INDUSTRY_TERMS, LAYOUT_MARKS,
+    MOTION_MARKS, ORIGINAL_POINTS, ORIGINALITY_MARKS,
+)
 
 # Axis weights, key section types, expected sections per industry, generic fonts.
 AXIS_WEIGHTS = {"originality": 0.35, "craftsmanship": 0.40, "contextuality": 0.25}
@@ -211,8 +214,48 @@ def cliche_score(pages: DataFrame, detected: DataFrame, key: str) -> DataFrame:
     return pages.select(key).join(cost, key, "left").select(key, score.alias("cliche"))
 
 
-def html_quality(pages: DataFrame, page_id: str = "page_id", html: str = "html", strict: bool = False) -> DataFrame:
-    """Axis scores straight from the markup: base points plus the points of every mark that matches."""
+def _original_points(low: Column) -> Column:
+    """Points for an own colour scheme, fonts, layout, motion and graphics."""
+    some = lambda marks: any_mark(low, marks)
+    colors = F.array_distinct(F.regexp_extract_all(low, F.lit("#[0-9a-f]{6}"), F.lit(0)))
+    areas = F.regexp_extract_all(low, F.lit("grid-template-areas:\\s*[\"'][^\"']+[\"']"), F.lit(0))
+    quotes = lambda a: F.length(F.regexp_replace(a, "[^\"']", ""))
+    turns = F.regexp_extract_all(low, F.lit("transition:\\s*([^;]+)"), F.lit(0))
+    found = {
+        "colors": F.size(F.array_except(colors, F.array(*[F.lit(c) for c in COMMON_COLORS]))) >= 3,
+        "fonts": some(FONT_MARKS),
+        "layout": some(LAYOUT_MARKS) | F.exists(areas, lambda a: quotes(a) / 2 >= 3),
+        "motion": some(MOTION_MARKS) | (H.count_matches("_low", r"@keyframes\s+[a-z]") >= 2) | F.exists(turns, lambda x: F.length(F.regexp_replace(x, "[^,]", "")) >= 2),
+        "graphics": some(GRAPHICS_MARKS),
+    }
+    return sum((F.when(cond, ORIGINAL_POINTS[name]).otherwise(0) for name, cond in found.items()), F.lit(0))
+
+
+def any_mark(low: Column, marks: list[str]) -> Column:
+    out = F.lit(False)
+    for m in marks:
+        out = out | mark(low, m)
+    return out
+
+
+def _term_points(low: Column, target: str | None, terms: list) -> Column:
+    points = F.lit(0)
+    for names, n, expressions in terms:
+        if target and target.lower() in names:
+            hit = F.lit(True)
+            for e in expressions:
+                hit = hit & mark(low, e)
+            points = points + F.when(hit, n).otherwise(0)
+    return points
+
+
+def html_quality(
+    pages: DataFrame, page_id: str = "page_id", html: str = "html", strict: bool = False, industry: str | None = None, audience: str | None = None
+) -> DataFrame:
+    """Axis scores straight from the markup: base points plus the points of every mark that matches.
+
+    ``industry`` and ``audience`` add the points of their terms to contextuality.
+    """
     pages = spread(pages.select(page_id, html), page_id).withColumn("_low", F.lower(html))
     low = F.col("_low")
     marks = lambda axis: sum((F.when(mark(low, p), n).otherwise(0) for a, n, p in HTML_QUALITY if a == axis), F.lit(HTML_BASE[axis]))
@@ -220,7 +263,9 @@ def html_quality(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     alts = F.size(F.filter(imgs, lambda i: i.contains("alt=")))
     alt = F.when(F.size(imgs) == 0, 0).when(alts == F.size(imgs), 5).otherwise(-5)
     onclick = H.count_matches("_low", "onclick=")
-    craft = marks("craftsmanship") + alt - onclick * 3
+    penalty, most_div, least_semantic = DIV_OVERUSE
+    overused = (H.count_matches("_low", "<div[^>]*>") > most_div) & (H.count_matches("_low", "<(header|main|nav|footer|section|article|aside)[^>]*>") < least_semantic)
+    craft = marks("craftsmanship") + alt - onclick * 3 - F.when(overused, penalty).otherwise(0)
     cliche = F.lit(0)
     count = F.lit(0)
     for severity, pattern in CLICHE_MARKS:
@@ -233,8 +278,9 @@ def html_quality(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     for points, pattern, least in ORIGINALITY_MARKS:
         own = own + F.when(mark(low, pattern) & (H.count_matches("_low", f"(?i){pattern}") >= least), points).otherwise(0)
     own = own + F.when(low.contains("@keyframes") & (H.count_matches("_low", r"@keyframes\s+[a-z]") == 1), 3).otherwise(0)
+    own = own + _original_points(low)
     clear = low.contains("<header") & low.contains("<main") & low.contains("<footer")
-    fit = marks("contextuality") + flag(clear) * 5
+    fit = marks("contextuality") + flag(clear) * 5 + _term_points(low, industry, INDUSTRY_TERMS) + _term_points(low, audience, AUDIENCE_TERMS)
     rows = pages.select(
         page_id, clamp(own, 0, 100).alias("originality"), clamp(craft, 0, 100).alias("craftsmanship"), clamp(fit, 0, 100).alias("contextuality"), count.alias("cliches")
     )
@@ -354,11 +400,11 @@ def infer_context(queries: DataFrame, text_col: str, industries: dict = INDUSTRI
     return rows.withColumns({"confidence": F.least(F.lit(1.0), conf), "keywords": keyword_list("_q", words)}).drop("_q", "_industry", "_style")
 
 
-def evaluate_batch(pages: DataFrame, page_id: str = "page_id", html: str = "html", weights: dict | None = None, strict: bool = False, on_error: str = "skip") -> DataFrame:
+def evaluate_batch(pages: DataFrame, page_id: str = "page_id", html: str = "html", weights: dict | None = None, strict: bool = False, on_error: str = "skip", industry: str | None = None, audience: str | None = None) -> DataFrame:
     """Quality of many pages in one job; pages without markup fail and carry an error instead of a score."""
     empty = F.col(html).isNull() | (F.trim(F.col(html)) == "")
     marked = agg.batch_result(pages.select(page_id, html), page_id, empty, on_error)
-    scored = html_quality(marked.filter(~F.col("failed")), page_id, html, strict)
+    scored = html_quality(marked.filter(~F.col("failed")), page_id, html, strict, industry, audience)
     if weights:
         scored = overall(scored.drop("overall", "grade"), weights)
     bad = marked.filter("failed").select(page_id, F.lit("empty_html").alias("error"))

@@ -360,6 +360,8 @@ def fade_events(df: DataFrame, series: str, frame: str, alpha: str, threshold: f
     A calm frame (step below 0.001) ends any fade, so the stretches between calm frames are independent.
     They are split by a distributed running count; only one stretch at a time is folded in order.
     """
+    if threshold <= 0.01:
+        raise ValueError("threshold must be above 0.01: below it a calm step could start a fade")
     o = OrderedRows(df, [series], [frame]).previous(_p=alpha)
     calm = flag(F.col("_p").isNull() | (F.abs(F.col(alpha) - F.col("_p")) < 0.001)).cast("long")
     stretches = o.running_sum(_i=F.lit(1).cast("long"), _calm=calm).rows()

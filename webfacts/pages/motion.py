@@ -117,12 +117,13 @@ def motion_category(rows: DataFrame, rules: list = MOTION_CATEGORIES) -> DataFra
 
     def holds(alt: dict) -> Column:
         out = F.lit(True)
-        if "name" in alt:
-            out = out & name.rlike(alt["name"])
-        if "selector" in alt:
-            out = out & selector.rlike(alt["selector"])
+        for field, text in (("name", name), ("name_too", name), ("selector", selector)):
+            if field in alt:
+                out = out & text.rlike("|".join(alt[field]))
         if "props" in alt:
             out = out & F.arrays_overlap("_props", F.array(*[F.lit(p) for p in alt["props"]]))
+        if "props_like" in alt:
+            out = out & F.exists("_props", lambda p: any_of(p, alt["props_like"]))
         for p in alt.get("all_props", []):
             out = out & F.array_contains("_props", p)
         if "forever" in alt:
@@ -196,7 +197,7 @@ def motion_vector(rows: DataFrame, name: str = "vector") -> DataFrame:
         middle = F.size(F.filter(o, lambda x: (x > 0) & (x < 1)))
         mean = F.aggregate(o, F.lit(0.0), lambda s, x: s + x) / size
         spread = F.aggregate(o, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / size
-        gaps = F.zip_with(F.slice(o, 2, 100000), F.slice(o, F.lit(1), F.greatest(k - 1, F.lit(0))), lambda b, a: b - a)
+        gaps = F.zip_with(F.filter(o, lambda _, i: i > 0), F.slice(o, F.lit(1), F.greatest(k - 1, F.lit(0))), lambda b, a: b - a)
         g = F.greatest(k - 1, F.lit(1))
         mean_gap = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / g
         gap_var = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + (x - mean_gap) * (x - mean_gap)) / g

@@ -89,10 +89,10 @@ def frameworks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -
 
 def libraries(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per page and drawing or animation library found in its markup, with weight and matched marks."""
-    pages = spread(pages, page_id).select(page_id, F.lower(html).alias("_low"))
+    pages = spread(pages, page_id).select(page_id, F.col(html).alias("_html"), F.lower(html).alias("_low"))
     found = []
-    for name, (weight, marks) in CANVAS_LIBRARIES.items():
-        hits = sum((flag(mark(F.col("_low"), m)) for m in marks), F.lit(0))
+    for name, weight, anycase, owncase in CANVAS_LIBRARIES:
+        hits = sum((flag(mark(F.col("_low"), m)) for m in anycase), F.lit(0)) + sum((flag(F.col("_html").rlike(m)) for m in owncase), F.lit(0))
         found.append(F.struct(F.lit(name).alias("library"), F.lit(weight).alias("weight"), hits.alias("marks")))
     rows = pages.select(page_id, F.explode(F.filter(F.array(*found), lambda x: x["marks"] > 0)).alias("l"))
     return rows.select(page_id, "l.*")
@@ -280,18 +280,30 @@ def merge_features(computed: DataFrame, seen: DataFrame, key: str, fields: list[
     return both.select(key, *cols, (total / weight * F.when(complete < 1, 0.9).otherwise(1.0)).alias("confidence"), complete.alias("completeness"))
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame, hosts: DataFrame) -> DataFrame:
+def robots_allowed(urls: DataFrame, rules: DataFrame, hosts: DataFrame, agent: str = "*") -> DataFrame:
     """``urls(url, host, path)`` with ``allowed`` by the longest matching rule of the host; allow wins a tie.
 
-    ``rules(host, pattern, allow)`` are path prefixes; ``hosts(host)`` lists the hosts whose file is known. An
-    unknown host is disallowed, a known host without a matching rule allowed. The rules of a host, at most one
-    robots file, travel as an array, so every URL meets its host once and no row is multiplied.
+    ``rules(host, pattern, allow)`` are path prefixes in which ``*`` stands for any text and a last ``$`` for the end of the
+    path. With a column ``agent`` the rules of the group named ``agent`` apply where the host has such a group, else those
+    of ``*``. ``hosts(host)`` lists the hosts whose file is known. An unknown host is disallowed, a known host without a
+    matching rule allowed. The rules of a host, at most one robots file, travel as an array, so every URL meets its host
+    once and no row is multiplied.
     """
-    rule = F.struct(F.length("pattern").alias("n"), "allow", "pattern")
+    if "agent" not in rules.columns:
+        rules = rules.withColumn("agent", F.lit("*"))
+    mine = rules.withColumn("_own", F.lower("agent") == agent.lower()).filter(F.col("_own") | (F.col("agent") == "*"))
+    to_end = F.endswith("pattern", F.lit("$"))
+    body = F.when(to_end, F.expr("left(pattern, length(pattern) - 1)")).otherwise(F.col("pattern"))
+    quoted = F.replace(F.regexp_replace(body, r"([\\^$.|?+(){}\[\]])", r"\\$1"), F.lit("*"), F.lit(".*"))
+    wild = to_end | F.contains("pattern", F.lit("*"))
+    expression = F.when(wild, F.concat(F.lit("^"), quoted, F.when(to_end, F.lit("$")).otherwise(F.lit(""))))
+    rule = F.struct(F.length("pattern").alias("n"), "allow", "pattern", expression.alias("expression"), (F.col("_own") & (F.lit(agent) != "*")).alias("own"))
     known = hosts.select("host").distinct().withColumn("_known", F.lit(True))
-    per_host = rules.groupBy("host").agg(F.collect_set(rule).alias("_rules"))
+    per_host = mine.groupBy("host").agg(F.collect_set(rule).alias("_rules"))
     out = urls.join(known.join(per_host, "host", "left"), "host", "left")
-    best = F.array_max(F.filter("_rules", lambda r: F.startswith(F.col("path"), r["pattern"])))
+    grouped = F.exists("_rules", lambda r: r["own"])
+    fits = lambda r: F.when(r["expression"].isNull(), F.startswith(F.col("path"), r["pattern"])).otherwise(F.regexp_like(F.col("path"), r["expression"]))
+    best = F.array_max(F.filter("_rules", lambda r: (r["own"] | ~grouped) & fits(r)))
     allowed = F.when(F.col("_known").isNull(), False).otherwise(F.coalesce(best["allow"], F.lit(True)))
     return out.select("url", "host", "path", allowed.alias("allowed"))
 

@@ -260,7 +260,7 @@ def typography(rules: DataFrame, page_id: str = "page_id") -> DataFrame:
         one("body"), *[one(x) for x in tags],
     )
     ladder = F.reverse(F.array_sort(F.array_distinct(F.array_compact(F.array(*tags, "body")))))
-    steps = F.zip_with(F.slice(ladder, 1, F.greatest(F.size(ladder) - 1, F.lit(0))), F.slice(ladder, 2, 100), lambda a, b: a / b)
+    steps = F.zip_with(F.slice(ladder, 1, F.greatest(F.size(ladder) - 1, F.lit(0))), F.slice(ladder, F.lit(2), F.greatest(F.size(ladder), F.lit(1))), lambda a, b: a / b)
     mean = F.when(F.size(ladder) >= 2, F.aggregate(steps, F.lit(0.0), lambda s, x: s + x) / (F.size(ladder) - 1))
     out = agg.withColumn("mean_ratio", mean)
     return out.withColumn("scale", F.when(F.col("mean_ratio").isNotNull(), css.type_scale("mean_ratio")))

@@ -13,6 +13,7 @@ from webfacts.pages import motion, quality, structure, styles
 from webfacts.plans.common import HEX, F, big, hex_of, r6, t
 from webfacts.plans.scalars import HEADINGS_SQL, TEXT_SQL
 from webfacts.registry import query
+from webfacts.rules.keywords import INDUSTRIES, STYLES
 
 
 def styled(spark, d):
@@ -389,7 +390,7 @@ def pg_27(spark, d):
     return quality.content_gaps(pages(spark, d)).select("page_id", F.size("gaps").cast("long").alias("gaps"), big("score", "score"))
 
 
-@query("pg_28_libraries", "SELECT p_partkey AS page_id, 'gsap' AS library, 1::BIGINT AS marks FROM part")
+@query("pg_28_libraries", "SELECT p_partkey AS page_id, 'gsap' AS library, 2::BIGINT AS marks FROM part")
 def pg_28(spark, d):
     return quality.libraries(styled(spark, d)).select("page_id", "library", big("marks", "marks"))
 
@@ -672,6 +673,37 @@ def sc_09(spark, d):
     return out.select("page_id", big("originality", "originality"), big("craftsmanship", "craftsmanship"), big("contextuality", "contextuality"), "overall")
 
 
+#: (markup, points of originality, of craftsmanship, of contextuality for the industry "tech" and the audience "business")
+QUALITY_KINDS = [
+    ("<p>plain</p>", 0, 0, 0),
+    ("<style>a{color:#aa0001;background:#aa0002;border-color:#aa0003}</style>", 5, 0, 0),
+    ("<style>a{color:#007bff;background:#28a745;border-color:#333333}</style>", 0, 0, 0),
+    ("<style>b{font-family:Inter}</style>", 3, 0, 0),
+    ("<style>b{font-family:Arial, serif}</style>", 0, 0, 0),
+    ('<div style="grid-template-areas: subgrid"></div>', 5, 0, 5),
+    ("<style>c{transition:a 1s, b 2s, c 3s}</style>", 4, 0, 0),
+    ("<style>c{transition:a 1s, b 2s}</style>", 0, 0, 0),
+    ("<svg><path d=\"M0\"/></svg>", 3, 0, 0),
+    ("<div></div>" * 11, 0, -5, 0),
+    ("<div></div>" * 10, 0, 0, 0),
+    ("<button>go</button> contact us", 0, 0, 8),
+    ("developer documentation for business", 0, 0, 10),
+]
+
+
+@query(
+    "sc_09b_quality_adjustments",
+    "SELECT p_partkey AS page_id, o AS originality, c AS craftsmanship, x AS contextuality FROM part JOIN (VALUES "
+    + ", ".join(f"({i}, {80 + o}::BIGINT, {65 + c}::BIGINT, {70 + x}::BIGINT)" for i, (_, o, c, x) in enumerate(QUALITY_KINDS))
+    + f") AS v(i, o, c, x) ON p_partkey % {len(QUALITY_KINDS)} = i",
+)
+def sc_09b(spark, d):
+    kind = F.element_at(F.array(*[F.lit(k[0]) for k in QUALITY_KINDS]), (F.col("p_partkey") % len(QUALITY_KINDS) + 1).cast("int"))
+    made = part(spark, d).select(F.col("p_partkey").alias("page_id"), kind.alias("html"))
+    out = scoring.html_quality(made, industry="tech", audience="business")
+    return out.select("page_id", *[big(c, c) for c in ("originality", "craftsmanship", "contextuality")])
+
+
 @query(
     "sc_10_visual_density",
     """
@@ -691,13 +723,13 @@ def sc_11(spark, d):
     "sc_12_narrative_confidence",
     """
     WITH x AS (SELECT p_partkey, CASE WHEN s % 3 = 0 THEN 0.9 * (0.7 + 0.3 * 0.5) WHEN s % 3 = 1 THEN 0.4 ELSE 0.3 END AS v, least(1, 0.2 + least(1, s / 50.0) * 0.5 + least(1, 10 / 20.0) * 0.3) AS st,
-      least(1, 0.3 + least(1, (s % 12) / 10.0) * 0.5 + least(1, 3 / 5.0) * 0.2) AS mk, least(1, 0.3 + least(1, s / 20.0) * 0.4 + 0.2) AS mo FROM (SELECT p_partkey, p_size AS s FROM part WHERE p_size % 12 > 0)),
+      least(1, CASE WHEN s % 12 > 0 THEN 0.3 ELSE 0 END + least(1, (s % 12) / 10.0) * 0.5 + least(1, 3 / 5.0) * 0.2) AS mk, least(1, 0.3 + least(1, s / 20.0) * 0.4 + 0.2) AS mo FROM (SELECT p_partkey, p_size AS s FROM part)),
     y AS (SELECT p_partkey, v * 0.4 + st * 0.2 + mk * 0.25 + mo * 0.15 AS c FROM x)
     SELECT p_partkey, round(c::DOUBLE, 6) AS confidence, CASE WHEN c >= 0.8 THEN 'high' WHEN c >= 0.6 THEN 'medium' WHEN c >= 0.4 THEN 'low' ELSE 'insufficient' END AS level FROM y""",
 )
 def sc_12(spark, d):
     s = F.col("p_size")
-    rows = part(spark, d).filter(s % 12 > 0).select(
+    rows = part(spark, d).select(
         "p_partkey", (s % 3 == 0).alias("vision_used"), F.lit(0.9).alias("vision_confidence"), (s % 3 == 1).alias("vision_fallback"), F.lit(0.5).alias("vision_completeness"), s.alias("n_variables"),
         F.lit(10).alias("n_type_styles"), F.lit(None).cast("double").alias("token_confidence"), (s % 12).alias("n_sections"), F.lit(3).alias("n_section_types"), F.lit(None).cast("double").alias("layout_completeness"),
         s.alias("n_motions"), F.lit(True).alias("all_reduced"), F.lit(False).alias("all_levels"),
@@ -705,23 +737,31 @@ def sc_12(spark, d):
     return scoring.narrative_confidence(rows).select("p_partkey", r6("confidence", "confidence"), "level")
 
 
-@query(
-    "sc_13_query_context",
-    """
-    WITH q AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents WHERE lang = 'en'),
-    h AS (SELECT doc_id, contains(q, 'tion')::INT + contains(q, 'ing')::INT AS a, (contains(q, 'ou')::INT + contains(q, 'whe')::INT) * 0.9 AS b, contains(q, 'sh')::INT * 1.0 AS st FROM q)
-    SELECT doc_id, CASE WHEN greatest(a, b) < 0.5 THEN NULL WHEN a >= b THEN 'north' ELSE 'south' END AS industry, CASE WHEN st >= 0.5 THEN 'soft' END AS style,
-      round((CASE WHEN greatest(a, b) < 0.5 AND st < 0.5 THEN 0 WHEN st < 0.5 THEN 0.5 + least(0.2, 0.1 * greatest(a, b)) WHEN greatest(a, b) < 0.5 THEN 0.5 + least(0.2, 0.1 * st) ELSE 0.65 + least(0.2, 0.1 * greatest(a, b)) + least(0.1, 0.05 * st) END)::DOUBLE, 6) AS confidence FROM h""",
-)
+def _context_sql() -> str:
+    """The shipped dictionaries as DuckDB lists: hits per entry, the first best entry counts from 0.5 on."""
+
+    def scores(table: dict) -> str:
+        hits = lambda words: " + ".join(f"contains(q, '{w}')::INT" for w in words)
+        return "[" + ", ".join(f"(({hits(words)}) * {weight})::DOUBLE" for weight, words in table.values()) + "]"
+
+    names = lambda table: "[" + ", ".join(f"'{k}'" for k in table) + "]"
+    return f"""
+    WITH q AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents),
+    h AS (SELECT doc_id, {scores(INDUSTRIES)} AS a, {scores(STYLES)} AS b FROM q),
+    m AS (SELECT doc_id, a, b, list_max(a) AS i, list_max(b) AS s FROM h)
+    SELECT doc_id, CASE WHEN i >= 0.5 THEN {names(INDUSTRIES)}[list_position(a, i)] END AS industry, CASE WHEN s >= 0.5 THEN {names(STYLES)}[list_position(b, s)] END AS style,
+      round((CASE WHEN i < 0.5 AND s < 0.5 THEN 0 WHEN s < 0.5 THEN 0.5 + least(0.2, 0.1 * i) WHEN i < 0.5 THEN 0.5 + least(0.2, 0.1 * s) ELSE 0.65 + least(0.2, 0.1 * i) + least(0.1, 0.05 * s) END)::DOUBLE, 6) AS confidence FROM m"""
+
+
+@query("sc_13_query_context", _context_sql())
 def sc_13(spark, d):
-    q = t(spark, d, "documents").filter("lang = 'en'").select("doc_id", "text")
-    out = scoring.infer_context(q, "text", {"north": (1.0, ["tion", "ing"]), "south": (0.9, ["ou", "whe"])}, {"soft": (1.0, ["sh"])})
-    return out.select("doc_id", "industry", "style", r6("confidence", "confidence"))
+    q = t(spark, d, "documents").select("doc_id", "text")
+    return scoring.infer_context(q, "text").select("doc_id", "industry", "style", r6("confidence", "confidence"))
 
 
 @query(
     "sc_14_batch_evaluation",
-    "SELECT p_partkey AS page_id, 83::BIGINT AS originality, 100::BIGINT AS craftsmanship, 78::BIGINT AS contextuality, 88.55::DOUBLE AS overall, 'B' AS grade FROM part",
+    "SELECT p_partkey AS page_id, 86::BIGINT AS originality, 100::BIGINT AS craftsmanship, 78::BIGINT AS contextuality, 89.6::DOUBLE AS overall, 'B' AS grade FROM part",
 )
 def sc_14(spark, d):
     out = scoring.evaluate_batch(styled(spark, d))
@@ -804,9 +844,14 @@ def vec_27(spark, d):
     return v.select("page_id", "type", F.size("vector").alias("dims"), r6(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), "total"))
 
 
-@query("vec_29_text_form", "SELECT p_partkey AS page_id, 'passage: Animation type: transition. Name: transition-width. Trigger: hover. Duration: 250ms. Easing: ease. Iterations: 1. Properties: width' AS text FROM part")
+@query(
+    "vec_29_text_form",
+    """
+    SELECT p_partkey AS page_id, 'passage: Animation type: transition. Name: transition-width. Trigger: hover. Duration: 250ms. Easing: ease. Iterations: 1. Properties: width' AS text FROM part
+    UNION ALL SELECT p_partkey, 'passage: Animation type: animation. Name: spin' || (p_partkey % 5) || '. Trigger: load. Duration: ' || (p_size * 100) || 'ms. Easing: ease-in. Iterations: infinite. Properties: opacity, width' FROM part""",
+)
 def vec_29(spark, d):
-    m = motion.motions(styled(spark, d)).filter("type = 'transition'")
+    m = motion.motions(styled(spark, d))
     return m.select("page_id", embedtext.motion_text().alias("text"))
 
 

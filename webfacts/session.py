@@ -19,6 +19,7 @@ def local_session(app: str = "webfacts", cores: str | None = None, partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config(SPREAD, cores)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -48,30 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; nothing is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def shuffle_width(df: DataFrame) -> int:
-    """Partitions for an explicit shuffle: the configured number, fewer only for data too small to fill it."""
-    spark = df.sparkSession
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    enough = max(spark.sparkContext.defaultParallelism, estimated_bytes(df) // (16 * 1024 * 1024) + 1)
-    return min(configured, enough)
+SPREAD = "spark.webfacts.spread"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a CPU-heavy per-row job enough partitions.
+    """Give a CPU-heavy per-row job over a few small files as many partitions as ``spark.webfacts.spread`` names.
 
-    An input of many file splits is returned untouched, so nothing is shuffled at scale. An input too small to
-    give every core a split (by the optimizer's size estimate) is hash-partitioned on ``keys`` first.
+    The setting is meant for one machine; without it, as on a cluster, nothing is shuffled.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if df.isStreaming or estimated_bytes(df) >= cores * SPLIT_BYTES:
-        return df
-    return df.repartition(cores, *keys)
+    width = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(width), *keys) if width and not df.isStreaming else df

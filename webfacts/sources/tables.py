@@ -14,9 +14,13 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row with the smallest ``order`` of each key; only key and order are aggregated, not the payload."""
-    keep = df.groupBy(key).agg(F.min(order).alias(order)).select(order)
-    return df.join(keep, order, "left_semi")
+    """One row with the smallest ``order`` of each key; only key and order are aggregated, not the payload.
+
+    A null key is a key of its own; rows that repeat key and order count once.
+    """
+    keep = df.groupBy(F.col(key).alias("_k")).agg(F.min(order).alias("_o"))
+    same = F.col(key).eqNullSafe(F.col("_k")) & F.col(order).eqNullSafe(F.col("_o"))
+    return df.join(keep, same, "left_semi").dropDuplicates([key, order])
 
 
 def find_or_create_pages(new: DataFrame, existing: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:

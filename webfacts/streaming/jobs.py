@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,35 +46,51 @@ def gap_sessions(events: DataFrame, series: str, ts: str, value: str, gap: str,
 
 
 def capped_sessions(events: DataFrame, series: str, ts: str, value: str, gap_ms: int = 1000, longest_ms: int = 5000, late: str = "10 seconds") -> DataFrame:
-    """Sessions with a largest gap and a largest length. State per series is one open session (four numbers).
+    """Sessions with a largest gap and a largest length.
 
-    Rows of a micro-batch are folded in time order, batch after batch; an event-time timer closes a silent session.
+    Rows wait in the state until the watermark has passed them and are then folded in time order, so rows that arrive
+    out of order inside the watermark fall into the session they belong to. State per series is one open session and
+    the rows of one watermark delay.
     """
     kind = dict(events.dtypes)[series]
+    names = [series, "start_ms", "end_ms", "total", "n"]
 
     def fold(key, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, last, total, n = state.get if state.exists else (None, None, 0.0, 0)
+        start, last, total, n, waiting_ms, waiting_v = state.get if state.exists else (None, None, 0.0, 0, [], [])
+        ms, v = [np.asarray(waiting_ms, dtype=np.int64)], [np.asarray(waiting_v, dtype=np.float64)]
+        for part in parts:
+            ms.append(part["_ms"].to_numpy())
+            v.append(part["_v"].to_numpy())
+        ms, v = np.concatenate(ms), np.concatenate(v)
+        order, mark = np.argsort(ms, kind="stable"), state.getCurrentWatermarkMs()
+        ms, v = ms[order], v[order]
+        settled = int(np.searchsorted(ms, mark, side="right"))
         out = []
-        if state.hasTimedOut:
-            yield pd.DataFrame([(key[0], start, last, total, n)], columns=[series, "start_ms", "end_ms", "total", "n"])
-            state.remove()
-            return
-        rows = pd.concat(list(parts)).sort_values("_ms")
-        for ms, v in zip(rows["_ms"].to_numpy(), rows["_v"].to_numpy()):
-            if start is not None and (ms - last > gap_ms or ms - start > longest_ms):
+        for at, x in zip(ms[:settled].tolist(), v[:settled].tolist()):
+            if start is not None and (at - last > gap_ms or at - start > longest_ms):
                 out.append((key[0], start, last, total, n))
                 start, total, n = None, 0.0, 0
             if start is None:
-                start = int(ms)
-            last, total, n = int(ms), total + float(v), n + 1
-        state.update((start, last, total, n))
-        state.setTimeoutTimestamp(max(last + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
+                start = at
+            last, total, n = at, total + x, n + 1
+        ms, v = ms[settled:], v[settled:]
+        if start is not None and mark > last + gap_ms and (not len(ms) or ms[0] - last > gap_ms):
+            out.append((key[0], start, last, total, n))
+            start, last, total, n = None, None, 0.0, 0
+        if start is None and not len(ms):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((start, last, total, n, ms.tolist(), v.tolist()))
+            due = int(ms[0]) if len(ms) else last + gap_ms + 1
+            state.setTimeoutTimestamp(max(due, mark + 1))
         if out:
-            yield pd.DataFrame(out, columns=[series, "start_ms", "end_ms", "total", "n"])
+            yield pd.DataFrame(out, columns=names)
 
     stamped = events.withWatermark(ts, late).select(series, ts, F.unix_millis(F.col(ts).cast("timestamp")).alias("_ms"), F.col(value).cast("double").alias("_v"))
     return stamped.groupBy(series).applyInPandasWithState(
-        fold, f"{series} {kind}, start_ms long, end_ms long, total double, n long", "start long, last long, total double, n long", "append", "EventTimeTimeout"
+        fold, f"{series} {kind}, start_ms long, end_ms long, total double, n long",
+        "start long, last long, total double, n long, waiting_ms array<long>, waiting_v array<double>", "append", "EventTimeTimeout",
     )
 
 
@@ -129,6 +146,16 @@ def current_facts(spark: SparkSession, path: str, page_id: str = "page_id") -> D
     return spark.read.parquet(f"{path}/facts").join(newest, [page_id, "batch"], "left_semi").drop("batch")
 
 
+def compact_facts(spark: SparkSession, path: str, into: str, page_id: str = "page_id") -> None:
+    """The current facts as one batch of a new folder with the same layout; readers and later batches go on from there.
+
+    The batch keeps the number of the newest one, so batches that arrive later still win. Run it between batches.
+    """
+    last = spark.read.parquet(f"{path}/pages").agg(F.max("batch")).first()[0]
+    current_facts(spark, path, page_id).write.mode("overwrite").parquet(f"{into}/facts/batch={last}")
+    spark.read.parquet(f"{path}/pages").select(page_id).distinct().write.mode("overwrite").parquet(f"{into}/pages/batch={last}")
+
+
 def embedding_backfill(facts: DataFrame, path: str, id_col: str, text_col: str, make_model=hashing_model) -> DataStreamWriter:
     """Embeddings for new facts only; batch folders make a retry harmless."""
 
@@ -160,3 +187,9 @@ def newest_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     from webfacts.sources.tables import latest_per_key
 
     return latest_per_key(spark.read.parquet(path), keys, ["batch"]).drop("batch")
+
+
+def compact_updates(spark: SparkSession, path: str, into: str, keys: list[str]) -> None:
+    """The last state of every key as one batch of a new folder, numbered like the newest batch."""
+    last = spark.read.parquet(path).agg(F.max("batch")).first()[0]
+    newest_updates(spark, path, keys).write.mode("overwrite").parquet(f"{into}/batch={last}")
