@@ -42,7 +42,7 @@ _RUNS = re.compile(rb"(.)\1+", re.S)
 
 def text_view(text: str | None) -> np.ndarray:
     """Shares of hashed word shapes (``Word,`` is ``Xx,``) and ratios of whole-text counts; zeros for no words."""
-    words, chars, symbols, dup, repeat, lines, closed, upper, letters, marks = text_counts(text)
+    words, chars, symbols, dup, repeat, lines, closed, upper, letters, marks = text_counts(text)[:10]
     out = np.zeros(SHAPES + 8)
     if not words:
         return out

@@ -2,8 +2,8 @@
 
 Each rule looks at counts of the whole text and votes good, bad, or abstains. How far a rule can be trusted is not
 set by hand: expectation-maximisation over the votes of the whole corpus estimates, without labels, the share of good
-documents, how often each rule votes on a good and on a bad document, and how often it is right. A document's
-verdict is the posterior probability of being good. Votes are folded to distinct vote patterns first; their number is
+documents and how often each rule votes good, bad or abstains on a good and on a bad document, which are its
+accuracies on the two classes. A document's verdict is the posterior probability of being good. Votes are folded to distinct vote patterns first; their number is
 bounded by 3 to the number of rules, whatever the corpus, so the patterns alone go to the driver.
 """
 
@@ -26,16 +26,21 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP = 0.5
 ROUNDS = 50
-GOOD_AT_FIRST, RIGHT_AT_FIRST = 0.8, 0.8
-RIGHT_RANGE = (0.55, 0.99)
-VOTE_RANGE = (0.01, 0.99)
+GOOD_AT_FIRST = 0.8
+#: Chances of the votes bad, good and none on a bad and on a good document before the first round: rules seldom vote bad
+#: on a good document, which fixes the meaning of the two classes.
+VOTES_AT_FIRST = ((0.3, 0.5, 0.2), (0.02, 0.9, 0.08))
+#: Rows that each chance counts for before any row is seen.
+PRIOR_ROWS = 2.0
 
 FEATURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_lines long, n_closed_lines long, n_upper long, n_letters long, n_marks long"
+    "n_lines long, n_closed_lines long, n_upper long, n_letters long, n_marks long, n_symbol_words long, n_plain_words long"
 )
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LOWER = bytes(range(ord("a"), ord("z") + 1))
+_SYMBOLS = SYMBOLS.encode()
+_AROUND = ".,;:!?()\"'«»¿¡"
 _SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -77,7 +82,10 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     upper = len(raw) - len(raw.translate(None, _UPPER))
     lower = len(raw) - len(raw.translate(None, _LOWER))
     marks = raw.count(b"!") + raw.count(b"?")
-    return len(words), sum(map(len, words)), sum(map((text or "").count, SYMBOLS)), again, repeated_words(words), lines, closed, upper, upper + lower, marks
+    symbols = sum(map((text or "").count, SYMBOLS))
+    with_symbol = sum(len(w) != len(w.translate(None, _SYMBOLS)) for w in raw.split()) if symbols else 0
+    plain = sum(w.strip(_AROUND).isalpha() for w in words)
+    return len(words), sum(map(len, words)), symbols, again, repeated_words(words), lines, closed, upper, upper + lower, marks, with_symbol, plain
 
 
 def counts_of(text: Column) -> Column:
@@ -109,6 +117,9 @@ def rules(c: Field = F.col) -> dict[str, Column]:
         "length": _vote(words < MIN_WORDS, words >= 50),
         "word_length": _vote((c("word_chars") < 2 * words) | (c("word_chars") > 12 * words), (2 * c("word_chars") >= 7 * words) & (2 * c("word_chars") <= 17 * words)),
         "symbols": _vote(5 * c("n_symbols") > words, 50 * c("n_symbols") <= words),
+        "symbol_words": _vote(5 * c("n_symbol_words") > words, 50 * c("n_symbol_words") <= words),
+        "symbol_share": _vote(20 * c("n_symbols") > c("word_chars"), 200 * c("n_symbols") <= c("word_chars")),
+        "plain_words": _vote(10 * c("n_plain_words") < 7 * words, 10 * c("n_plain_words") >= 9 * words),
         "repeated_lines": _vote(10 * c("n_dup_lines") > 4 * lines, 10 * c("n_dup_lines") <= lines),
         "repeated_words": _vote(5 * c("n_repeat_words") > words, 20 * c("n_repeat_words") <= words),
         "capitals": _vote(10 * c("n_upper") > 4 * c("n_letters"), 10 * c("n_upper") <= c("n_letters")),
@@ -118,50 +129,33 @@ def rules(c: Field = F.col) -> dict[str, Column]:
 
 
 class LabelModel:
-    """Share of good documents, and for each rule its voting rates on good and bad ones and its accuracy."""
+    """Share of good documents, and for each rule and class the chances of the votes bad, good and none."""
 
-    def __init__(self, good: float, votes_good: np.ndarray, votes_bad: np.ndarray, right: np.ndarray):
-        self.good, self.votes_good, self.votes_bad, self.right = good, votes_good, votes_bad, right
+    def __init__(self, good: float, votes: np.ndarray):
+        self.good, self.votes = good, votes  # votes[class, rule, vote]
 
-    def log_odds(self) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Prior, and the evidence of a good vote, a bad vote and an abstention of each rule."""
-        vg, vb, r = self.votes_good, self.votes_bad, self.right
-        return (
-            math.log(self.good / (1 - self.good)),
-            np.log(vg * r / (vb * (1 - r))),
-            np.log(vg * (1 - r) / (vb * r)),
-            np.log((1 - vg) / (1 - vb)),
-        )
+    def evidence(self) -> tuple[float, np.ndarray]:
+        """Prior log-odds of good, and what each vote of each rule adds."""
+        return math.log(self.good / (1 - self.good)), np.log(self.votes[1] / self.votes[0])
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """Probability of good for rows of votes 1, 0 and -1 (abstains)."""
-        prior, yes, no, none = self.log_odds()
-        odds = prior + (np.where(votes == 1, yes, 0) + np.where(votes == 0, no, 0) + np.where(votes == -1, none, 0)).sum(axis=1)
+        """Probability of good for rows of votes 0 (bad), 1 (good) and 2 (none)."""
+        prior, added = self.evidence()
+        odds = prior + added[np.arange(votes.shape[1]), votes].sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation over distinct vote patterns. No rows leave the starting values.
-
-    Accuracies stay above one half, which fixes the meaning of the two classes.
-    """
-    k = patterns.shape[1]
-    model = LabelModel(GOOD_AT_FIRST, np.full(k, 0.9), np.full(k, 0.9), np.full(k, RIGHT_AT_FIRST))
-    total = counts.sum()
-    if not total:
-        return model
+    """Expectation-maximisation over distinct vote patterns. No rows leave the starting values."""
+    first = np.array(VOTES_AT_FIRST)[:, None, :].repeat(patterns.shape[1], axis=1)
+    model = LabelModel(GOOD_AT_FIRST, first)
+    cast = np.stack([patterns == v for v in range(3)], axis=2)
     for _ in range(rounds):
         p = model.posterior(patterns)
-        g, b = counts * p, counts * (1 - p)
-        voted = patterns >= 0
-        right = (g[:, None] * (patterns == 1) + b[:, None] * (patterns == 0)).sum(axis=0)
-        n_voted = (counts[:, None] * voted).sum(axis=0)
-        model = LabelModel(
-            float(np.clip(g.sum() / total, *VOTE_RANGE)),
-            np.clip((g[:, None] * voted).sum(axis=0) / max(g.sum(), 1e-12), *VOTE_RANGE),
-            np.clip((b[:, None] * voted).sum(axis=0) / max(b.sum(), 1e-12), *VOTE_RANGE),
-            np.clip(right / np.maximum(n_voted, 1e-12), *RIGHT_RANGE),
-        )
+        weights = np.stack([counts * (1 - p), counts * p])
+        seen = np.einsum("cn,nrv->crv", weights, cast) + PRIOR_ROWS * first
+        good = (weights[1].sum() + PRIOR_ROWS * GOOD_AT_FIRST) / (counts.sum() + PRIOR_ROWS)
+        model = LabelModel(float(good), seen / seen.sum(axis=2, keepdims=True))
     return model
 
 
@@ -178,15 +172,15 @@ def label_model(counted: DataFrame, c: Field = F.col) -> LabelModel:
     k = len(rules())
     seen = sorted(counted.groupBy(_pattern(c).alias("pattern")).count().collect())  # at most 3 ** k rows
     digits = np.array([[(p // 3 ** (k - 1 - i)) % 3 for i in range(k)] for p, _ in seen], dtype=int).reshape(-1, k)
-    return fit(np.where(digits == 2, -1, digits), np.array([n for _, n in seen], dtype=float))
+    return fit(digits, np.array([n for _, n in seen], dtype=float))
 
 
 def p_good(model: LabelModel, c: Field = F.col) -> Column:
     """The posterior probability of good as an expression over the counts."""
-    prior, yes, no, none = model.log_odds()
+    prior, added = model.evidence()
     odds = F.lit(prior)
-    for vote, y, n, a in zip(rules(c).values(), yes, no, none):
-        odds = odds + F.when(vote == 1, F.lit(float(y))).when(vote == 0, F.lit(float(n))).otherwise(F.lit(float(a)))
+    for vote, (bad, good, none) in zip(rules(c).values(), added.tolist()):
+        odds = odds + F.when(vote == 1, F.lit(good)).when(vote == 0, F.lit(bad)).otherwise(F.lit(none))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
