@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webfacts.functions import text
@@ -71,6 +71,36 @@ def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None
     )
 
 
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(term), F.lit(buckets)).alias("bucket")
+
+
+def store_postings(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 64, mode: str = "overwrite") -> None:
+    """Write the index of ``docs``: postings in folders by term hash, and the totals that ranking needs.
+
+    With ``mode="append"`` new documents are added to a stored index; a document must not be added twice.
+    """
+    index = postings(docs, id_col, text_col)
+    index.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(f"{path}/postings")
+    lengths = docs.select(F.size(text.tokens(text_col)).alias("n"))
+    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
+    totals.withColumn("buckets", F.lit(buckets)).write.mode(mode).parquet(f"{path}/totals")
+
+
+def stored_postings(spark: SparkSession, path: str, query: str) -> tuple[DataFrame, DataFrame]:
+    """Postings of the query's terms and the corpus totals of a stored index, ready for :func:`bm25`.
+
+    Only the folders of the terms' hashes are read.
+    """
+    totals = spark.read.parquet(f"{path}/totals")
+    buckets = totals.agg(F.max("buckets")).first()[0]
+    terms = text.query_terms(query)
+    wanted = [_bucket(F.lit(t), buckets) for t in terms]
+    index = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
+    size = totals.agg(F.sum("n_docs").cast("double").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_docs")).alias("avg_len"))
+    return index, size
+
+
 def bm25(index: DataFrame, corpus_size: DataFrame, query: str, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 over :func:`postings`. ``corpus_size`` is one row ``(n_docs, avg_len)``; it enters as scalars."""
     terms = text.query_terms(query)

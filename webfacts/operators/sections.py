@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webfacts.operators.aggregates import top_per_key
-from webfacts.operators.ordered import OrderedRows
 
 
 def cap_per_type(sections: DataFrame, page: str, kind: str, confidence: str, position: str, n: int) -> DataFrame:
@@ -43,10 +42,12 @@ def section_height(headings: Column, paragraphs: Column, images: Column, buttons
 
 def with_offsets(sections: DataFrame, page: str, position: str, height: str = "height") -> DataFrame:
     """``start_y`` = heights above, ``estimated_top`` = its share of the page in percent, at most 100."""
-    rows = OrderedRows(sections, [page], [position]).sum_before(start_y=F.col(height)).rows()
-    total = sections.groupBy(page).agg(F.sum(height).alias("_total"))
+    # all sections of a page come from one page row, so a window per page is bounded by it
+    w = Window.partitionBy(page)
+    above = w.orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+    rows = sections.withColumns({"start_y": F.coalesce(F.sum(height).over(above), F.lit(0)), "_total": F.sum(height).over(w)})
     share = F.when(F.col("_total") > 0, F.least(F.lit(100.0), F.col("start_y") * 100 / F.col("_total"))).otherwise(0.0)
-    return rows.join(total, page).withColumn("estimated_top", share).drop("_total")
+    return rows.withColumn("estimated_top", share).drop("_total")
 
 
 def relabel_by_context(sections: DataFrame, page: str, position: str) -> DataFrame:
@@ -57,9 +58,9 @@ def relabel_by_context(sections: DataFrame, page: str, position: str) -> DataFra
     Such a section copies the feature state, so the chain is a last-known-value scan over the sections that
     decide for themselves.
     """
-    o = OrderedRows(sections, [page], [position]).row_number("_i")
-    size = sections.groupBy(page).agg(F.count(F.lit(1)).alias("_n"))
-    rows = o.df.join(size, page)
+    w = Window.partitionBy(page)
+    in_order = w.orderBy(position)
+    rows = sections.withColumns({"_i": F.row_number().over(in_order), "_n": F.count(F.lit(1)).over(w)})
     kind, conf, i, n = F.col("_t"), F.col("_c"), F.col("_i"), F.col("_n")
     headline = F.col("has_h1") & (F.col("n_buttons") > 0)
 
@@ -74,8 +75,7 @@ def relabel_by_context(sections: DataFrame, page: str, position: str) -> DataFra
     df = apply(df, (i == 1) & weak & opening.isNotNull(), opening, 0.6)
     df = df.withColumn("_c", F.when((i == 1) & kind.isin("navigation", "hero"), F.least(conf * 1.1, F.lit(1.0))).otherwise(conf))
     # the second section looks at the first one only; the first one does not depend on others
-    first = df.filter(i == 1).select(page, (kind == "navigation").alias("_nav"))
-    df = df.join(first, page, "left")
+    df = df.withColumn("_nav", F.first(kind == "navigation").over(in_order))
     df = apply(df, (i == 2) & F.col("_nav") & (kind == "unknown") & headline, "hero", 0.7)
     closing = F.when(F.col("has_copyright"), 0.8).when(F.col("tag") == "footer", 0.9)
     df = apply(df, (i == n) & weak & closing.isNotNull(), "footer", closing)
@@ -94,7 +94,8 @@ def relabel_by_context(sections: DataFrame, page: str, position: str) -> DataFra
     df = df.withColumn("_tail", F.when((kind == "unknown") & (conf < 0.3), tail))
     alone = F.coalesce(F.col("_tail.t"), kind)
     decides = F.when(F.col("_copy") & (alone != "feature"), F.lit(None).cast("boolean")).otherwise(alone == "feature")
-    scan = o._with(df.withColumn("_decides", decides)).last_known_before(_after_feature="_decides").rows()
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    scan = df.withColumn("_decides", decides).withColumn("_after_feature", F.last("_decides", ignorenulls=True).over(before))
     copied = F.col("_copy") & F.coalesce("_after_feature", F.lit(False))
     return scan.withColumns(
         {

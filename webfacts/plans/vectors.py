@@ -70,15 +70,15 @@ def vec_07(spark, d):
     return out.select("doc_id", r6("text_rank", "text_rank"))
 
 
-@query(
-    "vec_07b_bm25",
-    f"""
+BM25_SQL = f"""
     WITH dt AS (SELECT doc_id, {DOC_TOKENS} AS k FROM documents), st AS (SELECT count(*) AS n, avg(len(k)) AS al FROM dt),
     p AS (SELECT doc_id, len(k) AS dl, w AS term, len(list_filter(k, lambda x: x = w)) AS tf FROM dt, (VALUES ('les'), ('dans')) AS q(w) WHERE list_contains(k, w)),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term)
     SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / al))), 6) AS bm25
-    FROM p JOIN df USING (term), st GROUP BY doc_id HAVING count(*) = 2""",
-)
+    FROM p JOIN df USING (term), st GROUP BY doc_id HAVING count(*) = 2"""
+
+
+@query("vec_07b_bm25", BM25_SQL)
 def vec_07b(spark, d):
     from webfacts.functions.text import query_terms, tokens
 
@@ -88,6 +88,20 @@ def vec_07b(spark, d):
     return out.select("doc_id", r6("bm25", "bm25"))
 
 
+@query("vec_07c_stored_bm25", BM25_SQL)
+def vec_07c(spark, d):
+    import uuid
+
+    from webfacts.session import ensure_checkpoint_dir
+
+    docs, path = t(spark, d, "documents").select("doc_id", "text"), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    late = F.col("doc_id") % 10 == 0
+    search.store_postings(docs.filter(~late), path, "doc_id", "text")
+    search.store_postings(docs.filter(late), path, "doc_id", "text", mode="append")
+    index, size = search.stored_postings(spark, path, "les dans")
+    return search.bm25(index, size, "les dans", "doc_id").select("doc_id", r6("bm25", "bm25"))
+
+
 @query("vec_08_rrf_weight", "SELECT event_id, round(1.0::DOUBLE / (60 + 1 + event_id), 9) AS w FROM events")
 def vec_08(spark, d):
     return t(spark, d, "events").select("event_id", F.round(search.rrf_score(F.col("event_id") + 1), 9).alias("w"))
