@@ -6,8 +6,8 @@ Lines are sets of words; two lines match at Jaccard similarity 0.8 or more, and
 Words become numbers that sort from rare to frequent: corpus counts over a fixed number of hash buckets give each bucket
 a frequency class, which goes in front of the hash. Equal lines are folded to their first place. Of n words, only the
 rarest n - ceil(0.8 n) + 1 are posted: two lines with no common posted word cannot match. Postings meet by word; before a
-pair is made, lengths and positions bound the overlap it can have, and 64 parities of the words bound the words it cannot
-share. Remaining pairs are verified on the words themselves.
+pair is made, lengths and positions bound the overlap it can have, and 48 parities of the words bound the words it cannot
+share. Remaining pairs are verified on the words themselves, and the later of two first places goes.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfacts.llm.common import fresh, text_or_empty
-from webfacts.session import cut
+from webfacts.llm.common import fresh, stored, text_or_empty
 
 #: Jaccard threshold as a fraction.
 SHARE = (4, 5)
@@ -77,52 +76,63 @@ def _numbers(words: Column, classes: list[int], bits: int = CLASS_BITS) -> Colum
 
 
 def _parities(numbers: Column) -> Column:
-    """64 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
+    """48 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
     return F.aggregate(
-        numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int")))
+        numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % 48).cast("int")))
     )
 
 
 def _postings(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """``id, tie, pos, line, n, bits, i, word`` of the first place of every distinct line: its rarest words with their position."""
+    """``word, line, bits, size`` of every distinct line: its rarest words, as 40 bits of their hash.
+
+    ``size`` holds the number of words and the position of the word, which keeps a posting at four numbers.
+    """
     up, down = SHARE
-    counted = lines.select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), classes).alias("numbers"))
+    counted = lines.select("line", F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), classes).alias("numbers"))
     n = F.size("numbers")
     need = F.floor((n * up + down - 1) / F.lit(down)).cast("int")
-    held = counted.select(*PLACE, "again", n.alias("n"), _parities(F.col("numbers")).alias("bits"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
-    place = F.struct(F.col("id").isNull().alias("none"), *PLACE, "n", "bits", "rare")
-    first = held.groupBy(F.col("line").alias("l"), "again").agg(F.min(place).alias("f"))
-    return first.select(*[f"f.{c}" for c in PLACE], "f.n", "f.bits", F.posexplode("f.rare").alias("i", "word"))
+    held = counted.select("line", "again", n.alias("n"), _parities(F.col("numbers")).alias("bits"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
+    # equal bodies have equal words, so any of them will do
+    distinct = held.groupBy("line", "again").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare"))
+    posted = distinct.select("line", "n", "bits", F.posexplode("rare").alias("i", "number"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
+    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "line", "bits", size.alias("size"))
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs of places that can reach the threshold, ``a_*`` before ``b_*``."""
+    """Pairs of line hashes ``a < b`` that can reach the threshold."""
     up, down = SHARE
-    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in (*PLACE, "n", "i", "bits")]) for s in ("a_", "b_")]
-    na, nb, ia, ib = F.col("a_n"), F.col("b_n"), F.col("a_i"), F.col("b_i")
+    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in ("line", "bits", "size")]) for s in ("a_", "b_")]
+    n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**32 - 1)))
+    na, nb, ia, ib = n("a_"), n("b_"), i("a_"), i("b_")
     long_enough = (na * down >= nb * up) & (nb * down >= na * up)
     most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     overlap = most * (up + down) >= (na + nb) * up
     # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
     close = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (up + down) <= (na + nb) * (down - up)
-    met = sides[0].join(sides[1], "word").filter(close & long_enough & overlap & (_order("a_") < _order("b_")))
-    return met.select(*[s + c for s in ("a_", "b_") for c in PLACE]).distinct()
+    met = sides[0].join(sides[1], "word").filter((F.col("a_line") < F.col("b_line")) & close & long_enough & overlap)
+    return met.select(F.col("a_line").alias("a"), F.col("b_line").alias("b")).distinct()
 
 
 def matching_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """First places of distinct lines that match an earlier, different line."""
+    """First places ``at`` of distinct lines that match an earlier, different line."""
     up, down = SHARE
     lines = _lines(docs, doc_id, text)
-    at = {s: F.struct(*[F.col(s + c).alias(c) for c in PLACE]) for s in ("", "a_", "b_")}
-    pairs = cut(_candidates(_postings(lines, word_classes(docs, text))).select(at["a_"].alias("a"), at["b_"].alias("b")))
-    wanted = cut(pairs.select(F.col("a").alias("at")).union(pairs.select("b")).distinct())
+    pairs = stored(_candidates(_postings(lines, word_classes(docs, text))))
+    wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
     small = wanted.count() <= broadcast_lines
-    bodies = lines.withColumn("at", at[""]).join(F.broadcast(wanted) if small else wanted, "at", "left_semi")
-    words = cut(bodies.select("at", F.array_distinct(_words(F.col("body"))).alias("words")).dropDuplicates(["at"]))
-    both = pairs.join(words.select(F.col("at").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("at").alias("b"), F.col("words").alias("wb")), "b")
+    found = lines.join(F.broadcast(wanted) if small else wanted, "line", "left_semi")
+    # one row per distinct body, with its first place
+    place = F.struct(F.col("id").isNull().alias("none"), *PLACE)
+    bodies = found.groupBy("line", F.xxhash64(F.lit(1), "body").alias("again")).agg(F.min(place).alias("at"), F.first("body").alias("body"))
+    side = lambda s: bodies.select(F.col("line").alias(s), F.col("at").alias(f"at_{s}"), F.col("body").alias(f"body_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     common = F.size(F.array_intersect("wa", "wb"))
     alike = common * down >= (F.size("wa") + F.size("wb") - common) * up
-    return both.filter(alike).select(F.col("b").alias("at")).distinct()
+    words = lambda s: F.array_distinct(_words(F.col(f"body_{s}")))
+    met = both.select("at_a", "at_b", words("a").alias("wa"), words("b").alias("wb")).filter(alike)
+    later = met.select(F.greatest("at_a", "at_b").alias("f"))
+    return later.select(F.struct(*[F.col(f"f.{c}").alias(c) for c in PLACE]).alias("at")).distinct()
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
