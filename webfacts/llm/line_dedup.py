@@ -49,11 +49,6 @@ def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).withColumn("line", F.xxhash64("body"))
 
 
-def _order(prefix: str = "") -> Column:
-    c = {n: F.col(prefix + n) for n in PLACE}
-    return F.struct(c["id"].isNull().alias("none"), *[c[n].alias(n) for n in PLACE])
-
-
 def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) -> list[int]:
     """Frequency class (four to an octave) of each of 2 ** ``bits`` hash buckets, by all words of the corpus."""
     flat = _spaced(F.replace(text_or_empty(text), F.lit("\n"), F.lit(" ")))
@@ -114,32 +109,53 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return met.select(F.col("a_line").alias("a"), F.col("b_line").alias("b")).distinct()
 
 
-def matching_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """First places ``at`` of distinct lines that match an earlier, different line."""
+def _first_places(lines: DataFrame) -> DataFrame:
+    """``line, at``: the first place of every distinct body, in document and line order."""
+    places = lines.select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"))
+    place = F.struct(F.col("id").isNull().alias("none"), *PLACE)
+    return places.groupBy(F.col("line").alias("l"), "again").agg(F.min(place).alias("at")).select(F.col("l").alias("line"), "at")
+
+
+def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The ``late`` places of ``pairs(early, late)`` that reach the threshold, by the words themselves."""
     up, down = SHARE
+    # a repeated row has a body twice; the fold shares the exchange of the join
+    once = bodies.groupBy("at").agg(F.first("body").alias("body"))
+    side = lambda s: once.select(F.col("at").alias(s), F.col("body").alias(f"body_{s}"))
+    both = pairs.join(side("early"), "early").join(side("late"), "late")
+    words = lambda s: F.array_distinct(_words(F.col(f"body_{s}")))
+    common = F.size(F.array_intersect("we", "wl"))
+    alike = common * down >= (F.size("we") + F.size("wl") - common) * up
+    return both.select("late", words("early").alias("we"), words("late").alias("wl")).filter(alike).select("late").distinct()
+
+
+def matching_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES, places: DataFrame | None = None) -> DataFrame:
+    """First places ``at`` of distinct lines that match an earlier, different line.
+
+    One match is enough to lose a line, so each line is first held against the earliest of its candidates; only lines
+    that this does not settle are held against all the others. A group of many alike lines thus costs one comparison a line.
+    """
     lines = _lines(docs, doc_id, text)
+    places = stored(_first_places(lines)) if places is None else places
     pairs = stored(_candidates(_postings(lines, word_classes(docs, text))))
-    wanted = stored(pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct())
-    small = wanted.count() <= broadcast_lines
-    found = lines.join(F.broadcast(wanted) if small else wanted, "line", "left_semi")
-    # one row per distinct body, with its first place
-    place = F.struct(F.col("id").isNull().alias("none"), *PLACE)
-    bodies = found.groupBy("line", F.xxhash64(F.lit(1), "body").alias("again")).agg(F.min(place).alias("at"), F.first("body").alias("body"))
-    side = lambda s: bodies.select(F.col("line").alias(s), F.col("at").alias(f"at_{s}"), F.col("body").alias(f"body_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.size(F.array_intersect("wa", "wb"))
-    alike = common * down >= (F.size("wa") + F.size("wb") - common) * up
-    words = lambda s: F.array_distinct(_words(F.col(f"body_{s}")))
-    met = both.select("at_a", "at_b", words("a").alias("wa"), words("b").alias("wb")).filter(alike)
-    later = met.select(F.greatest("at_a", "at_b").alias("f"))
-    return later.select(F.struct(*[F.col(f"f.{c}").alias(c) for c in PLACE]).alias("at")).distinct()
+    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
+    known = stored(places.join(wanted, "line", "left_semi"))
+    small = known.count() <= broadcast_lines
+    held = F.broadcast(known) if small else known
+    where = F.struct(F.col("id").isNull().alias("none"), *PLACE)
+    bodies = stored(lines.select(where.alias("at"), "body").join(F.broadcast(known.select("at")) if small else known.select("at"), "at", "left_semi"))
+    side = lambda s: held.select(F.col("line").alias(s), F.col("at").alias(f"at_{s}"))
+    placed = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b").alias("late"))
+    first = placed.groupBy("late").agg(F.min("early").alias("early"))
+    settled = stored(_alike(first, bodies))
+    rest = placed.join(settled, "late", "left_anti").distinct()
+    return settled.union(_alike(rest, bodies)).select(F.col("late").alias("at"))
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``id, tie, kept``: for every document that keeps a line with words, the positions of those lines, rising."""
-    lines = _lines(docs, doc_id, text).select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"))
-    first = lines.groupBy(F.col("line").alias("l"), "again").agg(F.min(_order()).alias("f")).select(F.struct(*[F.col(f"f.{c}").alias(c) for c in PLACE]).alias("at"))
-    stay = first.join(matching_lines(docs, doc_id, text, broadcast_lines), "at", "left_anti")
+    places = stored(_first_places(_lines(docs, doc_id, text)))
+    stay = places.join(matching_lines(docs, doc_id, text, broadcast_lines, places), "at", "left_anti")
     return stay.groupBy("at.id", "at.tie").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
