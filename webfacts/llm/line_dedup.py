@@ -6,7 +6,7 @@ Lines are sets of words; two lines match at Jaccard similarity 0.8 or more, and
 Words become numbers that sort from rare to frequent: corpus counts over a fixed number of hash buckets give each bucket
 a frequency class, which goes in front of the hash. Equal lines are folded to their first place. Of n words, only the
 rarest n - ceil(0.8 n) + 1 are posted: two lines with no common posted word cannot match. Postings meet by word; before a
-pair is made, lengths and positions bound the overlap it can have, and 48 parities of the words bound the words it cannot
+pair is made, lengths and positions bound the overlap it can have, and 128 parities of the words bound the words it cannot
 share. Remaining pairs are verified on the words themselves, and the later of two first places goes.
 """
 
@@ -70,41 +70,46 @@ def _numbers(words: Column, classes: list[int], bits: int = CLASS_BITS) -> Colum
     return F.sort_array(F.array_distinct(F.transform(words, number)))
 
 
-def _parities(numbers: Column) -> Column:
-    """48 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
-    return F.aggregate(
-        numbers, F.lit(0).cast("long"), lambda bits, x: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (x % 48).cast("int")))
-    )
+def _parities(numbers: Column, half: int) -> Column:
+    """64 of 128 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
+    one = F.lit(1).cast("long")
+
+    def flip(bits: Column, x: Column) -> Column:
+        mine = x.bitwiseAND(F.lit(64)) == half * 64
+        return F.when(mine, bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits)
+
+    return F.aggregate(numbers, F.lit(0).cast("long"), flip)
 
 
 def _postings(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """``word, line, bits, size`` of every distinct line: its rarest words, as 40 bits of their hash.
+    """``word, line, bits0, bits1, size`` of every distinct line: its rarest words, as 40 bits of their hash.
 
-    ``size`` holds the number of words and the position of the word, which keeps a posting at four numbers.
+    ``size`` holds the number of words and the position of the word, which keeps a posting at five numbers.
     """
     up, down = SHARE
     counted = lines.select("line", F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), classes).alias("numbers"))
     n = F.size("numbers")
     need = F.floor((n * up + down - 1) / F.lit(down)).cast("int")
-    held = counted.select("line", "again", n.alias("n"), _parities(F.col("numbers")).alias("bits"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
+    held = counted.select("line", "again", n.alias("n"), _parities(F.col("numbers"), 0).alias("bits0"), _parities(F.col("numbers"), 1).alias("bits1"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
     # equal bodies have equal words, so any of them will do
-    distinct = held.groupBy("line", "again").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("rare").alias("rare"))
-    posted = distinct.select("line", "n", "bits", F.posexplode("rare").alias("i", "number"))
+    distinct = held.groupBy("line", "again").agg(F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("rare").alias("rare"))
+    posted = distinct.select("line", "n", "bits0", "bits1", F.posexplode("rare").alias("i", "number"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
-    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "line", "bits", size.alias("size"))
+    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "line", "bits0", "bits1", size.alias("size"))
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
     """Pairs of line hashes ``a < b`` that can reach the threshold."""
     up, down = SHARE
-    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in ("line", "bits", "size")]) for s in ("a_", "b_")]
+    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in ("line", "bits0", "bits1", "size")]) for s in ("a_", "b_")]
     n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**32 - 1)))
     na, nb, ia, ib = n("a_"), n("b_"), i("a_"), i("b_")
     long_enough = (na * down >= nb * up) & (nb * down >= na * up)
     most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
     overlap = most * (up + down) >= (na + nb) * up
     # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
-    close = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (up + down) <= (na + nb) * (down - up)
+    apart = sum(F.bit_count(F.col(f"a_bits{h}").bitwiseXOR(F.col(f"b_bits{h}"))) for h in (0, 1))
+    close = apart * (up + down) <= (na + nb) * (down - up)
     met = sides[0].join(sides[1], "word").filter((F.col("a_line") < F.col("b_line")) & close & long_enough & overlap)
     return met.select(F.col("a_line").alias("a"), F.col("b_line").alias("b")).distinct()
 
