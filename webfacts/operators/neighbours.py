@@ -207,17 +207,15 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     return _expand(rows, reps, first.unionByName(second), id_col, k, floor)
 
 
-def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, tables: int = 8, bits: int = 6, refine: int = 3, seed: int = 17) -> DataFrame:
+def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, tables: int = 8, bits: int = 6, seed: int = 17) -> DataFrame:
     """Approximate ``k`` nearest rows: random-hyperplane signatures, exact rerank inside the buckets.
 
-    A bucket above ``BLOCK_ROWS`` is refined by further signature bits, up to ``refine`` times ``bits`` more;
-    one that stays large is still searched completely, in blocks.
+    Every signature has ``bits`` bits, whatever the size of its bucket; a bucket of any size is searched completely, in
+    blocks. Recall therefore depends on ``tables`` and ``bits`` only, not on the number of rows.
     """
     floor = -1.0 if min_similarity is None else float(min_similarity)
     rows, reps = _representatives(corpus, id_col, vector, None)
     reps = cut(reps)
-    levels = refine + 1
-    total_bits = bits * levels
 
     def sign(batches):
         planes = None
@@ -226,23 +224,14 @@ def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity:
                 continue
             vec = _matrix(pdf["vec"])
             if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((tables * total_bits, vec.shape[1]))
-            on = (vec @ planes.T >= 0).reshape(len(vec), tables, levels, bits)
-            code = (on * (1 << np.arange(bits))).sum(axis=3)
-            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "codes": [[list(t) for t in row] for row in code.astype(int)]})
-
-    signed = cut(reps.select("rep", "vec").mapInPandas(sign, "rep long, codes array<array<int>>"))
-    signed = signed.select("rep", F.posexplode("codes").alias("tab", "code"))
-    prefix = lambda n: F.array_join(F.transform(F.slice("code", 1, n), lambda x: x.cast("string")), ".")
-    keyed = signed.withColumn("bucket", prefix(1))
-    for level in range(2, levels + 1):
-        crowded = keyed.groupBy("tab", "bucket").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > BLOCK_ROWS)
-        keyed = (
-            keyed.join(crowded, ["tab", "bucket"], "left")
-            .withColumn("bucket", F.when(F.col("_n").isNotNull(), prefix(level)).otherwise(F.col("bucket")))
-            .drop("_n")
-        )
-    placed = keyed.select("tab", "bucket", "rep").join(reps.select("rep", "vec"), "rep")
+                planes = np.random.default_rng(seed).standard_normal((tables * bits, vec.shape[1]))
+            on = (vec @ planes.T >= 0).reshape(len(vec), tables, bits)
+            code = (on * (1 << np.arange(bits))).sum(axis=2)
+            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "codes": list(code.astype(np.int64))})
+
+    signed = cut(reps.select("rep", "vec").mapInPandas(sign, "rep long, codes array<long>"))
+    signed = signed.select("rep", F.posexplode("codes").alias("tab", "bucket"))
+    placed = signed.join(reps.select("rep", "vec"), "rep")
     hits = _block_topk(placed, placed, ["tab", "bucket"], k, floor)
     pairs = hits.groupBy("rep", "target").agg(F.max("similarity").alias("similarity"))
     return _expand(rows, reps, pairs, id_col, k, floor)
