@@ -166,3 +166,23 @@ def test_classifier_on_documents(spark):
     flat = cotraining.classify(docs, labels.limit(0)).collect()
     assert len({round(r.score, 9) for r in flat}) == 1
     assert cotraining.classify(docs.limit(0), labels).count() == 0
+
+
+def test_co_training_reaches_rows_beyond_any_sample(spark, monkeypatch):
+    # one hot source fills nearly all of the corpus; a small one has no labels, its texts tell good from bad
+    prose, noise = [f"word{i} " * 20 + "." for i in range(50)], "LOUD!! " * 20 + "| #"
+    hot = [(i, prose[i % 50] if i % 2 or i > 200 else noise, "en", "hot" if i % 2 or i > 200 else "poor", 100) for i in range(12000)]
+    small = [(20000 + i, noise, "en", "small", 100) for i in range(40)]
+    docs = spark.createDataFrame(hot + small, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    seen, fit = [], cotraining._fit_handed
+
+    def spy(views, x, y, total, history, *rest):
+        seen.append(int(total(lambda f, s: np.array([float(len(s))]))[0]))
+        return fit(views, x, y, total, history, *rest)
+
+    monkeypatch.setattr(cotraining, "_fit_handed", spy)
+    got = {r.doc_id: r for r in cotraining.classify(docs, labels).collect()}
+    assert seen == [len(docs.collect()) - 200] * cotraining.ROUNDS
+    # the metadata view has learnt about the small source from the text view
+    assert all(got[20000 + i].p_meta < 0.2 < got[1].p_meta for i in range(40))
