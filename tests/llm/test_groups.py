@@ -208,6 +208,13 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), listed).count() == 0
 
 
+def test_listed_words_are_whole_words_of_the_text(spark):
+    html = ["<p>A sympathetic, empathetic page</p>", '<p class="scum">clean</p><script>idiot()</script>', "<p>Pathetic!</p>", "<b>you</b><i>scum</i>", None, "apathetic <!-- idiot -->"]
+    pages = spark.createDataFrame([(f"http://www.s{i}.org/a", h) for i, h in enumerate(html)], "url string, html string")
+    got = {r.canonical for r in url_filter.listed_by_words(pages, ("idiot", "scum", "pathetic")).collect()}
+    assert got == {"s2.org/a", "s3.org/a"}
+
+
 def test_bloom_blocks_pass_few_strangers(spark):
     keys = spark.range(4000).selectExpr("concat('k', id) AS canonical")
     pages = spark.range(20000).selectExpr("id AS page_id", "concat('http://s', id, '.org') AS url")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from webfacts.llm import cotraining, line_dedup, mixing, near_vectors, pieces, pii, quality_rules, simhash, token_counts, url_filter
 from webfacts.sources.tables import load
 
-#: Pages with one of these words in their HTML make the list of op3.
+#: Pages with one of these whole words in their visible text make the list of op3.
 LISTED_WORDS = ("idiot", "scum", "pathetic", "disgusting")
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webfacts.functions.html import html_text
 from webfacts.session import cut
 
 #: (verdict, host, path); a rule fits its host and all subdomains where the url's path starts with the rule's.
@@ -104,7 +105,7 @@ def judge_urls(
 
 
 def listed_by_words(pages: DataFrame, words: tuple[str, ...], url: str = "url", html: str = "html") -> DataFrame:
-    """A list made from the pages themselves: canonical URLs of pages whose HTML holds one of ``words``, whatever its case."""
-    pattern = "(?i)(" + "|".join(words) + ")"
-    hit = pages.filter(F.col(html).rlike(pattern)).select(host_of(url).alias("host"), path_of(url).alias("path"))
+    """A list made from the pages themselves: canonical URLs of pages whose visible text holds one of ``words`` as a whole word, whatever its case."""
+    pattern = r"(?i)(?<![\p{L}\p{N}_])(" + "|".join(words) + r")(?![\p{L}\p{N}_])"
+    hit = pages.filter(html_text(html).rlike(pattern)).select(host_of(url).alias("host"), path_of(url).alias("path"))
     return hit.select(canonical().alias("canonical"))
