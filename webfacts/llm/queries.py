@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webfacts.llm import cotraining, line_dedup, mixing, near_vectors, pieces, pii, quality_rules, simhash, token_counts, url_filter
+from webfacts.llm import cotraining, decontamination, line_dedup, mixing, near_vectors, periodic_runs, pieces, pii, quality_rules, simhash, token_counts, url_filter, whitening
 from webfacts.sources.tables import load
 
 #: Pages with one of these whole words in their visible text make the list of op3.
@@ -66,11 +66,27 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.line_report(load(spark, folder, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of repeated words of every document, and what is left without the repetitions."""
+    return periodic_runs.run_report(load(spark, folder, "documents"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the leading eight components, each of variance one."""
+    return whitening.whitened(load(spark, folder, "embeddings"))
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that lie in benchmark windows, and the items these come from."""
+    return decontamination.contamination(load(spark, folder, "documents"), load(spark, folder, "benchmark")).drop("longest")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_sentencepiece, op3_url_filter, op4_token_counts, op5_simhash, op6_mixing,
-        op7_quality_classifier, op8_near_vectors, op9_pii, op10_line_dedup,
+        op7_quality_classifier, op8_near_vectors, op9_pii, op10_line_dedup, op11_periodic_runs, op12_whitening,
+        op13_decontamination,
     )
 }
 
@@ -94,4 +110,26 @@ ORACLES: dict[str, str] = {
                f.rule IS NULL AND l.key IS NOT NULL AS listed
         FROM named n LEFT JOIN fits f USING (page_id) LEFT JOIN listed l ON n.key = l.key
     """,
+    "op13_decontamination": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM documents),
+        i AS (
+          SELECT item_id,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+          FROM benchmark),
+        s AS (SELECT item_id, w, least(len(w), 10) AS k FROM i WHERE len(w) > 0),
+        wins AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS win FROM s, unnest(range(1, len(w) - k + 2)) AS t(p)),
+        sizes AS (SELECT DISTINCT k FROM wins),
+        places AS (SELECT r, k, p, array_to_string(w[p:p + k - 1], ' ') AS win FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(p)),
+        met AS (SELECT r, p, k, item_id FROM places JOIN wins USING (k, win)),
+        hits AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT DISTINCT r, p, k FROM met) m, unnest(range(p, p + k)) AS t(q) GROUP BY r),
+        named AS (
+          SELECT r, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names
+          FROM (SELECT DISTINCT r, item_id FROM met) x GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n, 0) AS BIGINT) AS n_items,
+               sha256(coalesce(m.names, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits h USING (r) LEFT JOIN named m USING (r)
+    """,
 }
