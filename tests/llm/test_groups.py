@@ -273,6 +273,31 @@ def test_line_dedup(spark, broadcast_lines):
         assert line_dedup.line_report(docs.limit(0)).count() == 0 and line_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_line_groups_cost_a_few_pairs_a_line(spark):
+    """2000 lines that differ from a template in one word each, and 300 from a template that shares most words with it."""
+    import random
+
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(30)]
+    other = base[:24] + [f"v{i}" for i in range(9)]
+    rows = []
+    for i in range(2300):
+        w = list(base if i < 2000 else other)
+        w[rng.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    lines = line_dedup._lines(documents(spark, rows), "doc_id", "text")
+    distinct = line_dedup.stored(line_dedup.distinct_lines(lines, [0] * 2**line_dedup.CLASS_BITS))
+    heads = line_dedup.stored(line_dedup._heads(distinct))
+    assert heads.count() <= 4 * len(rows)
+    settled = line_dedup._verified(heads, lines, 10**6)
+    flagged = distinct.join(settled.withColumn("settled", line_dedup.F.lit(True)), ["doc", "spot"], "left").fillna(False, "settled")
+    assert flagged.filter("NOT settled").count() < 50 and line_dedup._candidates(line_dedup._postings(flagged)).count() < 20 * len(rows)
+    stay = {r.doc for r in line_dedup.remaining_places(documents(spark, rows)).collect()}
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for i in range(len(sets)) if not any(5 * len(sets[i] & s) >= 4 * len(sets[i] | s) for s in sets[:i])}
+    assert stay == want
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

@@ -4,16 +4,21 @@ Lines are sets of words; two lines match at Jaccard similarity 0.8 or more, and
 (documents by id, lines by position) goes, whether or not that earlier line stays itself.
 
 Words become numbers that sort from rare to frequent: corpus counts over a fixed number of hash buckets give each bucket
-a frequency class, which goes in front of the hash. Equal lines are folded to their first place. Of n words, only the
-rarest n - ceil(0.8 n) + 1 are posted: two lines with no common posted word cannot match. Postings meet by word; before a
-pair is made, lengths and positions bound the overlap it can have, and 128 parities of the words bound the words it cannot
-share. Remaining pairs are verified on the words themselves, and the later of two first places goes.
+a frequency class, which goes in front of the hash. Lines with equal sets of words are folded to their first place.
+
+One match is enough to lose a line. So before any pair is made, lines are grouped by a few small samples of their words, and
+each is held against the first line of its groups: a group of many alike lines costs a few comparisons a line and
+settles nearly all of them. The rest goes through the prefix join. Of n words, only the rarest n - ceil(0.8 n) + 1 are
+posted: two lines with no common posted word cannot match. Postings meet by word, a line that is not settled
+as the later one with any line as the earlier one; before a pair is made, lengths and positions bound the overlap it can
+have, and 128 parities of the words bound the words it cannot share. Pairs are verified on the words themselves.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from webfacts.llm.common import fresh, stored, text_or_empty
 
@@ -24,7 +29,8 @@ CLASS_BITS = 16
 BROADCAST_LINES = 500_000
 
 _BLANKS = "\t\x0b\x0c\r"
-PLACE = ["id", "tie", "pos", "line"]
+#: Bit of ``spot`` that marks lines of documents without id; they come last.
+_NO_ID = 62
 
 
 def _spaced(text: Column) -> Column:
@@ -44,9 +50,22 @@ def _document(doc_id: str, text: str) -> list[Column]:
 
 
 def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines that hold a word: ``id, tie, pos, body`` and the hash ``line`` of the body."""
-    split = docs.select(*_document(doc_id, text), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "body"))
-    return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).withColumn("line", F.xxhash64("body"))
+    """Lines that hold a word: their place ``doc, spot`` and ``body``.
+
+    ``doc`` is the id, or the hash of the text where there is none; ``spot`` the position, with a high bit where there is no id.
+    """
+    kind = docs.schema[doc_id].dataType
+    kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
+    doc = F.coalesce(F.col(doc_id).cast(kind), F.xxhash64(F.col(text)).cast(kind)).alias("doc")
+    split = docs.select(doc, F.col(doc_id).isNull().alias("none"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "body"))
+    spot = F.col("pos").cast("long") + F.when(F.col("none"), F.lit(1 << _NO_ID)).otherwise(F.lit(0))
+    return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc", spot.alias("spot"), "body")
+
+
+def _order(side: str = "") -> Column:
+    """Sorts places: documents by id, those without id last, lines by position."""
+    doc, spot = F.col(f"{side}doc"), F.col(f"{side}spot")
+    return F.struct((spot >= F.lit(1 << _NO_ID)).alias("none"), doc.alias("doc"), spot.alias("spot"))
 
 
 def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) -> list[int]:
@@ -59,109 +78,125 @@ def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) ->
     return [seen.get(b, 0) for b in range(2**bits)]
 
 
-def _numbers(words: Column, classes: list[int], bits: int = CLASS_BITS) -> Column:
-    """Distinct words as sorted numbers, rarest first: the class in the first byte, then 56 bits of the hash."""
+def _by_rarity(hashes: Column, classes: list[int], bits: int = CLASS_BITS) -> Column:
+    """The words as sorted numbers, rarest first: the class in the first byte, then 56 bits of the hash."""
     table = F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<bigint>")
 
-    def number(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
+    def number(h: Column) -> Column:
+        rank = F.coalesce(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), F.lit(0).cast("long"))
+        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words, number)))
+    return F.sort_array(F.transform(hashes, number))
 
 
-def _parities(numbers: Column, half: int) -> Column:
-    """64 of 128 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
+def _parities(hashes: Column) -> Column:
+    """64 parities: bit b tells whether an odd number of words falls on b. Where two lines differ in a bit they differ in a word."""
     one = F.lit(1).cast("long")
-
-    def flip(bits: Column, x: Column) -> Column:
-        mine = x.bitwiseAND(F.lit(64)) == half * 64
-        return F.when(mine, bits.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63)).cast("int")))).otherwise(bits)
-
-    return F.aggregate(numbers, F.lit(0).cast("long"), flip)
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda bits, h: bits.bitwiseXOR(F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _postings(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """``word, line, bits0, bits1, size`` of every distinct line: its rarest words, as 40 bits of their hash.
+def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
+    """One row per set of words, at its first place: ``doc, spot, n, bits0, bits1, samples, rare``.
 
-    ``size`` holds the number of words and the position of the word, which keeps a posting at five numbers.
+    ``samples`` are hashes of the two smallest, the two greatest and the two words next to zero on either side, by the hash
+    of the words; ``rare`` are the posted words.
     """
     up, down = SHARE
-    counted = lines.select("line", F.xxhash64(F.lit(1), "body").alias("again"), _numbers(_words(F.col("body")), classes).alias("numbers"))
-    n = F.size("numbers")
-    need = F.floor((n * up + down - 1) / F.lit(down)).cast("int")
-    held = counted.select("line", "again", n.alias("n"), _parities(F.col("numbers"), 0).alias("bits0"), _parities(F.col("numbers"), 1).alias("bits1"), F.slice("numbers", F.lit(1), n - need + 1).alias("rare"))
-    # equal bodies have equal words, so any of them will do
-    distinct = held.groupBy("line", "again").agg(F.first("n").alias("n"), F.first("bits0").alias("bits0"), F.first("bits1").alias("bits1"), F.first("rare").alias("rare"))
-    posted = distinct.select("line", "n", "bits0", "bits1", F.posexplode("rare").alias("i", "number"))
-    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long"))
-    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "line", "bits0", "bits1", size.alias("size"))
-
-
-def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs of line hashes ``a < b`` that can reach the threshold."""
+    hashed = lines.select("doc", "spot", F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))).alias("h"))
+    split = hashed.select("*", F.size("h").alias("n"), F.filter("h", lambda x: x >= 0).alias("upper")).withColumn("k", F.col("n") - F.size("upper"))
+    # the words with hashes below zero and the others have 64 parities each
+    halves = split.select("*", F.slice("h", F.lit(1), F.col("k")).alias("lower"))
+    need = F.floor((F.col("n") * up + down - 1) / F.lit(down)).cast("int")
+    ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)), F.slice("upper", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("k") - 1), F.lit(2))]
+    held = halves.select(
+        "doc", "spot", "n", F.xxhash64("h").alias("set"), F.xxhash64(F.lit(1), "h").alias("again"), _parities(F.col("lower")).alias("bits0"), _parities(F.col("upper")).alias("bits1"),
+        F.array(*[F.xxhash64(F.lit(i), e) for i, e in enumerate(ends)]).alias("samples"), F.slice(_by_rarity(F.col("h"), classes), F.lit(1), F.col("n") - need + 1).alias("rare"),
+    )
+    # equal sets have equal facts, so any of them will do
+    facts = ("n", "bits0", "bits1", "samples", "rare")
+    once = held.groupBy("set", "again").agg(F.min(_order()).alias("at"), *[F.first(c).alias(c) for c in facts])
+    return once.select("at.doc", "at.spot", *facts)
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether two lines can reach the threshold by their lengths and parities."""
     up, down = SHARE
-    sides = [postings.select("word", *[F.col(c).alias(s + c) for c in ("line", "bits0", "bits1", "size")]) for s in ("a_", "b_")]
-    n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**32 - 1)))
-    na, nb, ia, ib = n("a_"), n("b_"), i("a_"), i("b_")
-    long_enough = (na * down >= nb * up) & (nb * down >= na * up)
-    most = F.least(ia, ib) + 1 + F.least(na - ia - 1, nb - ib - 1)
-    overlap = most * (up + down) >= (na + nb) * up
+    na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
-    apart = sum(F.bit_count(F.col(f"a_bits{h}").bitwiseXOR(F.col(f"b_bits{h}"))) for h in (0, 1))
-    close = apart * (up + down) <= (na + nb) * (down - up)
-    met = sides[0].join(sides[1], "word").filter((F.col("a_line") < F.col("b_line")) & close & long_enough & overlap)
-    return met.select(F.col("a_line").alias("a"), F.col("b_line").alias("b")).distinct()
+    apart = sum(F.bit_count(F.col(f"{a}bits{h}").bitwiseXOR(F.col(f"{b}bits{h}"))) for h in (0, 1))
+    return (apart * (up + down) <= (na + nb) * (down - up)) & (na * down >= nb * up) & (nb * down >= na * up)
 
 
-def _first_places(lines: DataFrame) -> DataFrame:
-    """``line, at``: the first place of every distinct body, in document and line order."""
-    places = lines.select(*PLACE, F.xxhash64(F.lit(1), "body").alias("again"))
-    place = F.struct(F.col("id").isNull().alias("none"), *PLACE)
-    return places.groupBy(F.col("line").alias("l"), "again").agg(F.min(place).alias("at")).select(F.col("l").alias("line"), "at")
+def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
+    return rows.select(*more, *[F.col(c).alias(side + c) for c in rows.columns if c not in more])
 
 
-def _alike(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """The ``late`` places of ``pairs(early, late)`` that reach the threshold, by the words themselves."""
-    up, down = SHARE
-    # a repeated row has a body twice; the fold shares the exchange of the join
-    once = bodies.groupBy("at").agg(F.first("body").alias("body"))
-    side = lambda s: once.select(F.col("at").alias(s), F.col("body").alias(f"body_{s}"))
-    both = pairs.join(side("early"), "early").join(side("late"), "late")
-    words = lambda s: F.array_distinct(_words(F.col(f"body_{s}")))
-    common = F.size(F.array_intersect("we", "wl"))
-    alike = common * down >= (F.size("we") + F.size("wl") - common) * up
-    return both.select("late", words("early").alias("we"), words("late").alias("wl")).filter(alike).select("late").distinct()
+_PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
+
 
+def _heads(lines: DataFrame) -> DataFrame:
+    """Pairs of each line with the first lines that share a sample with it: at most four a line, however large a group is."""
+    facts = ("doc", "spot", "n", "bits0", "bits1")
+    sampled = lines.select(*facts, F.explode(F.array_distinct("samples")).alias("sample"))
+    first = sampled.groupBy("sample").agg(F.min(F.struct(_order().alias("at"), "n", "bits0", "bits1")).alias("x"), F.count(F.lit(1)).alias("size"))
+    first = first.filter("size > 1").select("sample", F.col("x.at.doc").alias("a_doc"), F.col("x.at.spot").alias("a_spot"), *[F.col(f"x.{c}").alias(f"a_{c}") for c in facts[2:]])
+    met = first.join(_named(sampled, "b_", "sample"), "sample").filter((_order("a_") < _order("b_")) & _close("a_", "b_"))
+    return met.select(*_PAIR).distinct()
 
-def matching_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES, places: DataFrame | None = None) -> DataFrame:
-    """First places ``at`` of distinct lines that match an earlier, different line.
 
-    One match is enough to lose a line, so each line is first held against the earliest of its candidates; only lines
-    that this does not settle are held against all the others. A group of many alike lines thus costs one comparison a line.
+def _postings(lines: DataFrame) -> DataFrame:
+    """``word, doc, spot, bits0, bits1, size`` of every line: its rarest words, as 40 bits of their hash.
+
+    ``size`` holds the number of words, whether the line is settled, and the position of the word, which keeps a posting at six numbers.
     """
-    lines = _lines(docs, doc_id, text)
-    places = stored(_first_places(lines)) if places is None else places
-    pairs = stored(_candidates(_postings(lines, word_classes(docs, text))))
-    wanted = pairs.select(F.col("a").alias("line")).union(pairs.select(F.col("b").alias("line"))).distinct()
-    known = stored(places.join(wanted, "line", "left_semi"))
+    posted = lines.select("doc", "spot", "n", "bits0", "bits1", "settled", F.posexplode("rare").alias("i", "number"))
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("settled").cast("long"), 31)).bitwiseOR(F.col("i").cast("long"))
+    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "doc", "spot", "bits0", "bits1", size.alias("size"))
+
+
+def _candidates(postings: DataFrame) -> DataFrame:
+    """Pairs of an earlier and a later, unsettled line that can reach the threshold."""
+    up, down = SHARE
+    n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**31 - 1)))
+    both = _named(postings, "a_", "word").join(_named(postings, "b_", "word"), "word").withColumns({s + "n": n(s) for s in ("a_", "b_")})
+    unsettled = F.col("b_size").bitwiseAND(F.lit(2**31)) == 0
+    most = F.least(i("a_"), i("b_")) + 1 + F.least(n("a_") - i("a_") - 1, n("b_") - i("b_") - 1)
+    overlap = most * (up + down) >= (n("a_") + n("b_")) * up
+    return both.filter(unsettled & (_order("a_") < _order("b_")) & _close("a_", "b_") & overlap).select(*_PAIR).distinct()
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, broadcast_lines: int) -> DataFrame:
+    """The later places ``doc, spot`` of ``pairs`` that reach the threshold, by the words themselves."""
+    up, down = SHARE
+    known = stored(pairs.select(F.col("a_doc").alias("doc"), F.col("a_spot").alias("spot")).union(pairs.select("b_doc", "b_spot")).distinct())
     small = known.count() <= broadcast_lines
-    held = F.broadcast(known) if small else known
-    where = F.struct(F.col("id").isNull().alias("none"), *PLACE)
-    bodies = stored(lines.select(where.alias("at"), "body").join(F.broadcast(known.select("at")) if small else known.select("at"), "at", "left_semi"))
-    side = lambda s: held.select(F.col("line").alias(s), F.col("at").alias(f"at_{s}"))
-    placed = pairs.join(side("a"), "a").join(side("b"), "b").select(F.least("at_a", "at_b").alias("early"), F.greatest("at_a", "at_b").alias("late"))
-    first = placed.groupBy("late").agg(F.min("early").alias("early"))
-    settled = stored(_alike(first, bodies))
-    rest = placed.join(settled, "late", "left_anti").distinct()
-    return settled.union(_alike(rest, bodies)).select(F.col("late").alias("at"))
+    wanted = lines.join(F.broadcast(known) if small else known, ["doc", "spot"], "left_semi")
+    # a repeated row has a body twice; the fold shares the exchange of the joins
+    bodies = stored(wanted).groupBy("doc", "spot").agg(F.first("body").alias("body"))
+    side = lambda s: bodies.select(F.col("doc").alias(s + "doc"), F.col("spot").alias(s + "spot"), F.col("body").alias(s + "body"))
+    both = pairs.join(side("a_"), ["a_doc", "a_spot"]).join(side("b_"), ["b_doc", "b_spot"])
+    words = lambda s: F.array_distinct(_words(F.col(f"{s}body")))
+    common = F.size(F.array_intersect("wa", "wb"))
+    alike = common * down >= (F.size("wa") + F.size("wb") - common) * up
+    return both.select("b_doc", "b_spot", words("a_").alias("wa"), words("b_").alias("wb")).filter(alike).select(F.col("b_doc").alias("doc"), F.col("b_spot").alias("spot")).distinct()
+
+
+def remaining_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """Places ``doc, spot`` of the lines that stay: first of their set of words, and not alike to an earlier line."""
+    lines = _lines(docs, doc_id, text)
+    distinct = stored(distinct_lines(lines, word_classes(docs, text)))
+    settled = stored(_verified(stored(_heads(distinct)), lines, broadcast_lines).withColumn("settled", F.lit(True)))
+    flagged = distinct.join(settled, ["doc", "spot"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    late = _verified(stored(_candidates(_postings(flagged))), lines, broadcast_lines)
+    return distinct.select("doc", "spot").join(settled.select("doc", "spot").union(late), ["doc", "spot"], "left_anti")
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``id, tie, kept``: for every document that keeps a line with words, the positions of those lines, rising."""
-    places = stored(_first_places(_lines(docs, doc_id, text)))
-    stay = places.join(matching_lines(docs, doc_id, text, broadcast_lines, places), "at", "left_anti")
-    return stay.groupBy("at.id", "at.tie").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
+    stay = remaining_places(docs, doc_id, text, broadcast_lines)
+    none, pos = F.col("spot") >= F.lit(1 << _NO_ID), F.col("spot").bitwiseAND(F.lit(2**31 - 1)).cast("int")
+    named = stay.select(F.when(~none, F.col("doc").cast(docs.schema[doc_id].dataType)).alias("id"), F.when(none, F.col("doc").cast("long")).otherwise(F.lit(0).cast("long")).alias("tie"), pos.alias("pos"))
+    return named.groupBy("id", "tie").agg(F.sort_array(F.collect_list("pos")).alias("kept"))
 
 
 def _joined(docs: DataFrame, doc_id: str, text: str, kept: DataFrame, key: str, name: str) -> DataFrame:
