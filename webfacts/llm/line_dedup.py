@@ -49,15 +49,17 @@ def _document(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("id"), F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("long")).alias("tie")]
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Lines that hold a word: their place ``doc, spot`` and ``body``.
+def _lines(docs: DataFrame, doc_id: str, text: str, of: DataFrame | None = None) -> DataFrame:
+    """Lines that hold a word, of all documents or those in the small table ``of``: their place ``doc, spot`` and ``body``.
 
     ``doc`` is the id, or the hash of the text where there is none; ``spot`` the position, with a high bit where there is no id.
     """
     kind = docs.schema[doc_id].dataType
     kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     doc = F.coalesce(F.col(doc_id).cast(kind), F.xxhash64(F.col(text)).cast(kind)).alias("doc")
-    split = docs.select(doc, F.col(doc_id).isNull().alias("none"), F.posexplode(F.split(text_or_empty(text), "\n")).alias("pos", "body"))
+    named = docs.select(doc, F.col(doc_id).isNull().alias("none"), text_or_empty(text).alias("text"))
+    named = named if of is None else named.join(F.broadcast(of), "doc", "left_semi")
+    split = named.select("doc", "none", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
     spot = F.col("pos").cast("long") + F.when(F.col("none"), F.lit(1 << _NO_ID)).otherwise(F.lit(0))
     return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc", spot.alias("spot"), "body")
 
@@ -96,9 +98,9 @@ def _parities(hashes: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per set of words, at its first place: ``doc, spot, n, bits0, bits1, samples, rare``.
+    """One row per set of words, at its first place: ``set, doc, spot, n, bits0, bits1, rare`` and the samples ``s0`` to ``s3``.
 
-    ``samples`` are hashes of the two smallest, the two greatest and the two words next to zero on either side, by the hash
+    Samples are hashes of the two smallest, the two greatest and the two words next to zero on either side, by the hash
     of the words; ``rare`` are the posted words.
     """
     up, down = SHARE
@@ -110,12 +112,16 @@ def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
     ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)), F.slice("upper", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("k") - 1), F.lit(2))]
     held = halves.select(
         "doc", "spot", "n", F.xxhash64("h").alias("set"), F.xxhash64(F.lit(1), "h").alias("again"), _parities(F.col("lower")).alias("bits0"), _parities(F.col("upper")).alias("bits1"),
-        F.array(*[F.xxhash64(F.lit(i), e) for i, e in enumerate(ends)]).alias("samples"), F.slice(_by_rarity(F.col("h"), classes), F.lit(1), F.col("n") - need + 1).alias("rare"),
+        *[F.xxhash64(F.lit(i), e).alias(f"s{i}") for i, e in enumerate(ends)], F.slice(_by_rarity(F.col("h"), classes), F.lit(1), F.col("n") - need + 1).alias("rare"),
     )
     # equal sets have equal facts, so any of them will do
-    facts = ("n", "bits0", "bits1", "samples", "rare")
+    facts = ("n", "bits0", "bits1", *_SAMPLES, "rare")
     once = held.groupBy("set", "again").agg(F.min(_order()).alias("at"), *[F.first(c).alias(c) for c in facts])
-    return once.select("at.doc", "at.spot", *facts)
+    return once.select("set", "at.doc", "at.spot", *facts)
+
+
+_SAMPLES = ("s0", "s1", "s2", "s3")
+_PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
 
 
 def _close(a: str, b: str) -> Column:
@@ -131,50 +137,66 @@ def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select(*more, *[F.col(c).alias(side + c) for c in rows.columns if c not in more])
 
 
-_PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
+def _rank() -> Column:
+    """A number that grows with the place, up to rounding; it only chooses what a line is held against first."""
+    doc = F.coalesce(F.col("doc").try_cast("double"), F.xxhash64("doc").cast("double"))
+    return doc + F.col("spot").bitwiseAND(F.lit(2**31 - 1)) / F.lit(2.0**22) + F.shiftright("spot", _NO_ID) * F.lit(2.0**65)
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """Pairs of each line with the first lines that share a sample with it: at most four a line, however large a group is."""
-    facts = ("doc", "spot", "n", "bits0", "bits1")
-    sampled = lines.select(*facts, F.explode(F.array_distinct("samples")).alias("sample"))
-    first = sampled.groupBy("sample").agg(F.min(F.struct(_order().alias("at"), "n", "bits0", "bits1")).alias("x"), F.count(F.lit(1)).alias("size"))
-    first = first.filter("size > 1").select("sample", F.col("x.at.doc").alias("a_doc"), F.col("x.at.spot").alias("a_spot"), *[F.col(f"x.{c}").alias(f"a_{c}") for c in facts[2:]])
-    met = first.join(_named(sampled, "b_", "sample"), "sample").filter((_order("a_") < _order("b_")) & _close("a_", "b_"))
-    return met.select(*_PAIR).distinct()
+    """Pairs of each line with the first lines that share a sample with it: about four a line, however large a group is."""
+    sampled = lines.select(_rank().alias("rank"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
+    first = sampled.groupBy("sample").agg(F.min("rank").alias("a_rank"), F.max("rank").alias("last")).filter("a_rank < last").drop("last")
+    met = stored(sampled.join(first, "sample").filter("a_rank < rank").select("a_rank", F.col("rank").alias("b_rank")).distinct())
+    ranked = lines.select(_rank().alias("rank"), "doc", "spot", "n", "bits0", "bits1")
+    ends = met.join(_named(ranked, "a_"), "a_rank").join(_named(ranked, "b_"), "b_rank")
+    return ends.filter((_order("a_") < _order("b_")) & _close("a_", "b_")).select(*_PAIR).distinct()
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    """``word, doc, spot, bits0, bits1, size`` of every line: its rarest words, as 40 bits of their hash.
+    """``word, set, bits0, bits1, size`` of every line: its rarest words, as 40 bits of their hash.
 
-    ``size`` holds the number of words, whether the line is settled, and the position of the word, which keeps a posting at six numbers.
+    ``size`` holds the number of words, whether the line is settled, and the position of the word, which keeps a posting at five numbers.
     """
-    posted = lines.select("doc", "spot", "n", "bits0", "bits1", "settled", F.posexplode("rare").alias("i", "number"))
+    posted = lines.select("set", "n", "bits0", "bits1", "settled", F.posexplode("rare").alias("i", "number"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("settled").cast("long"), 31)).bitwiseOR(F.col("i").cast("long"))
-    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "doc", "spot", "bits0", "bits1", size.alias("size"))
+    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "set", "bits0", "bits1", size.alias("size"))
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs of an earlier and a later, unsettled line that can reach the threshold."""
+    """Pairs of sets ``a < b``, not both settled, that can reach the threshold."""
     up, down = SHARE
     n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**31 - 1)))
     both = _named(postings, "a_", "word").join(_named(postings, "b_", "word"), "word").withColumns({s + "n": n(s) for s in ("a_", "b_")})
-    unsettled = F.col("b_size").bitwiseAND(F.lit(2**31)) == 0
+    unsettled = F.col("a_size").bitwiseAND(F.col("b_size")).bitwiseAND(F.lit(2**31)) == 0
     most = F.least(i("a_"), i("b_")) + 1 + F.least(n("a_") - i("a_") - 1, n("b_") - i("b_") - 1)
     overlap = most * (up + down) >= (n("a_") + n("b_")) * up
-    return both.filter(unsettled & (_order("a_") < _order("b_")) & _close("a_", "b_") & overlap).select(*_PAIR).distinct()
+    return both.filter(unsettled & (F.col("a_set") < F.col("b_set")) & _close("a_", "b_") & overlap).select("a_set", "b_set").distinct()
+
+
+def _open_pairs(flagged: DataFrame) -> DataFrame:
+    """The candidates as places, the earlier first, where the later line is not settled."""
+    pairs = stored(_candidates(_postings(flagged)))
+    wanted = pairs.select(F.col("a_set").alias("set")).union(pairs.select("b_set")).distinct()
+    ends = stored(flagged.select("set", "doc", "spot", "settled").join(wanted, "set", "left_semi"))
+    both = pairs.join(_named(ends, "a_"), "a_set").join(_named(ends, "b_"), "b_set")
+    turned = both.withColumn("turn", _order("b_") < _order("a_"))
+    pick = lambda s, t, c: F.when(F.col("turn"), F.col(t + c)).otherwise(F.col(s + c))
+    open_ = turned.filter(~pick("b_", "a_", "settled"))
+    return open_.select(*[pick(s, t, c).alias(s + c) for s, t in (("a_", "b_"), ("b_", "a_")) for c in ("doc", "spot")])
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, broadcast_lines: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, broadcast_lines: int) -> DataFrame:
     """The later places ``doc, spot`` of ``pairs`` that reach the threshold, by the words themselves."""
     up, down = SHARE
     known = stored(pairs.select(F.col("a_doc").alias("doc"), F.col("a_spot").alias("spot")).union(pairs.select("b_doc", "b_spot")).distinct())
-    small = known.count() <= broadcast_lines
-    wanted = lines.join(F.broadcast(known) if small else known, ["doc", "spot"], "left_semi")
+    if known.count() <= broadcast_lines:
+        wanted = _lines(docs, doc_id, text, known.select("doc").distinct()).join(F.broadcast(known), ["doc", "spot"], "left_semi")
+    else:
+        wanted = _lines(docs, doc_id, text).join(known, ["doc", "spot"], "left_semi")
     # a repeated row has a body twice; the fold shares the exchange of the joins
     bodies = stored(wanted).groupBy("doc", "spot").agg(F.first("body").alias("body"))
-    side = lambda s: bodies.select(F.col("doc").alias(s + "doc"), F.col("spot").alias(s + "spot"), F.col("body").alias(s + "body"))
-    both = pairs.join(side("a_"), ["a_doc", "a_spot"]).join(side("b_"), ["b_doc", "b_spot"])
+    both = pairs.join(_named(bodies, "a_"), ["a_doc", "a_spot"]).join(_named(bodies, "b_"), ["b_doc", "b_spot"])
     words = lambda s: F.array_distinct(_words(F.col(f"{s}body")))
     common = F.size(F.array_intersect("wa", "wb"))
     alike = common * down >= (F.size("wa") + F.size("wb") - common) * up
@@ -183,11 +205,10 @@ def _verified(pairs: DataFrame, lines: DataFrame, broadcast_lines: int) -> DataF
 
 def remaining_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Places ``doc, spot`` of the lines that stay: first of their set of words, and not alike to an earlier line."""
-    lines = _lines(docs, doc_id, text)
-    distinct = stored(distinct_lines(lines, word_classes(docs, text)))
-    settled = stored(_verified(stored(_heads(distinct)), lines, broadcast_lines).withColumn("settled", F.lit(True)))
+    distinct = stored(distinct_lines(_lines(docs, doc_id, text), word_classes(docs, text)))
+    settled = stored(_verified(stored(_heads(distinct)), docs, doc_id, text, broadcast_lines).withColumn("settled", F.lit(True)))
     flagged = distinct.join(settled, ["doc", "spot"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    late = _verified(stored(_candidates(_postings(flagged))), lines, broadcast_lines)
+    late = _verified(stored(_open_pairs(flagged)), docs, doc_id, text, broadcast_lines)
     return distinct.select("doc", "spot").join(settled.select("doc", "spot").union(late), ["doc", "spot"], "left_anti")
 
 
