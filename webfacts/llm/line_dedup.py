@@ -16,7 +16,7 @@ have, and 128 parities of the words bound the words it cannot share. Pairs are v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -27,6 +27,8 @@ SHARE = (4, 5)
 CLASS_BITS = 16
 #: Candidate lines up to this number are broadcast to fetch their words; beyond it they are joined by shuffle.
 BROADCAST_LINES = 500_000
+#: Parts that a group of lines with a common sample is dealt to.
+PARTS = 16
 
 _BLANKS = "\t\x0b\x0c\r"
 #: Bit of ``spot`` that marks lines of documents without id; they come last.
@@ -98,10 +100,10 @@ def _parities(hashes: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per set of words, at its first place: ``set, doc, spot, n, bits0, bits1, rare`` and the samples ``s0`` to ``s3``.
+    """One row per set of words, at its first place: ``set, doc, spot, n, bits0, bits1, rare`` and the samples ``s0`` to ``s2``.
 
-    Samples are hashes of the two smallest, the two greatest and the two words next to zero on either side, by the hash
-    of the words; ``rare`` are the posted words.
+    Samples are hashes of the two smallest, the two greatest and the first two words above zero, by the hash of the
+    words; ``rare`` are the posted words.
     """
     up, down = SHARE
     hashed = lines.select("doc", "spot", F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))).alias("h"))
@@ -109,7 +111,7 @@ def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
     # the words with hashes below zero and the others have 64 parities each
     halves = split.select("*", F.slice("h", F.lit(1), F.col("k")).alias("lower"))
     need = F.floor((F.col("n") * up + down - 1) / F.lit(down)).cast("int")
-    ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)), F.slice("upper", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("k") - 1), F.lit(2))]
+    ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)), F.slice("upper", 1, 2)]
     held = halves.select(
         "doc", "spot", "n", F.xxhash64("h").alias("set"), F.xxhash64(F.lit(1), "h").alias("again"), _parities(F.col("lower")).alias("bits0"), _parities(F.col("upper")).alias("bits1"),
         *[F.xxhash64(F.lit(i), e).alias(f"s{i}") for i, e in enumerate(ends)], F.slice(_by_rarity(F.col("h"), classes), F.lit(1), F.col("n") - need + 1).alias("rare"),
@@ -120,7 +122,7 @@ def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
     return once.select("set", "at.doc", "at.spot", *facts)
 
 
-_SAMPLES = ("s0", "s1", "s2", "s3")
+_SAMPLES = ("s0", "s1", "s2")
 _PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
 
 
@@ -144,10 +146,15 @@ def _rank() -> Column:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """Pairs of each line with the first lines that share a sample with it: about four a line, however large a group is."""
-    sampled = lines.select(_rank().alias("rank"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
-    first = sampled.groupBy("sample").agg(F.min("rank").alias("a_rank"), F.max("rank").alias("last")).filter("a_rank < last").drop("last")
-    met = stored(sampled.join(first, "sample").filter("a_rank < rank").select("a_rank", F.col("rank").alias("b_rank")).distinct())
+    """Pairs of each line with the first lines that share a sample and a part with it: at most one a sample, however large a group is.
+
+    Lines fall into ``PARTS`` parts by their hash, so that a group that holds a large share of all lines is dealt over as
+    many tasks; what parts keep apart is left to the prefix join.
+    """
+    sampled = lines.select(_rank().alias("b_rank"), F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
+    keyed = sampled.select("b_rank", F.xxhash64("sample", "part").alias("key"))
+    first = F.first("b_rank").over(Window.partitionBy("key").orderBy("b_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = stored(keyed.withColumn("a_rank", first).filter("a_rank < b_rank").select("a_rank", "b_rank").distinct())
     ranked = lines.select(_rank().alias("rank"), "doc", "spot", "n", "bits0", "bits1")
     ends = met.join(_named(ranked, "a_"), "a_rank").join(_named(ranked, "b_"), "b_rank")
     return ends.filter((_order("a_") < _order("b_")) & _close("a_", "b_")).select(*_PAIR).distinct()
