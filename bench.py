@@ -11,7 +11,7 @@ from webfacts.registry import load_all  # noqa: E402
 from webfacts.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "vec_02_knn", "vec_04_knn_join", "vec_05_lsh_knn", "vec_07b_bm25", "vec_11_hybrid_search", "vec_21_uniqueness", "vec_30_embedding",
+    "vec_02_knn", "vec_04_knn_join", "vec_04b_knn_join_cells", "vec_05_lsh_knn", "vec_07b_bm25", "vec_11_hybrid_search", "vec_21_uniqueness", "vec_30_embedding",
     "src_02_find_or_create_pages", "jn_06_lateral_topk", "jn_09_color_match", "jn_10_keyword_dictionary",
     "agg_02_industry_averages", "agg_09_latency_floor_index", "agg_10_latency_interpolated", "agg_15_motion_summary",
     "win_04_running_offset", "win_09_gap_sessions", "win_11_recent_history", "win_12_cumulative_percentile",

@@ -62,33 +62,6 @@ def test_uniqueness_is_one_when_alone_and_in_range(spark, cluster):
     assert got[0] == 1.0 and all(-1e-9 <= u <= 1 for u in got.values())
 
 
-def test_lsh_recall(spark):
-    from webfacts.plans.common import t
-
-    e = t(spark, "/root/testdata/sf0.01", "embeddings")
-    near = lambda df: {(r["vec_id"], r["neighbour_id"]) for r in df.collect()}
-    exact = near(nb.knn_join(e, "vec_id", "embedding", 10, 0.5))
-    found = near(nb.lsh_knn(e, "vec_id", "embedding", 10, 0.5, tables=16, bits=4))
-    assert not exact or len(exact & found) / len(exact) >= 0.9
-
-
-@pytest.mark.parametrize("block", [16, 4096])
-def test_lsh_default_recall_at_every_bucket_size(spark, monkeypatch, block):
-    # 700 pairs at cosine 0.9: eight tables of six bits let 0.98 of them meet; buckets hold about 22 rows
-    rng = np.random.default_rng(11)
-    a, b = rng.standard_normal((700, 64)), rng.standard_normal((700, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = 0.9 * a + np.sqrt(1 - 0.81) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    # and a dense cluster, which shares its buckets
-    dense = rng.standard_normal(64) + 0.05 * rng.standard_normal((100, 64))
-    vecs = np.concatenate([a, b, dense])
-    monkeypatch.setattr(nb, "BLOCK_ROWS", block)
-    found = {(r["id"], r["neighbour_id"]) for r in nb.lsh_knn(frame(spark, vecs), "id", "v", 5, 0.3).collect()}
-    assert sum((i, i + 700) in found for i in range(700)) / 700 >= 0.95
-    assert len({p for p in brute(np.arange(1400, 1500), dense, 5, 0.3) if p in found}) >= 0.98 * 500
-
-
 def test_few_probes(spark, cluster):
     df = frame(spark, cluster)
     got = nb.nearest_to(df, "id", "v", {3: list(cluster[3])}, 5, 0.1).collect()

@@ -1,4 +1,4 @@
-"""Nearest neighbours: few probes, exact all-to-all join, approximate all-to-all join.
+"""Nearest neighbours: few probes, and the exact all-to-all join. The approximate search over a stored index is in ``nearindex``.
 
 The all-to-all joins never pair rows of a group one by one. Vectors meet in blocks of bounded size, a block
 is one matrix product, and only the best ``k`` of a block leave it. Equal vectors are folded to one
@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from webfacts.functions.vector import cosine_to, l2_normalize
 from webfacts.operators.aggregates import top_per_key
-from webfacts.operators.ordered import OrderedRows
 from webfacts.session import cut
 
 BLOCK_ROWS = 4096
@@ -78,18 +77,18 @@ def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int,
 
     def chunks(df: DataFrame, name: str) -> DataFrame:
         n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
-        return df.groupBy(*cell).agg(n.alias(name), *[F.count(F.lit(1)).alias("_rows")] * (name == "_nm"))
+        return df.groupBy(*cell).agg(n.alias(name))
 
     sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell).withColumn("_cell", F.concat_ws("|", *cell))
-    sizes = OrderedRows(sizes, [], ["_cell"]).running_sum(_upto=F.col("_rows")).rows()
     own = lambda n: F.pmod(F.hash("rep"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = (F.col("_nq") == 1) & (F.col("_nm") == 1)
-    # small cells share a pack until it holds a block of rows, so the number of packs grows with the rows
-    block = F.when(small, F.floor(F.col("_upto") / F.lit(BLOCK_ROWS)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
+    # small cells are dealt to packs of about a block of rows, so the number of packs grows with the rows
+    packs = max(1, -(-members.count() // BLOCK_ROWS))
+    block = F.when(small, F.pmod(F.xxhash64("_cell"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
     cols = [block.alias("_block"), "_cell", "rep", "vec"]
-    q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", "_upto", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
-    m = members.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", "_upto", own("_nm").alias("_m"), every("_nq").alias("_q")).select(*cols)
+    q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
+    m = members.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nm").alias("_m"), every("_nq").alias("_q")).select(*cols)
     m = m.select(*[F.col(c).alias(f"m{c}") for c in m.columns])
     floor = float(min_similarity)
 
@@ -172,6 +171,8 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     placed = cut(reps.mapInPandas(assign, "grp string, vec array<double>, rep long, cell int, angle double"))
     cells = ["grp", "cell"]
     first = cut(_block_topk(placed, placed, cells, k, floor))
+    if len(pivots) == 1:  # every group is one cell
+        return _expand(rows, reps, first, id_col, k, floor)
 
     # kth similarity found so far; fewer than k hits leave the caller's minimum
     kth = top_per_key(first, ["rep"], [F.desc("similarity"), F.asc("target")], k).groupBy("rep").agg(F.min("similarity").alias("s"), F.count(F.lit(1)).alias("c"))
@@ -207,36 +208,6 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     return _expand(rows, reps, first.unionByName(second), id_col, k, floor)
 
 
-def lsh_knn(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity: float | None = None, tables: int = 8, bits: int = 6, seed: int = 17) -> DataFrame:
-    """Approximate ``k`` nearest rows: random-hyperplane signatures, exact rerank inside the buckets.
-
-    Every signature has ``bits`` bits, whatever the size of its bucket; a bucket of any size is searched completely, in
-    blocks. Recall therefore depends on ``tables`` and ``bits`` only, not on the number of rows.
-    """
-    floor = -1.0 if min_similarity is None else float(min_similarity)
-    rows, reps = _representatives(corpus, id_col, vector, None)
-    reps = cut(reps)
-
-    def sign(batches):
-        planes = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vec = _matrix(pdf["vec"])
-            if planes is None:
-                planes = np.random.default_rng(seed).standard_normal((tables * bits, vec.shape[1]))
-            on = (vec @ planes.T >= 0).reshape(len(vec), tables, bits)
-            code = (on * (1 << np.arange(bits))).sum(axis=2)
-            yield pd.DataFrame({"rep": pdf["rep"].to_numpy(), "codes": list(code.astype(np.int64))})
-
-    signed = cut(reps.select("rep", "vec").mapInPandas(sign, "rep long, codes array<long>"))
-    signed = signed.select("rep", F.posexplode("codes").alias("tab", "bucket"))
-    placed = signed.join(reps.select("rep", "vec"), "rep")
-    hits = _block_topk(placed, placed, ["tab", "bucket"], k, floor)
-    pairs = hits.groupBy("rep", "target").agg(F.max("similarity").alias("similarity"))
-    return _expand(rows, reps, pairs, id_col, k, floor)
-
-
 def uniqueness(corpus: DataFrame, id_col: str, vector: str, group: str) -> DataFrame:
     """1 - largest similarity to another row of the same group; 1.0 when it is alone."""
     near = knn_join(corpus, id_col, vector, 1, None, group).select(id_col, "similarity")

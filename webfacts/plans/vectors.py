@@ -2,7 +2,7 @@
 
 from webfacts.functions import vector
 from webfacts.functions.score import similarity_level
-from webfacts.operators import neighbours, search
+from webfacts.operators import nearindex, neighbours, search
 from webfacts.plans.common import COS, QVEC, F, big, r6, t, vector_of
 from webfacts.plans.relational import RANKS_SQL, two_lists
 from webfacts.plans.scalars import DOC_TOKENS
@@ -50,9 +50,50 @@ def vec_04(spark, d):
     return out.select("vec_id", "neighbour_id", r6("similarity", "similarity"), "rank")
 
 
-@query("vec_05_lsh_knn")
+@query(
+    "vec_04b_knn_join_cells",
+    f"""
+    SELECT vec_id, neighbour_id, round(sim, 6) AS similarity, rn AS rank FROM (SELECT a.vec_id, b.vec_id AS neighbour_id, {PAIR} AS sim,
+      row_number() OVER (PARTITION BY a.vec_id ORDER BY {PAIR} DESC, b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id
+      WHERE {PAIR} >= 0.3) WHERE rn <= 5""",
+)
+def vec_04b(spark, d):
+    """As vec_04 over several cells, so that the second round has cells to visit."""
+    out = neighbours.knn_join(emb(spark, d), "vec_id", "embedding", 5, 0.3, pivots_wanted=12)
+    return out.select("vec_id", "neighbour_id", r6("similarity", "similarity"), "rank")
+
+
+ANN = nearindex.Settings(64)
+ANN_PLANES = ", ".join(f"({i // ANN.bits}, {i % ANN.bits}, [{', '.join(f'{x:.3f}' for x in row)}]::DOUBLE[])" for i, row in enumerate(nearindex.planes(ANN)))
+
+
+@query(
+    "vec_05_lsh_knn",
+    f"""
+    WITH planes(tab, bit, p) AS (VALUES {ANN_PLANES}),
+    unit AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+    far AS (SELECT vec_id, tab, bit, list_dot_product(v, p) / sqrt(list_dot_product(v, v)) AS d FROM unit, planes),
+    codes AS (SELECT vec_id, tab, sum(CASE WHEN d >= 0 THEN 1 << bit ELSE 0 END)::BIGINT AS bucket FROM far GROUP BY ALL),
+    flips AS (SELECT vec_id, tab, bit, row_number() OVER (PARTITION BY vec_id, tab ORDER BY abs(d), bit) AS rn FROM far WHERE vec_id % 100 = 0),
+    asked AS (SELECT vec_id AS q, tab, bucket FROM codes WHERE vec_id % 100 = 0
+      UNION ALL SELECT vec_id, tab, xor(bucket, (1 << bit)::BIGINT) FROM codes JOIN flips USING (vec_id, tab) WHERE rn <= {nearindex.PROBES}),
+    met AS (SELECT DISTINCT q, vec_id FROM asked JOIN codes USING (tab, bucket) WHERE q <> vec_id),
+    sims AS (SELECT q, b.vec_id, {PAIR} AS s FROM met JOIN embeddings a ON a.vec_id = q JOIN embeddings b ON b.vec_id = met.vec_id)
+    SELECT q AS query_id, vec_id AS neighbour_id, round(s, 6) AS similarity, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank
+    FROM sims QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) <= 10""",
+)
 def vec_05(spark, d):
-    return neighbours.lsh_knn(emb(spark, d), "vec_id", "embedding", 5, 0.3)
+    """Every hundredth vector searched in a stored index of all; a tenth of the rows is appended after the rest."""
+    import uuid
+
+    from webfacts.session import ensure_checkpoint_dir
+
+    rows, path = emb(spark, d), f"{ensure_checkpoint_dir(spark)}/near-{uuid.uuid4().hex}"
+    late = F.col("vec_id") % 10 == 0
+    nearindex.store(rows.filter(~late), "vec_id", "embedding", path, ANN)
+    nearindex.append(rows.filter(late), "vec_id", "embedding", path)
+    out = nearindex.search(spark, path, rows.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10)
+    return out.select("query_id", "neighbour_id", r6("similarity", "similarity"), "rank")
 
 
 MATCH = f"SELECT doc_id, k FROM (SELECT doc_id, {DOC_TOKENS} AS k FROM documents) WHERE list_contains(k, 'les') AND list_contains(k, 'dans')"
