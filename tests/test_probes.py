@@ -62,6 +62,33 @@ def test_sections_keep_their_own_text(spark):
     }
 
 
+def test_marked_containers_and_unclosed_elements():
+    from webfacts.pages.nesting import nested_sections
+
+    snippets = lambda html: [(t, s) for t, _, s in nested_sections(html)]
+    assert snippets('<div class="hero"><div>inner</div><p>text</p>') == []  # never closed
+    assert snippets('<section>a<div class="hero"><div>inner</div>b</section>c') == [("section", '<section>a<div class="hero"><div>inner</div>b</section>')]
+    assert snippets('<ul class="FEATURES"><li>x</li></ul><form role="search"><input></form><my-card data-block>y</my-card><figure class="plain">z</figure>') == [
+        ("ul", '<ul class="FEATURES"><li>x</li></ul>'), ("form", '<form role="search"><input></form>'), ("my-card", "<my-card data-block>y</my-card>"),
+    ]
+    assert snippets("<nav id='x'>a</nav></div></section><div id='about-us'>b</div>") == [("nav", "<nav id='x'>a</nav>"), ("div", "<div id='about-us'>b</div>")]
+    assert snippets("<section><section>a</section></section>") == [("section", "<section>a</section>")] and snippets("<headers>a</headers><div>") == []
+
+
+def test_sections_take_time_in_proportion():
+    import time
+
+    from webfacts.pages.nesting import nested_sections
+
+    for make in (lambda n: '<div class="hero">x' * n + "</div>" * n, lambda n: '<div class="hero">x</div>' * n, lambda n: "<section>" + '<ul class="nav">x' * n + "</section>"):
+        took = []
+        for n in (10_000, 40_000):
+            start = time.perf_counter()
+            found = nested_sections(make(n))
+            took.append(time.perf_counter() - start)
+        assert len(found) in (1, n) and took[1] < 8 * took[0] + 0.2
+
+
 def test_part_of_a_property_name_counts(spark):
     rows = spark.createDataFrame([("drift-x", ".a", "infinite", [("background-position-x",)]), ("q", ".b", "1", [("background-position-x",)])], "name string, selector string, iterations string, properties array<struct<name:string>>")
     assert [r.category for r in motion.motion_category(rows).orderBy("selector").collect()] == ["background_animation", "unknown"]

@@ -88,7 +88,7 @@ def append(corpus: DataFrame, id_col: str, vector: str, path: str) -> None:
     """Add the rows of ``corpus`` whose ids the index does not hold yet."""
     spark = corpus.sparkSession
     settings = stored_settings(spark, path)
-    held = spark.read.parquet(posixpath.join(path, "vectors")).select("id")
+    held = _vectors(spark, path).select("id")
     _write(cut(_unit(corpus, id_col, vector, settings.dim).join(held, "id", "left_anti")), path, settings, "append")
 
 
@@ -97,6 +97,10 @@ def _write(unit: DataFrame, path: str, settings: Settings, mode: str) -> None:
     unit.write.mode(mode).parquet(posixpath.join(path, "vectors"))
 
 
+def _vectors(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("id long, vec array<double>").parquet(posixpath.join(path, "vectors"))
+
+
 def stored_settings(spark: SparkSession, path: str) -> Settings:
     return Settings(**spark.read.parquet(posixpath.join(path, "settings")).first().asDict())
 
@@ -133,7 +137,7 @@ def candidates(spark: SparkSession, path: str, unit: DataFrame, probes: int = PR
     here = F.lit(False)
     for tab, numbers in sorted(partitions(wanted).items()):
         here = here | ((F.col("tab") == tab) & F.col("part").isin(sorted(numbers)))
-    held = spark.read.parquet(posixpath.join(path, "signatures")).filter(here).select("tab", "bucket", "id")
+    held = spark.read.schema("bucket long, id long, tab int, part int").parquet(posixpath.join(path, "signatures")).filter(here).select("tab", "bucket", "id")
     met = wanted.select("tab", "bucket", "query_id").join(held, ["tab", "bucket"]).filter(F.col("query_id") != F.col("id"))
     return met.select("query_id", "id").distinct()
 
@@ -146,7 +150,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, id_col: str, vect
     """
     settings = stored_settings(spark, path)
     unit = cut(_unit(queries, id_col, vector, settings.dim))
-    vectors = spark.read.parquet(posixpath.join(path, "vectors"))
+    vectors = _vectors(spark, path)
     pairs = candidates(spark, path, unit, probes).join(vectors, "id").join(unit.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
     scored = pairs.groupBy("query_id", F.col("id").alias("neighbour_id")).agg(F.max(dot("vec", "asked")).alias("similarity"))
     if min_similarity is not None:

@@ -1,90 +1,30 @@
 """Sections of pages: landmark elements and marked containers, their content, type and name.
 
-A section is a landmark element, or a ``div`` whose role, class, id or data attributes mark it as one. A section's
+A section is a landmark element, or a container whose role, class, id or data attributes mark it as one. A section's
 snippet is its own markup: what lies in a section inside it belongs to that one, and a section that holds nothing but
 other sections is none. Everything stays inside the page row until the final explode, so no shuffle is needed.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webfacts.functions.base import ColumnOrName, let
+from webfacts.functions.base import ColumnOrName
 from webfacts.functions.html import attribute, cap_snippet, drop_unseen, extract_all, headings, squeeze, strip_tags
+from webfacts.pages.nesting import nested_sections
 from webfacts.rules.section_rules import SECTION_RULES
 from webfacts.session import spread
 
-LANDMARKS = ["header", "nav", "main", "section", "article", "aside", "footer"]
-# Roles, and parts of class names, ids and data attributes that make a container a section.
-SECTION_ROLES = ["banner", "navigation", "main", "complementary", "contentinfo", "region", "search", "form"]
-SECTION_CLASSES = [
-    "section", "hero", "feature", "cta", "call-to-action", "testimonial", "pricing", "about", "contact", "gallery", "footer", "bottom", "banner", "nav",
-    "review", "portfolio", "block", "container", "wrapper", "component", "module",
-]
-SECTION_IDS = ["hero", "feature", "pricing", "contact", "about", "gallery"]
-SECTION_DATA = ["data-section", "data-component", "data-block"]
 
-
-def _marked(opening: Column) -> Column:
-    """True for an opening tag whose attributes make it a section."""
-    named = lambda name, words: F.lower(attribute(opening, name)).rlike("|".join(words))
-    has = lambda name, words: F.coalesce(named(name, words), F.lit(False))
-    role = F.coalesce(F.lower(attribute(opening, "role")).isin(SECTION_ROLES), F.lit(False))
-    return role | has("class", SECTION_CLASSES) | has("id", SECTION_IDS) | opening.rlike(r"(?i)\s(" + "|".join(SECTION_DATA) + r")\b")
+def _nested(html: pd.Series) -> pd.Series:
+    return html.map(lambda page: [{"tag": t, "open": o, "snippet": s} for t, o, s in nested_sections(page)] if page is not None else None)
 
 
 def section_array(html: ColumnOrName) -> Column:
-    """``array<struct<tag, open, snippet>>`` in page order.
-
-    The page is cut before every opening and around every closing tag of landmarks and ``div``. One pass over the pieces
-    keeps the open elements and gives every piece to the innermost open section; an element that is never closed ends
-    with the next closing tag of an element around it and is no section itself.
-    """
-    names = "|".join([*LANDMARKS, "div"])
-    cuts = F.split(drop_unseen(html), rf"(?i)(?=<(?:{names})\b)|(?=</(?:{names})>)|(?<=</(?:{names})>)")
-
-    def parse(piece: Column) -> Column:
-        opening = F.regexp_extract(piece, rf"(?i)^<(?:{names})\b[^>]*>", 0)
-        tag = F.lower(F.regexp_extract(piece, rf"(?i)^</?({names})\b", 1))
-        return F.struct(
-            piece.alias("piece"), tag.alias("tag"), opening.alias("open"), piece.startswith("</").alias("ends"),
-            F.when(tag == "div", _marked(opening)).otherwise(F.lit(True)).alias("section"),
-        )
-
-    parts = F.transform(cuts, parse)
-    start = F.struct(
-        F.array().cast("array<struct<tag:string,owner:int>>").alias("stack"), F.array().cast("array<struct<owner:int,closed:boolean>>").alias("owners")
-    )
-
-    def step(state: Column, p: Column) -> Column:
-        stack, at = state["stack"], F.size(state["owners"])
-        top = F.when(F.size(stack) > 0, F.element_at(stack, -1)["owner"]).otherwise(F.lit(-1))
-        # the innermost open element of the same name, counted from the top
-        up = F.array_position(F.reverse(F.transform(stack, lambda x: x["tag"])), p["tag"]).cast("int")
-        closing, opening = p["ends"] & (p["tag"] != "") & (up > 0), ~p["ends"] & (p["tag"] != "")
-        own = F.when(p["section"], at).otherwise(top)
-        closed = F.element_at(stack, -up)["owner"]
-        owner = F.when(opening, own).when(closing, closed).otherwise(top)
-        pushed = F.concat(stack, F.array(F.struct(p["tag"].alias("tag"), own.cast("int").alias("owner"))))
-        popped = F.slice(stack, F.lit(1), F.greatest(F.size(stack) - up, F.lit(0)))
-        return F.struct(
-            F.when(opening, pushed).when(closing, popped).otherwise(stack).alias("stack"),
-            F.concat(state["owners"], F.array(F.struct(owner.cast("int").alias("owner"), closing.alias("closed")))).alias("owners"),
-        )
-
-    def build(both: Column) -> Column:
-        def section(x: Column, i: Column) -> Column:
-            mine = F.filter(both, lambda y: y["owners"]["owner"] == i)
-            whole = F.exists(mine, lambda y: y["owners"]["closed"] & (y["parts"]["tag"] == x["parts"]["tag"]))
-            snippet = F.array_join(F.transform(mine, lambda y: y["parts"]["piece"]), "")
-            return F.struct(x["parts"]["tag"].alias("tag"), x["parts"]["open"].alias("open"), F.when(whole, snippet).alias("snippet"))
-
-        opened = F.filter(F.transform(both, lambda x, i: F.when((x["owners"]["owner"] == i) & (x["parts"]["open"] != ""), section(x, i))), lambda s: s["snippet"].isNotNull())
-        return F.filter(opened, lambda s: s["snippet"].rlike(r"(?is)<(img|video|svg|canvas|input|iframe|button)\b") | (F.trim(F.regexp_replace(s["snippet"], "(?s)<[^>]*>", "")) != ""))
-
-    owned = F.aggregate(parts, start, step, lambda s: s["owners"])
-    return let(F.arrays_zip(parts.alias("parts"), owned.alias("owners")), build)
+    """``array<struct<tag, open, snippet>>`` in page order; comments, scripts and styles are dropped first."""
+    return F.pandas_udf(_nested, "array<struct<tag:string,open:string,snippet:string>>")(drop_unseen(html))
 
 
 def sections(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

@@ -14,6 +14,7 @@ from webfacts.plans.common import HEX, F, big, hex_of, r6, t
 from webfacts.plans.scalars import HEADINGS_SQL, TEXT_SQL
 from webfacts.registry import query
 from webfacts.rules.keywords import INDUSTRIES, STYLES
+from webfacts.rules.section_rules import SECTION_RULES
 
 
 def styled(spark, d):
@@ -187,21 +188,55 @@ def pg_05(spark, d):
     return s.groupBy("page_id").agg(F.sum(flag(F.col("has_image"))).alias("with_image"), F.max("text_color").alias("text_color"))
 
 
-SECTION_TYPES = """
-    SELECT page_id, position, CASE tag WHEN 'nav' THEN 'navigation' WHEN 'footer' THEN 'footer' ELSE 'unknown' END AS type,
-      CASE tag WHEN 'nav' THEN CASE WHEN links THEN 1.0 ELSE 0.6 END WHEN 'footer' THEN CASE WHEN links THEN 1.0 ELSE 0.8 END ELSE 0.0 END::DOUBLE AS confidence"""
+_P_TEXTS = r"list_filter(list_transform(regexp_extract_all(snippet, '(?is)<p\b[^>]*>(.*?)</p>', 1), lambda x: lower(trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[ \t\r\n]+', ' ', 'g')))), lambda x: x <> '')"
+_OPENING = r"regexp_extract(snippet, '^<[^>]*>')"
+#: The facts that the section rules ask for, from a snippet.
+SECTION_FACTS = rf"""
+    SELECT page_id, position, lower(regexp_extract(snippet, '^<([A-Za-z]+)', 1)) AS tag, regexp_extract({_OPENING}, '(?i)\sclass="([^"]*)"', 1) AS classes,
+      regexp_extract({_OPENING}, '(?i)\sid="([^"]*)"', 1) AS id, regexp_extract({_OPENING}, '(?i)\sstyle="([^"]*)"', 1) AS style,
+      {HEADINGS_SQL.replace('html', 'snippet')} AS hs, {_P_TEXTS} AS ps, len(regexp_extract_all(snippet, '(?is)<a\b[^>]*\shref="([^"]*)"', 1)) AS n_links,
+      len(regexp_extract_all(snippet, '(?is)<img\b[^>]*>')) AS n_images, len(regexp_extract_all(snippet, '(?is)<button\b[^>]*>(.*?)</button>')) AS n_buttons,
+      regexp_matches(snippet, '(?is)<h1\b[^>]*>\s*[^<\s]') AS has_h1 FROM {SECTS}"""
+SECTION_PLACES = f"""
+    SELECT *, len(hs) AS n_headings, len(ps) AS n_paragraphs, regexp_matches(style, '(?i)gradient') AS has_gradient, regexp_matches(style, '(?i)background-image:\\s*url|background:\\s*[^;]*url') AS has_image,
+      coalesce(list_bool_or(list_transform(ps, lambda p: contains(p, '©') OR contains(p, 'copyright') OR contains(p, 'all rights reserved'))), false) AS has_copyright,
+      coalesce(list_bool_or(list_transform(ps, lambda p: contains(p, '@') OR contains(p, 'email'))), false) AS has_email,
+      coalesce(sum(greatest(50, len(hs) * 40 + len(ps) * 60 + n_images * 200 + n_buttons * 40)) OVER (PARTITION BY page_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_y
+    FROM ({SECTION_FACTS})"""
+
+
+def rule_sql(field: str, test) -> str:
+    """One condition of a section rule as SQL over the facts."""
+    if field == "tag":
+        return f"tag = '{test}'"
+    if field in ("classes", "id"):
+        return f"regexp_matches({field}, '(?i)\\b(?:{test})\\b')"
+    if field == "start_y":
+        return f"start_y BETWEEN {test[0]} AND {test[1]}"
+    def fact(name: str) -> str:
+        if name in ("h1", "copyright", "email", "gradient", "image"):
+            return f"has_{name}"
+        return "n_buttons > 0" if name == "button" else f"n_{name[:-1]} >= {name[-1]}" if name[-1].isdigit() else f"n_{name} > 0"
+    return "(" + (" AND " if field == "has_all" else " OR ").join(fact(name) for name in test) + ")"
+
+
+def rules_sql(rules: list) -> str:
+    """All rules as one list; the greatest entry is the chosen one."""
+    rows = []
+    for n, (kind, priority, minimum, conditions) in enumerate(rules):
+        got = " + ".join(f"CASE WHEN {rule_sql(f, t)} THEN {w:.4f}::DOUBLE ELSE 0 END" for f, t, w in conditions)
+        rows.append(f"{{'p': {priority}, 'c': least(1.0::DOUBLE, ({got}) / {sum(w for *_, w in conditions):.4f}::DOUBLE), 'n': {-n}, 't': '{kind}', 'm': {minimum}::DOUBLE - 1e-9}}")
+    return "[" + ",\n      ".join(rows) + "]"
 
 
 @query(
     "pg_06_section_type",
-    rf"""{SECTION_TYPES} FROM (SELECT page_id, position, lower(regexp_extract(snippet, '^<([A-Za-z]+)', 1)) AS tag, regexp_matches(snippet, '(?is)<a\b[^>]*\shref="') AS links FROM {SECTS})""",
+    f"""
+    SELECT page_id, position, coalesce(best.t, 'unknown') AS type, round(coalesce(best.c, 0.0), 6) AS confidence
+    FROM (SELECT page_id, position, list_max(list_filter({rules_sql(SECTION_RULES)}, lambda x: x.c >= x.m)) AS best FROM ({SECTION_PLACES}))""",
 )
 def pg_06(spark, d):
-    from webfacts.rules.section_rules import SECTION_RULES
-
-    rules = [r for r in SECTION_RULES if r[3][0][0] == "tag" and r[3][0][1] in ("nav", "footer")]
-    c = structure.with_style_facts(structure.with_content(structure.sections(pages(spark, d)))).withColumn("start_y", F.lit(0))
-    return structure.classify(c, rules).select("page_id", big("position", "position"), "type", r6("confidence", "confidence"))
+    return structure.analyzed_sections(pages(spark, d)).select("page_id", big("position", "position"), "type", r6("confidence", "confidence"))
 
 
 @query(

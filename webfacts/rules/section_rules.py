@@ -5,6 +5,18 @@ A rule is ``(type, priority, minimum confidence, [(field, test, weight), ...])``
 ``start_y`` (range). Users add rows to the list; order does not matter, priority decides.
 """
 
+LANDMARKS = ["header", "nav", "main", "section", "article", "aside", "footer"]
+#: Elements that are sections when their attributes say so; elements with a hyphen in their name are containers too.
+CONTAINERS = ["div", "form", "ul", "ol", "dl", "table", "fieldset", "figure", "details", "dialog", "blockquote", "menu", "hgroup", "address"]
+# Roles, and parts of class names, ids and data attributes that make a container a section.
+SECTION_ROLES = ["banner", "navigation", "main", "complementary", "contentinfo", "region", "search", "form"]
+SECTION_CLASSES = [
+    "section", "hero", "feature", "cta", "call-to-action", "testimonial", "pricing", "about", "contact", "gallery", "footer", "bottom", "banner", "nav",
+    "review", "portfolio", "block", "container", "wrapper", "component", "module",
+]
+SECTION_IDS = ["hero", "feature", "pricing", "contact", "about", "gallery"]
+SECTION_DATA = ["data-section", "data-component", "data-block"]
+
 # Type, priority, minimum confidence, weighted conditions.
 SECTION_RULES = [
     ("hero", 110, 0.5, [("classes", "hero|banner|jumbotron|masthead", 0.4), ("has", ["h1"], 0.3), ("has", ["button"], 0.2), ("style", ["image", "gradient"], 0.1)]),
