@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webfacts.functions import text
 from webfacts.functions.vector import cosine_to
-from webfacts.session import spread
+from webfacts.operators.textindex import bm25_part, idf, top_k
 
 RRF_K = 60
 VECTOR_WEIGHT, TEXT_WEIGHT = 0.6, 0.4
@@ -57,60 +57,15 @@ def text_search(docs: DataFrame, query: str, id_col: str, text_col: str, limit:
     return hits if limit is None else page(hits, [F.desc("text_rank"), F.asc(id_col)], limit)
 
 
-def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None = None) -> DataFrame:
-    """Inverted index ``(term, id, tf, doc_len)``: built once, stored partitioned by term hash.
-
-    ``only`` keeps the postings of some terms, for a search without a stored index.
-    """
-    toks = spread(docs.select(id_col, text_col), id_col).select(id_col, text.tokens(text_col).alias("_t"))
-    wanted = F.col("_t") if only is None else F.filter("_t", lambda t: t.isin(only))
-    return (
-        toks.select(id_col, F.size("_t").alias("doc_len"), F.explode(wanted).alias("term"))
-        .groupBy("term", id_col, "doc_len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-
-
-def _bucket(term: Column, buckets: int) -> Column:
-    return F.pmod(F.hash(term), F.lit(buckets)).alias("bucket")
-
-
-def store_postings(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 64, mode: str = "overwrite") -> None:
-    """Write the index of ``docs``: postings in folders by term hash, and the totals that ranking needs.
-
-    With ``mode="append"`` new documents are added to a stored index; a document must not be added twice.
-    """
-    index = postings(docs, id_col, text_col)
-    index.withColumn("bucket", _bucket(F.col("term"), buckets)).repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(f"{path}/postings")
-    lengths = docs.select(F.size(text.tokens(text_col)).alias("n"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"))
-    totals.withColumn("buckets", F.lit(buckets)).write.mode(mode).parquet(f"{path}/totals")
-
-
-def stored_postings(spark: SparkSession, path: str, query: str) -> tuple[DataFrame, DataFrame]:
-    """Postings of the query's terms and the corpus totals of a stored index, ready for :func:`bm25`.
-
-    Only the folders of the terms' hashes are read.
-    """
-    totals = spark.read.parquet(f"{path}/totals")
-    buckets = totals.agg(F.max("buckets")).first()[0]
-    terms = text.query_terms(query)
-    wanted = [_bucket(F.lit(t), buckets) for t in terms]
-    index = spark.read.parquet(f"{path}/postings").filter(F.col("bucket").isin(wanted) & F.col("term").isin(terms)).drop("bucket")
-    size = totals.agg(F.sum("n_docs").cast("double").alias("n_docs"), (F.sum("n_tokens") / F.sum("n_docs")).alias("avg_len"))
-    return index, size
-
-
 def bm25(index: DataFrame, corpus_size: DataFrame, query: str, id_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over :func:`postings`. ``corpus_size`` is one row ``(n_docs, avg_len)``; it enters as scalars."""
+    """BM25 over :func:`webfacts.operators.textindex.postings`. ``corpus_size`` is one row ``(n_docs, avg_len)``; it enters as scalars."""
     terms = text.query_terms(query)
     hits = index.filter(F.col("term").isin(terms))
     df_per_term = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # at most len(terms) rows
     n_docs = corpus_size.select("n_docs").scalar()
     avg_len = corpus_size.select("avg_len").scalar()
     joined = hits.join(F.broadcast(df_per_term), "term")
-    idf = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg_len))
+    part = bm25_part(idf(n_docs, F.col("df")), F.col("tf"), F.col("doc_len"), avg_len, k1, b)
     return joined.groupBy(id_col).agg(F.sum(part).alias("bm25"), F.count(F.lit(1)).alias("n_terms")).filter(F.col("n_terms") == len(terms))
 
 
@@ -152,17 +107,21 @@ def normalized_rrf(score: Column, max_score: float = MAX_RRF) -> Column:
     return F.least(F.lit(1.0), score / F.lit(max_score))
 
 
-def hybrid_search(corpus: DataFrame, query_vector: list[float], query_text: str, id_col: str, vector: str = "embedding", text_col: str = "text", where: Column | None = None, min_similarity: float | None = None, limit: int = 10, offset: int = 0, fetch: int = 50, weights: tuple[float, float] = (VECTOR_WEIGHT, TEXT_WEIGHT)) -> DataFrame:
+def hybrid_search(corpus: DataFrame, query_vector: list[float], query_text: str, id_col: str, vector: str = "embedding", text_col: str = "text", where: Column | None = None, min_similarity: float | None = None, limit: int = 10, offset: int = 0, fetch: int = 50, weights: tuple[float, float] = (VECTOR_WEIGHT, TEXT_WEIGHT), text_index: str | None = None) -> DataFrame:
     """Vector list and full-text list, each cut to ``fetch``, fused, normalised, paged.
 
-    An empty text list leaves the vector list, because the union simply has one branch with rows.
+    An empty text list leaves the vector list, because the union simply has one branch with rows. With ``text_index``
+    the text list comes from the stored index in that folder, which must hold the documents of ``corpus`` that
+    ``where`` keeps; the texts are not read.
     """
     rows = corpus if where is None else corpus.filter(where)
     near = similar(rows.select(id_col, vector), query_vector, vector, None, min_similarity).drop(vector)
     v = ranked(near, id_col, [F.desc("similarity"), F.asc(id_col)], fetch)
-    t = ranked(
-        text_search(rows.select(id_col, text_col), query_text, id_col, text_col), id_col, [F.desc("text_rank"), F.asc(id_col)], fetch
-    )
+    if text_index is not None:
+        hits = top_k(corpus.sparkSession, text_index, query_text, id_col, fetch, "text_rank").rows
+    else:
+        hits = text_search(rows.select(id_col, text_col), query_text, id_col, text_col)
+    t = ranked(hits, id_col, [F.desc("text_rank"), F.asc(id_col)], fetch)
     fused = fuse({"vector": (v, weights[0]), "text": (t, weights[1])})
     out = fused.withColumn("similarity", normalized_rrf(F.col("rrf_score")))
     return page(out, [F.desc("rrf_score"), F.asc("id")], limit, offset)

@@ -2,7 +2,7 @@
 
 from webfacts.functions import vector
 from webfacts.functions.score import similarity_level
-from webfacts.operators import nearindex, neighbours, search
+from webfacts.operators import nearindex, neighbours, search, textindex
 from webfacts.plans.common import COS, QVEC, F, big, r6, t, vector_of
 from webfacts.plans.relational import RANKS_SQL, two_lists
 from webfacts.plans.scalars import DOC_TOKENS
@@ -125,7 +125,7 @@ def vec_07b(spark, d):
 
     docs = t(spark, d, "documents").select("doc_id", "text")
     size = docs.agg(F.count(F.lit(1)).cast("double").alias("n_docs"), F.avg(F.size(tokens("text"))).alias("avg_len"))
-    out = search.bm25(search.postings(docs, "doc_id", "text", query_terms("les dans")), size, "les dans", "doc_id")
+    out = search.bm25(textindex.postings(docs, "doc_id", "text", query_terms("les dans")), size, "les dans", "doc_id")
     return out.select("doc_id", r6("bm25", "bm25"))
 
 
@@ -137,12 +137,24 @@ def vec_07c(spark, d):
 
     docs, path = t(spark, d, "documents").select("doc_id", "text"), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     late = F.col("doc_id") % 10 == 0
-    search.store_postings(docs.filter(~late), path, "doc_id", "text")
-    search.store_postings(docs.filter(late), path, "doc_id", "text", mode="append")
-    index, size = search.stored_postings(spark, path, "les dans")
+    textindex.store(docs.filter(~late), path, "doc_id", "text")
+    textindex.store(docs.filter(late), path, "doc_id", "text", mode="append")
+    index, size = textindex.stored_postings(spark, path, "les dans", "doc_id")
     return search.bm25(index, size, "les dans", "doc_id").select("doc_id", r6("bm25", "bm25"))
 
 
+@query("vec_07d_block_max_top_k", f"SELECT * FROM ({BM25_SQL.strip().removesuffix(';')}) ORDER BY bm25 DESC, doc_id LIMIT 20")
+def vec_07d(spark, d):
+    """The best twenty documents from a stored index, read by falling block bounds."""
+    import uuid
+
+    from webfacts.session import ensure_checkpoint_dir
+
+    docs, path = t(spark, d, "documents").select("doc_id", "text"), f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    textindex.store(docs, path, "doc_id", "text", span=16)
+    return textindex.top_k(spark, path, "les dans", "doc_id", 20).rows.select("doc_id", r6("bm25", "bm25"))
+
+
 @query("vec_08_rrf_weight", "SELECT event_id, round(1.0::DOUBLE / (60 + 1 + event_id), 9) AS w FROM events")
 def vec_08(spark, d):
     return t(spark, d, "events").select("event_id", F.round(search.rrf_score(F.col("event_id") + 1), 9).alias("w"))
