@@ -39,6 +39,42 @@ def test_palette_has_the_wanted_size(spark, size):
     assert len(got) == min(size, len({r[:3] for r in rows})) and sum(r.n for r in got) == sum(r[3] for r in rows)
 
 
+def brute_palette(rows, size):
+    """Median cut over lists of colours."""
+    boxes = [sorted(rows)]
+    while len(boxes) < size:
+        splittable = [i for i, b in enumerate(boxes) if len({r[:3] for r in b}) > 1]
+        if not splittable:
+            break
+        at = max(splittable, key=lambda i: (sum(r[3] for r in boxes[i]), -i))
+        box = boxes[at]
+        axis = max(range(3), key=lambda c: max(r[c] for r in box) - min(r[c] for r in box))
+        values, total = sorted({r[axis] for r in box}), sum(r[3] for r in box)
+        last = next((v for v in values[:-1] if 2 * sum(r[3] for r in box if r[axis] <= v) >= total), values[-2])
+        boxes[at : at + 1] = [[r for r in box if r[axis] <= last], [r for r in box if r[axis] > last]]
+    return sorted(tuple(int(sum(r[c] * r[3] for r in b) / sum(r[3] for r in b) + 0.5) for c in range(3)) + (sum(r[3] for r in b),) for b in boxes)
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 40, 200])
+def test_palette_equals_cutting_lists(spark, size):
+    rng = np.random.default_rng(size)
+    rows = [(*map(int, c), int(n)) for c, n in zip(rng.integers(0, 256, (150, 3)) // rng.choice([1, 1, 60], (150, 3)), rng.integers(1, 50, 150))]
+    folded = {}
+    for r, g, b, n in rows:
+        folded[r, g, b] = folded.get((r, g, b), 0) + n
+    frame = spark.createDataFrame(rows + [(None, 1, 2, 3)], "r int, g int, b int, n long")
+    assert sorted(tuple(r[c] for c in "rgbn") for r in quantize_palette(frame, size).collect()) == brute_palette([(*k, n) for k, n in folded.items()], size)
+
+
+def test_variables_inside_one_page():
+    from webfacts.pages.styles import resolve_page
+
+    values = {"--a": "var(--b, red) var(--b)", "--b": "rgb(1, 2, 3)", "--c": "var(--d)", "--d": "var(--c, 1px)", "--e": "", "--f": "var(--e)x", "--g": "var(--no, var(--b)) var(--gone)", "--h": "calc(var(--no , 2px) * 2)"}
+    got = dict(zip(values, resolve_page(list(values), list(values.values()))))
+    assert got["--a"] == ("rgb(1, 2, 3) rgb(1, 2, 3)", "resolved") and got["--f"] == ("x", "resolved") and got["--h"] == ("calc(2px * 2)", "resolved")
+    assert got["--c"][1] == got["--d"][1] == "failed" and got["--g"] == ("rgb(1, 2, 3) var(--gone)", "unresolved")
+
+
 def test_empty_palette(spark):
     assert quantize_palette(spark.createDataFrame([], "r int, g int, b int, n long"), 4).count() == 0
 

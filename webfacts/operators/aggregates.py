@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,47 +189,66 @@ def color_histogram(colors: DataFrame, hex_col: str, keys: list[str] | None = No
     return counts.join(totals, keys).select(*keys, hex_col, "n", (F.col("n") / F.col("_t")).alias("share"))
 
 
+def _cut_boxes(pdf: pd.DataFrame, size: int) -> list[tuple[int, ...]]:
+    """Boxes ``(r0, r1, g0, g1, b0, b1)`` of the median cut, every count and median read from one cumulative cube."""
+    cube = np.zeros((257, 257, 257), np.int64)
+    np.add.at(cube, (pdf["r"].to_numpy(np.int64) + 1, pdf["g"].to_numpy(np.int64) + 1, pdf["b"].to_numpy(np.int64) + 1), pdf["n"].to_numpy(np.int64))
+    for axis in range(3):
+        np.cumsum(cube, axis=axis, out=cube)
+
+    def histogram(box: list[tuple[int, int]], axis: int) -> np.ndarray:
+        """Rows of the box at each value of ``axis``."""
+        upto = 0
+        others = [i for i in range(3) if i != axis]
+        for ends in itertools.product((0, 1), repeat=2):
+            at: list = [slice(box[axis][0], box[axis][1] + 2)] * 3
+            for i, end in zip(others, ends):
+                at[i] = box[i][1] + 1 if end else box[i][0]
+            upto = upto + (1 if sum(ends) % 2 == 0 else -1) * cube[tuple(at)]
+        return np.diff(upto)
+
+    def facts(box: list[tuple[int, int]]) -> tuple[int, list[int]]:
+        """Rows in the box and the extent of the values present on each axis."""
+        seen = [np.flatnonzero(histogram(box, axis)) for axis in range(3)]
+        return int(histogram(box, 0).sum()), [int(v[-1] - v[0]) if len(v) else 0 for v in seen]
+
+    whole = [(0, 255)] * 3
+    boxes = [(whole, *facts(whole))]
+    while len(boxes) < size:
+        # fullest first, the earlier of equals; a box of one colour cannot be split
+        at = max((i for i, (_, _, wide) in enumerate(boxes) if max(wide) > 0), key=lambda i: (boxes[i][1], -i), default=None)
+        if at is None:
+            break
+        box, total, wide = boxes[at]
+        axis = wide.index(max(wide))
+        hist = histogram(box, axis)
+        present = np.flatnonzero(hist)
+        last = min(int(np.argmax(np.cumsum(hist) * 2 >= total)), int(present[-2])) + box[axis][0]
+        halves = [[(ends if i != axis else part) for i, ends in enumerate(box)] for part in ((box[axis][0], last), (last + 1, box[axis][1]))]
+        boxes[at : at + 1] = [(half, *facts(half)) for half in halves]
+    return [tuple(v for ends in box for v in ends) for box, total, _ in boxes if total]
+
+
 def quantize_palette(colors: DataFrame, size: int) -> DataFrame:
     """Median cut of an ``(r, g, b, n)`` colour-count table into ``size`` buckets, fewer only for fewer colours.
 
-    The fullest bucket is split at the weighted median of its widest channel until there are ``size``. A bucket is a
-    box of channel bounds, so a split is one aggregation of at most 3 * 256 histogram rows over the counts inside the
-    box; the boxes are literals and nothing is joined.
+    The fullest bucket is split at the weighted median of its widest channel until there are ``size``. All splits are
+    read from one cumulative cube of 256 x 256 x 256 counts, built by one task from the distinct colours, of which there
+    are at most 2 ** 24 however large the table is; the boxes then are literals and nothing is joined. Rows with a null are
+    left out.
     """
-    counts = cut(colors.groupBy("r", "g", "b").agg(F.sum("n").alias("n")))
+    counts = cut(colors.dropna(subset=["r", "g", "b", "n"]).groupBy("r", "g", "b").agg(F.sum("n").alias("n")))
+    ends = ["r0", "r1", "g0", "g1", "b0", "b1"]
 
-    def inside(box: dict) -> Column:
-        return reduce(lambda c, k: c & F.col(k).between(*box[k]), "rgb", F.lit(True))
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(_cut_boxes(pdf, size), columns=ends).reset_index(names="bucket")
 
-    def histogram(box: dict) -> dict:
-        rows = counts.filter(inside(box)).select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("int").alias("v")) for c in "rgb"])).alias("x"))
-        found: dict = {c: {} for c in "rgb"}
-        for c, v, n in rows.groupBy("x.c", "x.v").agg(F.sum("n").alias("n")).collect():
-            found[c][v] = n
-        return found
-
-    whole = {c: (0, 255) for c in "rgb"}
-    boxes = [(whole, histogram(whole))]
-    while boxes and len(boxes) < size:
-        # fullest first, the earlier of equals; a box of one colour cannot be split
-        open_boxes = [i for i, (_, h) in enumerate(boxes) if any(len(h[c]) > 1 for c in "rgb")]
-        if not open_boxes:
-            break
-        at = max(open_boxes, key=lambda i: (sum(boxes[i][1]["r"].values()), -i))
-        box, hist = boxes[at]
-        axis = max("rgb", key=lambda c: max(hist[c]) - min(hist[c]))
-        total, upto, values = sum(hist[axis].values()), 0, sorted(hist[axis])
-        for v in values[:-1]:
-            upto, last = upto + hist[axis][v], v
-            if upto * 2 >= total:
-                break
-        low = box | {axis: (box[axis][0], last)}
-        lower = histogram(low)
-        high = box | {axis: (last + 1, box[axis][1])}
-        boxes[at : at + 1] = [(low, lower), (high, histogram(high))]
-    if not boxes[0][1]["r"]:  # an empty table
+    one = counts.select(F.lit(0).alias("all"), "r", "g", "b", F.col("n").cast("long").alias("n"))
+    boxes = one.groupBy("all").applyInPandas(split, ", ".join(["bucket int", *[f"{e} int" for e in ends]])).collect()  # ``size`` rows
+    if not boxes:  # an empty table
         return counts.select(*[F.col(c).cast("int").alias(c) for c in "rgb"], "n").limit(0)
-    bucket = F.coalesce(*[F.when(inside(box), F.lit(i)) for i, (box, _) in enumerate(boxes)])
+    inside = lambda box: reduce(lambda c, k: c & F.col(k).between(box[f"{k}0"], box[f"{k}1"]), "rgb", F.lit(True))
+    bucket = F.coalesce(*[F.when(inside(box), F.lit(box["bucket"])) for box in boxes])
     mean = lambda c: round_half_up(F.sum(F.col(c) * F.col("n")) / F.sum("n")).cast("int").alias(c)
     return counts.groupBy(bucket.alias("bucket")).agg(mean("r"), mean("g"), mean("b"), F.sum("n").alias("n")).drop("bucket")
 

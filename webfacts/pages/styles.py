@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import css
 from webfacts.functions.base import ColumnOrName, any_of, col, first_match, num
 from webfacts.functions.html import extract_all, style_blocks
-from webfacts.session import cut, spread
+from webfacts.session import spread
 
 _KEYFRAMES = r"(?is)@(?:-webkit-)?keyframes\s+([\w-]+)\s*\{((?:[^{}]*\{[^{}]*\})*)[^{}]*\}"
 _BLOCK = r"([^{}]+)\{([^{}]*)\}"
@@ -104,38 +107,48 @@ def token_style(vars_: DataFrame, page_id: str = "page_id") -> DataFrame:
     )
 
 
-_VAR = r"var\(\s*(--[\w-]+)\s*(?:,\s*([^()]*(?:\([^()]*\)[^()]*)*))?\)"
-_PLAIN_VAR = r"var\(\s*--[\w-]+\s*(?:,\s*(?:(?!var\()[^()]|(?!var)\w*\([^()]*\))*)?\)"
+_PLAIN_VAR = re.compile(r"var\(\s*(--[\w-]+)\s*(?:,\s*((?:(?!var\()[^()]|(?!var)\w*\([^()]*\))*))?\)")
+
+
+def resolve_page(names: list[str], values: list[str], depth: int = 10) -> list[tuple[str, str]]:
+    """Value and status of the variables of one page, in their order; see :func:`resolve_variables`."""
+    known, out = dict(zip(names, values)), []
+    for value in values:
+        stuck = False
+        for _ in range(depth):
+            if stuck or "var(" not in value:
+                break
+            stuck = True
+
+            def swap(m: re.Match) -> str:
+                nonlocal stuck
+                new = known.get(m.group(1), (m.group(2) or "").strip() or None)
+                stuck = stuck and new is None
+                return m.group(0) if new is None else new
+
+            value = _PLAIN_VAR.sub(swap, value)
+        out.append((value, "resolved" if "var(" not in value else "unresolved" if stuck else "failed"))
+    return out
 
 
 def resolve_variables(vars_: DataFrame, page_id: str = "page_id", depth: int = 10) -> DataFrame:
     """``(page, name, value, status)`` with references replaced: resolved, unresolved or failed.
 
-    One round is one self-join on (page, name), a unique key, so a page with many variables does not pile up.
-    The loop ends as soon as nothing can be replaced; a reference left after ``depth`` rounds is a cycle or too
-    deep and fails. Innermost references go first, so a fallback may itself hold a reference.
+    The variables of a page are one row, bounded by the page they come from, and references are followed inside it: one
+    shuffle by page, no join. Innermost references go first, so a fallback may itself hold a reference; a name without
+    value takes its fallback. A value that nothing in it can be replaced in is unresolved; one that still refers to a
+    name after ``depth`` replacements is a cycle or too deep and fails. Null names and values are left out.
     """
-    base = cut(vars_.select(page_id, "name", "value"))
-    known = base.select(F.col(page_id).alias("_p"), F.col("name").alias("_ref"), F.col("value").alias("_new"))
-    cur = base.withColumn("stuck", F.lit(False))
-    for _ in range(depth):
-        open_ = cur.filter(~F.col("stuck") & F.col("value").contains("var("))
-        if open_.isEmpty():
-            break
-        refs = cur.select(
-            page_id, "name", "value", F.explode_outer(F.array_distinct(F.when(~F.col("stuck"), F.regexp_extract_all("value", F.lit(_PLAIN_VAR), F.lit(0))))).alias("_whole")
-        )
-        refs = refs.withColumns({"_ref": F.regexp_extract("_whole", _VAR, 1), "_fallback": F.nullif(F.trim(F.regexp_extract("_whole", _VAR, 2)), F.lit(""))})
-        met = refs.join(known, (refs[page_id] == known["_p"]) & (refs["_ref"] == known["_ref"]), "left").drop(known["_ref"])
-        swap = F.struct("_whole", F.coalesce("_new", "_fallback").alias("_to"))
-        gathered = met.groupBy(page_id, "name").agg(F.first("value").alias("value"), F.collect_list(swap).alias("_swaps"))
-        usable = F.filter("_swaps", lambda s: s["_whole"].isNotNull() & s["_to"].isNotNull())
-        done = F.aggregate(usable, F.col("value"), lambda acc, s: F.replace(acc, s["_whole"], s["_to"]))
-        cur = cut(gathered.select(page_id, "name", done.alias("value"), (F.size(usable) == 0).alias("stuck")))
-    left = F.col("value").contains("var(")
-    return cur.select(
-        page_id, "name", "value", F.when(~left, "resolved").when(F.col("stuck"), "unresolved").otherwise("failed").alias("status")
-    )
+
+    def run(names: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([[{"value": v, "status": s} for v, s in resolve_page(list(n), list(v), depth)] for n, v in zip(names, values)])
+
+    entry = F.struct("name", "value")
+    per_page = vars_.filter("name IS NOT NULL AND value IS NOT NULL").groupBy(page_id).agg(F.sort_array(F.collect_list(entry)).alias("_all"))
+    solve = F.pandas_udf(run, "array<struct<value:string,status:string>>")
+    solved = per_page.select(page_id, F.col("_all.name").alias("_names"), solve(F.col("_all.name"), F.col("_all.value")).alias("_solved"))
+    rows = solved.select(page_id, F.explode(F.arrays_zip("_names", "_solved")).alias("_z"))
+    return rows.select(page_id, F.col("_z._names").alias("name"), F.col("_z._solved.value").alias("value"), F.col("_z._solved.status").alias("status"))
 
 
 def page_colors(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
