@@ -83,14 +83,10 @@ def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) ->
 
 
 def _by_rarity(hashes: Column, classes: list[int], bits: int = CLASS_BITS) -> Column:
-    """The words as sorted numbers, rarest first: the class in the first byte, then 56 bits of the hash."""
-    table = F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<bigint>")
-
-    def number(h: Column) -> Column:
-        rank = F.coalesce(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), F.lit(0).cast("long"))
-        return F.shiftleft(rank, 56).bitwiseOR(h.bitwiseAND(F.lit(2**56 - 1)))
-
-    return F.sort_array(F.transform(hashes, number))
+    """The words as sorted numbers, rarest first: the class in eight bits below the sign, then 55 bits of the hash."""
+    table = F.split(F.lit(" ".join(str(c << 55) for c in classes)), " ").cast("array<bigint>")
+    rank = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), F.lit(0).cast("long"))
+    return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit(2**55 - 1)))))
 
 
 def _parities(hashes: Column) -> Column:
@@ -132,7 +128,7 @@ def _close(a: str, b: str) -> Column:
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
     apart = sum(F.bit_count(F.col(f"{a}bits{h}").bitwiseXOR(F.col(f"{b}bits{h}"))) for h in (0, 1))
-    return (apart * (up + down) <= (na + nb) * (down - up)) & (na * down >= nb * up) & (nb * down >= na * up)
+    return (na * down >= nb * up) & (nb * down >= na * up) & (apart * (up + down) <= (na + nb) * (down - up))
 
 
 def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
@@ -178,7 +174,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
     unsettled = F.col("a_size").bitwiseAND(F.col("b_size")).bitwiseAND(F.lit(2**31)) == 0
     most = F.least(i("a_"), i("b_")) + 1 + F.least(n("a_") - i("a_") - 1, n("b_") - i("b_") - 1)
     overlap = most * (up + down) >= (n("a_") + n("b_")) * up
-    return both.filter(unsettled & (F.col("a_set") < F.col("b_set")) & _close("a_", "b_") & overlap).select("a_set", "b_set").distinct()
+    return both.filter((F.col("a_set") < F.col("b_set")) & overlap & _close("a_", "b_") & unsettled).select("a_set", "b_set").distinct()
 
 
 def _open_pairs(flagged: DataFrame) -> DataFrame:
