@@ -142,15 +142,16 @@ def _rank() -> Column:
 
 
 def _heads(lines: DataFrame) -> DataFrame:
-    """Pairs of each line with the first lines that share a sample and a part with it: at most one a sample, however large a group is.
+    """Pairs of each line with the first lines that share a sample with it: at most one a sample, however large a group is.
 
-    Lines fall into ``PARTS`` parts by their hash, so that a group that holds a large share of all lines is dealt over as
-    many tasks; what parts keep apart is left to the prefix join.
+    A group is dealt to ``PARTS`` parts by the hash of the lines, so that one that holds a large share of all lines is no single
+    task. A line is held against the first of its part, and the first lines of the parts against the first of them all.
     """
     sampled = lines.select(_rank().alias("b_rank"), F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
-    keyed = sampled.select("b_rank", F.xxhash64("sample", "part").alias("key"))
-    first = F.first("b_rank").over(Window.partitionBy("key").orderBy("b_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = stored(keyed.withColumn("a_rank", first).filter("a_rank < b_rank").select("a_rank", "b_rank").distinct())
+    first = lambda *keys: F.first("b_rank").over(Window.partitionBy(*keys).orderBy("b_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parted = stored(sampled.withColumn("a_rank", first("sample", "part")))
+    top = parted.filter("a_rank = b_rank").select("sample", "b_rank").distinct().withColumn("a_rank", first("sample"))  # at most PARTS a sample
+    met = stored(parted.select("a_rank", "b_rank").union(top.select("a_rank", "b_rank")).filter("a_rank < b_rank").distinct())
     ranked = lines.select(_rank().alias("rank"), "doc", "spot", "n", "bits0", "bits1")
     ends = met.join(_named(ranked, "a_"), "a_rank").join(_named(ranked, "b_"), "b_rank")
     return ends.filter((_order("a_") < _order("b_")) & _close("a_", "b_")).select(*_PAIR).distinct()
