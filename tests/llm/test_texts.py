@@ -143,6 +143,24 @@ def test_personal_data(spark):
     assert pii.pii_digest(docs.limit(0)).count() == 0
 
 
+def test_texts_full_of_personal_data(spark):
+    # blocks and pieces: thousands of spans in a text, with characters of one to four bytes between them
+    mails = "".join(f"u{i}@h{i % 7}.org{'é☃😀 ,'[i % 5]} " for i in range(20000))
+    codes = [("passport " if i % 3 == 0 else "model " if i % 3 == 1 else "☃" * (i % 60)) + f" C{i:08d}" + " x" * 25 for i in range(6000)]
+    mixed = " ".join(f"10.0.{i % 300}.1 4111 1111 1111 111{i % 10} +1 555 {i:07d}" for i in range(3000))
+    docs = documents(spark, [(0, mails), (1, "\n".join(codes)), (2, mixed), (3, mails[: pii.BLOCK * 3]), (4, None)])
+    got = {r.doc_id: r for r in pii.pii_digest(docs).collect()}
+    for r in docs.collect():
+        flat = [s for k, found in brute_spans(r.text).items() for s in found]
+        assert [s for s in got[r.doc_id].spans.split(",") if s and s.split(":")[0] in pii.BASE] == flat
+    want, text = [], "\n".join(codes)
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z][0-9]{8}(?![A-Za-z0-9])", text):
+        near = text[max(0, m.start() - pii.NEAR) : m.end() + pii.NEAR]
+        if re.search(r"(?i)(?<![a-z])passport(?![a-z])", near) and not re.search(r"(?i)(?<![a-z])model(?![a-z])", near):
+            want.append(f"passport:{m.start()}:{m.end()}")
+    assert len(want) > 1000 and [s for s in got[1].spans.split(",") if s.startswith("passport")] == want
+
+
 def test_co_training_teaches_across_views():
     rng = np.random.default_rng(1)
     n = 4000

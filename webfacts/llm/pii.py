@@ -5,7 +5,7 @@ digit counts for phones. Kinds that look like ordinary text (``iban``, ``ssn``,
 nearby raise, and count only from ``MIN_SCORE`` on. Spans are code points, end exclusive.
 
 Texts are split by a pattern and matched by it: gaps and matches alternate, so running sums of their lengths are the
-positions. The patterns are possessive where nothing can be given back, and may start only where a run of their first
+positions. The sums are taken in blocks, first of whole blocks, then inside each. The patterns are possessive where nothing can be given back, and may start only where a run of their first
 characters starts or the last match ended (``\\G``): no text, however long, is scanned twice.
 """
 
@@ -14,12 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webfacts.functions.base import let
 from webfacts.llm.common import text_or_empty
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "passport")
 NEAR = 40
 MIN_SCORE = 0.6
+#: Matches folded at a time.
+BLOCK = 256
+#: Code points of a piece of text; a span with ``NEAR`` on both sides must fit into two.
+PIECE = 256
 
 #: kind: pattern, text that a match cannot do without (a faster test), start score
 PATTERNS: dict[str, tuple[str, str, float]] = {
@@ -83,30 +88,49 @@ def _any_word(near: Column, words: tuple[str, ...]) -> Column:
 
 
 def spans_of(kind: str, text: Column) -> Column:
-    """Array of ``struct(start, end)`` of confirmed spans of one kind; the method's own kinds need ``MIN_SCORE`` besides."""
+    """Array of ``struct(start, end, match)`` of confirmed spans of one kind; the method's own kinds need ``MIN_SCORE`` besides.
+
+    The work grows with the text and its matches: they are folded in blocks, and context is read from short pieces.
+    """
     pattern, must, score = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("found"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"))
+    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+
+    def width(pair: Column) -> Column:
+        return F.length(pair["gaps"]) + F.coalesce(F.length(pair["matches"]), F.lit(0))
 
     def step(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gaps"])
-        end = begin + F.length(pair["matches"])
+        begin, end = state["at"] + F.length(pair["gaps"]), state["at"] + width(pair)
         span = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["matches"].alias("match")))
         confirmed = pair["matches"].isNotNull() & _confirmed(kind, pair["matches"])
-        return F.struct(F.coalesce(end, begin).alias("at"), F.when(confirmed, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
+        return F.struct(end.alias("at"), F.when(confirmed, F.concat(state["found"], span)).otherwise(state["found"]).alias("found"))
 
-    kept = F.aggregate(F.arrays_zip(gaps.alias("gaps"), matches.alias("matches")), start, step, lambda s: s["found"])
+    def blocks(all_pairs: Column) -> Column:
+        last = F.floor((F.size(all_pairs) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_pairs, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def folded(cut: Column) -> Column:
+        widths = F.transform(cut, lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + width(p)))
+        offsets = F.aggregate(F.slice(widths, F.lit(1), F.size(widths) - 1), F.array(F.lit(0)), lambda o, w: F.concat(o, F.array(F.element_at(o, -1) + w)))
+        found = F.zip_with(cut, offsets, lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("found")), step, lambda s: s["found"]))
+        return F.flatten(found)
+
+    kept = let(let(pairs, blocks), folded)
     if kind in CONTEXT:
         good, bad = CONTEXT[kind]
 
-        def enough(s: Column) -> Column:
-            near = F.substring(text, F.greatest(s["start"] + 1 - NEAR, F.lit(1)), s["end"] - s["start"] + 2 * NEAR)
-            total = F.lit(score) + F.when(_any_word(near, good), F.lit(RAISE)).otherwise(F.lit(0.0)) - F.when(_any_word(near, bad), F.lit(LOWER)).otherwise(F.lit(0.0))
-            return total >= MIN_SCORE
+        def supported(pieces: Column) -> Column:
+            def enough(s: Column) -> Column:
+                first = F.greatest(s["start"] - NEAR, F.lit(0))
+                piece = F.floor(first / PIECE).cast("int")
+                two = F.concat(F.get(pieces, piece), F.coalesce(F.get(pieces, piece + 1), F.lit("")))
+                near = F.substring(two, first % PIECE + 1, s["end"] + NEAR - first)
+                total = F.lit(score) + F.when(_any_word(near, good), F.lit(RAISE)).otherwise(F.lit(0.0)) - F.when(_any_word(near, bad), F.lit(LOWER)).otherwise(F.lit(0.0))
+                return total >= MIN_SCORE
 
-        kept = F.filter(kept, enough)
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
+            return F.filter(kept, enough)
+
+        kept = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), supported)
     possible = F.contains(text, F.lit(must)) if must else F.lit(True)
     return F.when(possible & text.rlike(pattern), kept).otherwise(none)
 
