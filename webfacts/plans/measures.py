@@ -351,7 +351,26 @@ def win_04(spark, d):
     return sections.with_offsets(s, "l_orderkey", "pos").select("l_orderkey", "pos", "start_y", r6("estimated_top", "estimated_top"))
 
 
-@query("win_05_contextual_relabel")
+@query(
+    "win_05_contextual_relabel",
+    f"""
+    WITH RECURSIVE q AS (SELECT l_orderkey, pos, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, CASE WHEN l_returnflag = 'A' THEN 'feature' ELSE 'unknown' END AS t,
+        (l_discount * 5)::DOUBLE AS c, l_linestatus = 'F' AS foot, l_quantity::INT % 5 AS links, l_quantity::INT % 4 AS heads, l_quantity::INT % 3 AS imgs, l_quantity::INT % 2 AS btns, l_quantity::INT % 7 = 0 AS h1, l_quantity::INT % 11 = 0 AS copyright FROM {LINES}),
+    o AS (SELECT *, CASE WHEN i = 1 AND (t = 'unknown' OR c < 0.5) THEN CASE WHEN links >= 3 THEN 'navigation' WHEN h1 AND btns > 0 THEN 'hero' END END AS opening FROM q),
+    o2 AS (SELECT * REPLACE (coalesce(opening, t) AS t, CASE WHEN opening IS NOT NULL THEN least(greatest(c, 0.6::DOUBLE) * 1.1::DOUBLE, 1) ELSE c END AS c), bool_or(opening = 'navigation') OVER (PARTITION BY l_orderkey) AS nav FROM o),
+    s AS (SELECT *, i = 2 AND coalesce(nav, false) AND t = 'unknown' AND h1 AND btns > 0 AS second FROM o2),
+    s2 AS (SELECT * REPLACE (CASE WHEN second THEN 'hero' ELSE t END AS t, CASE WHEN second THEN greatest(c, 0.7::DOUBLE) ELSE c END AS c) FROM s),
+    z AS (SELECT *, CASE WHEN i = n AND (t = 'unknown' OR c < 0.5) THEN CASE WHEN copyright THEN 0.8::DOUBLE WHEN foot THEN 0.9::DOUBLE END END AS closing FROM s2),
+    z2 AS (SELECT * REPLACE (CASE WHEN closing IS NOT NULL THEN 'footer' ELSE t END AS t, CASE WHEN closing IS NOT NULL THEN least(greatest(c, closing) * 1.1::DOUBLE, 1) ELSE c END AS c), (i - 1) / greatest(n - 1, 1)::DOUBLE AS place FROM z),
+    p AS (SELECT *, i > 1 AND i < n AND (heads >= 2 OR imgs >= 2) AND (t = 'unknown' OR c < 0.5) AS may_copy,
+        CASE WHEN t = 'unknown' AND c < 0.3 THEN CASE WHEN place <= 0.15 THEN CASE WHEN links >= 2 THEN 'navigation' END WHEN place <= 0.3 THEN CASE WHEN h1 AND btns > 0 THEN 'hero' END
+          WHEN place <= 0.7 THEN CASE WHEN imgs >= 3 THEN 'feature' END WHEN place <= 0.9 THEN CASE WHEN btns > 0 THEN 'cta' END WHEN copyright OR foot THEN 'footer' END END AS late FROM z2),
+    r AS (SELECT l_orderkey, pos, i, coalesce(late, t) AS type, CASE late WHEN 'hero' THEN 0.5::DOUBLE WHEN 'footer' THEN 0.6::DOUBLE ELSE CASE WHEN late IS NULL THEN c ELSE 0.4::DOUBLE END END AS confidence FROM p WHERE i = 1
+      UNION ALL SELECT p.l_orderkey, p.pos, p.i, CASE WHEN may_copy AND r.type = 'feature' THEN 'feature' ELSE coalesce(late, t) END,
+        CASE WHEN may_copy AND r.type = 'feature' THEN greatest(c, 0.6::DOUBLE) WHEN late IS NULL THEN c WHEN late = 'hero' THEN 0.5::DOUBLE WHEN late = 'footer' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END
+      FROM r JOIN p ON p.l_orderkey = r.l_orderkey AND p.i = r.i + 1)
+    SELECT l_orderkey, pos, type, round(confidence, 6) AS confidence FROM r""",
+)
 def win_05(spark, d):
     q = F.col("l_quantity").cast("int")
     s = lines(spark, d).select(

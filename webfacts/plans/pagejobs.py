@@ -13,6 +13,7 @@ from webfacts.pages import motion, quality, structure, styles
 from webfacts.plans.common import HEX, F, big, hex_of, r6, t
 from webfacts.plans.scalars import HEADINGS_SQL, TEXT_SQL
 from webfacts.registry import query
+from webfacts.rules import patterns as P
 from webfacts.rules.keywords import INDUSTRIES, STYLES
 from webfacts.rules.section_rules import SECTION_RULES
 
@@ -708,34 +709,69 @@ def sc_09(spark, d):
     return out.select("page_id", big("originality", "originality"), big("craftsmanship", "craftsmanship"), big("contextuality", "contextuality"), "overall")
 
 
-#: (markup, points of originality, of craftsmanship, of contextuality for the industry "tech" and the audience "business")
-QUALITY_KINDS = [
-    ("<p>plain</p>", 0, 0, 0),
-    ("<style>a{color:#aa0001;background:#aa0002;border-color:#aa0003}</style>", 5, 0, 0),
-    ("<style>a{color:#007bff;background:#28a745;border-color:#333333}</style>", 0, 0, 0),
-    ("<style>b{font-family:Inter}</style>", 3, 0, 0),
-    ("<style>b{font-family:Arial, serif}</style>", 0, 0, 0),
-    ('<div style="grid-template-areas: subgrid"></div>', 5, 0, 5),
-    ("<style>c{transition:a 1s, b 2s, c 3s}</style>", 4, 0, 0),
-    ("<style>c{transition:a 1s, b 2s}</style>", 0, 0, 0),
-    ("<svg><path d=\"M0\"/></svg>", 3, 0, 0),
-    ("<div></div>" * 11, 0, -5, 0),
-    ("<div></div>" * 10, 0, 0, 0),
-    ("<button>go</button> contact us", 0, 0, 8),
-    ("developer documentation for business", 0, 0, 10),
+#: Markup that is put behind the given pages in turn, so that the adjustments they never earn are scored too.
+ADDED_MARKUP = [
+    "<p>plain</p>",
+    "<style>a{color:#aa0001;background:#aa0002;border-color:#aa0003}</style>",
+    "<style>a{color:#007bff;background:#28a745;border-color:#333333}</style>",
+    "<style>b{font-family:Inter}</style>",
+    "<style>b{font-family:Arial, serif}</style>",
+    '<div style="grid-template-areas: subgrid"></div>',
+    "<style>c{transition:a 1s, b 2s, c 3s}</style>",
+    "<style>c{transition:a 1s, b 2s}</style>",
+    '<svg><path d="M0"/></svg>',
+    "<div></div>" * 11,
+    "<div></div>" * 10,
+    "<button>go</button> contact us",
+    "developer documentation for business",
+    '<img src="a.png"><img src="b.png" alt="b">',
+    '<img src="a.png" alt="a" loading="lazy" width="4" height="4">',
+    '<a href="#main" onclick="x()" tabindex="0" aria-label="skip">Skip</a><div aria-live="polite"></div>',
+    "<style>@media (max-width: 9px){x{display:grid;gap: 4px;aspect-ratio: 4/3}}@container (x){y{object-fit: cover}}</style>",
+    "<style>@keyframes a{}z{background:linear-gradient(1deg, #667eea, #764ba2);border-radius: 9999px}</style>Transform your business",
+    "<style>@keyframes a{}@keyframes b{}:root{--color-a: #010203;--color-b: #040506;--color-c: #070809}</style>get started today",
+    "<style>q{color:var(--a);margin:var(--b);gap:var(--c);top:var(--d);left:var(--e);clip-path: circle(4px)}</style>",
 ]
 
 
-@query(
-    "sc_09b_quality_adjustments",
-    "SELECT p_partkey AS page_id, o AS originality, c AS craftsmanship, x AS contextuality FROM part JOIN (VALUES "
-    + ", ".join(f"({i}, {80 + o}::BIGINT, {65 + c}::BIGINT, {70 + x}::BIGINT)" for i, (_, o, c, x) in enumerate(QUALITY_KINDS))
-    + f") AS v(i, o, c, x) ON p_partkey % {len(QUALITY_KINDS)} = i",
-)
+def _quality_sql(industry: str, audience: str) -> str:
+    """The rule tables as DuckDB expressions over ``h``, the page in lower case."""
+    text = lambda p: "'" + p.replace("'", "''") + "'"
+    hit = lambda p: f"regexp_matches(h, {text(p)})"
+    times = lambda p: f"len(regexp_extract_all(h, {text(p)}))"
+    when = lambda c, n: f"CASE WHEN {c} THEN {n} ELSE 0 END"
+    some = lambda marks: "(" + " OR ".join(map(hit, marks)) + ")"
+    axis = lambda name: [when(hit(p), n) for a, n, p in P.HTML_QUALITY if a == name]
+    terms = lambda name, table: [when(" AND ".join(map(hit, found)), n) for names, n, found in table if name in names]
+    penalty, most, least = P.DIV_OVERUSE
+    semantic = "<(header|main|nav|footer|section|article|aside)[^>]*>"
+    images = "regexp_extract_all(h, '<img[^>]*>')"
+    craft = axis("craftsmanship") + [
+        f"CASE WHEN len({images}) = 0 THEN 0 WHEN len(list_filter({images}, lambda x: contains(x, 'alt='))) = len({images}) THEN 5 ELSE -5 END",
+        f"-3 * {times('onclick=')}", when(f"{times('<div[^>]*>')} > {most} AND {times(semantic)} < {least}", -penalty),
+    ]
+    # a family counts as own unless a common name follows the colon at once
+    common = "font-family:(?:arial|helvetica|times|georgia|verdana|system-ui|sans-serif|serif|monospace)['\";\\s,]"
+    listed = ", ".join(text(c) for c in P.COMMON_COLORS)
+    earned = {
+        "colors": f"len(list_filter(list_distinct(regexp_extract_all(h, '#[0-9a-f]{{6}}')), lambda x: x NOT IN ({listed}))) >= 3",
+        "fonts": some(P.FONT_MARKS[:-1]) + f" OR {times('font-family:')} > {times(common)}",
+        "layout": some(P.LAYOUT_MARKS) + " OR len(list_filter(regexp_extract_all(h, 'grid-template-areas:\\s*[\"''][^\"'']+[\"'']'), lambda x: len(regexp_extract_all(x, '[\"'']')) >= 6)) > 0",
+        "motion": some(P.MOTION_MARKS) + f" OR {times('@keyframes\\s+[a-z]')} >= 2 OR len(list_filter(regexp_extract_all(h, 'transition:\\s*([^;]+)'), lambda x: len(regexp_extract_all(x, ',')) >= 2)) > 0",
+        "graphics": some(P.GRAPHICS_MARKS),
+    }
+    own = [when(c, P.ORIGINAL_POINTS[n]) for n, c in earned.items()] + [when(f"{times('(?i)' + p)} >= {n}", points) for points, p, n in P.ORIGINALITY_MARKS]
+    own += [when(times("@keyframes\\s+[a-z]") + " = 1", 3)] + [when(hit(p), -P.CLICHE_PENALTY[level][0]) for level, p in P.CLICHE_MARKS if level != "low"]
+    fit = axis("contextuality") + [when(" AND ".join(f"contains(h, '<{x}')" for x in ("header", "main", "footer")), 5)] + terms(industry, P.INDUSTRY_TERMS) + terms(audience, P.AUDIENCE_TERMS)
+    scores = [f"least(100, greatest(0, {P.HTML_BASE[name]} + {' + '.join(parts)}))::BIGINT AS {name}" for name, parts in (("originality", own), ("craftsmanship", craft), ("contextuality", fit))]
+    added = ", ".join(text(m) for m in ADDED_MARKUP)
+    return f"SELECT page_id, {', '.join(scores)} FROM (SELECT page_id, lower(html || [{added}][page_id % {len(ADDED_MARKUP)} + 1]) AS h FROM pages)"
+
+
+@query("sc_09b_quality_adjustments", _quality_sql("tech", "business"))
 def sc_09b(spark, d):
-    kind = F.element_at(F.array(*[F.lit(k[0]) for k in QUALITY_KINDS]), (F.col("p_partkey") % len(QUALITY_KINDS) + 1).cast("int"))
-    made = part(spark, d).select(F.col("p_partkey").alias("page_id"), kind.alias("html"))
-    out = scoring.html_quality(made, industry="tech", audience="business")
+    added = F.element_at(F.array(*[F.lit(m) for m in ADDED_MARKUP]), (F.col("page_id") % len(ADDED_MARKUP) + 1).cast("int"))
+    out = scoring.html_quality(pages(spark, d).withColumn("html", F.concat("html", added)), industry="tech", audience="business")
     return out.select("page_id", *[big(c, c) for c in ("originality", "craftsmanship", "contextuality")])
 
 
@@ -825,16 +861,35 @@ def ts_01(spark, d):
     return series.shift_scores(frames(spark, d), "user_id", "frame", "regions", "change", 1440, 900).select("user_id", "frame", r6("cls", "cls"))
 
 
-@query("ts_02_sequence_shift")
+def session_sql(gap: int, longest: int) -> str:
+    """Frames with a shift in order; a window ends at a gap or at its largest length, one step of the recursion per frame."""
+    return f"""{SHIFT_SQL},
+  f AS (SELECT user_id, frame, cls, row_number() OVER w AS i, frame - lag(frame) OVER w AS step FROM s WHERE cls > 0 WINDOW w AS (PARTITION BY user_id ORDER BY frame)),
+  r AS (SELECT user_id, i, frame, cls, frame AS head FROM f WHERE i = 1 UNION ALL
+    SELECT f.user_id, f.i, f.frame, f.cls, CASE WHEN f.step > {gap} OR f.frame - r.head > {longest} THEN f.frame ELSE r.head END FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1),
+  sess AS (SELECT user_id, head, max(frame) AS tail, sum(cls) AS cls, count(*) AS shifts FROM r GROUP BY 1, 2)"""
+
+
+@query(
+    "ts_02_sequence_shift",
+    f"""
+    WITH RECURSIVE {session_sql(30, 150)},
+    x AS (SELECT s.user_id, sum(s.cls) AS total, coalesce((SELECT max(cls) FROM sess WHERE sess.user_id = s.user_id), sum(s.cls)) AS worst FROM s GROUP BY 1)
+    SELECT user_id, round(total, 6) AS total, round(worst, 6) AS worst_window, CASE WHEN worst < 0.1 THEN 'good' WHEN worst < 0.25 THEN 'needs-improvement' ELSE 'poor' END AS class FROM x""",
+)
 def ts_02(spark, d):
     s = series.shift_scores(frames(spark, d), "user_id", "frame", "regions", "change", 1440, 900)
     return series.sequence_shift(s, "user_id", "frame").select("user_id", r6("total", "total"), r6("worst_window", "worst_window"), "class")
 
 
-@query("win_09_session_windows")
+@query(
+    "win_09_session_windows",
+    f"""WITH RECURSIVE {session_sql(200, 600)} SELECT user_id, head AS start, tail AS "end", round(cls, 6) AS cls, shifts FROM sess""",
+)
 def win_09b(spark, d):
     s = series.shift_scores(frames(spark, d), "user_id", "frame", "regions", "change", 1440, 900)
-    return series.session_windows(s, "user_id", "frame", "cls", "shifts", 200, 600)
+    out = series.session_windows(s, "user_id", "frame", "cls", "shifts", 200, 600)
+    return out.select("user_id", "start", "end", r6("cls", "cls"), "shifts")
 
 
 @query(
@@ -850,7 +905,43 @@ def ts_06(spark, d):
     return series.directions(c, "user_id", ["event_id"], "x", "y").select("user_id", "event_id", F.round("direction", 5).alias("direction"), r6("distance", "distance"))
 
 
-@query("ts_07_animation_category")
+def _points_sql(*terms: tuple[str, float]) -> str:
+    return "least(1::DOUBLE, " + " + ".join(f"CASE WHEN {c} THEN {p}::DOUBLE ELSE 0::DOUBLE END" for c, p in terms) + ")"
+
+
+#: Category: its points over avg, std, per, way, jump and rnd, in the order in which ties are decided.
+CATEGORY_SQL = {
+    "fade": _points_sql(("avg < 0.05", 0.4), ("std < 0.02", 0.4), ("way > 0.6", 0.2)),
+    "pulse": _points_sql(("per > 0.6", 0.5), ("std > 0.03", 0.3), ("avg > 0.02 AND avg < 0.2", 0.2)),
+    "wave": _points_sql(("way > 0.5", 0.4), ("avg BETWEEN 0.02 AND 0.2", 0.3), ("per > 0.3 AND per < 0.8", 0.3)),
+    "particle": _points_sql(("jump > 0.6", 0.4), ("avg > 0.1", 0.3), ("per < 0.3", 0.3)),
+    "rotation": _points_sql(("per > 0.7", 0.5), ("avg BETWEEN 0.03 AND 0.15", 0.3), ("jump < 0.3", 0.2)),
+    "parallax": _points_sql(("way > 0.7", 0.4), ("avg BETWEEN 0.01 AND 0.1", 0.4), ("jump < 0.2", 0.2)),
+    "noise": _points_sql(("rnd > 0.7", 0.5), ("per < 0.3", 0.3), ("way < 0.3", 0.2)),
+    "complex": "CASE WHEN avg > 0.15 OR (std > 0.05 AND per < 0.5) THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END",
+}
+
+
+@query(
+    "ts_07_animation_category",
+    f"""
+    WITH e AS (SELECT user_id, value / 100 AS v, row_number() OVER w AS i, lag(value / 100) OVER w AS b, lead(value / 100) OVER w AS f FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    st AS (SELECT user_id, count(*) AS n, avg(v) AS avg, stddev_pop(v) AS std, var_pop(v) AS var FROM e GROUP BY 1),
+    ch AS (SELECT user_id, count(*) FILTER (WHERE b IS NOT NULL AND f IS NOT NULL AND ((v >= b AND f >= v) OR (v <= b AND f <= v))) AS same,
+        count(*) FILTER (WHERE b IS NOT NULL AND f IS NOT NULL AND ((v >= b AND f < v) OR (v < b AND f >= v))) AS turns, count(*) FILTER (WHERE abs(v - b) > 2 * avg) AS jumps
+      FROM e JOIN st USING (user_id) GROUP BY 1),
+    ac AS (SELECT x.user_id, lag, sum((x.v - avg) * (y.v - avg)) / ((any_value(n) - lag) * any_value(var)) AS acf
+      FROM e x JOIN st USING (user_id) CROSS JOIN range(1, 21) AS g(lag) JOIN e y ON y.user_id = x.user_id AND y.i = x.i + lag WHERE var > 0 AND lag <= n // 2 GROUP BY 1, 2),
+    nb AS (SELECT *, lag(acf) OVER w AS p, lead(acf) OVER w AS q FROM ac WINDOW w AS (PARTITION BY user_id ORDER BY lag)),
+    lo AS (SELECT user_id, min(lag) AS low FROM nb WHERE acf < p AND acf < q GROUP BY 1),
+    pk AS (SELECT user_id, max(acf) AS best FROM nb JOIN lo USING (user_id) WHERE acf > p AND acf > q AND lag > low AND acf > 0 GROUP BY 1),
+    ft AS (SELECT st.user_id, avg, std, CASE WHEN least(20, n // 2) < 2 THEN 0::DOUBLE ELSE least(1::DOUBLE, coalesce(best, 0)) END AS per, CASE WHEN n < 3 THEN 0::DOUBLE ELSE same / (n - 2)::DOUBLE END AS way,
+        CASE WHEN n < 2 THEN 0::DOUBLE ELSE jumps / (n - 1)::DOUBLE END AS jump, CASE WHEN n < 3 THEN 0::DOUBLE ELSE greatest(0::DOUBLE, 1 - abs(turns + 1 - (n - 1) / 2.0::DOUBLE) / ((n - 1) / 2.0::DOUBLE)) END AS rnd
+      FROM st JOIN ch USING (user_id) LEFT JOIN pk USING (user_id)),
+    sc AS (SELECT *, [{", ".join(CATEGORY_SQL.values())}] AS points FROM ft)
+    SELECT user_id, CASE WHEN list_max(points) < 0.3 THEN 'complex' ELSE ['{"', '".join(CATEGORY_SQL)}'][list_position(points, list_max(points))] END AS category,
+      round(CASE WHEN list_max(points) < 0.3 THEN points[8] ELSE list_max(points) END, 6) AS confidence, round(per, 6) AS periodicity, round(way, 6) AS directional FROM sc""",
+)
 def ts_07(spark, d):
     e = t(spark, d, "events").select("user_id", "event_id", (F.col("value") / 100).alias("change"))
     out = series.animation_category(series.series_features(e, "user_id", ["event_id"], "change", 20))
@@ -866,11 +957,29 @@ def ts_08(spark, d):
     return series.visual_category(f, "user_id", "frame").select("user_id", "category", r6("confidence", "confidence"), r6("intensity", "intensity"))
 
 
-@query("ts_09_fade_events")
+@query(
+    "ts_09_fade_events",
+    """
+    WITH RECURSIVE x AS (SELECT user_id, event_id AS frame, floor(((event_id % 40) / 40.0::DOUBLE + value / 5000) * 10000 + 0.5::DOUBLE) / 10000 AS a, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    y AS (SELECT *, abs(a - lag(a) OVER (PARTITION BY user_id ORDER BY i)) AS step FROM x),
+    r AS (
+      SELECT user_id, i, n, frame, a, NULL::STRUCT(i BIGINT, frame BIGINT, a DOUBLE, up BOOLEAN) AS open, NULL::STRUCT(i BIGINT, frame BIGINT, a DOUBLE, up BOOLEAN, last BIGINT, last_frame BIGINT, last_a DOUBLE) AS closed FROM y WHERE i = 1
+      UNION ALL
+      SELECT y.user_id, y.i, y.n, y.frame, y.a,
+        CASE WHEN y.step >= 0.001 AND y.step > 0.1::DOUBLE * 0.1::DOUBLE AND (r.open IS NULL OR y.a = r.open.a OR (y.a > r.open.a) <> r.open.up) THEN {'i': r.i, 'frame': r.frame, 'a': r.a, 'up': y.a > r.a}
+          WHEN r.open IS NULL OR y.step < 0.001 OR y.a = r.open.a OR (y.a > r.open.a) <> r.open.up THEN NULL ELSE r.open END,
+        CASE WHEN r.open IS NOT NULL AND (y.step < 0.001 OR y.a = r.open.a OR (y.a > r.open.a) <> r.open.up) THEN {'i': r.open.i, 'frame': r.open.frame, 'a': r.open.a, 'up': r.open.up, 'last': r.i, 'last_frame': r.frame, 'last_a': r.a} END
+      FROM r JOIN y ON y.user_id = r.user_id AND y.i = r.i + 1),
+    c AS (SELECT user_id, closed FROM r WHERE closed IS NOT NULL UNION ALL
+      SELECT user_id, {'i': open.i, 'frame': open.frame, 'a': open.a, 'up': open.up, 'last': i, 'last_frame': frame, 'last_a': a} FROM r WHERE i = n AND open IS NOT NULL)
+    SELECT user_id, CASE WHEN closed.up THEN 'fade_in' ELSE 'fade_out' END AS type, closed.frame AS start_frame, closed.last_frame AS end_frame, round(abs(closed.last_a - closed.a), 6) AS change,
+      round((closed.last - closed.i + 1) * 1000.0::DOUBLE / 30, 6) AS duration_ms FROM c WHERE closed.last - closed.i >= 2 AND abs(closed.last_a - closed.a) >= 0.1::DOUBLE""",
+)
 def ts_09(spark, d):
     i = F.col("event_id")
-    f = t(spark, d, "events").select("user_id", F.col("event_id").alias("frame"), F.round((i % 40) / 40 + F.col("value") / 5000, 4).alias("alpha"))
-    return series.fade_events(f, "user_id", "frame", "alpha")
+    f = t(spark, d, "events").select("user_id", F.col("event_id").alias("frame"), (F.floor(((i % 40) / 40 + F.col("value") / 5000) * 10000 + 0.5) / 10000).alias("alpha"))
+    out = series.fade_events(f, "user_id", "frame", "alpha")
+    return out.select("user_id", "type", "start_frame", "end_frame", r6("change", "change"), r6("duration_ms", "duration_ms"))
 
 
 @query("vec_27_motion_vector")

@@ -74,7 +74,17 @@ def st_04(spark, d):
     return spark.read.parquet(f"{path}/out").select("user_id", "n", r6("total", "total"))
 
 
-@query("st_04b_capped_sessions")
+@query(
+    "st_04b_capped_sessions",
+    """
+    WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT user_id, i, ms, value, ms AS head FROM e WHERE i = 1 UNION ALL
+      SELECT e.user_id, e.i, e.ms, e.value, CASE WHEN e.ms - r.ms > 21600000 OR e.ms - r.head > 86400000 THEN e.ms ELSE r.head END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1),
+    m AS (SELECT max(ms) - 10000 AS mark FROM e),
+    g AS (SELECT user_id, head, max(ms) AS tail, count(*) AS n, sum(value) AS total FROM r, m WHERE ms <= mark GROUP BY 1, 2),
+    k AS (SELECT *, lead(head) OVER (PARTITION BY user_id ORDER BY head) AS later FROM g)
+    SELECT user_id, head AS start_ms, tail AS end_ms, n, round(total, 6) AS total FROM k, m WHERE later IS NOT NULL OR mark > tail + 21600000""",
+)
 def st_04b(spark, d):
     path = folder(spark)
     s = jobs.capped_sessions(stream(spark, d, "events"), "user_id", "ts", "value", 6 * 3600 * 1000, 24 * 3600 * 1000)
