@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from webfacts.llm import cotraining, decontamination, line_dedup, mixing, near_vectors, periodic_runs, pieces, pii, quality_rules, simhash, token_counts, url_filter, whitening
+from webfacts.plans.scalars import TEXT_SQL
 from webfacts.sources.tables import load
 
 #: Pages with one of these whole words in their visible text make the list of op3.
@@ -99,7 +100,7 @@ ORACLES: dict[str, str] = {
                  CASE WHEN url LIKE '%://%' THEN regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) ELSE '' END AS path
           FROM pages),
         named AS (SELECT *, regexp_replace(host, '^www\.', '') || rtrim(path, '/') AS key FROM parts),
-        listed AS (SELECT DISTINCT key FROM named WHERE regexp_matches(html, '(?i)(idiot|scum|pathetic|disgusting)') AND key <> ''),
+        listed AS (SELECT DISTINCT key FROM named WHERE regexp_matches(VISIBLE_TEXT, '(?i)(^|[^\p{L}\p{N}_])(idiot|scum|pathetic|disgusting)($|[^\p{L}\p{N}_])') AND key <> ''),
         rules(what, rhost, rpath) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
                                              ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         fits AS (
@@ -109,7 +110,7 @@ ORACLES: dict[str, str] = {
                coalesce(f.what, CASE WHEN l.key IS NULL THEN 'allow' ELSE 'block' END) AS verdict,
                f.rule IS NULL AND l.key IS NOT NULL AS listed
         FROM named n LEFT JOIN fits f USING (page_id) LEFT JOIN listed l ON n.key = l.key
-    """,
+    """.replace("VISIBLE_TEXT", TEXT_SQL.format(h="html")),
     "op13_decontamination": r"""
         WITH d AS (
           SELECT row_number() OVER () AS r, doc_id,

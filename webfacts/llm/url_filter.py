@@ -26,6 +26,8 @@ WORDS = 8
 #: Keys for a block of 256 bits: about one false positive in a thousand.
 KEYS_PER_BLOCK = 16
 SEED_BLOCK, SEED_BITS = 3, 33
+#: Numbers among which the pages stopped by the filter are spread.
+SPREAD = 1 << 20
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,21 +89,23 @@ def judge_urls(
     keys = cut(listed.select(F.col(listed_key).alias("listed_key")).filter("listed_key IS NOT NULL AND listed_key <> ''").distinct())
     blocks = max(1, -(-keys.count() // keys_per_block))
     block, bits = _spot("key", blocks)
-    probed = parts.withColumn("block", F.when(F.col("rule").isNull() & (F.col("key") != ""), block)).withColumn("bits", bits)
+    open_pages = F.col("rule").isNull() & (F.col("key") != "")
     words = bloom_blocks(keys, "listed_key", blocks)
-    met = probed.join(words, "block", "left")
+    met = parts.filter(open_pages).withColumn("block", block).withColumn("bits", bits).join(words, "block", "left")
     all_set = F.lit(True)
     for i in range(WORDS):
         all_set = all_set & (F.col("words")[i].bitwiseAND(F.col("bits")[i]) != 0)
     met = met.withColumn("maybe_listed", F.coalesce(all_set, F.lit(False))).drop("block", "bits", "words")
-    passed = F.when(F.col("maybe_listed"), F.col("key"))
-    checked = met.withColumn("probe", passed).join(keys, F.col("probe") == F.col("listed_key"), "left")
+    # pages the filter stops take a negative number, which no listed key has, so they spread over the tasks of a shuffle
+    spread = F.lit(SPREAD)
+    at = F.when(F.col("maybe_listed"), F.pmod(F.xxhash64("key"), spread)).otherwise(-1 - F.pmod(F.xxhash64("key", "id"), spread))
+    numbered = keys.withColumn("listed_at", F.pmod(F.xxhash64("listed_key"), spread))
+    checked = met.withColumn("at", at).join(numbered, (F.col("key") == F.col("listed_key")) & (F.col("at") == F.col("listed_at")), "left")
     found = F.col("listed_key").isNotNull()
-    return checked.select(
-        F.col("id").alias(page_id), "host", "path", "rule",
-        F.coalesce("by_rule", F.when(found, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
-        F.col("key").alias("canonical"), "maybe_listed", found.alias("listed"),
-    )
+    # pages with a rule or without a key need no join
+    settled = parts.filter(~open_pages).select("id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), "key", F.lit(False).alias("maybe"), F.lit(False).alias("found"))
+    asked = checked.select("id", "host", "path", "rule", F.when(found, F.lit("block")).otherwise(F.lit("allow")).alias("verdict"), "key", F.col("maybe_listed").alias("maybe"), found.alias("found"))
+    return settled.unionAll(asked).toDF(page_id, "host", "path", "rule", "verdict", "canonical", "maybe_listed", "listed")
 
 
 def listed_by_words(pages: DataFrame, words: tuple[str, ...], url: str = "url", html: str = "html") -> DataFrame:
