@@ -147,3 +147,29 @@ def test_cliche_registry(spark):
     assert [r["pattern"] for r in found.collect()] == ["mine"] and scoring.cliche_score(df, found, "id").first()["cliche"] == 80
     with pytest.raises(ValueError):
         scoring.overall(df, {"originality": -1})
+
+
+#: Markup, and what it adds to originality, craftsmanship and contextuality for the industry "tech" and the audience "business".
+QUALITY_KINDS = [
+    ("<p>plain</p>", 0, 0, 0),
+    ("<style>a{color:#aa0001;background:#aa0002;border-color:#aa0003}</style>", 5, 0, 0),
+    ("<style>a{color:#007bff;background:#28a745;border-color:#333333}</style>", 0, 0, 0),
+    ("<style>b{font-family:Inter}</style>", 3, 0, 0),
+    ("<style>b{font-family:Arial, serif}</style>", 0, 0, 0),
+    ('<div style="grid-template-areas: subgrid"></div>', 5, 0, 5),
+    ("<style>c{transition:a 1s, b 2s, c 3s}</style>", 4, 0, 0),
+    ("<style>c{transition:a 1s, b 2s}</style>", 0, 0, 0),
+    ('<svg><path d="M0"/></svg>', 3, 0, 0),
+    ("<div></div>" * 11, 0, -5, 0),
+    ("<div></div>" * 10, 0, 0, 0),
+    ("<button>go</button> contact us", 0, 0, 8),
+    ("developer documentation for business", 0, 0, 10),
+]
+
+
+def test_quality_adjustments(spark):
+    from webfacts.operators import scoring
+
+    rows = spark.createDataFrame([(i, k[0]) for i, k in enumerate(QUALITY_KINDS)], "page_id long, html string")
+    got = {r["page_id"]: (r["originality"], r["craftsmanship"], r["contextuality"]) for r in scoring.html_quality(rows, industry="tech", audience="business").collect()}
+    assert got == {i: (80 + o, 65 + c, 70 + x) for i, (_, o, c, x) in enumerate(QUALITY_KINDS)}
