@@ -289,7 +289,7 @@ def test_line_groups_cost_a_few_pairs_a_line(spark):
     distinct = line_dedup.stored(line_dedup.distinct_lines(line_dedup._lines(docs, "doc_id", "text"), [0] * 2**line_dedup.CLASS_BITS))
     heads = line_dedup.stored(line_dedup._heads(distinct))
     assert heads.count() <= 4 * len(rows)
-    settled = line_dedup._verified(heads, docs, "doc_id", "text", 10**6)
+    settled = line_dedup._verified(heads, line_dedup._bodies(heads, docs, "doc_id", "text", 10**6))
     flagged = distinct.join(settled.withColumn("settled", line_dedup.F.lit(True)), ["doc", "spot"], "left").fillna(False, "settled")
     assert flagged.filter("NOT settled").count() < 60 and line_dedup._candidates(line_dedup._postings(flagged)).count() < 20 * len(rows)
     stay = {r.doc for r in line_dedup.remaining_places(docs).collect()}

@@ -7,15 +7,18 @@ Words become numbers that sort from rare to frequent: corpus counts over a fixed
 a frequency class, which goes in front of the hash. Lines with equal sets of words are folded to their first place.
 
 One match is enough to lose a line. So before any pair is made, lines are grouped by a few small samples of their words, and
-each is held against the first line of its groups: a group of many alike lines costs a few comparisons a line and
-settles nearly all of them. The rest goes through the prefix join. Of n words, only the rarest n - ceil(0.8 n) + 1 are
+each is held against the first line of its groups and a few lines before it: a group of many alike lines costs a few
+comparisons a line and settles nearly all of them. The rest goes through the prefix join. Of n words, only the rarest n - ceil(0.8 n) + 1 are
 posted: two lines with no common posted word cannot match. Postings meet by word, a line that is not settled
 as the later one with any line as the earlier one; before a pair is made, lengths and positions bound the overlap it can
-have, and 128 parities of the words bound the words it cannot share. Pairs are verified on the words themselves.
+have, and 128 parities of the words bound the words it cannot share. Pairs are verified on the words themselves, the closest
+earlier line of each line first, and the others only where that one fails.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
@@ -29,6 +32,8 @@ CLASS_BITS = 16
 BROADCAST_LINES = 500_000
 #: Parts that a group of lines with a common sample is dealt to.
 PARTS = 16
+#: Lines before it in its part that a line is held against, besides the first.
+BEFORE = 3
 
 _BLANKS = "\t\x0b\x0c\r"
 #: Bit of ``spot`` that marks lines of documents without id; they come last.
@@ -122,39 +127,52 @@ _SAMPLES = ("s0", "s1", "s2")
 _PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
 
 
+def _apart(a: str, b: str) -> Column:
+    """At least so many words belong to one of two lines only."""
+    return sum(F.bit_count(F.col(f"{a}bits{h}").bitwiseXOR(F.col(f"{b}bits{h}"))) for h in (0, 1))
+
+
 def _close(a: str, b: str) -> Column:
     """Whether two lines can reach the threshold by their lengths and parities."""
     up, down = SHARE
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
     # at Jaccard u / d at most (d - u) / (d + u) of all words belong to one line only
-    apart = sum(F.bit_count(F.col(f"{a}bits{h}").bitwiseXOR(F.col(f"{b}bits{h}"))) for h in (0, 1))
-    return (na * down >= nb * up) & (nb * down >= na * up) & (apart * (up + down) <= (na + nb) * (down - up))
+    return (na * down >= nb * up) & (nb * down >= na * up) & (_apart(a, b) * (up + down) <= (na + nb) * (down - up))
 
 
 def _named(rows: DataFrame, side: str, *more: str) -> DataFrame:
     return rows.select(*more, *[F.col(c).alias(side + c) for c in rows.columns if c not in more])
 
 
-def _rank() -> Column:
-    """A number that grows with the place, up to rounding; it only chooses what a line is held against first."""
-    doc = F.coalesce(F.col("doc").try_cast("double"), F.xxhash64("doc").cast("double"))
-    return doc + F.col("spot").bitwiseAND(F.lit(2**31 - 1)) / F.lit(2.0**22) + F.shiftright("spot", _NO_ID) * F.lit(2.0**65)
-
-
 def _heads(lines: DataFrame) -> DataFrame:
-    """Pairs of each line with the first lines that share a sample with it: at most one a sample, however large a group is.
+    """Pairs of each line with the closest of the first line and the ``BEFORE`` lines before it that share a sample with it, however large a group is.
 
     A group is dealt to ``PARTS`` parts by the hash of the lines, so that one that holds a large share of all lines is no single
-    task. A line is held against the first of its part, and the first lines of the parts against the first of them all.
+    task. A line meets lines of its part, and the first lines of parts that hold more than one line meet each other in the same
+    way. Small groups with one line a part are left to the prefix join. The facts of a line travel with it, so the groups
+    are sorted once and no pair needs a join.
     """
-    sampled = lines.select(_rank().alias("b_rank"), F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
-    first = lambda *keys: F.first("b_rank").over(Window.partitionBy(*keys).orderBy("b_rank").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    parted = stored(sampled.withColumn("a_rank", first("sample", "part")))
-    top = parted.filter("a_rank = b_rank").select("sample", "b_rank").distinct().withColumn("a_rank", first("sample"))  # at most PARTS a sample
-    met = stored(parted.select("a_rank", "b_rank").union(top.select("a_rank", "b_rank")).filter("a_rank < b_rank").distinct())
-    ranked = lines.select(_rank().alias("rank"), "doc", "spot", "n", "bits0", "bits1")
-    ends = met.join(_named(ranked, "a_"), "a_rank").join(_named(ranked, "b_"), "b_rank")
-    return ends.filter((_order("a_") < _order("b_")) & _close("a_", "b_")).select(*_PAIR).distinct()
+    facts = ("doc", "spot", "n", "bits0", "bits1")
+    at = [F.col("spot") >= F.lit(1 << _NO_ID), F.col("doc"), F.col("spot")]
+
+    def met(rows: DataFrame, *keys: str) -> DataFrame:
+        """``sample``, facts, ``head`` (first of a group of several) and ``a``, the place of the closest of these lines, if any may be alike."""
+        behind = Window.partitionBy(*keys).orderBy(*at)
+        line = F.struct(*facts)
+        near = {"r0": F.first(line).over(behind.rowsBetween(Window.unboundedPreceding, Window.currentRow))}
+        near |= {f"r{k}": F.lag(line, k).over(behind) for k in range(1, BEFORE + 1)}
+        known = rows.withColumns(near | {"head": (F.row_number().over(behind) == 1) & F.lead(F.lit(True), 1, False).over(behind)})
+        alike = {r: F.coalesce((_order(f"{r}.") < _order()) & _close(f"{r}.", ""), F.lit(False)) for r in near}
+        found = known.filter(functools.reduce(Column.__or__, alike.values(), F.col("head")))
+        share = lambda r: (_apart(f"{r}.", "") / (F.col(f"{r}.n") + F.col("n"))).alias("apart")
+        closest = F.array_min(F.array(*[F.when(ok, F.struct(share(r), f"{r}.doc", f"{r}.spot")) for r, ok in alike.items()]))
+        return found.select("sample", *facts, "head", closest.alias("a"))
+
+    sampled = lines.select(*facts, F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
+    parted = stored(met(sampled, "sample", "part"))
+    tops = met(parted.filter("head").select("sample", *facts), "sample")
+    both = parted.select("a", "doc", "spot").union(tops.select("a", "doc", "spot")).filter("a IS NOT NULL")
+    return both.select(F.col("a.doc").alias("a_doc"), F.col("a.spot").alias("a_spot"), F.col("doc").alias("b_doc"), F.col("spot").alias("b_spot")).distinct()
 
 
 def _postings(lines: DataFrame) -> DataFrame:
@@ -179,40 +197,56 @@ def _candidates(postings: DataFrame) -> DataFrame:
 
 
 def _open_pairs(flagged: DataFrame) -> DataFrame:
-    """The candidates as places, the earlier first, where the later line is not settled."""
+    """The candidates as places, the earlier first, where the later line is not settled; ``apart`` is the share of words that parities tell apart."""
     pairs = stored(_candidates(_postings(flagged)))
     wanted = pairs.select(F.col("a_set").alias("set")).union(pairs.select("b_set")).distinct()
-    ends = stored(flagged.select("set", "doc", "spot", "settled").join(wanted, "set", "left_semi"))
+    ends = stored(flagged.select("set", "doc", "spot", "settled", "n", "bits0", "bits1").join(wanted, "set", "left_semi"))
     both = pairs.join(_named(ends, "a_"), "a_set").join(_named(ends, "b_"), "b_set")
     turned = both.withColumn("turn", _order("b_") < _order("a_"))
     pick = lambda s, t, c: F.when(F.col("turn"), F.col(t + c)).otherwise(F.col(s + c))
     open_ = turned.filter(~pick("b_", "a_", "settled"))
-    return open_.select(*[pick(s, t, c).alias(s + c) for s, t in (("a_", "b_"), ("b_", "a_")) for c in ("doc", "spot")])
+    apart = (_apart("a_", "b_") / (F.col("a_n") + F.col("b_n"))).cast("float").alias("apart")
+    return open_.select(*[pick(s, t, c).alias(s + c) for s, t in (("a_", "b_"), ("b_", "a_")) for c in ("doc", "spot")], apart)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, broadcast_lines: int) -> DataFrame:
-    """The later places ``doc, spot`` of ``pairs`` that reach the threshold, by the words themselves."""
-    up, down = SHARE
+def _bodies(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, broadcast_lines: int) -> DataFrame:
+    """``doc, spot, body`` of the lines in ``pairs``, read from the texts."""
     known = stored(pairs.select(F.col("a_doc").alias("doc"), F.col("a_spot").alias("spot")).union(pairs.select("b_doc", "b_spot")).distinct())
     if known.count() <= broadcast_lines:
         wanted = _lines(docs, doc_id, text, known.select("doc").distinct()).join(F.broadcast(known), ["doc", "spot"], "left_semi")
     else:
         wanted = _lines(docs, doc_id, text).join(known, ["doc", "spot"], "left_semi")
-    # a repeated row has a body twice; the fold shares the exchange of the joins
-    bodies = stored(wanted).groupBy("doc", "spot").agg(F.first("body").alias("body"))
-    both = pairs.join(_named(bodies, "a_"), ["a_doc", "a_spot"]).join(_named(bodies, "b_"), ["b_doc", "b_spot"])
-    words = lambda s: F.array_distinct(_words(F.col(f"{s}body")))
-    common = F.size(F.array_intersect("wa", "wb"))
-    alike = common * down >= (F.size("wa") + F.size("wb") - common) * up
-    return both.select("b_doc", "b_spot", words("a_").alias("wa"), words("b_").alias("wb")).filter(alike).select(F.col("b_doc").alias("doc"), F.col("b_spot").alias("spot")).distinct()
+    return stored(wanted)
+
+
+def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """The later places ``doc, spot`` of ``pairs`` that reach the threshold, by the words themselves."""
+    up, down = SHARE
+    # a repeated row has a body twice; the fold shares the exchange of the joins, and words are split once a line, not once a pair
+    lists = bodies.groupBy("doc", "spot").agg(F.first("body").alias("body")).select("doc", "spot", F.array_distinct(_words(F.col("body"))).alias("words"))
+    both = pairs.join(_named(lists, "a_"), ["a_doc", "a_spot"]).join(_named(lists, "b_"), ["b_doc", "b_spot"])
+    alike = F.size(F.array_intersect("a_words", "b_words")) * (down + up) >= (F.size("a_words") + F.size("b_words")) * up
+    return both.filter(alike).select(F.col("b_doc").alias("doc"), F.col("b_spot").alias("spot")).distinct()
+
+
+def _late(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
+    """As ``_verified``, but each later line is first held against the candidate closest to it; only lines that this leaves meet the others."""
+    later = ["b_doc", "b_spot"]
+    nearest = pairs.groupBy(*later).agg(F.min_by(F.struct("a_doc", "a_spot"), "apart").alias("a")).select("a.*", *later)
+    found = stored(_verified(nearest, bodies))
+    rest = pairs.select(*_PAIR).join(found.select(F.col("doc").alias("b_doc"), F.col("spot").alias("b_spot")), later, "left_anti")
+    return found.union(_verified(rest, bodies))
 
 
 def remaining_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """Places ``doc, spot`` of the lines that stay: first of their set of words, and not alike to an earlier line."""
+    bodies = lambda pairs: _bodies(pairs, docs, doc_id, text, broadcast_lines)
     distinct = stored(distinct_lines(_lines(docs, doc_id, text), word_classes(docs, text)))
-    settled = stored(_verified(stored(_heads(distinct)), docs, doc_id, text, broadcast_lines).withColumn("settled", F.lit(True)))
+    heads = stored(_heads(distinct))
+    settled = stored(_verified(heads, bodies(heads)).withColumn("settled", F.lit(True)))
     flagged = distinct.join(settled, ["doc", "spot"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    late = _verified(stored(_open_pairs(flagged)), docs, doc_id, text, broadcast_lines)
+    pairs = stored(_open_pairs(flagged))
+    late = _late(pairs, bodies(pairs))
     return distinct.select("doc", "spot").join(settled.select("doc", "spot").union(late), ["doc", "spot"], "left_anti")
 
 
