@@ -59,3 +59,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = {(r["hour"], r["n"], r["avg"]) for r in jobs.newest_updates(spark, f"{tmp_path}/o", ["hour"]).collect()}
     batch = spark.createDataFrame(rows, SCHEMA).groupBy(F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.avg("value").alias("avg"))
     assert got == {tuple(r) for r in batch.collect()}
+
+
+def test_tables_of_one_file_or_a_folder_of_files(spark, tmp_path):
+    from webfacts.plans.streams import stream
+
+    spark.range(10).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")  # a folder with three files
+    spark.range(5).coalesce(1).write.parquet(f"{tmp_path}/other.parquet")
+    file = next(p for p in (tmp_path / "other.parquet").iterdir() if p.suffix == ".parquet")
+    file.rename(tmp_path / "labels.parquet")  # one plain file
+    for name, n in (("pages", 10), ("labels", 5)):
+        out = stream(spark, str(tmp_path), name).writeStream.format("parquet").option("path", f"{tmp_path}/o-{name}")
+        jobs.run_available(out, f"{tmp_path}/c-{name}")
+        assert spark.read.parquet(f"{tmp_path}/o-{name}").count() == n

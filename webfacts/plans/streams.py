@@ -15,9 +15,12 @@ from webfacts.streaming import jobs
 
 
 def stream(spark, d, name):
-    """The file of a table as a stream with the schema of the table."""
+    """A table, one file or a folder of files, as a stream with the schema of the table.
+
+    The path is a pattern, since a stream takes a plain path for a folder.
+    """
     schema = t(spark, d, name).schema
-    df = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    df = spark.readStream.schema(schema).parquet(f"{d}/{name}[.]parquet")
     return df.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in df.columns else df
 
 
