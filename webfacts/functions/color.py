@@ -132,6 +132,16 @@ def delta_e(lab1: Column, lab2: Column) -> Column:
     )
 
 
+def lab(l: float, a: float, b: float) -> Column:
+    """A fixed Lab colour, such as the reference white (100, 0, 0)."""
+    return F.struct(F.lit(float(l)).alias("l"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"))
+
+
+def delta_e_to(c: ColumnOrName, reference: Column) -> Column:
+    """Distance of a hex colour to a Lab struct."""
+    return let(hex_to_lab(c), lambda x: delta_e(x, reference))
+
+
 def delta_e_hex(c1: ColumnOrName, c2: ColumnOrName) -> Column:
     return let(F.struct(hex_to_lab(c1).alias("x"), hex_to_lab(c2).alias("y")), lambda p: delta_e(p["x"], p["y"]))
 

@@ -148,7 +148,7 @@ def fn_19(spark, d):
 
 @query("fn_20_delta_e", PART_LAB + " SELECT key AS p_partkey, round(sqrt(pow(l - 100, 2) + pow(a - 0, 2) + pow(bb - 0, 2)), 1) AS de FROM lab")
 def fn_20(spark, d):
-    white = color.delta_e_hex(hex_of("p_partkey"), F.lit("ffffff"))
+    white = color.delta_e_to(hex_of("p_partkey"), color.lab(100, 0, 0))  # the reference white; ffffff itself has a = 0.005, b = -0.01
     return t(spark, d, "part").select("p_partkey", F.round(white, 1).alias("de"))
 
 
