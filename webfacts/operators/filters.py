@@ -49,6 +49,11 @@ def color_within(c1: ColumnOrName, c2: ColumnOrName, tolerance: float = 15) -> C
     return F.coalesce(color.delta_e_hex(c1, c2) <= tolerance, F.lit(False))
 
 
+def color_near(c: Column, reference: tuple[float, float, float], tolerance: float = 10) -> Column:
+    """CIE76 distance of a hex colour to a fixed Lab colour, such as a neutral grey; an invalid colour never matches."""
+    return F.coalesce(color.delta_e_to(c, color.lab(*reference)) <= tolerance, F.lit(False))
+
+
 def visual_filter(features: ColumnOrName, theme=None, min_contrast=None, dominant=None, tolerance=15, min_density=None, max_density=None, min_whitespace=None) -> Column:
     """Struct predicates; a missing struct or field fails an active sub-filter and passes an inactive one."""
     v = col(features)
@@ -114,13 +119,13 @@ def split_vectors(df: DataFrame, vector: str, dims: int) -> tuple[DataFrame, Dat
     return good, bad
 
 
-def on_domains(df: DataFrame, url_col: str, domains: DataFrame | list[str], allow: bool = True) -> DataFrame:
-    """Keep (or drop) rows whose host is one of the domains or below it.
+def on_domains(df: DataFrame, url_col: str, domains: DataFrame | list[str], allow: bool = True, host: Column | None = None) -> DataFrame:
+    """Keep (or drop) rows whose host is one of the domains or below it. ``host`` replaces the usual host of the URL.
 
     A literal list becomes a predicate. A table is matched by exploding the host into its suffixes and
     joining on equality, so a long list needs no row-by-row comparison.
     """
-    host = url.url_host(url_col)
+    host = url.url_host(url_col) if host is None else host
     if isinstance(domains, list):
         hit = F.lit(False)
         for d in domains:
