@@ -229,13 +229,19 @@ _GRADIENT = r"(repeating-)?(linear|radial|conic)-gradient\(((?:[^()]|\([^()]*\))
 def gradients(c: ColumnOrName) -> Column:
     """``array<struct<type, repeating, angle, args, stops array<struct<color, position>>>>``."""
     whole = F.regexp_extract_all(col(c), F.lit(_GRADIENT), F.lit(0))
+    side = r"^(-?\d+(?:\.\d+)?)(deg|grad|rad|turn)$"
 
     def parse(g: Column) -> Column:
         args = F.regexp_extract(g, _GRADIENT, 3)
-        parts = split_list(args)
+        return let(F.struct(args.alias("args"), split_list(args).alias("parts")), lambda x: directed(g, x["args"], x["parts"]))
+
+    def directed(g: Column, args: Column, parts: Column) -> Column:
         first = F.lower(F.coalesce(F.get(parts, F.lit(0)), F.lit("")))
-        directed = first.rlike(r"^(-?\d+(\.\d+)?)(deg|grad|rad|turn)$|^(to|from) |^(circle|ellipse)(\s|$)| at ")
-        stops = F.when(directed, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+        given = first.rlike(r"^(-?\d+(\.\d+)?)(deg|grad|rad|turn)$|^(to|from) |^(circle|ellipse)(\s|$)| at ")
+        rest = F.when(given, F.slice(parts, F.lit(2), F.size(parts))).otherwise(parts)
+        return let(F.struct(first.alias("first"), rest.alias("rest")), lambda y: built(g, args, y["first"], y["rest"]))
+
+    def built(g: Column, args: Column, first: Column, stops: Column) -> Column:
         n = F.size(stops)
 
         def stop(p: Column, i: Column) -> Column:
@@ -245,8 +251,8 @@ def gradients(c: ColumnOrName) -> Column:
                 F.trim(F.regexp_replace(p, r"\s+\d+(\.\d+)?%\s*$", "")).alias("color"), F.coalesce(pct, spread).alias("position")
             )
 
-        value = num(F.regexp_extract(first, r"^(-?\d+(?:\.\d+)?)(deg|grad|rad|turn)$", 1))
-        unit = F.regexp_extract(first, r"^(-?\d+(?:\.\d+)?)(deg|grad|rad|turn)$", 2)
+        value = num(F.regexp_extract(first, side, 1))
+        unit = F.regexp_extract(first, side, 2)
         turned = value * F.when(unit == "grad", 0.9).when(unit == "rad", 180 / math.pi).when(unit == "turn", 360.0).otherwise(1.0)
         kind = F.regexp_extract(g, _GRADIENT, 2)
         return F.struct(
@@ -260,13 +266,18 @@ def gradients(c: ColumnOrName) -> Column:
     return F.transform(whole, parse)
 
 
-def is_mesh(c: ColumnOrName) -> Column:
-    """At least three radial gradients, two of them fading to transparent."""
-    radial = F.filter(gradients(c), lambda g: g["type"] == "radial")
+def mesh_of(found: ColumnOrName) -> Column:
+    """:func:`is_mesh` on the result of :func:`gradients`."""
+    radial = F.filter(col(found), lambda g: g["type"] == "radial")
     faded = F.filter(radial, lambda g: F.lower(g["args"]).contains("transparent"))
     return (F.size(radial) >= 3) & (F.size(faded) >= 2)
 
 
+def is_mesh(c: ColumnOrName) -> Column:
+    """At least three radial gradients, two of them fading to transparent."""
+    return mesh_of(gradients(c))
+
+
 _COLOR = r"#[0-9a-fA-F]{3,8}\b|rgba?\([^)]*\)|hsla?\([^)]*\)|\b[a-z]{3,}\b"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from webfacts.functions.base import ColumnOrName, clamp, col
+from webfacts.functions.base import ColumnOrName, clamp, col, let
 
 
 def vector_literal(values: list[float]) -> Column:
@@ -41,10 +41,8 @@ def cosine_to(a: ColumnOrName, query: list[float]) -> Column:
 
 def l2_normalize(a: ColumnOrName) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(a)
-    return F.when(n == 0, F.transform(col(a), lambda x: x.cast("double"))).otherwise(
-        F.transform(col(a), lambda x: x.cast("double") / n)
-    )
+    # the norm is taken once a vector, not once an element; a zero vector is divided by 1
+    return let(norm(a), lambda n: F.transform(col(a), lambda x: x.cast("double") / F.when(n == 0, F.lit(1.0)).otherwise(n)))
 
 
 def clamped_dot(a: ColumnOrName, b: ColumnOrName) -> Column:

@@ -22,10 +22,11 @@ TRIGGERS = ["load", "hover", "scroll", "click", "focus", "custom"]
 
 def motions(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Animations (properties from the page's keyframes) and transitions, one row per rule and kind."""
-    rules = rule_blocks(pages, page_id, html)
-    short = prop("decls", "animation")
-    parsed = css.animation_shorthand(F.coalesce(short, F.lit("")))
-    rows = rules.withColumns({"_a": parsed, "_name": F.coalesce(prop("decls", "animation-name"), F.when(short.isNotNull(), parsed["name"]))})
+    starts = ["animation", "animation-name", "transition", "transition-duration"]  # a rule with none of them moves nothing
+    rules = rule_blocks(pages, page_id, html).filter(F.exists("decls", lambda d: d["property"].isin(starts)))
+    rules = rules.withColumns({"_short": prop("decls", "animation"), "_trans": css.transition_shorthand(F.coalesce(prop("decls", "transition"), F.lit("")))})
+    rules = rules.withColumn("_a", css.animation_shorthand(F.coalesce("_short", F.lit(""))))
+    rows = rules.withColumn("_name", F.coalesce(prop("decls", "animation-name"), F.when(F.col("_short").isNotNull(), F.col("_a.name"))))
     or_own = lambda own, field: F.coalesce(own, F.col(f"_a.{field}"))
     timed = lambda name: css.duration_ms(prop("decls", name))
     timeline = F.coalesce(prop("decls", "animation-timeline"), F.lit(""))
@@ -48,7 +49,7 @@ def motions(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
             F.lit(None).cast("array<string>").alias("moved"),
         ),
     )
-    trans = css.transition_shorthand(F.coalesce(prop("decls", "transition"), F.lit("")))
+    trans = F.col("_trans")
     first = F.get(trans, F.lit(0))
     listed = css.split_list(F.coalesce(prop("decls", "transition-property"), F.lit("")))
     names = F.when(F.size(listed) > 0, listed).when(F.size(trans) > 0, F.transform(trans, lambda t: t["property"])).otherwise(F.array(F.lit("all")))
@@ -151,7 +152,8 @@ def performance(rows: DataFrame) -> DataFrame:
 
 def motion_vector(rows: DataFrame, name: str = "vector") -> DataFrame:
     """64 features (16 each: properties, timing, easing, keyframes), scaled to unit length."""
-    names = _names()
+    rows = rows.withColumns({"_low": _names(), "_pts": css.control_points("easing")})
+    names = F.col("_low")
     n = F.size("properties")
     some = n > 0
     share = lambda words: F.when(some, F.size(F.filter(names, lambda x: any_of(x, words))) / n).otherwise(0.0)
@@ -179,7 +181,7 @@ def motion_vector(rows: DataFrame, name: str = "vector") -> DataFrame:
         F.when(dur < 300, 0.0).when(dur < 1000, 0.5).otherwise(1.0),
     ]
     ease = F.lower(F.trim("easing"))
-    pts = css.control_points("easing")
+    pts = F.col("_pts")
     point = lambda i: F.coalesce(pts[i], F.lit(0.0))
     is_steps = ease.startswith("steps")
     step_n = F.regexp_extract(ease, r"steps\s*\(\s*(\d+)", 1).try_cast("double")
@@ -196,11 +198,11 @@ def motion_vector(rows: DataFrame, name: str = "vector") -> DataFrame:
         size = F.greatest(k, F.lit(1))
         middle = F.size(F.filter(o, lambda x: (x > 0) & (x < 1)))
         mean = F.aggregate(o, F.lit(0.0), lambda s, x: s + x) / size
-        spread = F.aggregate(o, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / size
+        spread = let(mean, lambda m: F.aggregate(o, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / size
         gaps = F.zip_with(F.filter(o, lambda _, i: i > 0), F.slice(o, F.lit(1), F.greatest(k - 1, F.lit(0))), lambda b, a: b - a)
         g = F.greatest(k - 1, F.lit(1))
         mean_gap = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + x) / g
-        gap_var = F.aggregate(gaps, F.lit(0.0), lambda s, x: s + (x - mean_gap) * (x - mean_gap)) / g
+        gap_var = let(mean_gap, lambda m: F.aggregate(gaps, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))) / g
         near = lambda at: F.exists(o, lambda x: F.abs(x - at) < 0.01)
         halves = (F.size(F.filter(o, lambda x: x < 0.5)) - F.size(F.filter(o, lambda x: x > 0.5))) / size
         parts = [
@@ -212,4 +214,4 @@ def motion_vector(rows: DataFrame, name: str = "vector") -> DataFrame:
 
     head = F.array(*[c.cast("double") for c in property_part + timing_part + easing_part])
     raw = rows.withColumn("_raw", F.concat(head, let(offsets, keyframe_part)))
-    return raw.withColumn(name, l2_normalize("_raw")).drop("_raw")
+    return raw.withColumn(name, l2_normalize("_raw")).drop("_raw", "_low", "_pts")

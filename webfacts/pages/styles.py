@@ -59,8 +59,10 @@ def rule_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html")
             F.lower(F.regexp_extract(s, "^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("selector"), F.regexp_extract(s, r'(?is)\sstyle="([^"]*)"', 1).alias("body")
         ),
     )
-    rows = pages.select(page_id, F.posexplode(F.concat(sheet_rules, inline)).alias("rule_no", "r"))
-    return rows.select(page_id, "rule_no", F.col("r.selector").alias("selector"), declarations("r.body").alias("decls"))
+    # declarations are read before the rows are made: a filter on them behind the explode then reads them no second time
+    parsed = F.transform(F.concat(sheet_rules, inline), lambda r: F.struct(r["selector"].alias("selector"), declarations(r["body"]).alias("decls")))
+    rows = pages.select(page_id, F.posexplode(parsed).alias("rule_no", "r"))
+    return rows.select(page_id, "rule_no", F.col("r.selector").alias("selector"), F.col("r.decls").alias("decls"))
 
 
 def style_rules(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_css: int | None = None) -> DataFrame:
@@ -193,7 +195,7 @@ def backgrounds(rules: DataFrame) -> DataFrame:
         (F.lower("selector").rlike(r"video") & both.rlike("video|url"), "video_background"),
         (both.rlike("noise|grain|feturbulence"), "noise_texture"),
         ((F.col("blur") > 0) & alpha, "glassmorphism"),
-        (css.is_mesh("bg"), "mesh_gradient"),
+        (css.mesh_of("gradients"), "mesh_gradient"),
         ((n > 0) & (F.col("layers") >= 2), "multi_layer"),
         ((n > 0) & F.col("animated"), "animated_gradient"),
         (n > 0, F.concat(kind, F.lit("_gradient"))),
@@ -232,7 +234,8 @@ def decorations(rules: DataFrame) -> DataFrame:
         F.filter("_shadows", glow_of),
         lambda s: F.struct(F.lit("glow").alias("type"), (F.lit(0.8) + F.when(s["blur"] >= 10, 0.1).otherwise(0.0) + F.when(s["spread"] > 0, 0.05).otherwise(0.0)).alias("confidence")),
     )
-    grads = css.gradients("_bg")
+    rows = rows.withColumn("_grads", css.gradients("_bg"))
+    grads = F.col("_grads")
     first = F.get(grads, F.lit(0))
     gradient = F.when(
         F.size(grads) > 0,

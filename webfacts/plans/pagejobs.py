@@ -13,6 +13,7 @@ from webfacts.pages import motion, quality, structure, styles
 from webfacts.plans.common import HEX, F, big, hex_of, r6, t
 from webfacts.plans.scalars import HEADINGS_SQL, TEXT_SQL
 from webfacts.registry import query
+from webfacts.session import fan_out
 from webfacts.rules import patterns as P
 from webfacts.rules.keywords import INDUSTRIES, STYLES
 from webfacts.rules.section_rules import SECTION_RULES
@@ -34,7 +35,8 @@ def styled(spark, d):
         "<section><p>Plain</p></section></main><footer><p>Copyright %3$s</p><a href=\"/x\">x</a></footer></body></html>",
         size, hx, F.col("p_name"), k % 5, size * 100, size + 16,
     )
-    return t(spark, d, "part").select(k.alias("page_id"), F.concat(F.lit("https://shop.example.com/p/"), k).alias("url"), text.alias("html"))
+    rows = fan_out(t(spark, d, "part").select("p_partkey", "p_size", "p_name"), "p_partkey")  # one small file becomes many pages
+    return rows.select(k.alias("page_id"), F.concat(F.lit("https://shop.example.com/p/"), k).alias("url"), text.alias("html"))
 
 
 def part(spark, d):
