@@ -17,6 +17,10 @@ from webfacts.operators.aggregates import top_per_key
 from webfacts.session import cut
 
 BLOCK_ROWS = 4096
+#: Blocks grow with the table up to this, since every further block repeats the other side in the shuffle.
+MAX_BLOCK_ROWS = 32768
+#: Query rows of one matrix product; with 4096 members it holds 32 MB.
+QUERY_ROWS = 1024
 MAX_PIVOTS = 4096
 #: More probes than this are scored as a table instead of literals.
 LITERAL_PROBES = 1000
@@ -68,15 +72,21 @@ def _best(rep_q, rep_m, sims: np.ndarray, k: int, floor: float):
     return out[out.groupby("rep").cumcount() < k]
 
 
-def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int, min_similarity: float) -> DataFrame:
+def block_rows(n: int) -> int:
+    """Rows of a block for a table of ``n`` vectors: about eight blocks a side, within fixed bounds."""
+    return int(min(MAX_BLOCK_ROWS, max(BLOCK_ROWS, n // 8)))
+
+
+def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int, min_similarity: float, size: int = BLOCK_ROWS) -> DataFrame:
     """Top ``k`` members per query inside each cell: ``(rep, target, similarity)``, one set per block.
 
-    A cell of any size is cut into query chunks x member chunks of about ``BLOCK_ROWS`` rows each; cells that
-    fit one block travel together in packs, so small cells do not cost one Python call each.
+    A cell of any size is cut into query chunks x member chunks of about ``size`` rows each; cells that
+    fit one block travel together in packs, so small cells do not cost one Python call each. Inside a block the
+    products are taken in pieces of fixed size, so its memory is that of its vectors.
     """
 
     def chunks(df: DataFrame, name: str) -> DataFrame:
-        n = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).cast("int")
+        n = F.ceil(F.count(F.lit(1)) / F.lit(size)).cast("int")
         return df.groupBy(*cell).agg(n.alias(name))
 
     sizes = chunks(queries, "_nq").join(chunks(members, "_nm"), cell).withColumn("_cell", F.concat_ws("|", *cell))
@@ -84,7 +94,7 @@ def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     small = (F.col("_nq") == 1) & (F.col("_nm") == 1)
     # small cells are dealt to packs of about a block of rows, so the number of packs grows with the rows
-    packs = max(1, -(-members.count() // BLOCK_ROWS))
+    packs = max(1, -(-members.count() // size))
     block = F.when(small, F.pmod(F.xxhash64("_cell"), F.lit(packs)).cast("string")).otherwise(F.concat_ws("|", "_cell", "_q", "_m", F.lit("b")))
     cols = [block.alias("_block"), "_cell", "rep", "vec"]
     q = queries.join(sizes, cell).select("_cell", "rep", "vec", "_nq", "_nm", own("_nq").alias("_q"), every("_nm").alias("_m")).select(*cols)
@@ -100,9 +110,15 @@ def _block_topk(queries: DataFrame, members: DataFrame, cell: list[str], k: int,
                 continue
             mine = right.iloc[there[name]]
             b, rep_m = _matrix(mine["mvec"]), mine["mrep"].to_numpy()
-            for at in range(0, len(rows), BLOCK_ROWS):
-                some = left.iloc[rows[at : at + BLOCK_ROWS]]
-                parts.append(_best(some["rep"].to_numpy(), rep_m, _matrix(some["vec"]) @ b.T, k, floor))
+            for at in range(0, len(rows), QUERY_ROWS):
+                some = left.iloc[rows[at : at + QUERY_ROWS]]
+                a, rep_q = _matrix(some["vec"]), some["rep"].to_numpy()
+                best = [_best(rep_q, rep_m[i : i + BLOCK_ROWS], a @ b[i : i + BLOCK_ROWS].T, k, floor) for i in range(0, len(b), BLOCK_ROWS)]
+                hits = pd.concat(best)
+                if len(best) > 1:
+                    hits = hits.sort_values(["rep", "similarity", "target"], ascending=[True, False, True], kind="stable")
+                    hits = hits[hits.groupby("rep").cumcount() < k]
+                parts.append(hits)
         return pd.concat(parts)
 
     return q.groupBy("_block").cogroup(m.groupBy("m_block")).applyInPandas(search, "rep long, target long, similarity double")
@@ -152,8 +168,10 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
     floor = -1.0 if min_similarity is None else float(min_similarity)
     rows, reps = _representatives(corpus, id_col, vector, group)
     reps = cut(reps)
-    # cells of about one block each, so a search inside a cell is one matrix product
-    wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or reps.count() / BLOCK_ROWS)))
+    n = reps.count()
+    size = block_rows(n)
+    # cells of about one block each: where nothing can be left out, a row is sent to every cell
+    wanted = int(max(1, min(MAX_PIVOTS, pivots_wanted or n / size)))
     # a bounded sample: at most MAX_PIVOTS vectors reach the driver
     sample = reps.filter(F.exists("vec", lambda x: x != 0)).orderBy(F.xxhash64("rep"), "rep").limit(wanted).select("vec").collect()
     if not sample:  # nothing but zero vectors
@@ -170,7 +188,7 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
 
     placed = cut(reps.mapInPandas(assign, "grp string, vec array<double>, rep long, cell int, angle double"))
     cells = ["grp", "cell"]
-    first = cut(_block_topk(placed, placed, cells, k, floor))
+    first = cut(_block_topk(placed, placed, cells, k, floor, size))
     if len(pivots) == 1:  # every group is one cell
         return _expand(rows, reps, first, id_col, k, floor)
 
@@ -204,7 +222,7 @@ def knn_join(corpus: DataFrame, id_col: str, vector: str, k: int, min_similarity
 
     away = need.join(reach, "grp").mapInPandas(visits, "grp string, cell int, rep long")
     queries = away.join(placed.select("rep", "vec"), "rep")
-    second = _block_topk(queries, placed.select("grp", "cell", "rep", "vec"), cells, k, floor)
+    second = _block_topk(queries, placed.select("grp", "cell", "rep", "vec"), cells, k, floor, size)
     return _expand(rows, reps, first.unionByName(second), id_col, k, floor)
 
 
