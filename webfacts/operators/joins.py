@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import text
 from webfacts.functions.color import channel
+from webfacts.session import cut
 
 
 def without_embedding(facts: DataFrame, embeddings: DataFrame, fact_id: str, emb_id: str) -> DataFrame:
@@ -21,26 +24,42 @@ def with_embedding(facts: DataFrame, embeddings: DataFrame, fact_id: str, emb_id
 def nearest_color(colors: DataFrame, palette: DataFrame, by: list[str], hex_col: str = "hex", palette_hex: str = "palette_hex", reach: int = 30) -> DataFrame:
     """Nearest palette colour of each colour with RGB distance below ``reach``, matched inside ``by``.
 
-    Both sides are reduced to distinct colours, then meet on cells of edge ``reach``: a palette colour is
-    entered in its own and the 26 neighbouring cells, so a pair closer than ``reach`` always meets. A cell
-    holds at most ``reach**3`` distinct colours per side, whatever the size of the tables.
+    Both sides are reduced to distinct colours, then meet on cells, first of a small edge and then of larger ones up to
+    ``reach``: a palette colour is entered in its own and the 26 neighbouring cells, so a pair closer than the edge always
+    meets. Only colours with no palette colour closer than one edge go on to the next, so a colour meets few others
+    however dense the palette is. A cell holds at most ``edge**3`` distinct colours per side, whatever the size of the tables.
     """
-    ours = colors.select(*by, hex_col).distinct()
-    theirs = palette.select(*by, palette_hex).distinct()
-    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-
-    def cells(df: DataFrame, h: str, side: str) -> DataFrame:
-        rgb = df.select("*", *[channel(h, i).alias(f"{side}{i}") for i in range(3)])
-        return rgb.select("*", *[F.floor(F.col(f"{side}{i}") / reach).cast("int").alias(f"_c{i}") for i in range(3)])
-
-    spread = cells(theirs, palette_hex, "_p")
-    for i in range(3):
-        spread = spread.withColumn("_d", F.explode(step)).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_d")).drop("_d")
-    met = cells(ours, hex_col, "_h").join(spread, [*by, "_c0", "_c1", "_c2"])
-    square = sum(((F.col(f"_h{i}") - F.col(f"_p{i}")) * (F.col(f"_h{i}") - F.col(f"_p{i}")) for i in range(3)), F.lit(0))
-    near = met.filter(square < reach * reach).withColumn("distance", F.sqrt(square.cast("double")))
-    best = near.groupBy(*by, hex_col).agg(F.min(F.struct("distance", palette_hex)).alias("_b"))
-    return best.select(*by, hex_col, F.col("_b")[palette_hex].alias(palette_hex), F.col("_b.distance").alias("distance"))
+    edges = [reach]
+    while edges[0] >= 9:
+        edges.insert(0, edges[0] // 3)
+    width = 4 * colors.sparkSession.sparkContext.defaultParallelism  # narrow rows, much work: not merged into a few tasks
+    cell, step = ["_c0", "_c1", "_c2"], F.array(*[F.lit(i) for i in (-1, 0, 1)])
+
+    def channels(df: DataFrame, h: str, side: str) -> DataFrame:
+        rgb = df.select(*by, h).distinct().select("*", *[channel(h, i).alias(f"{side}{i}") for i in range(3)])
+        return rgb.filter(F.col(f"{side}0").isNotNull())
+
+    def dealt(df: DataFrame, side: str, edge: int, spread: bool) -> DataFrame:
+        rows = df.select("*", *[F.floor(F.col(f"{side}{i}") / edge).cast("int").alias(c) for i, c in enumerate(cell)])
+        for c in cell if spread else []:
+            rows = rows.withColumn("_d", F.explode(step)).withColumn(c, F.col(c) + F.col("_d")).drop("_d")
+        return rows.repartition(width, *by, *cell)
+
+    theirs, left, found = channels(palette, palette_hex, "_p"), channels(colors, hex_col, "_h"), []
+    for edge in edges:
+        ours, near = dealt(left, "_h", edge, False).alias("o"), dealt(theirs, "_p", edge, True).alias("n")
+        square = sum(((F.col(f"_h{i}") - F.col(f"_p{i}")) * (F.col(f"_h{i}") - F.col(f"_p{i}")) for i in range(3)), F.lit(0))
+        same = square < edge * edge
+        for c in [*by, *cell]:
+            same = same & (F.col(f"o.{c}") == F.col(f"n.{c}"))
+        mine = [F.col(f"o.{c}") for c in (*by, *cell, hex_col, "_h0", "_h1", "_h2")]
+        pair = F.when(F.col("_p0").isNotNull(), F.struct(square.alias("square"), F.col(palette_hex)))
+        best = ours.join(near, same, "left").groupBy(*mine).agg(F.min(pair).alias("_b"))
+        best = best if edge == reach else cut(best)
+        found.append(best.filter("_b IS NOT NULL"))
+        left = best.filter("_b IS NULL").drop("_b", *cell)
+    every = reduce(DataFrame.union, found)
+    return every.select(*by, hex_col, F.col("_b")[palette_hex].alias(palette_hex), F.sqrt(F.col("_b.square").cast("double")).alias("distance"))
 
 
 def keyword_categories(df: DataFrame, text_col: str, dictionary: dict[str, list[str]]) -> DataFrame:
