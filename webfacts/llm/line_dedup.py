@@ -11,8 +11,8 @@ each is held against the first line of its groups and a few lines before it: a g
 comparisons a line and settles nearly all of them. The rest goes through the prefix join. Of n words, only the rarest n - ceil(0.8 n) + 1 are
 posted: two lines with no common posted word cannot match. Postings meet by word, a line that is not settled
 as the later one with any line as the earlier one; before a pair is made, lengths and positions bound the overlap it can
-have, and 128 parities of the words bound the words it cannot share. Pairs are verified on the words themselves, the closest
-earlier line of each line first, and the others only where that one fails.
+have, and 128 parities of the words bound the words it cannot share. Postings carry the places of their lines, so no pair is
+made whose later line is settled. Pairs are verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from webfacts.llm.common import fresh, stored, text_or_empty
 #: Jaccard threshold as a fraction.
 SHARE = (4, 5)
 CLASS_BITS = 16
-#: Candidate lines up to this number are broadcast to fetch their words; beyond it they are joined by shuffle.
+#: Candidate lines up to this number are broadcast to fetch their words, and lines that go to take them out; beyond it they are joined by shuffle.
 BROADCAST_LINES = 500_000
 #: Parts that a group of lines with a common sample is dealt to.
 PARTS = 16
@@ -47,6 +47,11 @@ def _spaced(text: Column) -> Column:
     return F.when(other, F.translate(text, _BLANKS, " " * len(_BLANKS))).otherwise(text)
 
 
+def _has_word(line: Column) -> Column:
+    """Whether a line (without line feeds) holds a word."""
+    return F.btrim(line, F.lit(" " + _BLANKS)) != ""
+
+
 def _words(line: Column) -> Column:
     return F.array_remove(F.split(_spaced(line), " "), "")
 
@@ -56,19 +61,19 @@ def _document(doc_id: str, text: str) -> list[Column]:
     return [F.col(doc_id).alias("id"), F.when(F.col(doc_id).isNull(), F.xxhash64(F.col(text))).otherwise(F.lit(0).cast("long")).alias("tie")]
 
 
-def _lines(docs: DataFrame, doc_id: str, text: str, of: DataFrame | None = None) -> DataFrame:
-    """Lines that hold a word, of all documents or those in the small table ``of``: their place ``doc, spot`` and ``body``.
-
-    ``doc`` is the id, or the hash of the text where there is none; ``spot`` the position, with a high bit where there is no id.
-    """
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc, none, text``: ``doc`` is the id, or the hash of the text where there is ``none``."""
     kind = docs.schema[doc_id].dataType
     kind = "long" if isinstance(kind, IntegralType) else kind.simpleString()
     doc = F.coalesce(F.col(doc_id).cast(kind), F.xxhash64(F.col(text)).cast(kind)).alias("doc")
-    named = docs.select(doc, F.col(doc_id).isNull().alias("none"), text_or_empty(text).alias("text"))
-    named = named if of is None else named.join(F.broadcast(of), "doc", "left_semi")
-    split = named.select("doc", "none", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
+    return docs.select(doc, F.col(doc_id).isNull().alias("none"), text_or_empty(text).alias("text"))
+
+
+def _lines(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Lines that hold a word: their place ``doc, spot`` and ``body``; ``spot`` is the position, with a high bit where there is no id."""
+    split = _texts(docs, doc_id, text).select("doc", "none", F.posexplode(F.split("text", "\n")).alias("pos", "body"))
     spot = F.col("pos").cast("long") + F.when(F.col("none"), F.lit(1 << _NO_ID)).otherwise(F.lit(0))
-    return split.filter(F.col("body").rlike(r"[^\x20\x09-\x0D]")).select("doc", spot.alias("spot"), "body")
+    return split.filter(_has_word(F.col("body"))).select("doc", spot.alias("spot"), "body")
 
 
 def _order(side: str = "") -> Column:
@@ -77,6 +82,13 @@ def _order(side: str = "") -> Column:
     return F.struct((spot >= F.lit(1 << _NO_ID)).alias("none"), doc.alias("doc"), spot.alias("spot"))
 
 
+def _before(a: str, b: str) -> Column:
+    """``_order(a) < _order(b)`` without structs."""
+    (doc_a, spot_a), (doc_b, spot_b) = ((F.col(f"{s}doc"), F.col(f"{s}spot")) for s in (a, b))
+    none_a, none_b = spot_a >= F.lit(1 << _NO_ID), spot_b >= F.lit(1 << _NO_ID)
+    return ((none_a == none_b) & ((doc_a < doc_b) | ((doc_a == doc_b) & (spot_a < spot_b)))) | (~none_a & none_b)
+
+
 def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) -> list[int]:
     """Frequency class (four to an octave) of each of 2 ** ``bits`` hash buckets, by all words of the corpus."""
     flat = _spaced(F.replace(text_or_empty(text), F.lit("\n"), F.lit(" ")))
@@ -89,8 +101,8 @@ def word_classes(docs: DataFrame, text: str = "text", bits: int = CLASS_BITS) ->
 
 def _by_rarity(hashes: Column, classes: list[int], bits: int = CLASS_BITS) -> Column:
     """The words as sorted numbers, rarest first: the class in eight bits below the sign, then 55 bits of the hash."""
-    table = F.split(F.lit(" ".join(str(c << 55) for c in classes)), " ").cast("array<bigint>")
-    rank = lambda h: F.coalesce(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), F.lit(0).cast("long"))
+    table = F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<bigint>")  # small numbers: a plan prints all of them
+    rank = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(2**bits - 1)).cast("int")), 55)
     return F.sort_array(F.transform(hashes, lambda h: rank(h).bitwiseOR(h.bitwiseAND(F.lit(2**55 - 1)))))
 
 
@@ -101,18 +113,18 @@ def _parities(hashes: Column) -> Column:
 
 
 def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per set of words, at its first place: ``set, doc, spot, n, bits0, bits1, rare`` and the samples ``s0`` to ``s2``.
+    """One row per set of words, at its first place: ``set, doc, spot, n, bits0, bits1, rare`` and the samples ``s0`` and ``s1``.
 
-    Samples are hashes of the two smallest, the two greatest and the first two words above zero, by the hash of the
-    words; ``rare`` are the posted words.
+    Samples are hashes of the two smallest and the two greatest words, by the hash of the words; ``rare`` are the posted words.
     """
     up, down = SHARE
-    hashed = lines.select("doc", "spot", F.sort_array(F.array_distinct(F.transform(_words(F.col("body")), lambda w: F.xxhash64(w)))).alias("h"))
+    words = F.transform(F.split(_spaced(F.col("body")), " "), lambda w: F.xxhash64(w))  # gaps between blanks leave as one number
+    hashed = lines.select("doc", "spot", F.sort_array(F.array_remove(F.array_distinct(words), F.xxhash64(F.lit("")))).alias("h"))
     split = hashed.select("*", F.size("h").alias("n"), F.filter("h", lambda x: x >= 0).alias("upper")).withColumn("k", F.col("n") - F.size("upper"))
     # the words with hashes below zero and the others have 64 parities each
     halves = split.select("*", F.slice("h", F.lit(1), F.col("k")).alias("lower"))
     need = F.floor((F.col("n") * up + down - 1) / F.lit(down)).cast("int")
-    ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2)), F.slice("upper", 1, 2)]
+    ends = [F.slice("h", 1, 2), F.slice("h", F.greatest(F.lit(1), F.col("n") - 1), F.lit(2))]
     held = halves.select(
         "doc", "spot", "n", F.xxhash64("h").alias("set"), F.xxhash64(F.lit(1), "h").alias("again"), _parities(F.col("lower")).alias("bits0"), _parities(F.col("upper")).alias("bits1"),
         *[F.xxhash64(F.lit(i), e).alias(f"s{i}") for i, e in enumerate(ends)], F.slice(_by_rarity(F.col("h"), classes), F.lit(1), F.col("n") - need + 1).alias("rare"),
@@ -123,7 +135,7 @@ def distinct_lines(lines: DataFrame, classes: list[int]) -> DataFrame:
     return once.select("set", "at.doc", "at.spot", *facts)
 
 
-_SAMPLES = ("s0", "s1", "s2")
+_SAMPLES = ("s0", "s1")
 _PAIR = ("a_doc", "a_spot", "b_doc", "b_spot")
 
 
@@ -168,55 +180,48 @@ def _heads(lines: DataFrame) -> DataFrame:
         closest = F.array_min(F.array(*[F.when(ok, F.struct(share(r), f"{r}.doc", f"{r}.spot")) for r, ok in alike.items()]))
         return found.select("sample", *facts, "head", closest.alias("a"))
 
-    sampled = lines.select(*facts, F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample"))
-    parted = stored(met(sampled, "sample", "part"))
+    keys = [F.pmod("set", F.lit(PARTS)).alias("part"), F.explode(F.array_distinct(F.array(*_SAMPLES))).alias("sample")]
+    # most lines are alone in their part of a group and meet nobody there: they are counted away before anything is sorted
+    shared = lines.select(*keys).groupBy("sample", "part").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    parted = stored(met(lines.select(*facts, *keys).join(shared, ["sample", "part"], "left_semi"), "sample", "part"))
     tops = met(parted.filter("head").select("sample", *facts), "sample")
     both = parted.select("a", "doc", "spot").union(tops.select("a", "doc", "spot")).filter("a IS NOT NULL")
     return both.select(F.col("a.doc").alias("a_doc"), F.col("a.spot").alias("a_spot"), F.col("doc").alias("b_doc"), F.col("spot").alias("b_spot")).distinct()
 
 
 def _postings(lines: DataFrame) -> DataFrame:
-    """``word, set, bits0, bits1, size`` of every line: its rarest words, as 40 bits of their hash.
+    """``word, doc, spot, bits0, bits1, size`` of every line: its rarest words, as 40 bits of their hash.
 
-    ``size`` holds the number of words, whether the line is settled, and the position of the word, which keeps a posting at five numbers.
+    ``size`` holds the number of words, whether the line is settled, and the position of the word, which keeps a posting at six numbers.
     """
-    posted = lines.select("set", "n", "bits0", "bits1", "settled", F.posexplode("rare").alias("i", "number"))
+    posted = lines.select("doc", "spot", "n", "bits0", "bits1", "settled", F.posexplode("rare").alias("i", "number"))
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("settled").cast("long"), 31)).bitwiseOR(F.col("i").cast("long"))
-    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "set", "bits0", "bits1", size.alias("size"))
+    return posted.select(F.col("number").bitwiseAND(F.lit(2**40 - 1)).alias("word"), "doc", "spot", "bits0", "bits1", size.alias("size"))
 
 
 def _candidates(postings: DataFrame) -> DataFrame:
-    """Pairs of sets ``a < b``, not both settled, that can reach the threshold."""
+    """Pairs of places, the earlier first, that can reach the threshold and whose later line is not settled."""
     up, down = SHARE
     n, i = (lambda s: F.shiftright(F.col(s + "size"), 32)), (lambda s: F.col(s + "size").bitwiseAND(F.lit(2**31 - 1)))
     both = _named(postings, "a_", "word").join(_named(postings, "b_", "word"), "word").withColumns({s + "n": n(s) for s in ("a_", "b_")})
-    unsettled = F.col("a_size").bitwiseAND(F.col("b_size")).bitwiseAND(F.lit(2**31)) == 0
     most = F.least(i("a_"), i("b_")) + 1 + F.least(n("a_") - i("a_") - 1, n("b_") - i("b_") - 1)
     overlap = most * (up + down) >= (n("a_") + n("b_")) * up
-    return both.filter((F.col("a_set") < F.col("b_set")) & overlap & _close("a_", "b_") & unsettled).select("a_set", "b_set").distinct()
-
-
-def _open_pairs(flagged: DataFrame) -> DataFrame:
-    """The candidates as places, the earlier first, where the later line is not settled; ``apart`` is the share of words that parities tell apart."""
-    pairs = stored(_candidates(_postings(flagged)))
-    wanted = pairs.select(F.col("a_set").alias("set")).union(pairs.select("b_set")).distinct()
-    ends = stored(flagged.select("set", "doc", "spot", "settled", "n", "bits0", "bits1").join(wanted, "set", "left_semi"))
-    both = pairs.join(_named(ends, "a_"), "a_set").join(_named(ends, "b_"), "b_set")
-    turned = both.withColumn("turn", _order("b_") < _order("a_"))
-    pick = lambda s, t, c: F.when(F.col("turn"), F.col(t + c)).otherwise(F.col(s + c))
-    open_ = turned.filter(~pick("b_", "a_", "settled"))
-    apart = (_apart("a_", "b_") / (F.col("a_n") + F.col("b_n"))).cast("float").alias("apart")
-    return open_.select(*[pick(s, t, c).alias(s + c) for s, t in (("a_", "b_"), ("b_", "a_")) for c in ("doc", "spot")], apart)
+    # one sum over both sides: a filter of its own on the later side would give that side a shuffle of its own
+    settled = F.shiftright(F.col("b_size"), 31).bitwiseAND(F.lit(1))
+    open_ = settled + F.when(_before("a_", "b_"), 0).otherwise(1) == 0
+    return both.filter(overlap & _close("a_", "b_") & open_).select(*_PAIR).distinct()
 
 
 def _bodies(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, broadcast_lines: int) -> DataFrame:
     """``doc, spot, body`` of the lines in ``pairs``, read from the texts."""
     known = stored(pairs.select(F.col("a_doc").alias("doc"), F.col("a_spot").alias("spot")).union(pairs.select("b_doc", "b_spot")).distinct())
-    if known.count() <= broadcast_lines:
-        wanted = _lines(docs, doc_id, text, known.select("doc").distinct()).join(F.broadcast(known), ["doc", "spot"], "left_semi")
-    else:
-        wanted = _lines(docs, doc_id, text).join(known, ["doc", "spot"], "left_semi")
-    return stored(wanted)
+    if known.count() > broadcast_lines:
+        return stored(_lines(docs, doc_id, text).join(known, ["doc", "spot"], "left_semi"))
+    spots = known.groupBy("doc").agg(F.collect_list("spot").alias("spots"))  # bounded by the lines of a document
+    split = _texts(docs, doc_id, text).join(F.broadcast(spots), "doc").select("doc", "none", "spots", F.split("text", "\n").alias("parts"))
+    at = lambda s: F.struct(s.alias("spot"), F.get("parts", s.bitwiseAND(F.lit(2**31 - 1)).cast("int")).alias("body"))
+    lines = split.select("doc", "none", F.explode(F.transform("spots", at)).alias("l")).select("doc", "none", "l.*")
+    return stored(lines.filter(((F.col("spot") >= F.lit(1 << _NO_ID)) == F.col("none")) & _has_word(F.col("body"))).select("doc", "spot", "body"))
 
 
 def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -229,13 +234,9 @@ def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     return both.filter(alike).select(F.col("b_doc").alias("doc"), F.col("b_spot").alias("spot")).distinct()
 
 
-def _late(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """As ``_verified``, but each later line is first held against the candidate closest to it; only lines that this leaves meet the others."""
-    later = ["b_doc", "b_spot"]
-    nearest = pairs.groupBy(*later).agg(F.min_by(F.struct("a_doc", "a_spot"), "apart").alias("a")).select("a.*", *later)
-    found = stored(_verified(nearest, bodies))
-    rest = pairs.select(*_PAIR).join(found.select(F.col("doc").alias("b_doc"), F.col("spot").alias("b_spot")), later, "left_anti")
-    return found.union(_verified(rest, bodies))
+def _few(places: DataFrame, most: int) -> DataFrame:
+    """Stored places, broadcast where there are few of them: the lines they are taken from are not shuffled then."""
+    return F.broadcast(places) if places.count() <= most else places
 
 
 def remaining_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -244,10 +245,10 @@ def remaining_places(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     distinct = stored(distinct_lines(_lines(docs, doc_id, text), word_classes(docs, text)))
     heads = stored(_heads(distinct))
     settled = stored(_verified(heads, bodies(heads)).withColumn("settled", F.lit(True)))
-    flagged = distinct.join(settled, ["doc", "spot"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
-    pairs = stored(_open_pairs(flagged))
-    late = _late(pairs, bodies(pairs))
-    return distinct.select("doc", "spot").join(settled.select("doc", "spot").union(late), ["doc", "spot"], "left_anti")
+    flagged = distinct.join(_few(settled, broadcast_lines), ["doc", "spot"], "left").withColumn("settled", F.coalesce("settled", F.lit(False)))
+    pairs = stored(_candidates(_postings(flagged)))
+    gone = stored(settled.select("doc", "spot").union(_verified(pairs, bodies(pairs))))
+    return distinct.select("doc", "spot").join(_few(gone, broadcast_lines), ["doc", "spot"], "left_anti")
 
 
 def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -272,7 +273,7 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     one document, and equal lines at equal positions of it one line; rows without id are told apart by text. An
     empty table gives no rows; further columns are not read.
     """
-    has_word = F.filter(F.split(text_or_empty(text), "\n"), lambda body: body.rlike(r"[^\x20\x09-\x0D]"))
+    has_word = F.filter(F.split(text_or_empty(text), "\n"), _has_word)
     slim = docs.select(*_document(doc_id, text), F.size(has_word).cast("long").alias("n_lines"))
     kept = kept_lines(docs, doc_id, text).select(F.struct("id", "tie").alias("key"), "kept")
     both = slim.withColumn("key", F.struct("id", "tie")).join(kept, "key", "left")
@@ -292,6 +293,6 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     steps = F.transform(F.col(kept), lambda p, i: F.concat(F.repeat(F.lit("0"), p - before(i) - 1), F.lit("1")))
     marked = both.withColumn(flags, F.split(F.array_join(steps, ""), ""))
     stays = F.filter(
-        F.split(F.col(text), "\n"), lambda body, i: ~body.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.get(F.col(flags), i) == "1", F.lit(False))
+        F.split(F.col(text), "\n"), lambda body, i: ~_has_word(body) | F.coalesce(F.get(F.col(flags), i) == "1", F.lit(False))
     )
     return marked.withColumn(text, F.array_join(stays, "\n")).select(docs.columns)
