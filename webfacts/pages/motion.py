@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from webfacts.functions import css
 from webfacts.functions.base import any_of, flag, let, lookup, num
 from webfacts.functions.vector import l2_normalize
-from webfacts.pages.styles import keyframes, prop, rule_blocks
+from webfacts.pages.styles import keyframes_of, prop, rules_of
+from webfacts.session import spread
 from webfacts.rules.patterns import MOTION_CATEGORIES
 
 # Property groups.
@@ -23,7 +24,15 @@ TRIGGERS = ["load", "hover", "scroll", "click", "focus", "custom"]
 def motions(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Animations (properties from the page's keyframes) and transitions, one row per rule and kind."""
     starts = ["animation", "animation-name", "transition", "transition-duration"]  # a rule with none of them moves nothing
-    rules = rule_blocks(pages, page_id, html).filter(F.exists("decls", lambda d: d["property"].isin(starts)))
+    moves = lambda r: F.exists(r["r"]["decls"], lambda d: d["property"].isin(starts))
+    numbered = F.transform(rules_of(html, ["animation", "transition"]), lambda r, i: F.struct(i.alias("rule_no"), r.alias("r")))
+    named = lambda r, f: F.exists(r["r"]["decls"], lambda d: d["value"].contains(f["name"]))
+    # Keyframes go along with the rules that name them: a join would bring all pages together, or to the driver where the input is a small
+    # file. The exploded array is no column of its own, or a filter on its size would parse the pages once more, before they are spread.
+    kept = let(keyframes_of(html), lambda frames: F.transform(F.filter(numbered, moves), lambda r: F.struct(r.alias("n"), F.filter(frames, lambda f: named(r, f)).alias("frames"))))
+    rules = spread(pages.select(page_id, html), page_id).select(page_id, F.explode(kept).alias("_k")).select(
+        page_id, F.col("_k.frames").alias("_frames"), F.col("_k.n.rule_no").alias("rule_no"), F.col("_k.n.r.selector").alias("selector"), F.col("_k.n.r.decls").alias("decls")
+    )
     rules = rules.withColumns({"_short": prop("decls", "animation"), "_trans": css.transition_shorthand(F.coalesce(prop("decls", "transition"), F.lit("")))})
     rules = rules.withColumn("_a", css.animation_shorthand(F.coalesce("_short", F.lit(""))))
     rows = rules.withColumn("_name", F.coalesce(prop("decls", "animation-name"), F.when(F.col("_short").isNotNull(), F.col("_a.name"))))
@@ -69,18 +78,27 @@ def motions(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> D
         ),
     )
     rows = rows.withColumns({"_names": names, "_length": length, "_first": first})
-    found = rows.select(page_id, "rule_no", "selector", F.explode(F.array_compact(F.array(anim, transition))).alias("m")).select(page_id, "rule_no", "selector", "m.*")
-
-    steps = keyframes(pages, page_id, html).groupBy(page_id, "name", "property").agg(
-        F.count(F.lit(1)).cast("int").alias("keyframes"), F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("steps")
-    )
-    props = steps.groupBy(page_id, "name").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("property").alias("name"), "keyframes", "steps"))).alias("_props")
-    )
+    found = rows.select(page_id, "_frames", "rule_no", "selector", F.explode(F.array_compact(F.array(anim, transition))).alias("m"))
     no_steps = F.array().cast("array<struct<offset:double,value:string>>")
-    own = F.transform("moved", lambda n: F.struct(n.alias("name"), F.lit(0).alias("keyframes"), no_steps.alias("steps")))
-    empty = F.array().cast("array<struct<name:string,keyframes:int,steps:array<struct<offset:double,value:string>>>>")
-    return found.join(props, [page_id, "name"], "left").withColumn("properties", F.coalesce(own, "_props", empty)).drop("_props", "moved")
+    own = F.transform("m.moved", lambda n: F.struct(n.alias("name"), F.lit(0).alias("keyframes"), no_steps.alias("steps")))
+    properties = F.coalesce(own, _moved_by(F.col("m.name")))
+    fields = [f"m.{c}" for c in found.schema["m"].dataType.names if c not in ("name", "moved")]
+    return found.select(page_id, "m.name", "rule_no", "selector", *fields, properties.alias("properties"))
+
+
+def _moved_by(name: Column) -> Column:
+    """Properties that the keyframes of a name move, sorted, each with its steps in order; none where there are no such keyframes."""
+    same = F.flatten(F.transform(F.filter("_frames", lambda f: f["name"] == name), lambda f: f["steps"]))
+
+    def grouped(steps: Column) -> Column:
+        first = lambda s, i: F.when((i == 0) | (s["property"] != F.get(steps, i - 1)["property"]), i + 1)
+        return let(F.array_compact(F.transform(steps, first)), lambda at: F.transform(at, lambda s, j: moved(steps, s, F.coalesce(F.get(at, j + 1), F.size(steps) + 1))))
+
+    def moved(steps: Column, at: Column, end: Column) -> Column:
+        part = F.transform(F.slice(steps, at, end - at), lambda s: F.struct(s["offset"].alias("offset"), s["value"].alias("value")))
+        return F.struct(F.get(steps, at - 1)["property"].alias("name"), (end - at).alias("keyframes"), part.alias("steps"))
+
+    return let(F.sort_array(same), grouped)
 
 
 def _names() -> Column:

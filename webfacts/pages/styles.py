@@ -9,13 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webfacts.functions import css
-from webfacts.functions.base import ColumnOrName, any_of, col, first_match, num
+from webfacts.functions.base import ColumnOrName, any_of, col, first_match, let, num
 from webfacts.functions.html import extract_all, style_blocks
 from webfacts.session import spread
 
 _KEYFRAMES = r"(?is)@(?:-webkit-)?keyframes\s+([\w-]+)\s*\{((?:[^{}]*\{[^{}]*\})*)[^{}]*\}"
 _BLOCK = r"([^{}]+)\{([^{}]*)\}"
 _NO_COMMENT = r"(?s)/\*.*?\*/"
+_SPACE = " \t\n\x0b\f\r"  # \s
+# Parts of every property name that a job over rules asks for, see ``about`` of :func:`rule_blocks`.
+DECORATION_WORDS = ["shadow", "background", "border", "animation", "backdrop-filter"]
+TYPE_WORDS = ["font-"]
+LAYOUT_WORDS = ["display", "grid-template-columns", "gap", "margin", "padding"]
 
 
 def sheet(html: ColumnOrName) -> Column:
@@ -25,16 +30,24 @@ def sheet(html: ColumnOrName) -> Column:
 
 def declarations(body: ColumnOrName) -> Column:
     """``array<struct<property, value>>`` of a declaration block, properties in lower case."""
-    parts = F.split(col(body), r";(?![^()]*\))")
-    parsed = F.transform(
-        parts,
-        lambda d: F.struct(
-            F.lower(F.regexp_extract(d, r"(?s)^\s*([\w-]+)\s*:", 1)).alias("property"), F.trim(F.regexp_extract(d, r"(?s)^\s*[\w-]+\s*:\s*(.*)$", 1)).alias("value")
-        ),
-    )
+    parts = F.filter(F.split(col(body), r";(?![^()]*\))"), lambda d: d.contains(":"))
+    # the name before the first colon is plain, so the value is cut out by its place and needs no expression of its own
+    after = lambda d: F.trim(F.ltrim(F.substring(d, F.instr(d, ":") + 1, F.length(d)), F.lit(_SPACE)))
+    parsed = F.transform(parts, lambda d: F.struct(F.lower(F.regexp_extract(d, r"^\s*([\w-]+)\s*:", 1)).alias("property"), after(d).alias("value")))
     return F.filter(parsed, lambda d: (d["property"] != "") & (d["value"] != ""))
 
 
+def _selector(block: Column) -> Column:
+    """What stands before the brace of a match of ``_BLOCK``."""
+    return F.substring_index(block, "{", 1)
+
+
+def _body(block: Column) -> Column:
+    """What stands between the braces of a match of ``_BLOCK``."""
+    at = F.instr(block, "{")
+    return F.substring(block, at + 1, F.length(block) - at - 1)
+
+
 def prop(decls: ColumnOrName, *names: str) -> Column:
     """Value of the first named property that is set; the last declaration of a property counts."""
 
@@ -44,14 +57,11 @@ def prop(decls: ColumnOrName, *names: str) -> Column:
     return F.coalesce(*[last(n) for n in names])
 
 
-def rule_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """One row per style rule or style attribute: page, rule_no, selector, decls."""
-    pages = spread(pages.select(page_id, html), page_id)
+def rules_of(html: ColumnOrName, about: list[str] | None = None) -> Column:
+    """``array<struct<selector, decls>>`` of a page: its style rules, then its style attributes; ``about`` as in :func:`rule_blocks`."""
     text = F.regexp_replace(sheet(html), _KEYFRAMES, "")
     blocks = F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))
-    sheet_rules = F.transform(
-        blocks, lambda b: F.struct(F.trim(F.regexp_extract(b, _BLOCK, 1)).alias("selector"), F.regexp_extract(b, _BLOCK, 2).alias("body"))
-    )
+    sheet_rules = F.transform(blocks, lambda b: F.struct(F.trim(_selector(b)).alias("selector"), _body(b).alias("body")))
     styled = extract_all(html, r'(?is)<[a-z][a-z0-9]*\b[^>]*\sstyle="[^"]*"', 0)
     inline = F.transform(
         styled,
@@ -59,16 +69,44 @@ def rule_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html")
             F.lower(F.regexp_extract(s, "^<([A-Za-z][A-Za-z0-9]*)", 1)).alias("selector"), F.regexp_extract(s, r'(?is)\sstyle="([^"]*)"', 1).alias("body")
         ),
     )
-    # declarations are read before the rows are made: a filter on them behind the explode then reads them no second time
-    parsed = F.transform(F.concat(sheet_rules, inline), lambda r: F.struct(r["selector"].alias("selector"), declarations(r["body"]).alias("decls")))
-    rows = pages.select(page_id, F.posexplode(parsed).alias("rule_no", "r"))
+    none = F.array().cast("array<struct<property:string,value:string>>")
+    read = lambda body: declarations(body) if about is None else F.when(any_of(F.lower(body), about), declarations(body)).otherwise(none)
+    # declarations are read before rows are made: a filter on them behind an explode then reads them no second time
+    return F.transform(F.concat(sheet_rules, inline), lambda r: F.struct(r["selector"].alias("selector"), read(r["body"]).alias("decls")))
+
+
+def keyframes_of(html: ColumnOrName) -> Column:
+    """``array<struct<name, steps array<struct<property, offset, value>>>>`` of a page, one entry per ``@keyframes`` block."""
+
+    def steps(block: Column) -> Column:
+        """The declarations of one step, once for each of its offsets."""
+        both = F.struct(css.keyframe_offsets(_selector(block)).alias("at"), declarations(_body(block)).alias("decls"))
+        return let(
+            both, lambda x: F.flatten(F.transform(x["decls"], lambda d: F.transform(x["at"], lambda o: F.struct(d["property"].alias("property"), o.alias("offset"), d["value"].alias("value")))))
+        )
+
+    def whole(k: Column) -> Column:
+        blocks = F.regexp_extract_all(F.regexp_extract(k, _KEYFRAMES, 2), F.lit(_BLOCK), F.lit(0))
+        return F.struct(F.regexp_extract(k, _KEYFRAMES, 1).alias("name"), F.flatten(F.transform(blocks, steps)).alias("steps"))
+
+    return F.transform(F.regexp_extract_all(sheet(html), F.lit(_KEYFRAMES), F.lit(0)), whole)
+
+
+def rule_blocks(pages: DataFrame, page_id: str = "page_id", html: str = "html", about: list[str] | None = None) -> DataFrame:
+    """One row per style rule or style attribute: page, rule_no, selector, decls.
+
+    With ``about`` (parts of property names, lower case) the declarations of a rule that names none of them are not read; its row
+    has none. A caller that asks for such properties only gets the same results for less work.
+    """
+    pages = spread(pages.select(page_id, html), page_id)
+    rows = pages.select(page_id, F.posexplode(rules_of(html, about)).alias("rule_no", "r"))
     return rows.select(page_id, "rule_no", F.col("r.selector").alias("selector"), F.col("r.decls").alias("decls"))
 
 
-def style_rules(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_css: int | None = None) -> DataFrame:
-    """Long form ``(page, rule_no, selector, property, value)``. ``max_css`` leaves out pages with larger sheets."""
+def style_rules(pages: DataFrame, page_id: str = "page_id", html: str = "html", max_css: int | None = None, about: list[str] | None = None) -> DataFrame:
+    """Long form ``(page, rule_no, selector, property, value)``. ``max_css`` leaves out pages with larger sheets; ``about`` as in :func:`rule_blocks`."""
     kept = pages if max_css is None else pages.filter(F.length(sheet(html)) <= max_css)
-    d = rule_blocks(kept, page_id, html).select(page_id, "rule_no", "selector", F.explode("decls").alias("d"))
+    d = rule_blocks(kept, page_id, html, about).select(page_id, "rule_no", "selector", F.explode("decls").alias("d"))
     return d.select(page_id, "rule_no", "selector", "d.*")
 
 
@@ -81,14 +119,14 @@ def keyframes(pages: DataFrame, page_id: str = "page_id", html: str = "html") ->
         F.regexp_extract("k", _KEYFRAMES, 1).alias("name"),
         F.explode(F.regexp_extract_all(F.regexp_extract("k", _KEYFRAMES, 2), F.lit(_BLOCK), F.lit(0))).alias("b"),
     )
-    at = steps.select(page_id, "name", F.explode(css.keyframe_offsets(F.regexp_extract("b", _BLOCK, 1))).alias("offset"), "b")
-    out = at.select(page_id, "name", "offset", F.explode(declarations(F.regexp_extract("b", _BLOCK, 2))).alias("d"))
+    at = steps.select(page_id, "name", F.explode(css.keyframe_offsets(_selector(F.col("b")))).alias("offset"), "b")
+    out = at.select(page_id, "name", "offset", F.explode(declarations(_body(F.col("b")))).alias("d"))
     return out.select(page_id, "name", "offset", "d.*")
 
 
 def variables(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Inventory of CSS variables: name, value (last declaration), category, use of calc and clamp."""
-    rules = style_rules(pages, page_id, html).filter(F.col("property").startswith("--"))
+    rules = style_rules(pages, page_id, html, about=["--"]).filter(F.col("property").startswith("--"))
     last = rules.groupBy(page_id, F.col("property").alias("name")).agg(F.max_by("value", "rule_no").alias("value"))
     return last.select(
         page_id, "name", "value", css.variable_category("name").alias("category"),
@@ -155,15 +193,26 @@ def resolve_variables(vars_: DataFrame, page_id: str = "page_id", depth: int = 1
 
 def page_colors(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """Background colours, text colours (variables resolved) and a gradient flag per page."""
-    rules = style_rules(pages, page_id, html)
-    solved = resolve_variables(variables(pages, page_id, html), page_id).select(
-        F.col(page_id).alias("_p"), F.col("name").alias("_ref"), F.col("value").alias("_new")
-    )
-    ref = F.regexp_extract("value", r"^var\(\s*(--[\w-]+)", 1)
-    used = rules.filter(F.col("property").isin("background", "background-color", "background-image", "color")).withColumn("_r", ref)
-    used = used.join(solved, (used[page_id] == solved["_p"]) & (used["_r"] == solved["_ref"]), "left")
-    value = F.coalesce("_new", "value")
-    found = used.select(page_id, "property", value.alias("value"), F.explode_outer(css.color_literals(value)).alias("color"))
+    decls = F.flatten(F.transform(rules_of(html, ["--", "background", "color"]), lambda r: r["decls"]))
+    # variables are resolved in the row of their page: a join by page and name would bring all pages together, or to the driver where the input is a small file
+    none = F.array().cast("array<struct<property:string,value:string>>")
+    whole = spread(pages.select(page_id, html), page_id).select(page_id, F.coalesce(decls, none).alias("_decls"))
+    own = F.filter("_decls", lambda d: d["property"].startswith("--"))
+    shown = F.filter("_decls", lambda d: d["property"].isin("background", "background-color", "background-image", "color"))
+    lists = whole.select(page_id, shown.alias("_shown"), F.transform(own, lambda d: d["property"]).alias("_names"), F.transform(own, lambda d: d["value"]).alias("_values"))
+
+    def run(names: pd.Series, values: pd.Series) -> pd.Series:
+        last = [dict(zip(n, v)) for n, v in zip(names, values)]  # the last declaration of a name counts
+        return pd.Series([[{"name": n, "value": v} for n, (v, _) in zip(d, resolve_page(list(d), list(d.values())))] for d in last])
+
+    solve = F.pandas_udf(run, "array<struct<name:string,value:string>>")
+    solved = lists.withColumn("_solved", solve("_names", "_values"))
+    ref = lambda v: F.regexp_extract(v, r"^var\(\s*(--[\w-]+)", 1)
+    known = lambda v: let(ref(v), lambda r: F.get(F.filter("_solved", lambda s: s["name"] == r), F.lit(0))["value"])
+    # a generator over the bare column would filter on its size, which parses the pages once more, before they are spread
+    filled = F.transform("_shown", lambda d: F.struct(d["property"].alias("property"), F.coalesce(known(d["value"]), d["value"]).alias("value")))
+    used = solved.select(page_id, F.explode(filled).alias("_d")).select(page_id, "_d.*")
+    found = used.select(page_id, "property", "value", F.explode_outer(css.color_literals("value")).alias("color"))
     is_text = F.col("property") == "color"
     return found.groupBy(page_id).agg(
         F.array_sort(F.collect_set(F.when(~is_text, F.col("color")))).alias("backgrounds"),

@@ -387,12 +387,12 @@ def pg_23(spark, d):
     "SELECT p_partkey AS page_id, 'glow' AS type, round(CASE WHEN p_size >= 10 THEN 0.95 ELSE 0.85 END, 6)::DOUBLE AS confidence FROM part UNION ALL SELECT p_partkey, 'gradient', 0.95 FROM part UNION ALL SELECT p_partkey, 'animated-border', 0.7 FROM part",
 )
 def pg_24(spark, d):
-    return styles.decorations(styles.rule_blocks(styled(spark, d))).select("page_id", "type", r6("confidence", "confidence"))
+    return styles.decorations(styles.rule_blocks(styled(spark, d), about=styles.DECORATION_WORDS)).select("page_id", "type", r6("confidence", "confidence"))
 
 
 @query("pg_25_typography", "SELECT p_partkey AS page_id, 'Open Sans' AS families, (p_size + 16) / 16.0 AS h1, 1.5::DOUBLE AS h2, 1::BIGINT AS weights FROM part")
 def pg_25(spark, d):
-    return styles.typography(styles.rule_blocks(styled(spark, d))).select("page_id", F.array_join("families", "|").alias("families"), "h1", "h2", "weights")
+    return styles.typography(styles.rule_blocks(styled(spark, d), about=styles.TYPE_WORDS)).select("page_id", F.array_join("families", "|").alias("families"), "h1", "h2", "weights")
 
 
 @query(
@@ -501,7 +501,7 @@ def pg_33(spark, d):
 
 @query("pg_34_layout_structure", "SELECT p_partkey AS page_id, 'css-grid' AS grid_system, 3::BIGINT AS columns, 16.0::DOUBLE AS usual_gap, 8.0::DOUBLE AS base_unit FROM part")
 def pg_34(spark, d):
-    out = styles.layout_structure(styles.rule_blocks(styled(spark, d)))
+    out = styles.layout_structure(styles.rule_blocks(styled(spark, d), about=styles.LAYOUT_WORDS))
     return out.select("page_id", "grid_system", big("columns", "columns"), "usual_gap", "base_unit")
 
 
@@ -509,7 +509,7 @@ def pg_34(spark, d):
 def pg_35(spark, d):
     p = styled(spark, d)
     v = styles.variables(p).filter("category = 'color'").groupBy("page_id").agg(F.collect_list("value").alias("color_values"))
-    ty = styles.typography(styles.rule_blocks(p)).select("page_id", F.col("families").alias("font_families"), F.col("sizes").alias("n_font_sizes"))
+    ty = styles.typography(styles.rule_blocks(p, about=styles.TYPE_WORDS)).select("page_id", F.col("families").alias("font_families"), F.col("sizes").alias("n_font_sizes"))
     m = motion.motions(p).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_motions"), F.avg("duration").alias("avg_duration"))
     out = quality.mood(v.join(ty, "page_id").join(m, "page_id"))
     return out.select("page_id", "mood", "emotion", "type_style", "pace", "hierarchy", "formality", r6("energy", "energy"))
