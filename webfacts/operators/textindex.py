@@ -48,6 +48,18 @@ def postings(docs: DataFrame, id_col: str, text_col: str, only: list[str] | None
     )
 
 
+def blocks_of(docs: DataFrame, id_col: str, text_col: str, span: int = SPAN) -> DataFrame:
+    """``block, term, n, max_tf, min_len, held``: the stored rows; only the texts are shuffled, not their words."""
+    # texts are dealt by block, so the postings that come out of them are counted and gathered where they are
+    near = docs.select(id_col, text_col, _block(F.col(id_col), span).alias("block")).repartition("block")
+    toks = near.select("block", id_col, text.tokens(text_col).alias("_t")).select("block", id_col, F.size("_t").alias("doc_len"), F.explode("_t").alias("term"))
+    rows = toks.groupBy("block", "term", id_col, "doc_len").agg(F.count(F.lit(1)).alias("tf"))
+    entry = F.struct(F.col(id_col).cast("long").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len"))
+    return rows.groupBy("block", "term").agg(
+        F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("doc_len").cast("int").alias("min_len"), F.sort_array(F.collect_list(entry)).alias("held")
+    )
+
+
 def store(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int = 64, span: int = SPAN, mode: str = "overwrite") -> None:
     """Write the index of ``docs`` (whole-number ids) and the totals that ranking needs.
 
@@ -59,11 +71,7 @@ def store(docs: DataFrame, path: str, id_col: str, text_col: str, buckets: int =
         known = spark.read.parquet(posixpath.join(path, "totals")).agg(F.max("buckets"), F.max("span")).first()
         buckets, span = known[0], known[1]
     docs = docs.filter(F.col(id_col).isNotNull())
-    rows = postings(docs, id_col, text_col).withColumn("block", _block(F.col(id_col), span))
-    entry = F.struct(F.col(id_col).cast("long").alias("id"), F.col("tf").cast("int").alias("tf"), F.col("doc_len").cast("int").alias("doc_len"))
-    blocks = rows.groupBy("term", "block").agg(
-        F.count(F.lit(1)).alias("n"), F.max("tf").cast("int").alias("max_tf"), F.min("doc_len").cast("int").alias("min_len"), F.sort_array(F.collect_list(entry)).alias("held")
-    )
+    blocks = blocks_of(docs, id_col, text_col, span)
     dealt = blocks.withColumn("bucket", _bucket(F.col("term"), buckets))
     dealt = dealt.repartition("bucket", F.floor(F.col("block") / F.lit(RUN))).sortWithinPartitions("bucket", "term", "block")
     dealt.write.partitionBy("bucket").mode(mode).parquet(posixpath.join(path, "postings"))
