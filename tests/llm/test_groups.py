@@ -76,6 +76,14 @@ def test_simhash_links_by_bits_alone(spark):
     assert got == {n: c for n, c in want.items() if any(n in e for e in linked)}
 
 
+def test_simhash_sends_no_points_to_the_driver(spark, monkeypatch):
+    # a point stands for 65 rows of a fingerprint, which the planner takes for one; without a limit on broadcasts it is read off the plan
+    monkeypatch.setattr(simhash, "components", lambda edges: edges)
+    links = simhash.near_fingerprints(spark.createDataFrame([(0,), (1,), (3,), (7,), (1 << 40,)], "fp long"))
+    assert set(map(tuple, links.collect())) == {(1, 0), (3, 0), (3, 1), (7, 1), (7, 3), (1 << 40, 0), (1 << 40, 1)}
+    assert "Broadcast" not in links._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_targets(sizes):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}

@@ -6,7 +6,7 @@ Two points within Manhattan distance 2 have a grid point within distance 1 of bo
 the 43 grid cells around it and cells visited by one fingerprint alone rule it out. Survivors are verified
 exactly: fingerprints at most two bits apart share a 64-bit value at most one bit away from each. At most 65
 fingerprints lie around such a value and all of them link, so a link to the smallest one suffices and no
-group is ever expanded into pairs.
+group is ever expanded into pairs. That one is found where the others are, by a window of at most 65 rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webfacts.llm.common import components, fresh, stored
@@ -68,11 +68,12 @@ def near_fingerprints(fps: DataFrame) -> DataFrame:
     cells = placed.select("fp", F.explode(F.array(*[F.col("place") + F.lit(s) for s in steps])).alias("cell"))
     shared = stored(cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell"))
     few = shared.count() <= BROADCAST_CELLS
-    near = stored(cells.join(F.broadcast(shared) if few else shared, "cell", "left_semi").select("fp").distinct())
+    near = stored(cells.join(F.broadcast(shared) if few else shared.hint("merge"), "cell", "left_semi").select("fp").distinct())
     around = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64) * (i == 63)).cast("long")) for i in range(64)]
     points = near.select("fp", F.explode(F.array(*around)).alias("point"))
-    roots = points.groupBy("point").agg(F.min("fp").alias("root"), F.max("fp").alias("high")).filter("root < high").select("point", "root")
-    links = points.join(roots, "point").filter("fp <> root AND bit_count(fp ^ root) <= 2")
+    # no join: the planner takes the 65 rows of a fingerprint for one and would broadcast them all
+    rooted = points.withColumn("root", F.min("fp").over(Window.partitionBy("point")))
+    links = rooted.filter("fp <> root AND bit_count(fp ^ root) <= 2")
     return components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
 
 
