@@ -68,3 +68,36 @@ def test_append_and_odd_rows(spark, tmp_path):
     settings = ni.Settings(5)
     ni.store(spark.createDataFrame([], SCHEMA), "id", "v", path + "/empty", settings)
     assert ni.search(spark, path + "/empty", spark.createDataFrame(rows, SCHEMA), "id", "v", 3).count() == 0
+
+
+def test_search_lists_no_pairs_and_equals_them(spark, tmp_path, monkeypatch):
+    # copies, an id with two vectors on either side, several blocks and pieces; pairs below and above the share that is multiplied one by one
+    rng = np.random.default_rng(8)
+    vecs = np.concatenate([rng.standard_normal((150, 6)), np.repeat(rng.standard_normal((1, 6)), 60, axis=0), np.zeros((2, 6))]).round(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(vecs)] + [(3, vecs[9].tolist()), (4, vecs[160].tolist())]
+    path, settings, asked = str(tmp_path), ni.Settings(6, tables=3, bits=4, parts=2), [*rows[::7], (0, vecs[1].tolist()), (900, vecs[170].tolist())]
+    ni.store(spark.createDataFrame(rows, SCHEMA).repartition(5), "id", "v", path, settings)
+    assert all(len(list(d.glob("part-*"))) == 1 for d in tmp_path.glob("signatures/tab=*/part=*"))
+    queries = spark.createDataFrame(asked, SCHEMA)
+    unit = [(i, np.array(v) / (np.linalg.norm(v) or 1)) for i, v in rows]
+    met = {(r.query_id, r.id) for r in ni.candidates(spark, path, ni._unit(queries, "id", "v", 6), 1).collect()}
+    sims = {}
+    for q, v in asked:
+        for i, u in unit:
+            if (q, i) in met:
+                s = round(float(u @ np.array(v) / (np.linalg.norm(v) or 1)), 9)
+                sims[q, i] = max(s, sims.get((q, i), -2))
+    want = {}
+    for (q, i), s in sims.items():
+        want.setdefault(q, []).append((-s, i))
+    want = {(q, i, n + 1) for q, x in want.items() for n, (_, i) in enumerate(sorted(x)[:4])}
+
+    def listed(*args):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(ni, "candidates", listed)
+    for name, value in (("BLOCK_QUERIES", 12), ("LEAST_ROWS", 70), ("PIECE_QUERIES", 5), ("PIECE_ROWS", 30)):
+        monkeypatch.setattr(ni, name, value)
+    for few in (0.0, 2.0):
+        monkeypatch.setattr(ni, "FEW", few)
+        assert {(r.query_id, r.neighbour_id, r.rank) for r in ni.search(spark, path, queries, "id", "v", 4, probes=1).collect()} == want

@@ -7,6 +7,9 @@ for each query and table, its own bucket and the buckets that differ in one of i
 ones whose hyperplanes it is closest to, and ranks what it finds by exact cosine. Only the partitions that hold such a
 bucket are listed and read.
 
+Pairs of a query and a row are not listed: found rows and queries meet in blocks of bounded size, whether a row lies in a
+bucket of a query is one bit, and only the best ``k`` of a block leave it.
+
 Recall depends on tables, bits and probes alone, not on the number of rows; more rows ask for more bits.
 """
 
@@ -22,11 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webfacts.functions.vector import dot, l2_normalize
+from webfacts.functions.vector import l2_normalize
 from webfacts.operators.aggregates import top_per_key
 from webfacts.session import cut
 
 TABLES, BITS, PROBES = 16, 7, 5
+#: Queries of a block; its rows grow with the index between two bounds, to about 64 blocks.
+BLOCK_QUERIES = 8192
+LEAST_ROWS, MOST_ROWS = 4096, 32768
+#: A block is searched in pieces of so many queries and rows; a piece has a cosine and a bit for each pair.
+PIECE_QUERIES, PIECE_ROWS = 512, 4096
+#: Below this share of pairs in a piece only those are multiplied, one by one.
+FEW = 0.05
+#: More than the rounding by which two ways to add up a cosine of unit vectors can differ.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -93,7 +105,8 @@ def append(corpus: DataFrame, id_col: str, vector: str, path: str) -> None:
 
 
 def _write(unit: DataFrame, path: str, settings: Settings, mode: str) -> None:
-    signatures(unit, settings).write.mode(mode).partitionBy("tab", "part").parquet(posixpath.join(path, "signatures"))
+    # a partition is gathered first: else every task leaves a file in each of them
+    signatures(unit, settings).hint("rebalance", "tab", "part").write.mode(mode).partitionBy("tab", "part").parquet(posixpath.join(path, "signatures"))
     unit.write.mode(mode).parquet(posixpath.join(path, "vectors"))
 
 
@@ -130,18 +143,108 @@ def partitions(wanted: DataFrame) -> dict[int, list[int]]:
     return found
 
 
-def candidates(spark: SparkSession, path: str, unit: DataFrame, probes: int = PROBES) -> DataFrame:
-    """``query_id, id``: the other rows in the probed buckets of each query of ``unit(id, vec)``."""
-    settings = stored_settings(spark, path)
-    wanted = cut(probes_of(unit, settings, probes))
+def _read(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """``tab, bucket, id`` of the partitions that hold a bucket of ``wanted``."""
     here = F.lit(False)
     for tab, numbers in sorted(partitions(wanted).items()):
         here = here | ((F.col("tab") == tab) & F.col("part").isin(sorted(numbers)))
-    held = spark.read.schema("bucket long, id long, tab int, part int").parquet(posixpath.join(path, "signatures")).filter(here).select("tab", "bucket", "id")
-    met = wanted.select("tab", "bucket", "query_id").join(held, ["tab", "bucket"]).filter(F.col("query_id") != F.col("id"))
+    return spark.read.schema("bucket long, id long, tab int, part int").parquet(posixpath.join(path, "signatures")).filter(here).select("tab", "bucket", "id")
+
+
+def candidates(spark: SparkSession, path: str, unit: DataFrame, probes: int = PROBES) -> DataFrame:
+    """``query_id, id``: the other rows in the probed buckets of each query of ``unit(id, vec)``; a search does not list them."""
+    wanted = cut(probes_of(unit, stored_settings(spark, path), probes))
+    met = wanted.select("tab", "bucket", "query_id").join(_read(spark, path, wanted), ["tab", "bucket"]).filter(F.col("query_id") != F.col("id"))
     return met.select("query_id", "id").distinct()
 
 
+def _bits(codes: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes of some queries, in order, and for each the queries that have it as bits; a row without any follows."""
+    known, at = np.unique(np.concatenate(codes.to_numpy()), return_inverse=True)
+    query = np.repeat(np.arange(len(codes)), codes.map(len))
+    bits = np.zeros((len(known) + 1, -(-len(codes) // 8)), np.uint8)
+    np.bitwise_or.at(bits, (at, query >> 3), (128 >> (query & 7)).astype(np.uint8))
+    return known, bits
+
+
+def _padded(codes: pd.Series) -> np.ndarray:
+    """One line of codes a row, filled up with -1."""
+    size = codes.map(len).to_numpy()
+    out = np.full((len(codes), size.max()), -1, np.int64)
+    out[np.arange(size.max()) < size[:, None]] = np.concatenate(codes.to_numpy())
+    return out
+
+
+def _met(known: np.ndarray, bits: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` queries (lines) have a code of which row."""
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    at[known[at] != codes] = len(known)
+    rows = bits[at[:, 0]]
+    for i in range(1, at.shape[1]):
+        rows |= bits[at[:, i]]
+    return np.unpackbits(rows, axis=1, count=n).T.astype(bool)
+
+
+def _best(met: np.ndarray, asked: np.ndarray, vecs: np.ndarray, ids: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` ids of each query among the pairs ``met``: query, id, cosine. Any ``least`` rows hold ``k`` different ids."""
+    pick = met
+    if np.count_nonzero(met) > FEW * met.size and met.shape[1] > least:
+        sims = np.where(met, asked @ vecs.T, -np.inf)
+        pick = met & (sims >= np.partition(sims, -least, axis=1)[:, -least, None] - SLACK)
+    q, m = np.nonzero(pick)
+    # added up in the order of dot(): equal vectors have equal cosines wherever they stand
+    total = np.zeros(len(q))
+    for x, y in zip(asked.T, vecs.T):
+        total += x[q] * y[m]
+    return _first(q, ids[m], total, k)
+
+
+def _first(q: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``k`` ids of each query by cosine, then id; of an id that comes again the best."""
+    order = np.lexsort((-sims, ids, q))
+    q, ids, sims = q[order], ids[order], sims[order]
+    new = np.ones(len(q), bool)
+    new[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, sims = q[new], ids[new], sims[new]
+    order = np.lexsort((ids, -sims, q))
+    q, ids, sims = q[order], ids[order], sims[order]
+    rank = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[rank < k], ids[rank < k], sims[rank < k]
+
+
+def _block_search(asked: DataFrame, held: DataFrame, n_asked: int, n_held: int, k: int) -> DataFrame:
+    """``query_id, neighbour_id, similarity``: the best ``k`` other rows of ``held`` with a code of the query, of each block.
+
+    Both have ``id, vec, codes``. An id stands in one block of its side, however often it comes.
+    """
+    nq = max(1, -(-n_asked // BLOCK_QUERIES))
+    nm = max(1, -(-n_held // min(MOST_ROWS, max(LEAST_ROWS, n_held // 64))))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.select("id", "vec", "codes", own(nq).alias("_q"), every(nm).alias("_m"))
+    right = held.select("id", "vec", "codes", own(nm).alias("_m"), every(nq).alias("_q"))
+
+    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        out = [(np.array([], np.int64), np.array([], np.int64), np.array([], np.float64))]
+        if len(queries) and len(rows):
+            ids, vecs, codes = rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()), _padded(rows["codes"])
+            least = k * int(np.unique(ids, return_counts=True)[1].max())
+            for at in range(0, len(queries), PIECE_QUERIES):
+                some = queries.iloc[at : at + PIECE_QUERIES]
+                mine, (known, bits) = some["id"].to_numpy(), _bits(some["codes"])
+                vec, found = np.stack(some["vec"].to_numpy()), []
+                for i in range(0, len(ids), PIECE_ROWS):
+                    j = slice(i, i + PIECE_ROWS)
+                    met = _met(known, bits, codes[j], len(some)) & (mine[:, None] != ids[None, j])
+                    found.append(_best(met, vec, vecs[j], ids[j], k, least))
+                q, near, sims = _first(*map(np.concatenate, zip(*found)), k)
+                out.append((mine[q], near, sims))
+        return pd.DataFrame(dict(zip(("query_id", "neighbour_id", "similarity"), map(np.concatenate, zip(*out)))))
+
+    blocks = ["_q", "_m"]
+    return left.groupBy(*blocks).cogroup(right.groupBy(*blocks)).applyInPandas(run, "query_id long, neighbour_id long, similarity double")
+
+
 def search(spark: SparkSession, path: str, queries: DataFrame, id_col: str, vector: str, k: int, probes: int = PROBES, min_similarity: float | None = None) -> DataFrame:
     """``query_id, neighbour_id, similarity, rank``: up to ``k`` other stored rows near each query, by exact cosine, ties by id.
 
@@ -151,8 +254,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, id_col: str, vect
     settings = stored_settings(spark, path)
     unit = cut(_unit(queries, id_col, vector, settings.dim))
     vectors = _vectors(spark, path)
-    pairs = candidates(spark, path, unit, probes).join(vectors, "id").join(unit.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), "query_id")
-    scored = pairs.groupBy("query_id", F.col("id").alias("neighbour_id")).agg(F.max(dot("vec", "asked")).alias("similarity"))
+    wanted = cut(probes_of(unit, settings, probes))
+    code = (F.shiftleft(F.col("tab").cast("long"), settings.bits) + F.col("bucket")).alias("code")
+    codes = F.collect_set("code").alias("codes")
+    asked = unit.join(wanted.select(F.col("query_id").alias("id"), code).groupBy("id").agg(codes), "id")
+    found = _read(spark, path, wanted).join(wanted.select("tab", "bucket").distinct(), ["tab", "bucket"], "left_semi")
+    held = vectors.join(found.select("id", code).groupBy("id").agg(codes), "id")
+    scored = _block_search(asked, held, unit.count(), vectors.count(), k).groupBy("query_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     if min_similarity is not None:
         scored = scored.filter(F.col("similarity") >= min_similarity)
     order = [F.desc("similarity"), F.asc("neighbour_id")]
